@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text that one numpy pass inside a task takes at once (single longer texts pass alone).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)

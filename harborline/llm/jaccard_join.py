@@ -66,37 +66,37 @@ def shingle_sets(col: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bands(num: int, den: int, most: int) -> np.ndarray:
-    """Size bands: a set links only within its own band or the next one. num / den is the threshold."""
+    """Lower ends of size bands, each two steps of the threshold num / den wide: sets link within a band or the next one."""
     lo = [1]
     while lo[-1] <= most:
-        lo.append(lo[-1] * den // num + 1)
+        lo.append((lo[-1] * den // num + 1) * den // num + 1)
+    lo.append((lo[-1] * den // num + 1) * den // num + 1)
     return np.array(lo, np.int64)
 
 
 def _signatures(h: np.ndarray, off: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Range signatures of each set for its own size band and the next: values, and their set numbers."""
+    """Range signatures of each set for its own size band, and for the next if it can link there: values, set numbers."""
     size = np.diff(off)
     lo = bands(num, den, int(size.max(initial=1)))
-    lo = np.append(lo, lo[-1] * den // num + 1)
     band = np.searchsorted(lo, size, "right") - 1
     out, who = [], []
     top = (h >> U64(32)).astype(np.int64)
     for step in (0, 1):
         b = band + step
-        big = lo[np.minimum(b + 1, len(lo) - 1)] - 1
-        big = np.where(b + 1 >= len(lo), (lo[-1] * den // num), big)
-        parts = 2 * big * (den - num) // (den + num) + 1
-        parts = np.where(size > 0, parts, 0)
+        wanted = (size > 0) & (True if step == 0 else size * den // num >= lo[np.minimum(b, len(lo) - 1)])
+        largest = np.append(lo[1:], (lo[-1] * den // num + 1) * den // num + 1)[np.minimum(b, len(lo) - 1)] - 1
+        parts = np.where(wanted, 2 * largest * (den - num) // (den + num) + 1, 0)
         first = np.concatenate([[0], np.cumsum(parts)])
         owner = np.repeat(np.arange(len(size)), size)
-        cell = first[owner] + ((top * parts[owner]) >> 32)
+        mine = wanted[owner]
+        cell = first[owner[mine]] + ((top[mine] * parts[owner[mine]]) >> 32)
         at = np.searchsorted(cell, np.arange(first[-1] + 1))
-        total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(h ^ U64(0xA5A5A5A5A5A5A5A5)))])
+        total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(h[mine] ^ U64(0xA5A5A5A5A5A5A5A5)))])
         value = total[at[1:]] - total[at[:-1]]
-        mine = np.repeat(np.arange(len(size)), parts)
-        part = np.arange(first[-1]) - first[mine]
-        out.append(mix(mix(value) + b[mine].astype(U64) * U64(0x9E3779B97F4A7C15) + part.astype(U64) * U64(0xC2B2AE3D27D4EB4F)))
-        who.append(mine)
+        part_of = np.repeat(np.arange(len(size)), parts)
+        part = np.arange(first[-1]) - first[part_of]
+        out.append(mix(mix(value) + b[part_of].astype(U64) * U64(0x9E3779B97F4A7C15) + part.astype(U64) * U64(0xC2B2AE3D27D4EB4F)))
+        who.append(part_of)
     return np.concatenate(out), np.concatenate(who)
 
 
@@ -270,10 +270,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     nodes = sets.where("n_shingles > 0 and doc_id is not null")
     reps = nodes.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     members = nodes.select("doc_id", "k1", "k2").join(reps, ["k1", "k2"]).select("doc_id", "rep")
-    posts = nodes.join(reps, ["k1", "k2"]).where("doc_id = rep").select(F.col("rep").alias("node"), F.explode("sigs").alias("sig"))
-    stars = posts.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    routes = posts.join(stars, "sig").where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b"))
-    groups = components(routes).select(F.col("root").alias("grp"), "node", F.col("node").alias("label"))
+    # routes run between set keys, so copies are one node without a shuffle of their signatures
+    posts = nodes.select(F.col("k1").alias("node"), F.explode("sigs").alias("sig"))
+    stars = posts.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sig", "low")
+    # repeated signatures grow with the corpus: always a shuffled join, whose skewed keys can be split
+    routes = posts.join(stars.hint("merge"), "sig").where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    groups = components(routes).select(F.col("root").alias("grp"), F.col("node").alias("k1"))
+    groups = groups.join(reps, "k1").select("grp", F.col("rep").alias("node"), F.col("rep").alias("label")).distinct()
     groups = written(groups, "groups")
     # chunks of large groups; a group's size is a count, its sets never meet in one task
     counted = groups.groupBy("grp").agg(F.count("*").alias("size"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import jaccard_join, langid, mixing, pii, sentencepieces
+from . import extendible, jaccard_join, langid, mixing, pii, pitman_yor, sentencepieces
 
 
 def _over_documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -15,7 +15,9 @@ def _over_documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSess
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pitman_yor": _over_documents(pitman_yor.op1),
     "op2_semi_crf_pii": _over_documents(pii.op2),
+    "op4_extendible_hashing": _over_documents(extendible.op4),
     "op5_language_filters": _over_documents(langid.op5),
     "op6_pfair_mixing": _over_documents(mixing.op6),
     "op9_jaccard_join": _over_documents(jaccard_join.op9),
@@ -23,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_extendible_hashing": extendible.OP4_SQL,
     "op9_jaccard_join": r"""
 with recursive w as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as ws
