@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import extendible, jaccard_join, langid, mixing, parsing, pii, pitman_yor, sentencepieces
+from . import bm25, extendible, jaccard_join, langid, mixing, parsing, pii, pitman_yor, sentencepieces
 
 
 def _over_documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -17,6 +17,7 @@ def _over_documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSess
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pitman_yor": _over_documents(pitman_yor.op1),
     "op2_semi_crf_pii": _over_documents(pii.op2),
+    "op3_block_max_wand": _over_documents(bm25.op3),
     "op4_extendible_hashing": _over_documents(extendible.op4),
     "op5_language_filters": _over_documents(langid.op5),
     "op6_pfair_mixing": _over_documents(mixing.op6),
@@ -26,15 +27,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_block_max_wand": bm25.OP3_SQL,
     "op4_extendible_hashing": extendible.OP4_SQL,
     "op9_jaccard_join": r"""
 with recursive w as (
-  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as ws
+  select doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] as ws
   from documents),
 s as (
   select distinct doc_id, sh from (
     select doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
-      else list_transform(range(1, len(ws) - 1), i -> ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) end) as sh from w)),
+      else [ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] for i in range(1, len(ws) - 1)] end) as sh from w)),
 n as (select doc_id, count(*) as n from s group by doc_id),
 o as (select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
 l as (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * o >= 90 * (x.n + y.n - o)),
