@@ -25,7 +25,7 @@ from .common import U64, mix, pieces
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THETA, SEED = 1.0, 17
 #: Bytes of text filtered together: chunks repeat, so more text costs less each.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 3 << 20
 _BLANK, _LINE = 0x2581, 10
 _B1 = U64(0x9E3779B97F4A7C15)
 
@@ -106,7 +106,7 @@ class Lattice:
         inner = np.arange(n) - first[chunk]
         text = code[start[chunk] + inner].astype(U64)
         most = min(self.most, int(size.max(initial=1)))
-        weight, ids = np.zeros((n, most)), np.full((n, most), -1, np.int32)
+        weight, ids = np.zeros((n, most), np.float32), np.full((n, most), -1, np.int32)
         h = np.zeros(n, U64)
         scale = U64(0x632BE59BD9B4E019)
         # h holds the hash of the k characters from each position on; the edge ends k - 1 later
@@ -119,7 +119,7 @@ class Lattice:
         letters = text[lone]
         letters = np.where(letters >= U64(0x110000), letters - U64(0x110000), letters)
         width = 1 + (letters > U64(0x7F)) + (letters > U64(0x7FF)) + (letters > U64(0xFFFF))
-        weight[lone, 0] = self.byte_weight**width
+        weight[lone, 0] = self.byte_weight**width.astype(float)
         # alpha is kept relative to a power of ``lift`` per character, which cancels among paths of one position
         alpha = np.zeros((len(size), most))
         alpha[:, 0] = 1.0  # alpha[:, j]: j + 1 characters back from the position at hand
@@ -157,18 +157,13 @@ class Lattice:
         start = np.flatnonzero(border)
         end = np.append(start[1:], len(code))
         doc = np.searchsorted(off, start, "right") - 1
+        place = np.arange(len(code)) - np.repeat(start, end - start)
+        h = mix(code.astype(U64) + place.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+        h = mix((np.add.reduceat(h, start) if len(start) else h) + (end - start).astype(U64))
+        del place, is_blank, is_line, border
         keep = ~empty[doc]
-        start, end, doc = start[keep], end[keep], doc[keep]
+        start, end, doc, h = start[keep], end[keep], doc[keep], h[keep]
         ordinal = np.arange(len(start)) - np.searchsorted(doc, doc)
-        up = np.ones(len(code) + 1, U64)
-        if len(code):
-            up[1:] = np.cumprod(np.full(len(code), _B1, U64))
-        inverse = U64(pow(int(_B1), -1, 1 << 64))
-        down = np.ones(len(code) + 1, U64)
-        if len(code):
-            down[1:] = np.cumprod(np.full(len(code), inverse, U64))
-        total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(code.astype(U64)) * up[:-1])])
-        h = mix((total[end] - total[start]) * down[start] + (end - start).astype(U64))
         _, one, which = np.unique(h, return_index=True, return_inverse=True)
         cum, ids = self._filter(code, start[one], end[one])
         width = end[one] - start[one]
