@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import bm25, extendible, jaccard_join, langid, mixing, parsing, pii, pitman_yor, sentencepieces
+from . import bm25, bwt_dedup, extendible, jaccard_join, langid, mixing, parsing, pii, pitman_yor, sentencepieces
 
 
 def _over_documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_extendible_hashing": _over_documents(extendible.op4),
     "op5_language_filters": _over_documents(langid.op5),
     "op6_pfair_mixing": _over_documents(mixing.op6),
+    "op7_bwt_dedup": _over_documents(bwt_dedup.op7),
     "op8_consistent_parsing": _over_documents(parsing.op8),
     "op9_jaccard_join": _over_documents(jaccard_join.op9),
     "op10_sentencepiece": _over_documents(sentencepieces.op10),
