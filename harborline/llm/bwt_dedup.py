@@ -7,7 +7,7 @@ Every byte covered by a 50-byte string that also starts in a document with a sma
    anchors' hash buckets and learn which occur in other documents.
 2. Runs of consecutive windows with such an anchor become strings, equal ones of a block once with their smallest doc_id, and
    go to the anchor's bucket: all windows that can be equal meet there.
-3. In a bucket the strings form shards, each with its own sorted suffixes and Burrows-Wheeler transform (symbols of two bytes).
+3. In a bucket the strings form shards, each with its own sorted suffixes and Burrows-Wheeler transform (symbols of eight bytes).
    The transforms are merged by interleave refinement: pass k orders all suffixes by their first 2 k bytes by a stable
    bucket pass over the interleaved symbols, carrying the borders of equal prefixes; suffixes are not sorted again. After 25
    passes the borders enclose the intervals of common prefixes of 50 bytes or more; each takes its smallest doc_id.
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import U64, dropped, mix, n_blocks, utf8, written
 
-LENGTH, GRAM = 50, 16
-BLOCK_BYTES, SHARD_SUFFIXES = 8 << 20, 1 << 20
+LENGTH, GRAM, PAD = 50, 16, 8
+BLOCK_BYTES, SHARD_SUFFIXES = 6 << 20, 1 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -94,72 +94,87 @@ def _cat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum())) if len(size) else np.zeros(0, np.int64)
 
 
-def suffix_order(text: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Positions of all suffixes of the padded strings text[off[i]:off[i + 1]], sorted; equal ones by string number.
-
-    Each string ends with two pad bytes (255, which UTF-8 never has); suffixes do not look past their string.
-    """
-    n = len(text)
-    end = np.repeat(off[1:], np.diff(off))
-    left = end - np.arange(n)
+def _ranks(text: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Dense ranks of the eight bytes from each position on; past a string's end they count as pad."""
     key = _eights(text)
-    cut = np.flatnonzero(left < 8)
-    shift = ((8 - left[cut]) * 8).astype(U64)
+    left = np.repeat(off[1:], np.diff(off)) - np.arange(len(text))
+    cut = np.flatnonzero(left < PAD)
+    shift = ((PAD - left[cut]) * 8).astype(U64)
     key[cut] = (key[cut] >> shift << shift) | ((U64(1) << shift) - U64(1))
-    order = np.argsort(key, kind="stable")
-    width = 8
-    number = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    while True:
-        k = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))
-        top = int(rank[order[-1]]) + 1 if n else 0
-        if top == n or width >= int(left.max(initial=0)):
+    return _dense(key)
+
+
+def _dense(key: np.ndarray) -> np.ndarray:
+    order = np.argsort(key)
+    k = key[order]
+    rank = np.empty(len(key), np.uint32)
+    rank[order] = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]), dtype=np.uint32)
+    return rank
+
+
+def _stable(value: np.ndarray) -> np.ndarray:
+    """Positions in stable order of 32-bit values: the position rides in the low half of what is sorted."""
+    key = value.astype(U64) << U64(32) | np.arange(len(value), dtype=U64)
+    key.sort()
+    return (key & U64(0xFFFFFFFF)).astype(np.int64)
+
+
+def suffix_order(rank: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Positions of all suffixes of the padded strings off[i] to off[i + 1], sorted; equal ones by string number, position.
+
+    rank: of the first eight bytes of each. Suffixes do not look past their string.
+    """
+    n = len(rank)
+    number = np.repeat(np.arange(len(off) - 1, dtype=np.uint32), np.diff(off))
+    left = (np.repeat(off[1:], np.diff(off)) - np.arange(n)).astype(np.int32)
+    width, most = PAD, int(left.max(initial=0))
+    while width < most:
+        top = np.uint32(int(rank.max()) + 1)
+        if int(top) == n:
             break
-        after = np.arange(n) + width
-        ahead = np.where(left > width, rank[np.minimum(after, n - 1)], top + number)
-        key = rank.astype(U64) << U64(32) | ahead.astype(U64)
-        order = np.argsort(key, kind="stable")
+        ahead = top + number
+        goes_on = np.flatnonzero(left > width)
+        ahead[goes_on] = rank[goes_on + width]
+        rank = _dense(rank.astype(U64) << U64(32) | ahead)
         width *= 2
-    return np.lexsort((number, rank)) if top < n else order
+    return _stable(rank)
 
 
 def repeated(text: np.ndarray, off: np.ndarray, shard: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Positions in merged order, and the number of the interval of equal ``length``-byte prefixes each lies in.
 
-    text: padded strings (see suffix_order); shard: each string's shard number, not falling.
+    text: padded strings (each ends with ``PAD`` bytes 255); shard: each string's shard number, not falling. length: even.
     """
     n = len(text)
     shards = int(shard[-1]) + 1
     cuts = np.concatenate([[0], np.searchsorted(shard, np.arange(1, shards)), [len(off) - 1]])
-    source, symbols, counts = [], [], []
-    inner = np.arange(n) - np.repeat(off[:-1], np.diff(off))
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        here = suffix_order(text[off[a] : off[b]], off[a : b + 1] - off[a]) + off[a]
-        before = np.where(inner[here] >= 2, text[here - 2].astype(np.uint16) << 8 | text[here - 1], 0xFFFF).astype(np.uint16)
-        source.append(here)
-        symbols.append(before)
-        counts.append(2 * (b - a))
-    place = np.cumsum([0, *(len(s) for s in source)])
-    symbol, source = np.concatenate(symbols), np.concatenate(source)
-    # z: the shard of each suffix in the order so far; at first all suffixes are one block
-    z = np.repeat(np.arange(shards, dtype=np.uint16), np.diff(place))
-    base = np.repeat(np.arange(shards, dtype=np.uint16), counts)
+    rank = _ranks(text, off)
+    inner = (np.arange(n) - np.repeat(off[:-1], np.diff(off))).astype(np.int32)
+    # each shard's sorted suffixes, and what stands before each: its transform
+    source = np.concatenate([suffix_order(rank[off[a] : off[b]], off[a : b + 1] - off[a]) + off[a] for a, b in zip(cuts[:-1], cuts[1:])])
+    z = np.repeat(np.arange(shards, dtype=np.uint8 if shards < 256 else np.uint16 if shards < 65536 else np.uint32), np.diff(off[cuts]))
     block = np.zeros(n, np.int32)
-    inside = n - len(base)
-    for _ in range(length // 2):
-        now = symbol[_read(z, place)] if shards > 1 else symbol
-        order = np.argsort(now, kind="stable")[:inside]  # suffixes at a string's start have no symbol and end here
+    for step in [PAD] * (length // PAD) + [2] * (length % PAD // 2):
+        has = inner[source] >= step
+        if step == PAD:
+            symbol = np.where(has, rank[source - step], np.uint32(0xFFFFFFFF))
+        else:
+            symbol = np.where(has, text[source - 2].astype(np.uint32) << 8 | text[source - 1], np.uint32(0xFFFFFFFF))
+        base = np.repeat(np.arange(shards, dtype=z.dtype), step * np.diff(cuts))
+        inside = n - len(base)
+        now = symbol[_read(z)] if shards > 1 else symbol
+        # a stable pass by symbol; suffixes at a string's start have none and end here, the pads' suffixes come in
+        order = _stable(now)[:inside]
         s, b = now[order], block[order]
         edge = np.ones(n, np.int32)
         edge[1:inside] = (s[1:] != s[:-1]) | (b[1:] != b[:-1])
         edge[inside + 1 :] = 0
         z = np.concatenate([z[order], base])
         block = np.cumsum(edge, dtype=np.int32)
-    return source[_read(z, place)] if shards > 1 else source, block
+    return source[_read(z)] if shards > 1 else source, block
 
 
-def _read(z: np.ndarray, place: np.ndarray) -> np.ndarray:
+def _read(z: np.ndarray) -> np.ndarray:
     """Where each entry of the interleave stands in its shard's own order: shards are read front to back."""
     order = np.argsort(z, kind="stable")
     at = np.empty(len(z), np.int64)
@@ -256,7 +271,7 @@ def _merged(sent: DataFrame) -> DataFrame:
         del place, h
         best = np.full(len(one), _LAST)
         np.minimum.at(best, which, low)
-        width = size[one] + 2
+        width = size[one] + PAD
         off = np.concatenate([[0], np.cumsum(width)])
         text = np.full(off[-1], 255, np.uint8)
         text[_cat(off[:-1], size[one])] = byte[_cat(first[:-1][one], size[one])]
