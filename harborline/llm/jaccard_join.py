@@ -219,7 +219,8 @@ def _searched(rows: DataFrame, docs: DataFrame, keys: list[str], n: int, num: in
     A node whose doc_id has several texts takes part with each of them.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node is not null")
-    dealt = rows.join(texts, "node").select(*keys, "node", "label", "text")
+    # candidates grow with the corpus: a shuffled join at every size
+    dealt = rows.hint("merge").join(texts, "node").select(*keys, "node", "label", "text")
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
