@@ -18,9 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, mix, pieces
+from .common import U64, mix, n_blocks, pieces
 
-LEVELS, KEEP, BUCKET_IDS = (2, 3), 64, 8192
+LEVELS, KEEP = (2, 3), 64
+RANGE_BYTES, KNOTS, CHUNK_CHARS = 4 << 20, 1000, 1 << 20
+#: Up to so many ranges their first keys are broadcast (three numbers each), beyond that joined by shuffle.
+BROADCAST_RANGES = 100_000
 _BITS = np.arange(128)
 _DIFFERS = _BITS[:, None] ^ _BITS[None, :]
 _LOW = np.where(_DIFFERS == 0, 0, np.log2(np.maximum(_DIFFERS & -_DIFFERS, 1))).astype(np.int64)
@@ -129,29 +132,23 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def neighbours(rows: DataFrame, key: str, columns: list[str], bucket_ids: int = BUCKET_IDS) -> DataFrame:
-    """rows plus a struct ``before`` of the columns of the row before in ascending key order; the first row gets the last.
+def ranged(rows: DataFrame, key: str, size: Column, range_bytes: int = RANGE_BYTES) -> tuple[DataFrame, int]:
+    """rows plus _range, ascending with the key (nulls: -1), of about range_bytes each; and how many ranges there may be.
 
-    Ordered by key (nulls first), then the other columns. Keys are cut into equal ranges of about ``bucket_ids`` rows; only
-    one row of each range meets in one task.
+    At most ``KNOTS`` quantiles of the key come to the driver; between two of them ranges are of equal width.
     """
-    low, high, n = rows.agg(F.min(key), F.max(key), F.count("*")).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) * bucket_ids // max(1, n))
-    rows = rows.withColumn("_range", F.coalesce(F.floor((F.col(key) - F.lit(low or 0)) / F.lit(width)), F.lit(-1)))
-    me = F.struct(*[F.col(c) for c in columns])
-    order = [F.col(key).asc_nulls_first(), *[F.col(c) for c in columns if c != key]]
-    inside = Window.partitionBy("_range").orderBy(*order)
-    ranked = rows.withColumn("before", F.lag(me).over(inside)).withColumn("_first", F.row_number().over(inside) == 1)
-    last = rows.groupBy("_range").agg(F.max(me).alias("_last"))
-    over = Window.orderBy("_range")
-    wrap = Window.orderBy(F.col("_range").desc())
-    ends = last.withColumn("_prev", F.lag("_last").over(over)).withColumn("_top", F.first("_last").over(wrap)).select("_range", F.coalesce("_prev", "_top").alias("_prev"))
-    out = ranked.join(ends, "_range").withColumn("before", F.when(F.col("_first"), F.col("_prev")).otherwise(F.col("before")))
-    return out.drop("_range", "_first", "_prev")
-
-
-def _key(text: Column) -> Column:
-    return F.xxhash64(text, F.octet_length(text))
+    n = n_blocks(rows, size, range_bytes)
+    knots = rows.agg(F.percentile_approx(key, [i / min(n, KNOTS) for i in range(min(n, KNOTS) + 1)], 100_000)).first()[0]
+    if not knots:
+        return rows.withColumn("_range", F.lit(-1).cast("long")), 1
+    knots = sorted(set(knots))
+    each = max(1, -(-n // max(1, len(knots) - 1)))
+    inner = F.array(*[F.lit(k) for k in knots[1:-1]]) if len(knots) > 2 else F.lit([]).cast("array<bigint>")
+    at = F.size(F.filter(inner, lambda k: k <= F.col(key)))
+    low = F.element_at(F.array(*[F.lit(k) for k in knots]), at + 1)
+    high = F.element_at(F.array(*[F.lit(k) for k in [*knots[1:], knots[-1] + 1][: max(1, len(knots) - 1)]]), at + 1)
+    inside = F.greatest(F.lit(0), F.least(F.lit(each - 1), F.floor((F.col(key) - low) * F.lit(float(each)) / (high - low + 1))))
+    return rows.withColumn("_range", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(at * F.lit(each) + inside).cast("long")), each * max(1, len(knots) - 1) + 1
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
@@ -160,50 +157,65 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     The edited text is the text with its last floor(n_chars / 4) code points replaced by the first as many (or all) of the
     next document, ascending doc_id; the last document's next is the first. A null text is empty; a null doc_id comes
     first; documents that share a doc_id follow the hash of their text, and equal rows count as one document (each row is
-    returned). A lone document is its own next. Heads of texts travel, at most a quarter of the text; whole texts are
-    shuffled once.
+    returned). A lone document is its own next.
+
+    Whole texts are shuffled once, into ranges of the key; the first document of a range also goes to the range before.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", _key(F.col("text")).alias("h"), "text")
-    lengths = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", _key(F.col("text")).alias("h"), F.char_length("text").alias("n")).distinct()
-    linked = neighbours(lengths, "doc_id", ["doc_id", "h", "n"])
-    linked = linked.select(F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("z"), "h", F.coalesce("before.doc_id", F.lit(0)).alias("pi"), F.col("before.doc_id").isNull().alias("pz"), F.col("before.h").alias("ph"), F.floor(F.col("before.n") / 4).cast("int").alias("cut"))
-    rows = rows.select(F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("z"), "h", "text")
-
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            texts, cut = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            prints = pa.array([s.tobytes() for s in sketches(texts)], pa.binary())
-            none = pa.nulls(len(texts), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[5:8], pa.array([t[:c] for t, c in zip(texts, cut)], pa.string()), prints, none], names=names)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.nulls(len(texts), pa.string()), none, prints], names=names)
-
-    names = ["i", "z", "h", "head", "after", "own"]
-    sent = rows.hint("merge").join(linked, ["i", "z", "h"]).select("i", "z", "h", "text", "cut", "pi", "pz", "ph")
-    sent = sent.mapInArrow(heads, "i long, z boolean, h long, head string, after binary, own binary")
-    sent = sent.groupBy("i", "z", "h").agg(*[F.first(c, ignorenulls=True).alias(c) for c in names[3:]])
+    rows, most = ranged(rows, "doc_id", F.octet_length("text") + 16)
+    rows = rows.withColumn("h", F.xxhash64("text", F.octet_length("text")))
+    first = rows.groupBy("_range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "h")).alias("f"))
+    wrap = Window.orderBy("_range")
+    whole = wrap.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # one row a range meets in this window
+    before = first.select("_range", F.col("f.doc_id").alias("_id"), F.col("f.h").alias("_h"), F.coalesce(F.lag("_range").over(wrap), F.last("_range").over(whole)).alias("_to")).withColumnRenamed("_range", "_r")
+    if most <= BROADCAST_RANGES:
+        before = F.broadcast(before)
+    tagged = rows.join(before, (F.col("_range") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    ends = F.when(F.col("_to").isNull(), F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("edge")))).otherwise(F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("edge")), F.struct(F.col("_to").alias("r"), F.lit(True).alias("edge"))))
+    dealt = tagged.select("doc_id", "h", "text", F.explode(ends).alias("e")).select("e.r", "e.edge", "doc_id", "h", "text")
+    dealt = dealt.repartition("r").sortWithinPartitions("r", "edge", F.col("doc_id").asc_nulls_first(), "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = []  # range, edge, id, hash, text, rows; equal rows once
+
+        def done(chunk: list[list]) -> pa.RecordBatch:
+            """Results of all but the last of the chunk; the last is the next document of the one before it."""
+            own = sketches([x[4] for x in chunk])
+            mine = [i for i in range(len(chunk) - 1) if not chunk[i][1]]
+            texts = [chunk[i][4] for i in mine]
+            edited = [t[: len(t) - len(t) // 4] + chunk[i + 1][4][: len(t) // 4] for i, t in zip(mine, texts)]
+            new = sketches(edited)
+            again = np.repeat(np.arange(len(mine)), [chunk[i][5] for i in mine])
+            cols = [
+                pa.array([chunk[i][2] for i in mine], pa.int64()),
+                pa.array([len(t) for t in texts], pa.int64()),
+                pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited], pa.string()),
+                pa.array([_hex(own[i]) for i in mine], pa.string()),
+                pa.array(map(_hex, new), pa.string()),
+                pa.array([likeness(own[i], e) for i, e in zip(mine, new)], pa.float64()),
+                pa.array([likeness(own[i], own[i + 1]) for i in mine], pa.float64()),
+            ]
+            return pa.RecordBatch.from_arrays([c.take(pa.array(again)) for c in cols], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+
+        size = 0
         for batch in pieces(batches):
-            texts, head = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            after = [np.frombuffer(x, np.uint32) for x in batch.column(3).to_pylist()]
-            edited = [t[: len(t) - len(t) // 4] + h for t, h in zip(texts, head)]
-            own, new = [np.frombuffer(x, np.uint32) for x in batch.column(4).to_pylist()], sketches(edited)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(t) for t in texts], pa.int64()),
-                    pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]),
-                    pa.array(map(_hex, own), pa.string()),
-                    pa.array(map(_hex, new), pa.string()),
-                    pa.array([likeness(a, b) for a, b in zip(own, new)]),
-                    pa.array([likeness(a, b) for a, b in zip(own, after)]),
-                ],
-                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-            )
-
-    out = rows.hint("merge").join(sent, ["i", "z", "h"]).select(F.when(~F.col("z"), F.col("i")).alias("doc_id"), "text", "head", "after", "own")
-    return out.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[:4] == tuple(held[-1][:4]):
+                    held[-1][5] += 1
+                    continue
+                if held and row[0] != held[-1][0]:
+                    yield done(held)  # the range is complete: its last row is the edge
+                    held, size = [], 0
+                held.append([*row, 1])
+                size += len(row[4])
+                if size > CHUNK_CHARS and len(held) > 1:
+                    yield done(held)
+                    held, size = held[-1:], len(held[-1][4])
+        if held:
+            yield done(held)
+
+    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op8(docs: DataFrame) -> DataFrame:
