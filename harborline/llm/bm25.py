@@ -2,8 +2,8 @@
 
 Documents fall into shards of bounded text size; each shard's index is built in one task and written. In a shard, documents
 are ordered so that similar ones are near, and cut into blocks; each (term, block) keeps its largest impact. For a query,
-the sums of these are upper bounds of the blocks; blocks are opened from the highest bound down, and one whose bound is not above the k-th
-best score so far is skipped unread (the WAND pivot test, for all blocks of a shard at once). Scores use the statistics of all
+the sums of these are upper bounds of the blocks; blocks are opened from the highest bounds down, and one whose bound does not
+reach the k-th best score so far is skipped unread (the WAND pivot test, made for many queries and blocks at once). Scores use the statistics of all
 shards (document frequencies, mean length), so merging the shards' best k gives the exact answer.
 
 Queries go to the shards in rounds, each a broadcast of bounded size; the query set may be any size.
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from .common import LOWER, U64, n_blocks, pieces, span_hashes, tokens, utf8, written
 
 K1, B, TOP = 1.2, 0.75, 10
-SHARD_BYTES, BLOCK_DOCS, FIRST_BLOCKS = 16 << 20, 32, 4
+SHARD_BYTES, BLOCK_DOCS = 8 << 20, 16
+#: Terms in so large a share of the documents, and no more of them, are scored as a dense matrix.
+DENSE_SHARE, DENSE_TERMS = 0.02, 1024
 #: Text of the queries of one round, in bytes: bounds each broadcast.
 ROUND_BYTES = 32 << 20
 
@@ -84,64 +86,127 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {n: np.frombuffer(batch.column(k)[i].as_py(), kinds[n]) for k, n in enumerate(batch.schema.names) if n in kinds}
 
 
-class Shard:
-    """One shard's postings with block maxima, ready for queries."""
-
-    def __init__(self, row: dict, mean: float, block: int = BLOCK_DOCS):
-        self.ids, self.real, self.terms, self.block = row["ids"], row["real"], row["terms"], block
-        norm = K1 * (1 - B + B * row["length"] / mean)
-        doc, tf = row["doc"].astype(np.int64), row["tf"].astype(np.float64)
-        self.doc, self.impact = doc, tf * (K1 + 1) / (tf + norm[doc])
-        term = np.repeat(np.arange(len(self.terms)), row["df"])
-        cell = term * (len(self.ids) // block + 1) + doc // block
-        self.start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-        self.end = np.append(self.start[1:], len(cell)) if len(cell) else self.start
-        self.most = np.maximum.reduceat(self.impact, self.start) if len(cell) else np.zeros(0)
-        self.cell_block = doc[self.start] // block
-        self.first = np.searchsorted(term[self.start], np.arange(len(self.terms) + 1))
-
-    def search(self, terms: np.ndarray, idf: np.ndarray, k: int, skip: int | None) -> tuple[np.ndarray, np.ndarray, int]:
-        """Best k documents (places) and scores, ties to the smaller id; and how many blocks were opened."""
-        none = np.zeros(0, np.int64), np.zeros(0), 0
-        if not len(self.terms):
-            return none
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        ok = self.terms[at] == terms
-        at, idf = at[ok], idf[ok]
-        if not len(at):
-            return none
-        n = self.first[at + 1] - self.first[at]
-        cells = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        weight = np.repeat(idf, n)
-        block = self.cell_block[cells]
-        bound = np.bincount(block, weights=weight * self.most[cells], minlength=len(self.ids) // self.block + 1)
-        order = np.argsort(-bound, kind="stable")
-        bound_slack = bound * (1 + 1e-9) + 1e-6  # bounds and scores are sums of floats, scores are rounded to 6 places
-        score = np.zeros(len(self.ids))
-        floor, done, step = -1.0, 0, FIRST_BLOCKS
-        opened = np.zeros(len(bound), bool)
-        while done < len(order) and bound[order[done]] > 0 and bound_slack[order[done]] >= floor:
-            take = order[done : done + step]
-            take = take[bound_slack[take] >= floor]
-            now = np.zeros(len(bound), bool)
-            now[take] = True
-            mine = now[block]
-            s, e = self.start[cells[mine]], self.end[cells[mine]]
-            size = e - s
-            spot = np.repeat(s - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            score += np.bincount(self.doc[spot], weights=self.impact[spot] * np.repeat(weight[mine], size), minlength=len(score))
-            opened |= now
-            done += step
-            step *= 2
-            best = score[score > 0]
-            if len(best) > k + 1:  # one place may be the query itself
-                floor = np.partition(best, len(best) - k - 1)[len(best) - k - 1]
-        found = np.flatnonzero((score > 0) & self.real)
-        if skip is not None:
-            found = found[self.ids[found] != skip]
-        value = np.round(score[found], 6)
-        best = np.lexsort((self.ids[found], -value))[:k]
-        return found[best], value[best], int(opened.sum())
+class Round:
+    """The queries of one round: ids, term weights, and which queries have each term. Bounded by ROUND_BYTES of text."""
+
+    def __init__(self, ids: np.ndarray, terms: list[np.ndarray], every: np.ndarray, df: np.ndarray, n: int):
+        self.ids, self.every = ids, every
+        self.idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        which = np.searchsorted(every, np.concatenate(terms))
+        query = np.repeat(np.arange(len(ids)), [len(t) for t in terms])
+        often = np.argsort(-df, kind="stable")[:DENSE_TERMS]
+        often = often[df[often] >= DENSE_SHARE * n]
+        self.column = np.full(len(every), -1)
+        self.column[often] = np.arange(len(often))
+        self.has = np.zeros((len(ids), len(often)))
+        dense = self.column[which] >= 0
+        self.has[query[dense], self.column[which[dense]]] = 1.0
+        order = np.argsort(which[~dense], kind="stable")
+        self.query = query[~dense][order]
+        self.first = np.searchsorted(which[~dense][order], np.arange(len(every) + 1))
+
+    def spread(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For sparse terms: each one's queries, one after the other, and how many each has."""
+        n = self.first[term + 1] - self.first[term]
+        at = np.repeat(self.first[term] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+        return self.query[at], n
+
+
+class Best:
+    """The best k so far of each query, ties to the smaller id."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.score = np.full((len(queries), k), -1.0)
+        self.doc = np.full((len(queries), k), np.iinfo(np.int64).max)
+
+    def add(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        score = np.where(score > 0, np.round(score, 6), -1.0)
+        hit = score.max(1) >= np.maximum(self.score[rows, -1], 0)
+        rows, score = rows[hit], score[hit]
+        if len(rows):
+            all_s = np.concatenate([self.score[rows], score], 1)
+            all_d = np.concatenate([self.doc[rows], np.where(score > 0, np.broadcast_to(ids, score.shape), np.iinfo(np.int64).max)], 1)
+            order = np.lexsort((all_d, -all_s), axis=1)[:, : self.k]
+            self.score[rows], self.doc[rows] = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_d, order, 1)
+
+
+def search_shard(row: dict, mean: float, asked: Round, best: Best, itself: bool, block: int = BLOCK_DOCS) -> tuple[int, int]:
+    """Let one shard improve ``best``; returns how many (query, block) pairs were opened, and of how many.
+
+    Bounds of all queries on all blocks come first; pairs are then opened block by block while their bound can still reach
+    the query's k-th best score, which later blocks and shards inherit.
+    """
+    n, blocks = len(row["length"]), -(-len(row["length"]) // block)
+    norm = K1 * (1 - B + B * row["length"] / mean)
+    wanted = np.full(len(row["terms"]), -1)
+    if not len(wanted):
+        return 0, 0
+    at = np.minimum(np.searchsorted(row["terms"], asked.every), len(wanted) - 1)
+    ok = row["terms"][at] == asked.every
+    wanted[at[ok]] = np.flatnonzero(ok)
+    term = np.repeat(wanted, row["df"])
+    mine = np.flatnonzero(term >= 0)
+    term, doc, tf = term[mine], row["doc"][mine].astype(np.int64), row["tf"][mine].astype(float)
+    value = asked.idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+    column = asked.column[term]
+    dense = np.zeros((asked.has.shape[1], blocks * block))
+    often = column >= 0
+    dense[column[often], doc[often]] = value[often]
+    term, doc, value = term[~often], doc[~often], value[~often]
+    bound = asked.has @ dense.reshape(len(dense), blocks, block).max(2)
+    # block maxima of the sparse terms; postings are in order of term and document
+    cell = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (doc[1:] // block != doc[:-1] // block)])) if len(term) else np.zeros(0, np.int64)
+    most = np.maximum.reduceat(value, cell) if len(cell) else np.zeros(0)
+    size = np.cumsum(asked.first[term[cell] + 1] - asked.first[term[cell]])
+    for lo, hi in _cuts(size, 4_000_000):
+        query, times = asked.spread(term[cell[lo:hi]])
+        bound += np.bincount(query * blocks + np.repeat(doc[cell[lo:hi]] // block, times), weights=np.repeat(most[lo:hi], times), minlength=bound.size).reshape(bound.shape)
+    bound = bound * (1 + 1e-9) + 1e-6  # sums of floats in another order, and scores rounded to six places
+    order = np.argsort(doc, kind="stable")
+    term, doc, value = term[order], doc[order], value[order]
+    begin = np.searchsorted(doc, np.arange(blocks + 1) * block)
+    ids, real = np.zeros(blocks * block, np.int64), np.zeros(blocks * block, bool)
+    ids[:n], real[:n] = row["ids"], row["real"]
+    place = np.full(len(best.queries), -1)
+    opened, done = 0, np.zeros(bound.shape, bool)
+
+    def open_(b: int, rows: np.ndarray) -> None:
+        score = asked.has[rows] @ dense[:, b * block : (b + 1) * block]
+        place[rows] = np.arange(len(rows))
+        s, e = begin[b], begin[b + 1]
+        query, times = asked.spread(term[s:e])
+        here = place[query]
+        where = here * block + np.repeat(doc[s:e] - b * block, times)
+        score += np.bincount(where[here >= 0], weights=np.repeat(value[s:e], times)[here >= 0], minlength=score.size).reshape(score.shape)
+        place[rows] = -1
+        here = ids[b * block : (b + 1) * block]
+        score[:, ~real[b * block : (b + 1) * block]] = -1.0
+        if not itself:
+            score[best.queries[rows][:, None] == here] = -1.0
+        best.add(rows, score, here)
+
+    # the most promising block of each query first: it raises the floor for the others
+    top = bound.argmax(1)
+    for wave in (0, 1):
+        for b in np.unique(top) if wave == 0 else np.argsort(-bound.max(0)):
+            can = (bound[:, b] >= np.maximum(best.score[:, -1], 2e-6)) & ~done[:, b]
+            rows = np.flatnonzero(can & (top == b) if wave == 0 else can)
+            if len(rows):
+                open_(int(b), rows)
+                done[rows, b] = True
+                opened += len(rows)
+    return opened, bound.size
+
+
+def _cuts(total: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items whose running total grows by about ``most`` each."""
+    at = 0
+    while at < len(total):
+        before = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, before + most, "right")))
+        yield at, to
+        at = to
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = TOP, round_bytes: int = ROUND_BYTES, itself: bool = False) -> DataFrame:
@@ -194,21 +259,18 @@ def search(index: DataFrame, queries: DataFrame, k: int = TOP, round_bytes: int
         df = np.zeros(len(every), np.int64)
         got = index.select("terms", "df").mapInArrow(counts, "t long, df long").groupBy("t").agg(F.sum("df").alias("df")).toPandas()
         df[got["t"].to_numpy()] = got["df"].to_numpy()
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        pack = spark.sparkContext.broadcast([(r[0], m, idf[np.searchsorted(every, m)]) for r, m in zip(rows, mine)])
+        pack = spark.sparkContext.broadcast(Round(np.array([r[0] for r in rows]), mine, every, df, n))
 
         def answer(batches, pack=pack):
+            asked = pack.value
+            best = Best(asked.ids, k)
             for row in _each(batches):
-                shard = Shard(row, mean)
-                q, d, s = [], [], []
-                for query, words, weight in pack.value:
-                    found, score, _ = shard.search(words, weight, k, None if itself else query)
-                    q.append(np.full(len(found), query))
-                    d.append(shard.ids[found])
-                    s.append(score)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(q), pa.int64()), pa.array(np.concatenate(d), pa.int64()), pa.array(np.concatenate(s), pa.float64())], names=["query_id", "doc_id", "score"])
-
-        part = index.drop("shard").mapInArrow(answer, "query_id long, doc_id long, score double")
+                search_shard(row, mean, asked, best, itself)
+            q, r = np.nonzero(best.score > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(asked.ids[q]), pa.array(best.doc[q, r]), pa.array(best.score[q, r])], names=["query_id", "doc_id", "score"])
+
+        # a task carries its floors from shard to shard, so as many tasks as run at once are best
+        part = index.drop("shard").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(answer, "query_id long, doc_id long, score double")
         out = part if out is None else out.union(part)
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
