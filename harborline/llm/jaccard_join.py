@@ -213,14 +213,22 @@ def search(h: np.ndarray, off: np.ndarray, label: np.ndarray, num: int, den: int
     return root
 
 
-def _searched(rows: DataFrame, docs: DataFrame, keys: list[str], n: int, num: int, den: int) -> DataFrame:
-    """(keys, node, label, found) for rows (keys, node, label): one search per distinct keys, texts taken from docs by node.
-
-    A node whose doc_id has several texts takes part with each of them.
-    """
+def _sets(nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(node, set): the shingle sets of the texts of nodes(node), written. A node whose doc_id has several texts has a row for each."""
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node is not null")
-    # candidates grow with the corpus: a shuffled join at every size
-    dealt = rows.hint("merge").join(texts, "node").select(*keys, "node", "label", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            h, off = shingle_sets(batch.column(1), n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h[a:b].tobytes() for a, b in zip(off[:-1], off[1:])], pa.binary())], names=["node", "set"])
+
+    # candidates grow with the corpus: a shuffled join at every size, and once only
+    return written(nodes.distinct().hint("merge").join(texts, "node").select("node", "text").mapInArrow(run, "node long, set binary"), "candidates")
+
+
+def _searched(rows: DataFrame, sets: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
+    """(keys, node, label, found) for rows (keys, node, label): one search per distinct keys over the nodes' sets."""
+    dealt = rows.join(sets, "node").select(*keys, "node", "label", "set")
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,9 +243,12 @@ def _searched(rows: DataFrame, docs: DataFrame, keys: list[str], n: int, num: in
             np.minimum.at(low, root, label)
             return pa.RecordBatch.from_arrays([*[pa.array([k] * len(node), pa.int64()) for k in now], pa.array(node), pa.array(label), pa.array(low[root])], names=[*keys, "node", "label", "found"])
 
-        for batch in pieces(batches):
-            h, off = shingle_sets(batch.column(len(keys) + 2), n)
-            size = np.diff(off)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = [np.frombuffer(x, U64) for x in batch.column(len(keys) + 2).to_pylist()]
+            h, size = np.concatenate(lists), np.array([len(x) for x in lists])
+            off = np.concatenate([[0], np.cumsum(size)])
             ks = np.stack([batch.column(i).to_numpy() for i in range(len(keys))], 1)
             node, label = batch.column(len(keys)).to_numpy(), batch.column(len(keys) + 1).to_numpy()
             cuts = np.flatnonzero(np.concatenate([[True], (ks[1:] != ks[:-1]).any(1)]))
@@ -283,7 +294,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     counted = groups.groupBy("grp").agg(F.count("*").alias("size"))
     cut = groups.join(counted, "grp").withColumn("pieces", F.ceil(F.col("size") / chunk).cast("long"))
     cut = cut.select("grp", F.pmod(F.xxhash64("node"), F.col("pieces")).alias("part"), "node", "label", "pieces")
-    found = written(_searched(cut.select("grp", "part", "node", "label"), docs, ["grp", "part"], n, num, den), "found")
+    texts = _sets(groups.select("node"), docs, n)
+    found = written(_searched(cut.select("grp", "part", "node", "label"), texts, ["grp", "part"], num, den), "found")
     links = found.select("label", "found").distinct()
     large = cut.where("pieces > 1").select("grp", "part", "node")
     if large.limit(1).count():
@@ -292,7 +304,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         rep = at.groupBy("grp", "label").agg(F.min("node").alias("node"))
         size = rep.groupBy("grp").agg(F.ceil(F.count("*") / chunk).cast("long").alias("pieces"))
         rep = rep.join(size, "grp").select("grp", F.pmod(F.xxhash64("label"), F.col("pieces")).alias("part"), "node", "label")
-        more = written(_searched(rep, docs, ["grp", "part"], n, num, den).select("label", "found").distinct(), "more")
+        more = written(_searched(rep, texts, ["grp", "part"], num, den).select("label", "found").distinct(), "more")
         links = written(links.union(more), "links")
         now = written(_lowest(links, at).join(at.select("node", "part"), "node"), "apart")
         open_ = now.groupBy("grp").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("grp")
@@ -301,7 +313,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
             width = left.groupBy("grp").agg((F.max("part") + 1).alias("pieces"))
             wide = left.join(width, "grp").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
             pair = wide.where("other <> part").select("grp", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "node", "label")
-            links = links.union(_searched(pair, docs, ["grp", "p", "q"], n, num, den).select("label", "found").distinct())
+            links = links.union(_searched(pair, texts, ["grp", "p", "q"], num, den).select("label", "found").distinct())
     roots = components(links.union(members.select(F.col("doc_id").alias("label"), F.col("rep").alias("found"))).select(F.col("label").alias("a"), F.col("found").alias("b")))
     return sets.select("doc_id", "n_shingles").join(roots, sets["doc_id"] == roots["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
