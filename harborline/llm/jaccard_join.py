@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, dropped, mix, pieces, span_hashes, tokens, utf8, written
+from .common import LOWER, U64, dropped, mix, n_blocks, pieces, span_hashes, tokens, utf8, written
 
-CHUNK = 1024
+CHUNK, BUCKET_BYTES = 1024, 16 << 20
 
 
 def shingle_sets(col: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,24 +100,75 @@ def _signatures(h: np.ndarray, off: np.ndarray, num: int, den: int) -> tuple[np.
     return np.concatenate(out), np.concatenate(who)
 
 
-def features(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, set key (k1, k2) and routing signatures per document."""
+_FEATURES = "doc_id long, n_shingles long, k1 long, k2 long, bucket long, sigs binary, nodes binary, low long, high long"
+
+
+def features(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFrame:
+    """Three kinds of rows: documents with n_shingles and set key (k1, k2); bucket rows with packed (signature, set key)
+    pairs; and routes (low, high) between sets of one batch that share a signature.
+
+    A batch sends one set per signature, so a signature that very many sets share weighs no more than the batches.
+    """
+    names = [x.split()[0] for x in _FEATURES.split(", ")]
+
+    def rows(count: int, **cols: pa.Array) -> pa.RecordBatch:
+        kinds = {"sigs": pa.binary(), "nodes": pa.binary()}
+        return pa.RecordBatch.from_arrays([cols.get(c, pa.nulls(count, kinds.get(c, pa.int64()))) for c in names], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            sig, node = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            order = np.lexsort((node, sig))
+            sig, node = sig[order], node[order]
+            first = np.ones(len(sig), bool)
+            first[1:] = sig[1:] != sig[:-1]
+            low = node[np.flatnonzero(first)[np.cumsum(first) - 1]]
+            pair = np.unique(np.stack([low, node], 1)[~first & (low != node)], axis=0)
+            if len(pair):
+                yield rows(len(pair), low=pa.array(pair[:, 0]), high=pa.array(pair[:, 1]))
+            sig, node = sig[first], node[first]
+            cut = np.searchsorted((sig >> U64(32)) * U64(buckets) >> U64(32), np.arange(buckets + 1).astype(U64))
+            used = np.flatnonzero(cut[1:] > cut[:-1])
+            yield rows(len(used), bucket=pa.array(used), sigs=pa.array([sig[cut[u] : cut[u + 1]].tobytes() for u in used], pa.binary()), nodes=pa.array([node[cut[u] : cut[u + 1]].tobytes() for u in used], pa.binary()))
+
         for batch in pieces(batches):
             h, off = shingle_sets(batch.column(1), n)
-            size = np.diff(off)
+            count = np.diff(off)
             keys = []
             for salt in (0x1234567, 0x7654321):
                 total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(h + U64(salt)))])
-                keys.append(mix(total[off[1:]] - total[off[:-1]] + size.astype(U64)).view(np.int64))
+                keys.append(mix(total[off[1:]] - total[off[:-1]] + count.astype(U64)).view(np.int64))
+            yield rows(len(count), doc_id=batch.column(0), n_shingles=pa.array(count, pa.int64()), k1=pa.array(keys[0]), k2=pa.array(keys[1]))
             sig, who = _signatures(h, off, num, den)
-            order = np.argsort(who, kind="stable")
-            at = np.searchsorted(who[order], np.arange(len(size) + 1))
-            sigs = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(sig[order].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(keys[0]), pa.array(keys[1]), sigs], names=["doc_id", "n_shingles", "k1", "k2", "sigs"])
+            real = ~np.asarray(batch.column(0).is_null())[who]
+            held.append((sig[real], keys[0][who[real]]))
+            size += len(sig)
+            if size > 2_000_000:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _FEATURES)
+
+
+def routes(packed: DataFrame) -> DataFrame:
+    """(a, b): every set that shares a signature with others, to the smallest of them. packed: rows of buckets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sig = np.concatenate([np.frombuffer(x, U64) for x in table.column("sigs").to_pylist()])
+        node = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("nodes").to_pylist()])
+        order = np.lexsort((node, sig))
+        sig, node = sig[order], node[order]
+        first = np.ones(len(sig), bool)
+        first[1:] = sig[1:] != sig[:-1]
+        low = node[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        pair = np.unique(np.stack([low, node], 1)[~first & (low != node)], axis=0)
+        return pa.table({"a": pa.array(pair[:, 0], pa.int64()), "b": pa.array(pair[:, 1], pa.int64())})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sigs array<long>")
+    return packed.select("bucket", "sigs", "nodes").groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -278,16 +329,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     reach. Null or blank texts have an empty set and are alone. Rows that repeat a doc_id are one document: its texts are
     joined. A null doc_id keeps its row with a null component_id and links nothing. Extra columns are ignored.
     """
-    sets = written(features(docs, n, num, den), "sets")
+    buckets = n_blocks(docs, F.coalesce(F.octet_length("text"), F.lit(0)) + 16, BUCKET_BYTES)
+    made = written(features(docs, n, num, den, buckets), "sets")
+    sets = made.where("n_shingles is not null").select("doc_id", "n_shingles", "k1", "k2")
     nodes = sets.where("n_shingles > 0 and doc_id is not null")
     reps = nodes.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     members = nodes.select("doc_id", "k1", "k2").join(reps, ["k1", "k2"]).select("doc_id", "rep")
-    # routes run between set keys, so copies are one node without a shuffle of their signatures
-    posts = nodes.select(F.col("k1").alias("node"), F.explode("sigs").alias("sig"))
-    stars = posts.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sig", "low")
-    # repeated signatures grow with the corpus: always a shuffled join, whose skewed keys can be split
-    routes = posts.join(stars.hint("merge"), "sig").where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b"))
-    groups = components(routes).select(F.col("root").alias("grp"), F.col("node").alias("k1"))
+    # routes run between set keys, so copies are one node
+    near = routes(made.where("bucket is not null")).union(made.where("low is not null").select("low", "high"))
+    groups = components(near).select(F.col("root").alias("grp"), F.col("node").alias("k1"))
     groups = groups.join(reps, "k1").select("grp", F.col("rep").alias("node"), F.col("rep").alias("label")).distinct()
     groups = written(groups, "groups")
     # chunks of large groups; a group's size is a count, its sets never meet in one task
