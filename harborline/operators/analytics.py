@@ -106,7 +106,7 @@ def backtest(scored_labels: DataFrame, cut: float = 0.5, k: int = 20) -> DataFra
     median = run.where(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("lead_days").alias("median_lead"))
     best = scored_labels.where("score is not null").orderBy(F.desc("score"), "id").limit(k).agg((F.count_if(d) / F.greatest(F.count("*"), F.lit(1))).alias("precision_at_k"))
     ratio = lambda a, b: F.when(F.col(a) + F.col(b) > 0, F.col(a) / (F.col(a) + F.col(b))).otherwise(0.0)
-    return c.withColumn("precision", F.round(ratio("tp", "fp"), 4)).withColumn("recall", F.round(ratio("tp", "fn"), 4)).crossJoin(median).crossJoin(best)
+    return c.withColumn("precision", F.round(ratio("tp", "fp"), 6)).withColumn("recall", F.round(ratio("tp", "fn"), 6)).crossJoin(median).crossJoin(best)
 
 
 def quantile_higher(rows: DataFrame, value: str, q: float) -> DataFrame:
@@ -122,7 +122,8 @@ def conformal(rows: DataFrame, score: str, label: str, order: str, q: float = 0.
     ranked = labelled.withColumn("_r", F.row_number().over(Window.orderBy(F.desc(order)))).withColumn("_n", F.count("*").over(Window.partitionBy()))
     last = ranked.where((F.col("_n") >= 10) & (F.col("_r") <= F.greatest((F.col("_n") * 0.3).cast("int"), F.lit(5))))
     width = quantile_higher(last.withColumn("residual", F.abs(F.col(score) - F.col(label))), "residual", q)
-    return rows.crossJoin(width).withColumn("low", F.greatest(F.lit(0.0), F.col(score) - F.col("quantile"))).withColumn("high", F.least(F.lit(1.0), F.col(score) + F.col("quantile"))).drop("quantile")
+    known = F.col("quantile").isNotNull()
+    return rows.crossJoin(width).withColumn("low", F.when(known, F.greatest(F.lit(0.0), F.col(score) - F.col("quantile")))).withColumn("high", F.when(known, F.least(F.lit(1.0), F.col(score) + F.col("quantile")))).drop("quantile")
 
 
 def correlation(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -30,8 +30,8 @@ def query(sql: str | None = None, domain: bool = True):
     return add
 
 
-def r4(c):
-    return F.round(F.col(c) if isinstance(c, str) else c, 4)
+def r6(c):
+    return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
 #: Stand-ins for the country tables: stability, weather and sanctions by nation key.
@@ -61,24 +61,24 @@ def _features(t: Tables) -> DataFrame:
 
 
 @query(COUNTRY_SQL + """, scored as (select *, least(1.0, greatest(0.0, 0.25 * proximity + 0.20 * single_source::int + 0.20 * least(critical_events / 5.0::double, 1.0) + 0.10 * congestion + 0.10 * weather)) as score from feat)
-select supplier_id, name, round(score, 4) as score, case when score >= 0.8 then 'CRITICAL' when score >= 0.6 then 'HIGH' when score >= 0.4 then 'MEDIUM' when score >= 0.2 then 'LOW' else 'NONE' end as category
+select supplier_id, name, round(score, 6) as score, case when score >= 0.8 then 'CRITICAL' when score >= 0.6 then 'HIGH' when score >= 0.4 then 'MEDIUM' when score >= 0.2 then 'LOW' else 'NONE' end as category
 from scored order by score desc, supplier_id limit 10""")
 def supplier_risk(t):
     s = features.rule_score(_features(t))
-    return s.orderBy(F.desc("score"), "supplier_id").limit(10).select("supplier_id", "name", r4("score").alias("score"), "category")
+    return s.orderBy(F.desc("score"), "supplier_id").limit(10).select("supplier_id", "name", r6("score").alias("score"), "category")
 
 
-@query(COUNTRY_SQL + """select supplier_id, round(least(1.0, greatest(0.0, 0.25 * proximity + 0.20 * single_source::int + 0.20 * least(critical_events / 5.0::double, 1.0) + 0.10 * congestion + 0.10 * weather)), 4) as score,
+@query(COUNTRY_SQL + """select supplier_id, round(least(1.0, greatest(0.0, 0.25 * proximity + 0.20 * single_source::int + 0.20 * least(critical_events / 5.0::double, 1.0) + 0.10 * congestion + 0.10 * weather)), 6) as score,
   concat_ws(',', case when proximity > 0.5 then 'conflict_proximity' end, case when single_source then 'single_source' end) as factors from feat""")
 def supplier_risk_rule_score(t):
-    return features.rule_score(_features(t)).select("supplier_id", r4("score").alias("score"), "factors")
+    return features.rule_score(_features(t)).select("supplier_id", r6("score").alias("score"), "factors")
 
 
-@query(COUNTRY_SQL + """select supplier_id, round(proximity, 4) as f0, round(stability, 4) as f1, round(congestion, 4) as f2, round(weather, 4) as f3, round(least(recent_events / 10.0, 1.0), 4)::double as f4, round(least(critical_events / 5.0, 1.0), 4)::double as f5,
+@query(COUNTRY_SQL + """select supplier_id, round(proximity, 6) as f0, round(stability, 6) as f1, round(congestion, 6) as f2, round(weather, 6) as f3, round(least(recent_events / 10.0, 1.0), 6)::double as f4, round(least(critical_events / 5.0, 1.0), 6)::double as f5,
   0.2::double as f6, single_source::int::double as f7, 0.0::double as f8, financial_health as f9, 0.3::double as f10, 0.0::double as f11, 0.0::double as f12 from feat""")
 def feature_vector(t):
     v = features.vector(_features(t))
-    return v.select("supplier_id", *[r4(F.col("vector")[i]).alias(f"f{i}") for i in range(13)])
+    return v.select("supplier_id", *[r6(F.col("vector")[i]).alias(f"f{i}") for i in range(13)])
 
 
 @query(COUNTRY_SQL + """select supplier_id, round(least(1.0, (proximity + (1.0 - stability)) / 2.0), 3) as geographic, round(least(1.0, (congestion + weather) / 2.0), 3) as operational,
@@ -118,11 +118,11 @@ def risk_band_view(t):
 
 
 @query("""select event_id, round(case when event_id % 4 <> 0 and (event_id % 41 - 20) <> 0 then round(greatest(0.1, least(1.0, abs((event_id % 41 - 20) / 2.0::double) / 10)), 3)
-  else case kind when 'protest' then 0.55 else 0.5 end end::double, 4) as severity from ev""")
+  else case kind when 'protest' then 0.55 else 0.5 end end::double, 6) as severity from ev""")
 def severity_estimate(t):
     e = F.col("event_id")
     scale = F.when(e % 4 != 0, (e % 41 - 20) / 2.0)
-    return t.events.select("event_id", r4(ex.severity(scale, F.col("kind"))).alias("severity"))
+    return t.events.select("event_id", r6(ex.severity(scale, F.col("kind"))).alias("severity"))
 
 
 @query("""select event_id, case when c = '' then 'unknown' else coalesce(map {'01': 'make_statement', '02': 'yield', '03': 'disapprove', '04': 'reject', '05': 'threaten', '06': 'protest', '07': 'coerce', '08': 'assault', '09': 'fight', '10': 'use_force', '11': 'mass_violence', '13': 'threaten_conflict', '14': 'protest_violence', '15': 'conflict', '16': 'fight_conflict', '17': 'violence_conflict', '18': 'assault_conflict', '19': 'force_conflict', '20': 'mass_violence_conflict'}[substr(c, 1, 2)], 'other') end as kind
@@ -238,15 +238,15 @@ def historical_replay(t):
     return t.suppliers.where("risk_score >= 0.5").orderBy(F.desc("risk_score"), "supplier_id").limit(15).select("supplier_id", "name", "risk_score")
 
 
-@query("select country, count(*) as suppliers, round(avg(risk_score), 4) as avg_risk, string_agg(distinct industry, ',' order by industry) as industries from sup group by country")
+@query("select country, count(*) as suppliers, round(avg(risk_score), 6) as avg_risk, string_agg(distinct industry, ',' order by industry) as industries from sup group by country")
 def community_by_country(t):
-    return t.suppliers.groupBy("country").agg(F.count("*").alias("suppliers"), r4(F.avg("risk_score")).alias("avg_risk"), F.array_join(F.array_sort(F.collect_set("industry")), ",").alias("industries"))
+    return t.suppliers.groupBy("country").agg(F.count("*").alias("suppliers"), r6(F.avg("risk_score")).alias("avg_risk"), F.array_join(F.array_sort(F.collect_set("industry")), ",").alias("industries"))
 
 
-@query("select country, round(sum(share * share), 4) as concentration from (select country, revenue / sum(revenue) over (partition by country) as share from sup where revenue > 0) group by country")
+@query("select country, round(sum(share * share), 6) as concentration from (select country, revenue / sum(revenue) over (partition by country) as share from sup where revenue > 0) group by country")
 def revenue_concentration(t):
     s = t.suppliers.where("revenue > 0").withColumn("share", F.col("revenue") / F.sum("revenue").over(Window.partitionBy("country")))
-    return s.groupBy("country").agg(r4(F.sum(F.col("share") * F.col("share"))).alias("concentration"))
+    return s.groupBy("country").agg(r6(F.sum(F.col("share") * F.col("share"))).alias("concentration"))
 
 
 @query("select o_orderstatus as status, o_orderpriority as priority, count(*) as orders, round(sum(o_totalprice), 2) as volume from orders group by all", domain=False)
@@ -254,9 +254,9 @@ def order_volume(t):
     return t.raw("orders").groupBy(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("volume"))
 
 
-@query("""select l_suppkey as supplier_id, count(distinct l_partkey) as products, count(*) as lines, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, round(avg(l_quantity), 4) as avg_quantity from lineitem group by l_suppkey""", domain=False)
+@query("""select l_suppkey as supplier_id, count(distinct l_partkey) as products, count(*) as lines, round(sum(l_extendedprice * (1 - l_discount)), 4) as revenue, round(avg(l_quantity), 6) as avg_quantity from lineitem group by l_suppkey""", domain=False)
 def supplier_volume(t):
-    return t.raw("lineitem").groupBy(F.col("l_suppkey").alias("supplier_id")).agg(F.countDistinct("l_partkey").alias("products"), F.count("*").alias("lines"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), r4(F.avg("l_quantity")).alias("avg_quantity"))
+    return t.raw("lineitem").groupBy(F.col("l_suppkey").alias("supplier_id")).agg(F.countDistinct("l_partkey").alias("products"), F.count("*").alias("lines"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue"), r6(F.avg("l_quantity")).alias("avg_quantity"))
 
 
 # ---- links and joins
@@ -298,11 +298,11 @@ def two_hop_exposure(t):
 
 
 @query(""", snap as (select supplier_id, date_trunc('day', ts)::timestamp as day, max(severity) as score from ev where event_id % 3 = 0 group by all), want as (select event_id, supplier_id, ts from ev where event_id % 3 = 1)
-select event_id, w.supplier_id, round(coalesce((select max_by(score, day) from snap s where s.supplier_id = w.supplier_id and s.day <= w.ts), (select min_by(score, day) from snap s where s.supplier_id = w.supplier_id)), 4) as score from want w""")
+select event_id, w.supplier_id, round(coalesce((select max_by(score, day) from snap s where s.supplier_id = w.supplier_id and s.day <= w.ts), (select min_by(score, day) from snap s where s.supplier_id = w.supplier_id)), 6) as score from want w""")
 def asof_snapshot(t):
     snap = t.events.where("event_id % 3 = 0").groupBy("supplier_id", F.date_trunc("day", "ts").alias("day")).agg(F.max("severity").alias("score"))
     want = t.events.where("event_id % 3 = 1").select("event_id", "supplier_id", "ts")
-    return links.as_of_join(want, snap, "supplier_id", "ts", "day", "score").select("event_id", "supplier_id", r4("score").alias("score"))
+    return links.as_of_join(want, snap, "supplier_id", "ts", "day", "score").select("event_id", "supplier_id", r6("score").alias("score"))
 
 
 @query("""select vessel_id as mmsi, case when c is not null then 'chokepoint_transit' when speed < 1 then 'port_call' else 'vessel_position' end as event_type, c as chokepoint from (
@@ -335,19 +335,19 @@ def _daily(t: Tables) -> DataFrame:
     return signals.daily_counts(t.events, "kind", t.as_of)
 
 
-@query(DAILY_SQL + """select kind, day::varchar as day, round(m, 4) as mean, round(s, 4) as std, t as top, round(coalesce(b, 0), 4) as slope from (
+@query(DAILY_SQL + """select kind, day::varchar as day, round(m, 6) as mean, round(s, 6) as std, t as top, round(coalesce(b, 0), 6) + 0.0 as slope from (
   select kind, day, avg(n) over w as m, stddev_pop(n) over w as s, max(n) over w as t, regr_slope(n, x) over w as b, count(*) over w as c from (select *, row_number() over (partition by kind order by day)::double as x from daily)
   window w as (partition by kind order by day rows 6 preceding)) where c = 7""")
 def sliding_window_features(t):
-    return signals.window_features(_daily(t), "kind", "n").select("kind", F.col("day").cast("string").alias("day"), r4("mean").alias("mean"), r4("std").alias("std"), "top", F.coalesce(r4("slope"), F.lit(0.0)).alias("slope"))
+    return signals.window_features(_daily(t), "kind", "n").select("kind", F.col("day").cast("string").alias("day"), r6("mean").alias("mean"), r6("std").alias("std"), "top", (F.coalesce(r6("slope"), F.lit(0.0)) + 0.0).alias("slope"))
 
 
 @query(DAILY_SQL + """, a as (select kind, list(n order by day)[-14:] as w from daily group by kind)
-select kind, round(list_reduce(list_prepend(0.0::double, w), lambda s, x: greatest(0.0, s + x - list_sum(w[:-2]) / (len(w) - 1) - 0.5)), 4) as statistic, round(list_sum(w[:-4]) / (len(w) - 3), 4) as baseline_rate, round(list_sum(w[-3:]) / 3, 4) as current_rate,
+select kind, round(list_reduce(list_prepend(0.0::double, w), lambda s, x: greatest(0.0, s + x - list_sum(w[:-2]) / (len(w) - 1) - 0.5)), 6) as statistic, round(list_sum(w[:-4]) / (len(w) - 3), 6) as baseline_rate, round(list_sum(w[-3:]) / 3, 6) as current_rate,
   list_reduce(list_prepend(0.0::double, w), lambda s, x: greatest(0.0, s + x - list_sum(w[:-2]) / (len(w) - 1) - 0.5)) >= 5 as detected from a""")
 def cusum(t):
     c = signals.changepoint(signals.as_series(_daily(t), "kind", "n"), "kind")
-    return c.select("kind", r4("statistic").alias("statistic"), r4("baseline_rate").alias("baseline_rate"), r4("current_rate").alias("current_rate"), "detected")
+    return c.select("kind", r6("statistic").alias("statistic"), r6("baseline_rate").alias("baseline_rate"), r6("current_rate").alias("current_rate"), "detected")
 
 
 RATE_SQL = """, r0 as (select country, ts::date as day, count(*) as n, avg(severity) as s from ev, now where ts::date > as_of::date - 30 group by all),
@@ -355,24 +355,24 @@ rate as (select country, day, 0.5 * n / max(n) over (partition by country) + 0.5
 """
 
 
-@query(RATE_SQL + "select country, day::varchar as day, round(rate, 4) as rate from rate")
+@query(RATE_SQL + "select country, day::varchar as day, round(rate, 6) as rate from rate")
 def regional_rate(t):
-    return signals.regional_rate(t.events, "country", t.as_of).select("country", F.col("day").cast("string").alias("day"), r4("rate").alias("rate"))
+    return signals.regional_rate(t.events, "country", t.as_of).select("country", F.col("day").cast("string").alias("day"), r6("rate").alias("rate"))
 
 
 @query(RATE_SQL + """, m as (select country, avg(rate) as x from (select *, row_number() over (partition by country order by day desc) as r from rate) where r <= 7 group by country)
-select country, round(x, 4) as rate, case when x >= 0.75 then 'crisis' when x >= 0.45 then 'escalation' else 'stable' end as regime,
-  round(case when x >= 0.75 then least(0.95, 0.6 + x * 0.3) when x >= 0.45 then least(0.9, 0.5 + x * 0.35) else least(0.9, 0.55 + (1 - x) * 0.3) end, 4) as confidence from m""")
+select country, round(x, 6) as rate, case when x >= 0.75 then 'crisis' when x >= 0.45 then 'escalation' else 'stable' end as regime,
+  round(case when x >= 0.75 then least(0.95, 0.6 + x * 0.3) when x >= 0.45 then least(0.9, 0.5 + x * 0.35) else least(0.9, 0.55 + (1 - x) * 0.3) end, 6) as confidence from m""")
 def regime_threshold(t):
     s = signals.as_series(signals.regional_rate(t.events, "country", t.as_of), "country", "rate")
-    return signals.threshold_regime(s, "country").select("country", r4("rate").alias("rate"), "regime", r4("confidence").alias("confidence"))
+    return signals.threshold_regime(s, "country").select("country", r6("rate").alias("rate"), "regime", r6("confidence").alias("confidence"))
 
 
 @query(RATE_SQL + """, x as (select country, rate, row_number() over (partition by country order by day) - 1 as i from rate), f as (select country, regr_slope(rate, i) as b, regr_intercept(rate, i) as a, count(*) as n from x group by country)
-select country, round(b, 4) as slope, case when b > 0.01 then 'increasing' when b < -0.01 then 'decreasing' else 'stable' end as direction, round(greatest(0.0, least(1.0, a + b * n)), 4) as next from f""")
+select country, round(b, 6) as slope, case when b > 0.01 then 'increasing' when b < -0.01 then 'decreasing' else 'stable' end as direction, round(greatest(0.0, least(1.0, a + b * n)), 6) as next from f""")
 def linear_trend(t):
     s = signals.as_series(signals.regional_rate(t.events, "country", t.as_of), "country", "rate")
-    return signals.trend(s, "country").select("country", r4("slope").alias("slope"), "direction", r4(F.col("forecast")[0]).alias("next"))
+    return signals.trend(s, "country").select("country", r6("slope").alias("slope"), "direction", r6(F.col("forecast")[0]).alias("next"))
 
 
 @query(DAILY_SQL + "select kind, day::varchar as day, array_to_string([x::int for x in inputs], ',') as inputs, n as label from (select kind, day, n, list(n) over (partition by kind order by day rows between 7 preceding and 1 preceding) as inputs from daily) where len(inputs) = 7")
@@ -408,7 +408,7 @@ def _spread(t: Tables, runs: list[tuple], depth: int = 5) -> DataFrame:
 
 @query()
 def bfs_propagation(t):
-    return _spread(t, [("r1", "chokepoint-1", "chokepoint", 0.9), ("r2", "supplier-3", "supplier", 0.6)]).select("run_id", "step", "node", "depth", r4("impact").alias("impact"), "delay_hours")
+    return _spread(t, [("r1", "chokepoint-1", "chokepoint", 0.9), ("r2", "supplier-3", "supplier", 0.6)]).select("run_id", "step", "node", "depth", r6("impact").alias("impact"), "delay_hours")
 
 
 SKU_SQL = ", sku as (select l_suppkey as supplier_id, count(distinct l_partkey) as n from lineitem group by l_suppkey)"
@@ -460,10 +460,10 @@ def sensitivity(t):
     return simulation.compare(simulation.summary(simulation.simulate(graph.supply_edges(t), simulation.sensitivity(one, "severity", [0.2, 0.5, 0.8]), _sku_nodes(t))))
 
 
-@query("select kind, quantile_cont(severity, 0.1) as p10, quantile_cont(severity, 0.5) as p50, quantile_cont(severity, 0.9) as p90, round(avg(severity), 4) as mean from ev group by kind")
+@query("select kind, quantile_cont(severity, 0.1) as p10, quantile_cont(severity, 0.5) as p50, quantile_cont(severity, 0.9) as p90, round(avg(severity), 6) as mean from ev group by kind")
 def percentile_bands(t):
     p = lambda q: F.percentile("severity", F.lit(q))
-    return t.events.groupBy("kind").agg(p(0.1).alias("p10"), p(0.5).alias("p50"), p(0.9).alias("p90"), r4(F.avg("severity")).alias("mean"))
+    return t.events.groupBy("kind").agg(p(0.1).alias("p10"), p(0.5).alias("p50"), p(0.9).alias("p90"), r6(F.avg("severity")).alias("mean"))
 
 
 # ---- statistics and evaluation
@@ -495,7 +495,7 @@ def label_max(t):
 @query(""", l as (select l.doc_id as id, toxic as disrupted, case when l.doc_id % 7 <> 0 then (l.doc_id * 37 % 101) / 100.0::double end as score, l.doc_id % 30 as lead_days from labels l),
 b as (select * from l where score is not null order by score desc, id limit 20)
 select count(*) filter (disrupted = 1 and coalesce(score, 0) >= 0.5) as tp, count(*) filter (disrupted <> 1 and coalesce(score, 0) >= 0.5) as fp, count(*) filter (disrupted = 1 and coalesce(score, 0) < 0.5) as fn, count(*) filter (disrupted <> 1 and coalesce(score, 0) < 0.5) as tn,
-  round(case when tp + fp > 0 then tp / (tp + fp)::double else 0 end, 4) as precision, round(case when tp + fn > 0 then tp / (tp + fn)::double else 0 end, 4) as recall,
+  round(case when tp + fp > 0 then tp / (tp + fp)::double else 0 end, 6) as precision, round(case when tp + fn > 0 then tp / (tp + fn)::double else 0 end, 6) as recall,
   (select list_sort(list(lead_days))[count(*) // 2 + 1] from l where disrupted = 1 and score >= 0.5) as median_lead, (select count(*) filter (disrupted = 1) / greatest(count(*), 1)::double from b) as precision_at_k from l""")
 def backtest_metrics(t):
     d = F.col("doc_id")
@@ -527,11 +527,11 @@ def vector_topk(t):
     return text.vector_top_k(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 5)
 
 
-@query("""select a.supplier_id, b.alt, b.score, b.rank from sup a, lateral (select s.supplier_id as alt, round(1 - s.risk_score, 4) as score, row_number() over (order by round(1 - s.risk_score, 4) desc, s.supplier_id)::int as rank from sup s where s.industry = a.industry and s.supplier_id <> a.supplier_id) b where rank <= 3 and a.supplier_id % 10 = 0""")
+@query("""select a.supplier_id, b.alt, b.score, b.rank from sup a, lateral (select s.supplier_id as alt, round(1 - s.risk_score, 6) as score, row_number() over (order by round(1 - s.risk_score, 6) desc, s.supplier_id)::int as rank from sup s where s.industry = a.industry and s.supplier_id <> a.supplier_id) b where rank <= 3 and a.supplier_id % 10 = 0""")
 def alternatives_rank(t):
     s = t.suppliers.select("supplier_id", "industry", "risk_score")
     a = s.where("supplier_id % 10 = 0").select("supplier_id", "industry")
-    b = s.select(F.col("supplier_id").alias("alt"), "industry", F.round(1 - F.col("risk_score"), 4).alias("score"))
+    b = s.select(F.col("supplier_id").alias("alt"), "industry", F.round(1 - F.col("risk_score"), 6).alias("score"))
     # only the four best of an industry can be among anyone's three best others
     best = b.withColumn("_n", F.row_number().over(Window.partitionBy("industry").orderBy(F.desc("score"), "alt"))).where("_n <= 4").drop("_n")
     rank = Window.partitionBy("supplier_id").orderBy(F.desc("score"), "alt")
@@ -566,7 +566,7 @@ def fuzzy_match(t):
 
 @query()
 def hash_embed(t):
-    return text.hash_embedding(t.raw("benchmark").select("item_id", "text")).select("item_id", F.size("vector").alias("size"), r4(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
+    return text.hash_embedding(t.raw("benchmark").select("item_id", "text")).select("item_id", F.size("vector").alias("size"), r6(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
 
 
 @query()
