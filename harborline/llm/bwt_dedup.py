@@ -17,6 +17,7 @@ Every byte covered by a 50-byte string that also starts in a document with a sma
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import U64, dropped, mix, n_blocks, utf8, written
 
 LENGTH, GRAM, PAD = 50, 16, 8
-BLOCK_BYTES, SHARD_SUFFIXES = 6 << 20, 1 << 20
+BLOCK_BYTES, SHARD_SUFFIXES = 6 << 20, 1 << 16
+#: Suffixes merged at once; an anchor with more is one part with as many shards as it takes.
+PART_SUFFIXES, PIECE_BYTES = 1 << 17, 1 << 17
 _LAST = np.iinfo(np.int64).max
 
 
@@ -38,7 +41,18 @@ def _eights(raw: np.ndarray) -> np.ndarray:
     return x[: len(raw)]
 
 
-def windows(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows(raw: np.ndarray, off: np.ndarray, piece: int = PIECE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of all texts, found in groups of texts of about ``piece`` bytes, which stay in the cache."""
+    out, at = [], 0
+    while at < len(off) - 1:
+        to = max(at + 1, int(np.searchsorted(off, off[at] + piece, "right")) - 1)
+        start, count, anchor, text = _windows(raw[off[at] : off[to]], off[at : to + 1] - off[at])
+        out.append((start + off[at], count, anchor, text + at))
+        at = to
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64))
+
+
+def _windows(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of consecutive windows with one anchor: first start, number of windows, anchor, and text number."""
     n = len(raw)
     none = np.zeros(0, np.int64)
@@ -130,13 +144,13 @@ def suffix_order(rank: np.ndarray, off: np.ndarray) -> np.ndarray:
     width, most = PAD, int(left.max(initial=0))
     while width < most:
         top = np.uint32(int(rank.max()) + 1)
-        if int(top) == n:
-            break
         ahead = top + number
         goes_on = np.flatnonzero(left > width)
         ahead[goes_on] = rank[goes_on + width]
         rank = _dense(rank.astype(U64) << U64(32) | ahead)
         width *= 2
+        if int(rank.max()) + 1 >= n - (PAD - 1) * (len(off) - 1):  # only the pads of one string tie still
+            break
     return _stable(rank)
 
 
@@ -256,6 +270,32 @@ def _sent(dealt: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
     return dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(run, "bucket long, block long, anchors binary, count binary, bytes binary, docs binary")
 
 
+def _parts(total: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of anchors with about ``most`` suffixes each, of at least one anchor."""
+    at = 0
+    while at < len(total) - 1:
+        to = max(at + 1, int(np.searchsorted(total, total[at] + most, "right")) - 1)
+        yield at, to
+        at = to
+
+
+def _least(byte: np.ndarray, start: np.ndarray, size: np.ndarray, count: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """For each window of the strings byte[start:start + size], in order, the smallest of low over strings that have it."""
+    width = size + PAD
+    off = np.concatenate([[0], np.cumsum(width)])
+    text = np.full(off[-1], 255, np.uint8)
+    text[_cat(off[:-1], size)] = byte[_cat(start, size)]
+    shard = np.cumsum(width) // SHARD_SUFFIXES
+    where, block = repeated(text, off, np.cumsum(np.concatenate([[0], np.diff(shard) > 0])))
+    number = np.repeat(np.arange(len(width), dtype=np.int32), width)[where]
+    owned = np.flatnonzero(where - off[number] < count[number])
+    where, block, number = where[owned], block[owned], number[owned]
+    new = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    answer = np.empty(len(text), np.int64)
+    answer[where] = np.repeat(np.minimum.reduceat(low[number], new), np.diff(np.append(new, len(where))))
+    return answer[_cat(off[:-1], count)]
+
+
 def _merged(sent: DataFrame) -> DataFrame:
     """(block, bucket, anchors, lows): for every window of every string of a block the smallest doc_id that has it."""
 
@@ -271,25 +311,20 @@ def _merged(sent: DataFrame) -> DataFrame:
         del place, h
         best = np.full(len(one), _LAST)
         np.minimum.at(best, which, low)
-        width = size[one] + PAD
-        off = np.concatenate([[0], np.cumsum(width)])
-        text = np.full(off[-1], 255, np.uint8)
-        text[_cat(off[:-1], size[one])] = byte[_cat(first[:-1][one], size[one])]
-        shard = np.cumsum(width) // SHARD_SUFFIXES
-        shard = np.cumsum(np.concatenate([[0], np.diff(shard) > 0]))
-        where, block = repeated(text, off, shard)
-        inner = np.arange(len(text)) - np.repeat(off[:-1], width)
-        number = np.repeat(np.arange(len(one)), width)
-        owned = inner[where] < count[one][number[where]]
-        where, block = where[owned], block[owned]
-        new = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-        least = np.minimum.reduceat(best[number[where]], new)
-        answer = np.empty(len(text), np.int64)
-        answer[where] = np.repeat(least, np.diff(np.append(new, len(where))))
+        # equal windows have equal anchors, so anchors can be merged part by part: what a part needs stays in the cache
+        start = np.concatenate([[0], np.cumsum(count[one])])
+        answer = np.empty(start[-1], np.int64)
+        order = np.argsort(np.concatenate(cols["anchors"])[one], kind="stable")
+        anchor = np.concatenate(cols["anchors"])[one][order]
+        edge = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1], [True]]))
+        total = np.concatenate([[0], np.cumsum(size[one][order] + PAD)])[edge]
+        for lo, hi in _parts(total, PART_SUFFIXES):
+            mine = order[edge[lo] : edge[hi]]
+            answer[_cat(start[mine], count[one][mine])] = _least(byte, first[:-1][one[mine]], size[one[mine]], count[one[mine]], best[mine])
         out, at = [], 0
         for c in cols["count"]:
             mine = which[at : at + len(c)]
-            out.append(answer[_cat(off[:-1][mine], c)].tobytes())
+            out.append(answer[_cat(start[mine], c)].tobytes())
             at += len(c)
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "anchors": pa.array([np.unique(x).tobytes() for x in cols["anchors"]], pa.binary()), "lows": pa.array(out, pa.binary())})
 
@@ -305,10 +340,8 @@ def covered(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     n = n_blocks(docs, F.coalesce(F.octet_length("text"), F.lit(0)) + 16, block_bytes)
     dealt = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).alias("block"))
     shared = written(_shared(_anchors(dealt, n)), "shared")
-    sent = written(_sent(dealt, shared, n), "strings")
-    answers = written(_merged(sent), "answers")
+    answers = written(_merged(_sent(dealt, shared, n)), "answers")
     dropped(shared)
-    dropped(sent)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         raw, off, ids, start, count, anchor, doc = _runs(left)
@@ -320,11 +353,11 @@ def covered(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         first = np.concatenate([[0], np.cumsum(count[one])])[:-1]
         low = lows[_cat(first[which], count)]
         at = _cat(start, count)
-        hit = at[low < np.repeat(ids[doc], count)]
-        mark = np.zeros(len(raw) + LENGTH + 1, np.int32)
-        np.add.at(mark, hit, 1)
-        np.add.at(mark, hit + LENGTH, -1)
-        gone = np.cumsum(mark[: len(raw)]) > 0
+        mark = np.zeros(len(raw), bool)
+        mark[at[low < np.repeat(ids[doc], count)]] = True
+        upto = np.cumsum(mark, dtype=np.int32)
+        gone = upto > 0
+        gone[LENGTH:] = upto[LENGTH:] > upto[:-LENGTH]
         total = np.concatenate([[0], np.cumsum(gone)])
         begin = gone.copy()
         begin[1:] &= ~gone[:-1]
