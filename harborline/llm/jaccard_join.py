@@ -74,6 +74,28 @@ def bands(num: int, den: int, most: int) -> np.ndarray:
     return np.array(lo, np.int64)
 
 
+def n_parts(low: int, high: int, num: int, den: int) -> tuple[int, int]:
+    """Ranges for sets of low to high shingles, and how many of them at least are equal in linked sets.
+
+    Linked sets differ in at most d shingles, so of d + m ranges m are equal. m is a little above the number of ranges
+    that a set leaves empty: a set with fewer empty ones than m need not send those.
+    """
+    d = 2 * high * (den - num) // (den + num)
+    if not d:
+        return 1, 1
+    best = (2.0, 1)
+    for m in range(1, d + 3):
+        mean = (d + m) * math.exp(-low / (d + m))  # empty ranges, nearly Poisson
+        below, term = 0.0, math.exp(-mean)
+        for i in range(m):
+            below += term
+            term *= mean / (i + 1)
+        best = min(best, (1 - below, m))
+        if 1 - below <= 0.005:
+            return d + m, m
+    return d + best[1], best[1]
+
+
 def _signatures(h: np.ndarray, off: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Range signatures of each set for its own size band, and for the next if it can link there: values, set numbers."""
     size = np.diff(off)
@@ -85,7 +107,9 @@ def _signatures(h: np.ndarray, off: np.ndarray, num: int, den: int) -> tuple[np.
         b = band + step
         wanted = (size > 0) & (True if step == 0 else size * den // num >= lo[np.minimum(b, len(lo) - 1)])
         largest = np.append(lo[1:], (lo[-1] * den // num + 1) * den // num + 1)[np.minimum(b, len(lo) - 1)] - 1
-        parts = np.where(wanted, 2 * largest * (den - num) // (den + num) + 1, 0)
+        plan = {int(x): n_parts(int(lo[min(x, len(lo) - 1)]), int(y), num, den) for x, y in {(int(i), int(j)) for i, j in zip(b[wanted], largest[wanted])}}
+        parts = np.zeros(len(size), np.int64)
+        parts[wanted] = [plan[int(x)][0] for x in b[wanted]]
         first = np.concatenate([[0], np.cumsum(parts)])
         owner = np.repeat(np.arange(len(size)), size)
         mine = wanted[owner]
@@ -95,6 +119,11 @@ def _signatures(h: np.ndarray, off: np.ndarray, num: int, den: int) -> tuple[np.
         value = total[at[1:]] - total[at[:-1]]
         part_of = np.repeat(np.arange(len(size)), parts)
         part = np.arange(first[-1]) - first[part_of]
+        empty = at[1:] == at[:-1]
+        spare = np.zeros(len(size), np.int64)
+        spare[wanted] = [plan[int(x)][1] for x in b[wanted]]
+        sent = ~empty | (np.bincount(part_of[empty], minlength=len(size)) >= spare)[part_of]
+        value, part, part_of = value[sent], part[sent], part_of[sent]
         out.append(mix(mix(value) + b[part_of].astype(U64) * U64(0x9E3779B97F4A7C15) + part.astype(U64) * U64(0xC2B2AE3D27D4EB4F)))
         who.append(part_of)
     return np.concatenate(out), np.concatenate(who)
