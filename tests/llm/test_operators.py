@@ -1,0 +1,517 @@
+"""The numbered operators on small tables against brute force, with nulls, empty and long texts, ties, repeats and odd columns."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from harborline.llm import bm25, bwt_dedup, extendible, jaccard_join, langid, mixing, parsing, pii, pitman_yor, sentencepieces
+
+KIND = "doc_id long, text string"
+
+
+def words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+def prose(rng, n, vocabulary=200):
+    return " ".join(f"w{min(int(rng.paretovariate(0.8)), vocabulary)}" for _ in range(n))
+
+
+ODD = [(None, None), (None, "null id"), (900, None), (901, ""), (902, " \t\n"), (903, "É ñ 漢字 🙂"), (904, "x" * 5000), (905, "same text here"), (905, "same text here"), (906, "same text here")]
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rng = random.Random(5)
+    rows = [(i, prose(rng, rng.randint(1, 120))) for i in range(80)]
+    for i in range(80, 120):  # near copies
+        w = rows[i % 40][1].split()
+        if i % 3 and len(w) > 20:
+            w[rng.randrange(len(w))] = "edited"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark, corpus):
+    return spark.createDataFrame(corpus, KIND).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, KIND)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], KIND)
+
+
+# ---- 1 Pitman-Yor
+
+
+def test_pitman_yor_base_and_probability(docs, corpus):
+    got = pitman_yor.op1(docs).collect()
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i, _ in corpus}
+    count = Counter(w for i, t in corpus if fold[i] != 1 for w in [*words(t), "\n"])
+    n, v = sum(count.values()), len(count)
+    text = dict(corpus)
+    assert len(got) == len(corpus)
+    for r in got:
+        tokens = [*words(text[r.doc_id]), "\n"]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (fold[r.doc_id] == 1, len(tokens), sum(count[w] > 0 for w in tokens), n)
+        assert r.base_score == pytest.approx(sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens))
+        assert r.score < 0
+
+
+def test_pitman_yor_beats_the_base_on_held_out_text(spark, sf_dir):
+    got = [r for r in pitman_yor.op1(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect() if r.held_out]
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
+def test_pitman_yor_sums_to_one():
+    c = np.array([3, 1, 4, 1])
+    g = {"d0": 0.5, "theta": 1.0, "root": 6, "customers": 9, "h0": 0.5 / 4}
+    known = pitman_yor._parent(c, np.array([2, 1, 2, 1]), g).sum()
+    assert known + (1.0 + 0.5 * 6) * 0.5 / (1.0 + 9) == pytest.approx(1)
+
+
+def test_seating_follows_the_exact_posterior():
+    rng = np.random.default_rng(0)
+    d, theta, h, others, c = 0.6, 1.0, 0.05, 3, 5
+    got = Counter(pitman_yor.seat(np.full(40000, c), np.full(40000, float(others)), np.full(40000, math.log(h)), d, theta, rng).tolist())
+
+    def partitions(n):  # seatings of n customers: product of table weights by number of tables
+        out = {(1,): 1.0}
+        for i in range(1, n):
+            new = {}
+            for tables, w in out.items():
+                for k in range(len(tables)):
+                    key = tables[:k] + (tables[k] + 1,) + tables[k + 1 :]
+                    new[key] = new.get(key, 0) + w * (tables[k] - d)
+                key = tables + (1,)
+                new[key] = new.get(key, 0) + w
+            out = new
+        return out
+
+    weight = Counter()
+    for tables, w in partitions(c).items():
+        t = len(tables)
+        weight[t] += w * h**t * math.prod(theta + d * (others + i) for i in range(t))
+    total = sum(weight.values())
+    for t, w in weight.items():
+        assert got[t] / 40000 == pytest.approx(w / total, abs=0.01)
+    big = pitman_yor.seat(np.array([1, 1000, 10**7]), np.zeros(3), np.full(3, -3.0), d, theta, rng)
+    assert big[0] == 1 and 1 <= big[1] <= 1000 and big[1] < big[2] < 10**7
+
+
+def test_pitman_yor_odd_rows(odd, empty):
+    got = pitman_yor.op1(odd).collect()
+    assert len(got) == len(ODD) and all(r.n_tokens >= 1 and r.score <= 0 for r in got)
+    assert pitman_yor.op1(empty).count() == 0
+
+
+# ---- 2 personal data
+
+
+EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def plain_spans(t):
+    n = lambda m: len(re.sub(r"\D", "", m[0]))
+    out = [(*m.span(), "email") for m in EMAIL.finditer(t)]
+    out += [(*m.span(), "ip") for m in IP.finditer(t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [(*m.span(), "card") for m in CARD.finditer(t) if 12 <= n(m) <= 19 and pii.luhn(re.sub(r"\D", "", m[0]))]
+    out += [(*m.span(), "phone") for m in PHONE.finditer(t) if 9 <= n(m) <= 15]
+    return sorted(out, key=lambda s: (s[0], pii.KINDS.index(s[2])))
+
+
+def test_base_spans_are_the_rules():
+    assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
+    rng = random.Random(1)
+    for _ in range(20000):
+        t = "".join(rng.choice("0129.@+ -()ab_") for _ in range(rng.randint(0, 40)))
+        assert pii.base_spans(t) == plain_spans(t), t
+
+
+SEED = [("phone", f"+1 ({200 + i}) 555-{1000 + i}") for i in range(40)] + [("card", c) for c in ("4111111111111111", "5500000000000004", "340000000000009")] + [("ip", f"10.2.{i}.7") for i in range(40)] + [("email", f"user{i}@mail.example.com") for i in range(40)]
+
+
+def test_field_finds_respelled_data_and_leaves_look_alikes():
+    w = pii.fit(SEED)
+    found = lambda t: [(t[a:b], k) for a, b, k in pii.decode(t, pii.base_spans(t), w)]
+    assert found("call (212) 555-0123 now") == [("(212) 555-0123", "phone")]
+    assert found("write to ann [at] mail dot example dot com") == [("ann [at] mail dot example dot com", "email")]
+    assert found("host 10[.]2[.]3[.]4 there") == [("10[.]2[.]3[.]4", "ip")]
+    for clean in ("on 2024-01-31 at noon", "pi is 3.14159265", "years 2019 2020 2021", "look at the dot", "1,234,567"):
+        assert found(clean) == []
+
+
+def test_decode_takes_the_best_disjoint_segments():
+    w = {("phone", "n=7"): 5.0, ("phone", "n=14"): 11.0, ("card", "n=14"): 30.0}
+    t = "1234567 7654321"
+    assert pii.decode(t, [], w, margin=0.0) == [(0, 15, "card")]
+    assert pii.decode(t, [], {("phone", "n=7"): 5.0}, margin=0.0) == [(8, 15, "phone"), (0, 7, "phone")]
+
+
+def test_pii_rows_and_redaction(spark):
+    rows = [(1, "a@b.co and 1.2.3.4", "keep", 18), (2, None, "x", None), (3, "", None, 0), (4, "+1 (212) 555-0123" * 500, "y", 8500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string, n_chars long")
+    got = {r.doc_id: r for r in pii.op2(docs).collect()}
+    assert (got[1].n_email, got[1].n_ip, got[1].spans) == (1, 1, "email:0:6,ip:11:18")
+    assert got[2].base_sha256 == got[3].base_sha256 == hashlib.sha256(b"").hexdigest()
+    for i, t, *_ in rows:
+        assert got[i].base_sha256 == pii.digest(plain_spans(t or ""))
+    out = {r.doc_id: r for r in pii.redact(docs, pii.learn(docs)).collect()}
+    assert (out[1].text, out[1].n_chars, out[1].kind) == ("<EMAIL> and <IP>", 16, "keep") and out[2].text is None
+
+
+# ---- 3 search
+
+
+def plain_bm25(rows, queries, k=10):
+    sets = [(i, Counter(words(t))) for i, t in rows]
+    n, mean = len(sets), sum(sum(c.values()) for _, c in sets) / len(sets)
+    df = Counter(w for _, c in sets for w in c)
+    out = {}
+    for q, t in queries:
+        scored = []
+        for i, c in sets:
+            s = sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)) for w in set(words(t)) if c[w])
+            if s > 0 and i is not None and i != q:
+                scored.append((-round(s, 6), i))
+        out[q] = [(i, -s) for s, i in sorted(scored)[:k]]
+    return out
+
+
+def test_search_is_exact_over_shards(spark, docs, corpus):
+    index = bm25.build(docs, 3000)
+    assert index.count() > 3
+    queries = [(i, t) for i, t in corpus if i % 5 == 0] + [(7000, "absent"), (7001, None), (7002, "")]
+    got = {}
+    for r in bm25.search(index, spark.createDataFrame(queries, "query_id long, text string"), round_bytes=2000).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    want = {q: v for q, v in plain_bm25(corpus, queries).items() if v}
+    assert {q: [x[0] for x in v] for q, v in got.items()} == {q: [x[0] for x in v] for q, v in want.items()}
+
+
+def test_search_prunes_blocks():
+    rng = random.Random(2)
+    rows = [(i, f"common w{i % 7} " + (" ".join(["rare"] * 3) if i == 60 else "x")) for i in range(64)]
+    counts = [Counter(words(t)) for _, t in rows]
+    vocabulary = sorted({w for c in counts for w in c})
+    terms = np.arange(len(vocabulary)).astype(np.uint64)
+    post = [(vocabulary.index(w), i, n) for i, c in enumerate(counts) for w, n in c.items()]
+    post.sort()
+    df = np.bincount([p[0] for p in post])
+    row = {"ids": np.arange(64), "real": np.ones(64, bool), "length": np.array([sum(c.values()) for c in counts]), "terms": terms, "df": df.astype(np.uint32), "doc": np.array([p[1] for p in post], np.uint32), "tf": np.array([p[2] for p in post], np.uint32)}
+    asked = bm25.Round(np.array([1000]), [np.array([vocabulary.index("rare"), vocabulary.index("common")], np.uint64)], terms, df, 64)
+    best = bm25.Best(asked.ids, 1)
+    opened, of = bm25.search_shard(row, row["length"].mean(), asked, best, False, 8)
+    assert best.doc[0, 0] == 60 and opened < of == 8
+    assert rng
+
+
+def test_search_odd_rows(odd, empty, spark):
+    q = spark.createDataFrame([(1, "same text"), (905, "same text")], "query_id long, text string")
+    got = [(r.query_id, r.doc_id) for r in bm25.search(bm25.build(odd), q).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 905), (1, 905), (1, 906), (905, 906)]
+    assert bm25.search(bm25.build(empty), q).count() == 0
+
+
+# ---- 4 extendible hashing
+
+
+def test_shards_fit_and_are_shortest(spark, docs, corpus):
+    got = {r.doc_id: r for r in extendible.sharded(docs, 2000).collect()}
+    assert len(got) == len(corpus)
+    bits = {i: bin(int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16))[2:].zfill(60) for i, _ in corpus}
+    total = Counter()
+    for i, t in corpus:
+        for k in range(61):
+            total[bits[i][:k]] += len(t)
+    for i, _ in corpus:
+        k = next(k for k in range(61) if total[bits[i][:k]] <= 2000)
+        assert (got[i].shard, got[i].depth, got[i].shard_bytes) == (bits[i][:k], k, total[bits[i][:k]])
+
+
+def test_shards_of_a_hot_key(spark):
+    rows = [(1, "x" * 100)] * 50 + [(2, f"y{i}" * 30) for i in range(50)] + [(None, None), (3, ""), (4, "z" * 5000)]
+    got = extendible.sharded(spark.createDataFrame(rows, KIND), 1000).toPandas()
+    size = got.groupby("shard").text.apply(lambda t: sum(len(x or "") for x in t))
+    assert len(got) == len(rows) and sorted(size)[-2] <= 1000 and size.max() == 5000
+    assert dict(size) == dict(got.groupby("shard").shard_bytes.first())
+
+
+def test_shards_of_nothing_and_clashing_columns(empty, spark):
+    assert extendible.sharded(empty).count() == 0
+    clash = spark.createDataFrame([(1, "a", "old", 9)], "doc_id long, text string, shard string, depth int")
+    assert extendible.sharded(clash).columns == ["doc_id", "text", "shard", "depth", "shard_bytes"]
+
+
+# ---- 5 language
+
+
+def test_language_held_out_accuracy(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = langid.op5(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.97 * len(got)
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_language_odd_rows(spark, odd):
+    train = spark.createDataFrame([("en", "the cat and the hat in the house"), ("fr", "le chat et la maison avec une porte"), (None, "the"), ("en", None)], "lang string, text string")
+    model = langid.fit(train, slots=1 << 14)
+    rows = spark.createDataFrame([(1, "the house and the cat", "z"), (2, "123 !!", "z"), (3, None, "z"), (4, "", None), (5, "une maison et le chat", "z")], "doc_id long, text string, score string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(rows, model).collect()}
+    assert got[1][0] == "en" and got[5][0] == "fr" and {got[i] for i in (2, 3, 4)} == {("und", 0.0)}
+    none = langid.fit(train.where("lang is null"))
+    assert {r.lang_pred for r in langid.predict(odd, none).collect()} == {"und"}
+
+
+# ---- 6 mixing
+
+
+def test_period_stays_within_a_block():
+    rng = random.Random(3)
+    for _ in range(100):
+        ws = [rng.randint(1, 40) for _ in range(rng.randint(1, 9))]
+        for w, slots in zip(ws, mixing.period(ws)):
+            done = 0
+            for t in range(sum(ws)):
+                done += done < len(slots) and slots[done] == t
+                assert abs(done - (t + 1) * w / sum(ws)) < 1
+
+
+def test_phases_use_every_block_once():
+    rng = random.Random(4)
+    for _ in range(100):
+        n, ws = [rng.randint(0, 50) for _ in range(5)], [rng.randint(1, 20) for _ in range(5)]
+        seen = [(s, start + (k - a) // w * total + slots[(k - a) % w]) for s, a, b, start, w, total, slots in mixing.phases(n, ws) for k in range(a, b)]
+        assert sorted(x[1] for x in seen) == list(range(sum(n))) and [sum(s == x for x, _ in seen) for s in range(5)] == n
+
+
+def test_mixture_keeps_rows(spark):
+    rows = [(i, f"s{i % 3}" if i % 7 else None, "t") for i in range(300)] + [(5, "s0", "t")] * 40 + [(None, "s1", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, slot string").repartition(5)
+    got = mixing.mixed(docs.withColumnRenamed("slot", "text"), {"s0": 3, "s1": 1, None: 1}, 8).toPandas()
+    assert len(got) == len(rows) and got.position.is_unique
+    assert (got.groupby("slot").source.nunique(dropna=False) == 1).all() and (got.groupby("slot").size() <= 8).all()
+    assert mixing.in_order(docs, None, 8).columns == docs.columns
+    assert mixing.mixed(docs.limit(0)).count() == 0
+
+
+# ---- 7 repeated passages
+
+
+def plain_kept(rows):
+    best, out = {}, {}
+    for i, t in rows:
+        b = (t or "").encode()
+        for k in range(len(b) - 49):
+            best[b[k : k + 50]] = min(best.get(b[k : k + 50], 1 << 60), i)
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if best[b[k : k + 50]] < i:
+                gone[k : k + 50] = b"\1" * 50
+        out[i] = (len(b), sum(gone), sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1])), hashlib.sha256(bytes(x for x, y in zip(b, gone) if not y)).hexdigest())
+    return out
+
+
+def passages():
+    rng = random.Random(1)
+    base = ["".join(rng.choice("ab é") for _ in range(400)) for _ in range(3)] + ["a" * 300, "ab" * 150]
+    rows = [(i, rng.choice(["", "zz" * rng.randint(0, 30)]) + rng.choice(base)[(a := rng.randint(0, 200)) : a + rng.randint(20, 180)] + rng.choice(base)[: rng.randint(0, 120)]) for i in range(120)]
+    return rows + [(200, None), (201, ""), (202, "short"), (203, "x" * 49), (204, "x" * 50), (205, "x" * 50)]
+
+
+def test_removed_bytes_are_exact(spark):
+    rows = passages()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in bwt_dedup.covered(spark.createDataFrame(rows, KIND).repartition(4), 4000).collect()}
+    assert got == plain_kept(rows)
+
+
+def test_merged_transforms_order_and_group_suffixes():
+    rng = random.Random(5)
+    for _ in range(40):
+        strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(50, 140))) if rng.random() < 0.5 else (b"ab" * 90)[rng.randint(0, 3) : rng.randint(53, 170)] for _ in range(rng.randint(1, 25))]
+        strings += [strings[0]] * rng.randint(0, 2)
+        off = np.concatenate([[0], np.cumsum([len(x) + 8 for x in strings])])
+        text = np.frombuffer(b"".join(x + b"\xff" * 8 for x in strings), np.uint8)
+        shard = np.sort([rng.randrange(4) for _ in strings])
+        shard = np.cumsum(np.concatenate([[0], np.diff(shard) > 0]))
+        where, block = bwt_dedup.repeated(text, off, shard)
+        number = np.repeat(np.arange(len(strings)), np.diff(off))
+        keys = [(text[p : off[number[p] + 1]].tobytes() + b"\xff" * 60)[:50] for p in where]
+        assert sorted(where) == list(range(len(text))) and keys == sorted(keys)
+        assert all((block[i] == block[i - 1]) == (keys[i] == keys[i - 1]) for i in range(1, len(keys)) if 255 not in keys[i] and 255 not in keys[i - 1])
+
+
+def test_repeats_odd_rows(odd, empty):
+    got = bwt_dedup.op7(odd).collect()
+    assert len(got) == len(ODD) and sum(r.n_removed for r in got) == 0
+    assert bwt_dedup.op7(empty).count() == 0
+
+
+# ---- 8 fingerprints
+
+
+def test_equal_substrings_share_interior_phrases():
+    rng = random.Random(6)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(600))
+    a, b = ("".join(rng.choice("abcdefgh ") for _ in range(n)) + shared for n in (37, 91))
+
+    def names(t):
+        x, off = np.frombuffer(t.encode("utf-32-le"), np.uint32), np.array([0, len(t)])
+        for _ in range(2):
+            x, off = parsing.phrases(x, off)
+        return set(x.tolist())
+
+    inside = names(shared)
+    assert len(inside & names(a) & names(b)) > 0.9 * len(inside)
+
+
+def test_phrases_do_not_look_across_texts():
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("ab aaa") for _ in range(rng.randint(0, 80))) for _ in range(50)]
+    together = parsing.sketches(texts)
+    for t, s in zip(texts, together):
+        assert s.tolist() == parsing.sketches([t])[0].tolist()
+
+
+def test_edited_texts(spark):
+    rng = random.Random(8)
+    rows = [(i * 3, prose(rng, rng.randint(0, 90))) for i in range(60)] + [(None, None), (None, "abc"), (7, "other"), (3, ""), (10**15, "x" * 100), (9, "tie"), (9, "tie")]
+    docs = spark.createDataFrame(rows, KIND).repartition(4)
+    hashes = {(r[0], r[1]): r[2] for r in docs.selectExpr("doc_id", "coalesce(text, '')", "xxhash64(coalesce(text, ''), octet_length(coalesce(text, '')))").collect()}
+    order = sorted({(i, t or "") for i, t in rows}, key=lambda x: (x[0] is not None, x[0] or 0, hashes[x]))
+    times, want = Counter((i, t or "") for i, t in rows), Counter()
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        a, b, c = parsing.sketches([t, edited, after])
+        want[(i, len(t), hashlib.sha256(edited.encode()).hexdigest(), parsing._hex(a), parsing._hex(b), round(parsing.likeness(a, b), 9), round(parsing.likeness(a, c), 9))] += times[(i, t)]
+    got = Counter((r[0], r[1], r[2], r[3], r[4], round(r[5], 9), round(r[6], 9)) for r in parsing.op8(docs).collect())
+    assert got == want
+
+
+def test_fingerprints_of_nothing(empty, odd):
+    assert parsing.op8(empty).count() == 0
+    got = {r.doc_id: r.fingerprint for r in parsing.fingerprints(odd).collect()}
+    assert got[905] == got[906] != "" and got[901] == got[900] == ""
+
+
+# ---- 9 similarity join
+
+
+def plain_components(rows, n, num, den):
+    sets = [(i, {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w := words(t)) >= n else ({tuple(w)} if w else set())) for i, t in rows]
+    root = {i: i for i, _ in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for j, (i, a) in enumerate(sets):
+        for k, b in sets[:j]:
+            if a and b and den * len(a & b) >= num * len(a | b):
+                x, y = sorted((find(i), find(k)))
+                root[y] = x
+    return {i: (len(a), find(i)) for i, a in sets}
+
+
+@pytest.mark.parametrize("n, num, chunk", [(3, 90, 1024), (5, 80, 1024), (3, 60, 3)])
+def test_components_are_exact(docs, corpus, n, num, chunk):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(docs, n, num, 100, chunk).collect()}
+    assert got == plain_components(corpus, n, num, 100)
+
+
+def test_links_at_the_threshold(spark):
+    base = [f"w{i}" for i in range(40)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:-4])), (3, " ".join(base[:-5])), (4, "A b"), (5, "a B"), (6, "a")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.op9(spark.createDataFrame(rows, KIND)).collect()}
+    assert got == plain_components(rows, 3, 90, 100) and got[5] == (1, 4) and got[6] == (1, 6)
+
+
+def test_search_skips_nothing():
+    rng = np.random.default_rng(9)
+    for num in (60, 80, 90):
+        base = rng.integers(0, 10**6, 60)
+        sets = [np.unique(np.where(rng.random(60) < 0.08, rng.integers(0, 10**6, 60), base))[rng.integers(0, 8) :].astype(np.uint64) for _ in range(40)]
+        off = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        got = jaccard_join.search(np.concatenate(sets), off, np.arange(40), num, 100)
+        root = list(range(40))
+        for i in range(40):
+            for j in range(i):
+                o = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * o >= num * (len(sets[i]) + len(sets[j]) - o):
+                    root = [root[j] if r == root[i] else r for r in root]
+        assert len(set(zip(got.tolist(), root))) == len(set(got.tolist())) == len(set(root))
+
+
+def test_join_odd_rows(odd, empty):
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.op9(odd).collect()]
+    assert len(got) == len(ODD)
+    assert {x for x in got if x[0] in (905, 906)} == {(905, 1, 905), (906, 1, 905)}
+    assert all(x[2] == x[0] for x in got if x[0] not in (905, 906))
+    assert jaccard_join.op9(empty).count() == 0
+    kept = jaccard_join.one_of_each(odd).collect()
+    assert Counter(r.doc_id for r in kept) == Counter({None: 2, 900: 1, 901: 1, 902: 1, 903: 1, 904: 1, 905: 1})
+
+
+# ---- 10 pieces
+
+
+@pytest.fixture(scope="module")
+def lattice():
+    return sentencepieces.Lattice(*sentencepieces.vocabulary())
+
+
+TEXTS = ["", "a b\nc  d▁e", "Hello world, ñandú 漢字 🙂\t!", "\n\n", " ", "  x", "▁▁", "x" * 5000, "the the and 漢漢", "\x00z", "tail "]
+
+
+def test_round_trip(lattice):
+    ids, off = lattice.encode(TEXTS, np.arange(len(TEXTS)).astype(np.uint64))
+    assert lattice.decode(ids, off) == TEXTS
+    again = lattice.encode(TEXTS[::-1], np.arange(len(TEXTS))[::-1].astype(np.uint64))
+    assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == [again[0][a:b].tolist() for a, b in zip(again[1], again[1][1:])][::-1]
+
+
+def test_samples_follow_the_lattice(lattice):
+    names, kinds = sentencepieces.vocabulary()
+    rank = {names[i]: r for r, i in enumerate(i for i, k in enumerate(kinds) if k == 0)}
+    total = sum(1 / (r + 2) for r in rank.values())
+    paths = Counter()
+
+    def walk(rest, path, w):
+        if not rest:
+            paths[path] = w
+        for e in range(1, len(rest) + 1):
+            if rest[:e] in rank:
+                walk(rest[e:], (*path, rest[:e]), w / (rank[rest[:e]] + 2) / total)
+
+    walk("▁thereon", (), 1.0)
+    n = 20000
+    ids, off = lattice.encode(["thereon"] * n, np.arange(n).astype(np.uint64))
+    got = Counter(tuple(names[i] for i in ids[a:b]) for a, b in zip(off, off[1:]))
+    z = sum(paths.values())
+    assert set(got) <= set(paths) and all(abs(got[p] / n - w / z) < 0.015 for p, w in paths.items())
+
+
+def test_pieces_rows(spark, odd, empty):
+    got = sentencepieces.op10(odd).collect()
+    assert len(got) == len(ODD) and all(r.lossless for r in got)
+    docs = spark.createDataFrame([(i, t, "old") for i, t in enumerate([*TEXTS, None])], "doc_id long, text string, ids string")
+    back = sentencepieces.decoded(sentencepieces.encoded(docs))
+    assert {r.doc_id: r.text for r in back.collect()} == dict(enumerate([*TEXTS, None]))
+    assert sentencepieces.op10(empty).count() == 0

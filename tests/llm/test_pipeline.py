@@ -1,0 +1,48 @@
+"""The pipeline's stages against what they must keep, and the queries' SQL."""
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from harborline.llm import jaccard_join, pii, queries, sentencepieces
+
+
+def test_stages_in_order():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "personal_data", "mixture", "encoding"]
+
+
+def test_each_stage(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, total = docs.columns, docs.count()
+    docs = docs.unionByName(spark.createDataFrame([(10**6, "12345 !!", "en", "src0", 8), (10**6 + 1, None, None, None, None)], docs.schema))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs
+        docs = stage(spark, docs, sf_dir).cache()
+        assert docs.columns == columns
+        if name == "language":
+            assert docs.count() == total  # only the texts without letters go
+        elif name == "near_duplicates":
+            keep = {r.component_id for r in jaccard_join.jaccard_components(before).collect()}
+            assert {r.doc_id for r in docs.collect()} == keep and docs.count() == len(keep)
+        elif name == "personal_data":
+            assert docs.count() == before.count() and all(not pii.base_spans(r.text) for r in docs.select("text").collect())
+        else:
+            assert sorted(map(str, docs.collect())) == sorted(map(str, before.collect()))
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    back = {r.doc_id: r.text for r in sentencepieces.decoded(out).collect()}
+    assert back == {r.doc_id: r.text for r in docs.collect()}
+
+
+def test_run_returns_all_kept_documents(spark, sf_dir):
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert "ids" in out.columns and 0 < out.count() <= spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_as_sql(spark, sf_dir, name):
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    mine, theirs = queries.QUERIES[name](spark, sf_dir).toPandas(), duck.sql(queries.ORACLE_SQL[name]).df()
+    columns = sorted(mine.columns)
+    assert columns == sorted(theirs.columns)
+    assert sorted(map(tuple, mine[columns].itertuples(index=False))) == sorted(map(tuple, theirs[columns].itertuples(index=False)))
