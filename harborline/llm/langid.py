@@ -81,6 +81,8 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
             for lang in langs.unique().to_pylist():
                 mine = texts.filter(pa.compute.equal(langs, lang)).to_pylist()
                 gram, n = np.unique(_ngrams(mine)[0], return_counts=True)
+                if not len(gram):
+                    continue
                 held.setdefault(lang, []).append((gram, n))
                 size += len(gram)
             if size > 3_000_000:
