@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, U64, dropped, mix, n_blocks, pieces, span_hashes, tokens, utf8, written
 
-CHUNK, BUCKET_BYTES = 1024, 16 << 20
+CHUNK, BUCKET_BYTES = 1024, 8 << 20
+#: Ranges with fewer shingles than this on average need the sets' repeated share first.
+LONG_RANGE = 8
 
 
 def shingle_sets(col: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,11 +134,40 @@ def _signatures(h: np.ndarray, off: np.ndarray, num: int, den: int) -> tuple[np.
 _FEATURES = "doc_id long, n_shingles long, k1 long, k2 long, bucket long, sigs binary, nodes binary, low long, high long"
 
 
+def _repeated(dealt: DataFrame, n: int, buckets: int) -> DataFrame:
+    """(block, bucket, hashes): of each block's shingles those that two documents or more have. dealt: doc_id, text, block."""
+
+    def tell(table: pa.Table) -> pa.Table:
+        every, count = np.unique(np.concatenate([shingle_sets(b.column(1), n)[0] for b in pieces(iter(table.to_batches()))] or [np.zeros(0, U64)]), return_counts=True)
+        cut = np.searchsorted((every >> U64(32)) * U64(buckets) >> U64(32), np.arange(buckets + 1).astype(U64))
+        used = np.flatnonzero(cut[1:] > cut[:-1])
+        part = lambda x: pa.array([x[cut[u] : cut[u + 1]].tobytes() for u in used], pa.binary())
+        return pa.table({"bucket": pa.array(used, pa.int64()), "block": pa.array([table.column("block")[0].as_py()] * len(used), pa.int64()), "hashes": part(every), "many": part(count > 1)})
+
+    def answer(table: pa.Table) -> pa.Table:
+        lists = [np.frombuffer(x, U64) for x in table.column("hashes").to_pylist()]
+        many = np.concatenate([np.frombuffer(x, bool) for x in table.column("many").to_pylist()])
+        every = np.concatenate(lists)
+        order = np.argsort(every)
+        first = np.flatnonzero(np.concatenate([[True], every[order][1:] != every[order][:-1]]))
+        size = np.diff(np.append(first, len(every)))
+        again = np.empty(len(every), bool)
+        again[order] = np.repeat((size > 1) | np.logical_or.reduceat(many[order], first), size)
+        keep = np.split(again, np.cumsum([len(x) for x in lists])[:-1])
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "hashes": pa.array([x[k].tobytes() for x, k in zip(lists, keep)], pa.binary())})
+
+    told = dealt.groupBy("block").applyInArrow(tell, "bucket long, block long, hashes binary, many binary")
+    return written(told.groupBy("bucket").applyInArrow(answer, "block long, bucket long, hashes binary"), "repeated")
+
+
 def features(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataFrame:
     """Three kinds of rows: documents with n_shingles and set key (k1, k2); bucket rows with packed (signature, set key)
     pairs; and routes (low, high) between sets of one batch that share a signature.
 
     A batch sends one set per signature, so a signature that very many sets share weighs no more than the batches.
+
+    At low thresholds ranges are short, and common passages would fill them. Blocks of documents then learn first which
+    shingles other documents have too; a set of which a smaller share than the threshold is repeated sends nothing.
     """
     names = [x.split()[0] for x in _FEATURES.split(", ")]
 
@@ -144,7 +175,7 @@ def features(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataF
         kinds = {"sigs": pa.binary(), "nodes": pa.binary()}
         return pa.RecordBatch.from_arrays([cols.get(c, pa.nulls(count, kinds.get(c, pa.int64()))) for c in names], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], repeated: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -170,6 +201,14 @@ def features(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataF
                 total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(h + U64(salt)))])
                 keys.append(mix(total[off[1:]] - total[off[:-1]] + count.astype(U64)).view(np.int64))
             yield rows(len(count), doc_id=batch.column(0), n_shingles=pa.array(count, pa.int64()), k1=pa.array(keys[0]), k2=pa.array(keys[1]))
+            if repeated is not None:
+                again = np.zeros(len(h), bool)
+                if len(repeated):
+                    again = repeated[np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)] == h
+                total = np.concatenate([[0], np.cumsum(again)])
+                enough = den * (total[off[1:]] - total[off[:-1]]) >= num * count
+                h, kept = h[np.repeat(enough, count)], np.where(enough, count, 0)
+                off = np.concatenate([[0], np.cumsum(kept)])
             sig, who = _signatures(h, off, num, den)
             real = ~np.asarray(batch.column(0).is_null())[who]
             held.append((sig[real], keys[0][who[real]]))
@@ -180,7 +219,18 @@ def features(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataF
         if size:
             yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _FEATURES)
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    if (den + num) >= 2 * (den - num) * LONG_RANGE:
+        return docs.mapInArrow(run, _FEATURES)
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(buckets)))
+    told = _repeated(dealt, n, buckets)
+
+    def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        hashes = np.sort(np.concatenate([np.zeros(0, U64), *(np.frombuffer(x, U64) for x in right.column("hashes").to_pylist())]))
+        out = list(run(iter(left.select(["doc_id", "text"]).to_batches()), hashes))
+        return pa.Table.from_batches(out or [rows(0)])
+
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(block, _FEATURES)
 
 
 def routes(packed: DataFrame) -> DataFrame:
