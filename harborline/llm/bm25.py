@@ -159,7 +159,7 @@ def search_shard(row: dict, mean: float, asked: Round, best: Best, itself: bool,
     cell = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (doc[1:] // block != doc[:-1] // block)])) if len(term) else np.zeros(0, np.int64)
     most = np.maximum.reduceat(value, cell) if len(cell) else np.zeros(0)
     size = np.cumsum(asked.first[term[cell] + 1] - asked.first[term[cell]])
-    for lo, hi in _cuts(size, 4_000_000):
+    for lo, hi in _cuts(size, 1_000_000):
         query, times = asked.spread(term[cell[lo:hi]])
         bound += np.bincount(query * blocks + np.repeat(doc[cell[lo:hi]] // block, times), weights=np.repeat(most[lo:hi], times), minlength=bound.size).reshape(bound.shape)
     bound = bound * (1 + 1e-9) + 1e-6  # sums of floats in another order, and scores rounded to six places
