@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import U64, dropped, mix, n_blocks, utf8, written
 
 LENGTH, GRAM, PAD = 50, 16, 8
-BLOCK_BYTES, SHARD_SUFFIXES = 6 << 20, 1 << 16
+BLOCK_BYTES, SHARD_SUFFIXES = 3 << 20, 1 << 16
 #: Suffixes merged at once; an anchor with more is one part with as many shards as it takes.
 PART_SUFFIXES, PIECE_BYTES = 1 << 17, 1 << 17
 _LAST = np.iinfo(np.int64).max
@@ -89,13 +89,24 @@ def _bucket(anchor: np.ndarray, n: int) -> np.ndarray:
     return ((mix(anchor) >> U64(32)) * U64(n) >> U64(32)).astype(np.int64)
 
 
+def _hashes(byte: np.ndarray, start: np.ndarray, size: np.ndarray, piece: int = PIECE_BYTES) -> np.ndarray:
+    """64-bit hashes of the strings byte[start:start + size], made for about ``piece`` bytes at a time."""
+    out, upto = np.zeros(len(start), U64), np.cumsum(size)
+    at = 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] - size[at] + piece, "right")))
+        n = size[at:to]
+        first = np.concatenate([[0], np.cumsum(n)])
+        place = np.arange(first[-1]) - np.repeat(first[:-1], n)
+        value = mix(byte[np.repeat(start[at:to], n) + place].astype(U64) + place.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+        out[at:to] = mix(np.add.reduceat(value, first[:-1]) + n.astype(U64))
+        at = to
+    return out
+
+
 def _strings(raw: np.ndarray, start: np.ndarray, count: np.ndarray, anchor: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One run of each distinct (anchor, string), in order of bucket, anchor and string hash; each run's string; hashes."""
-    size = count + LENGTH - 1
-    first = np.concatenate([[0], np.cumsum(size)])[:-1]
-    place = np.arange(int(size.sum())) - np.repeat(first, size)
-    byte = raw[np.repeat(start, size) + place]
-    h = mix(np.add.reduceat(mix(byte.astype(U64) + place.astype(U64) * U64(0xC2B2AE3D27D4EB4F)), first) + size.astype(U64)) if len(first) else np.zeros(0, U64)
+    h = _hashes(raw, start, count + LENGTH - 1)
     order = np.lexsort((h, anchor, _bucket(anchor, buckets)))
     new = np.ones(len(order), bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (anchor[order][1:] != anchor[order][:-1])
@@ -305,10 +316,9 @@ def _merged(sent: DataFrame) -> DataFrame:
         size = count + LENGTH - 1
         first = np.concatenate([[0], np.cumsum(size)])
         # equal strings of several blocks stand once
-        place = np.arange(len(byte)) - np.repeat(first[:-1], size)
-        h = mix(np.add.reduceat(mix(byte.astype(U64) + place.astype(U64) * U64(0xC2B2AE3D27D4EB4F)), first[:-1]) + size.astype(U64))
+        h = _hashes(byte, first[:-1], size)
         _, one, which = np.unique(h, return_index=True, return_inverse=True)
-        del place, h
+        del h
         best = np.full(len(one), _LAST)
         np.minimum.at(best, which, low)
         # equal windows have equal anchors, so anchors can be merged part by part: what a part needs stays in the cache
