@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as ex
-from ..operators import alerts, analytics, features, graph, links, signals, simulation, text
+from ..operators import alerts, analytics, features, graph, links, reports, signals, simulation, text
 from ..session import ship
 from ..sources import sinks
 from ..sources.tables import DOMAIN_SQL, Tables
@@ -612,3 +612,93 @@ def ridge_forecast(t):
     from ..operators import learning
 
     return learning.ridge_forecast(signals.training_sequences(_daily(t), "kind", "n"), "kind")
+
+
+# ---- reports
+
+
+@query(""", best as (select * from ev order by severity desc, event_id limit 100),
+p as (select b.event_id, min_by({'lat': s.lat, 'lon': s.lon}, s.supplier_id) as s from best b join (select distinct event_id, supplier_id from aff) a using (event_id) join sup s on s.supplier_id = a.supplier_id where s.lat is not null group by b.event_id)
+select b.event_id, kind, severity, coalesce(b.lat, p.s.lat) as lat, case when b.lat is not null then b.lon else p.s.lon end as lon, b.lat is not null as own_place from best b left join p using (event_id) where b.lat is not null or p.s.lat is not null""")
+def map_events(t):
+    return reports.map_events(t.events, t.affects, t.suppliers).drop("feature")
+
+
+@query("""select supplier_id, case when regexp_matches(x, 'semiconductor|chip|electronics|taiwan') then 'semiconductors' when regexp_matches(x, 'energy|oil|lng|chemical') then 'energy' when regexp_matches(x, 'auto|motor|vehicle|parts') then 'automotive' when regexp_matches(x, 'port|shipping|maritime|logistics') then 'shipping' else 'automotive' end as sector from (select supplier_id, lower(name || ' ' || industry) as x from sup)""")
+def sector_first_match(t):
+    return t.suppliers.select("supplier_id", reports.first_sector(F.col("name"), F.col("industry")).alias("sector"))
+
+
+@query(COUNTRY_SQL + """, f as (select s.supplier_id, s.risk_score, unnest(case when critical or single_source or coalesce(recent_events, 0) > 0 or s.country in ('NATION_1', 'NATION_2') then
+  [x for x in [case when critical then {'feature': 'critical_supplier', 'contribution': 0.22::double} end, case when single_source then {'feature': 'single_source', 'contribution': 0.2::double} end, case when coalesce(recent_events, 0) > 0 then {'feature': 'active_disruptions', 'contribution': least(0.35::double, 0.12::double * recent_events)} end, case when s.country in ('NATION_1', 'NATION_2') then {'feature': 'geopolitical_exposure', 'contribution': 0.18::double} end] if x is not null]
+  else [{'feature': 'baseline', 'contribution': 0.05::double}] end) as x from sup s left join sig using (supplier_id))
+select supplier_id, x.feature as feature, round(x.contribution, 6) as contribution from f""")
+def supplier_explanations(t):
+    e = reports.explanations(t.suppliers, features.event_signals(t.events, t.as_of), ["NATION_1", "NATION_2"])
+    return e.select("supplier_id", F.explode("factors").alias("x")).select("supplier_id", "x.feature", r6("x.contribution").alias("contribution"))
+
+
+@query("""select ('0x' || substr(sha256('suppliers:' || supplier_id), 1, 15))::bigint as id, 'supplier/' || supplier_id as source, name || '. Country: ' || country || '. Industry: ' || industry || '. Tier ' || tier || case when critical then '. Critical supplier.' else '.' end as text from sup""")
+def supplier_documents(t):
+    return reports.supplier_documents(t.suppliers)
+
+
+@query("""select ('0x' || substr(sha256('events:' || event_id), 1, 15))::bigint as id, 'event/' || event_id as source, case kind when 'shipment_delay' then 'Shipment Delay' else upper(kind[1]) || kind[2:] end || ' in ' || country || '. ' || text as text from ev""")
+def event_documents(t):
+    return reports.event_documents(t.events)
+
+
+@query("""select event_id, case kind when 'protest' then 'civil_unrest' when 'attack' then 'armed_conflict' when 'shipment_delay' then 'logistics_delay' when 'sanction' then 'sanctions' else 'natural_disaster' end as event_type,
+  case when kind in ('attack', 'weather') then 'CRITICAL' else 'HIGH' end as level, 0.7::double as proximity, case when kind in ('attack', 'weather') then 0.0 else 0.25 end::double as stability from ev""")
+def analyzed_events(t):
+    return reports.analyze(t.events).select("event_id", "event_type", "level", "proximity", "stability")
+
+
+@query("""select d.day::varchar as day, coalesce(n, 0)::bigint as n, case when n is null then ['quiet', 'calm', 'no news'][(d.day - date '1970-01-01') % 3 + 1] end as note from (select unnest(generate_series((select min(ts)::date from ev where severity >= 1), (select max(ts)::date from ev where severity >= 1), interval 1 day))::date as day) d
+left join (select ts::date as day, count(*) as n from ev where severity >= 1 group by 1) e on e.day = d.day""")
+def timeline_gaps(t):
+    return reports.gap_filled(t.events.where("severity >= 1"), ["quiet", "calm", "no news"]).withColumn("day", F.col("day").cast("string"))
+
+
+@query(RATE_SQL + """, m as (select country, avg(rate) as x from (select *, row_number() over (partition by country order by day desc) as r from rate) where r <= 7 group by country)
+select count(*) as regions, count(*) filter (x < 0.45) as stable, count(*) filter (x >= 0.45 and x < 0.75) as escalation, count(*) filter (x >= 0.75) as crisis from m""")
+def regime_counts(t):
+    s = signals.as_series(signals.regional_rate(t.events, "country", t.as_of), "country", "rate")
+    return reports.regime_summary(signals.threshold_regime(s, "country"))
+
+
+@query("select count(distinct ts::date) as days, min(ts::date)::varchar as first, max(ts::date)::varchar as last, count(*) as rows, count(distinct ts::date) >= 7 as ready from ev")
+def snapshot_manifest(t):
+    m = reports.snapshot_manifest(t.events.select(F.to_date("ts").alias("snapshot_date")))
+    return m.withColumn("first", F.col("first").cast("string")).withColumn("last", F.col("last").cast("string"))
+
+
+@query(EDGES_SQL + """, n as (select distinct node, next from near where node_type = 'supplier' and next_type = 'supplier'), r as (select n.node, n.next, s.risk_score, row_number() over (partition by node order by risk_score desc, next) as rank from n join sup s on 'supplier-' || s.supplier_id = n.next)
+select node, rank::int as rank, next as neighbour, round(0.8 * risk_score, 6) as weight from r where rank <= 5""")
+def influential_neighbours(t):
+    return reports.influential(graph.supply_edges(t), t.suppliers).withColumn("weight", r6("weight"))
+
+
+@query(", p as (select s.supplier_id, s.risk_score as x, count(e.event_id) / 100.0::double as y from sup s left join ev e using (supplier_id) group by all) select count(*) as n from p")
+def causal_pairs(t):
+    e = t.events.groupBy("supplier_id").agg((F.count("*") / 100.0).alias("y"))
+    p = t.suppliers.join(e, "supplier_id", "left").select("supplier_id", F.col("risk_score").alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"))
+    return reports.causal_assessment(p, "x", "y", "supplier_id").select("n")
+
+
+@query()
+def supplier_embeddings(t):
+    return reports.embeddings(t.suppliers, t.supplies.select(F.col("src").alias("supplier_id"), F.col("dst").alias("neighbour"))).select("supplier_id", F.size("vector").alias("size"))
+
+
+@query()
+def question_facts(t):
+    q = t.spark.createDataFrame([(1, "Which oil suppliers are at risk?"), (2, "What about semiconductor fabs?")], "question_id int, question string")
+    return reports.facts(q, t.suppliers)
+
+
+@query()
+def resolved_links(t):
+    e = t.events.where("event_id % 20 = 0").select("event_id", F.concat("text", F.lit(" hits Supplier#"), F.col("supplier_id").cast("string")).alias("text"))
+    k = t.spark.createDataFrame([(1, "Suez Canal"), (2, "Strait of Hormuz")], "chokepoint_id int, chokepoint_name string")
+    return reports.resolved_links(e, t.suppliers, k).groupBy("target").agg(F.count("*").alias("links"))
