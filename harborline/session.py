@@ -7,8 +7,18 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Batches between the JVM and Python workers: rows of text are large, and each side holds a batch or two.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where it is used from a checkout rather than installed."""
+    """Let Python workers import this package where it is used from a checkout rather than installed; keep batches small.
+
+    A batch size that the session sets itself stays.
+    """
+    for key, (default, ours) in BATCHES.items():
+        if spark.conf.get(key, default) in (default, default.rstrip("b")):
+            spark.conf.set(key, ours)
     root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
