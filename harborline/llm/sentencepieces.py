@@ -26,6 +26,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THETA, SEED = 1.0, 17
 #: Bytes of text filtered together: chunks repeat, so more text costs less each.
 BATCH_BYTES = 3 << 20
+#: Positions of distinct chunks whose lattices are held at once.
+PART_POSITIONS = 1 << 15
 _BLANK, _LINE = 0x2581, 10
 _B1 = U64(0x9E3779B97F4A7C15)
 
@@ -165,28 +167,37 @@ class Lattice:
         start, end, doc, h = start[keep], end[keep], doc[keep], h[keep]
         ordinal = np.arange(len(start)) - np.searchsorted(doc, doc)
         _, one, which = np.unique(h, return_index=True, return_inverse=True)
-        cum, ids = self._filter(code, start[one], end[one])
-        width = end[one] - start[one]
-        row = np.concatenate([[0], np.cumsum(width)])[:-1]
-        pos = width[which]
-        base = row[which]
         seeds = mix(keys[doc] ^ mix(ordinal.astype(U64) + U64(seed * int(_B1) & (1 << 64) - 1)))
-        live = np.arange(len(start))
+        pos = (end - start).astype(np.int32)
+        del h, ordinal
+        # distinct chunks are filtered part by part, so the tables of a part stay in the cache
+        by_chunk = np.argsort(which, kind="stable")
+        at_chunk = np.searchsorted(which[by_chunk], np.arange(len(one) + 1))
+        width = end[one] - start[one]
+        upto = np.concatenate([[0], np.cumsum(width)])
         got_chunk, got_id, got_step = [], [], []
-        step = 0
-        while len(live):
-            at = base[live] + pos[live] - 1
-            u = (mix(seeds[live] + U64(step * 0xD1B54A32D192ED03 & (1 << 64) - 1)) >> U64(11)).astype(np.float64) * 2.0**-53
-            k = np.minimum((cum[at] <= u[:, None]).sum(1), cum.shape[1] - 1)
-            piece = ids[at, k].astype(np.int64)
-            raw = piece < 0
-            piece[raw] = -1 - (code[start[live[raw]] + pos[live[raw]] - 1] % 0x110000)
-            got_chunk.append(live)
-            got_id.append(piece)
-            got_step.append(np.full(len(live), step))
-            pos[live] -= k + 1
-            live = live[pos[live] > 0]
-            step += 1
+        lo = 0
+        while lo < len(one):
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + PART_POSITIONS, "right")) - 1)
+            cum, ids = self._filter(code, start[one[lo:hi]], end[one[lo:hi]])
+            live = by_chunk[at_chunk[lo] : at_chunk[hi]]
+            base = upto[which[live]] - upto[lo]
+            step = 0
+            while len(live):
+                at = base + pos[live] - 1
+                u = (mix(seeds[live] + U64(step * 0xD1B54A32D192ED03 & (1 << 64) - 1)) >> U64(11)).astype(np.float64) * 2.0**-53
+                k = np.minimum((cum[at] <= u[:, None]).sum(1), cum.shape[1] - 1)
+                piece = ids[at, k].astype(np.int64)
+                raw = piece < 0
+                piece[raw] = -1 - (code[start[live[raw]] + pos[live[raw]] - 1] % 0x110000)
+                got_chunk.append(live)
+                got_id.append(piece)
+                got_step.append(np.full(len(live), step, np.int32))
+                pos[live] -= (k + 1).astype(np.int32)
+                more = pos[live] > 0
+                live, base = live[more], base[more]
+                step += 1
+            lo = hi
         if not got_chunk:
             return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
         chunk, piece, back = np.concatenate(got_chunk), np.concatenate(got_id), np.concatenate(got_step)
