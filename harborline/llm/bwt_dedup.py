@@ -137,6 +137,21 @@ def _dense(key: np.ndarray) -> np.ndarray:
     return rank
 
 
+def _dense_pairs(rank: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+    """Dense ranks of the pairs; where pair and position fit 64 bits together, they are sorted as one number."""
+    n = len(rank)
+    b, r, a = n.bit_length(), int(rank.max(initial=0)).bit_length(), int(ahead.max(initial=0)).bit_length()
+    if a + b + r > 64:
+        return _dense(rank.astype(U64) << U64(32) | ahead)
+    key = rank.astype(U64) << U64(a + b) | ahead.astype(U64) << U64(b) | np.arange(n, dtype=U64)
+    key.sort()
+    at = (key & U64((1 << b) - 1)).astype(np.int64)
+    key >>= U64(b)
+    out = np.empty(n, np.uint32)
+    out[at] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]), dtype=np.uint32)
+    return out
+
+
 def _stable(value: np.ndarray) -> np.ndarray:
     """Positions in stable order of 32-bit values: the position rides in the low half of what is sorted."""
     key = value.astype(U64) << U64(32) | np.arange(len(value), dtype=U64)
@@ -158,7 +173,7 @@ def suffix_order(rank: np.ndarray, off: np.ndarray) -> np.ndarray:
         ahead = top + number
         goes_on = np.flatnonzero(left > width)
         ahead[goes_on] = rank[goes_on + width]
-        rank = _dense(rank.astype(U64) << U64(32) | ahead)
+        rank = _dense_pairs(rank, ahead)
         width *= 2
         if int(rank.max()) + 1 >= n - (PAD - 1) * (len(off) - 1):  # only the pads of one string tie still
             break
