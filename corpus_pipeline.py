@@ -17,8 +17,14 @@ from harborline.session import ship
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a recognised language; texts without letters (und) and those no filter knows go."""
-    out = langid.predict(docs, langid.learn_from(docs))
+    """Documents whose text has a recognised language; texts without letters (und) and those no filter knows go.
+
+    Where no document tells its language there is nothing to learn, and all stay.
+    """
+    model = langid.learn_from(docs)
+    if not model["langs"]:
+        return docs
+    out = langid.predict(docs, model)
     return out.where((F.col("lang_pred") != "und") & (F.col("score") > 0)).select(docs.columns)
 
 
