@@ -194,15 +194,15 @@ def repeated(text: np.ndarray, off: np.ndarray, shard: np.ndarray, length: int =
     source = np.concatenate([suffix_order(rank[off[a] : off[b]], off[a : b + 1] - off[a]) + off[a] for a, b in zip(cuts[:-1], cuts[1:])])
     z = np.repeat(np.arange(shards, dtype=np.uint8 if shards < 256 else np.uint16 if shards < 65536 else np.uint32), np.diff(off[cuts]))
     block = np.zeros(n, np.int32)
+    last = 0
     for step in [PAD] * (length // PAD) + [2] * (length % PAD // 2):
-        has = inner[source] >= step
-        if step == PAD:
-            symbol = np.where(has, rank[source - step], np.uint32(0xFFFFFFFF))
-        else:
-            symbol = np.where(has, text[source - 2].astype(np.uint32) << 8 | text[source - 1], np.uint32(0xFFFFFFFF))
-        base = np.repeat(np.arange(shards, dtype=z.dtype), step * np.diff(cuts))
-        inside = n - len(base)
-        now = symbol[_read(z)] if shards > 1 else symbol
+        if step != last:
+            none = inner[source] < step
+            symbol = rank[source - step] if step == PAD else text[source - 2].astype(np.uint32) << 8 | text[source - 1]
+            symbol[none] = 0xFFFFFFFF
+            base = np.repeat(np.arange(shards, dtype=z.dtype), step * np.diff(cuts))
+            inside, last = n - len(base), step
+        now = symbol[_read(z, shards)] if shards > 1 else symbol
         # a stable pass by symbol; suffixes at a string's start have none and end here, the pads' suffixes come in
         order = _stable(now)[:inside]
         s, b = now[order], block[order]
@@ -211,11 +211,14 @@ def repeated(text: np.ndarray, off: np.ndarray, shard: np.ndarray, length: int =
         edge[inside + 1 :] = 0
         z = np.concatenate([z[order], base])
         block = np.cumsum(edge, dtype=np.int32)
-    return source[_read(z)] if shards > 1 else source, block
+    return source[_read(z, shards)] if shards > 1 else source, block
 
 
-def _read(z: np.ndarray) -> np.ndarray:
+def _read(z: np.ndarray, shards: int) -> np.ndarray:
     """Where each entry of the interleave stands in its shard's own order: shards are read front to back."""
+    if shards == 2:
+        upto = np.cumsum(z, dtype=np.int64)
+        return np.where(z, len(z) - upto[-1] - 1 + upto, np.arange(len(z)) - upto)
     order = np.argsort(z, kind="stable")
     at = np.empty(len(z), np.int64)
     at[order] = np.arange(len(z))
@@ -311,7 +314,8 @@ def _least(byte: np.ndarray, start: np.ndarray, size: np.ndarray, count: np.ndar
     off = np.concatenate([[0], np.cumsum(width)])
     text = np.full(off[-1], 255, np.uint8)
     text[_cat(off[:-1], size)] = byte[_cat(start, size)]
-    shard = np.cumsum(width) // SHARD_SUFFIXES
+    shards = -(-int(off[-1]) // SHARD_SUFFIXES)
+    shard = (np.cumsum(width) - 1) * shards // off[-1]
     where, block = repeated(text, off, np.cumsum(np.concatenate([[0], np.diff(shard) > 0])))
     number = np.repeat(np.arange(len(width), dtype=np.int32), width)[where]
     owned = np.flatnonzero(where - off[number] < count[number])
