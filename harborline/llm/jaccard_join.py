@@ -170,6 +170,7 @@ def features(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataF
     shingles other documents have too; a set of which a smaller share than the threshold is repeated sends nothing.
     """
     names = [x.split()[0] for x in _FEATURES.split(", ")]
+    few = max(1, buckets // 4)  # signatures are fewer than shingles, and a bucket tells a set's routes once
 
     def rows(count: int, **cols: pa.Array) -> pa.RecordBatch:
         kinds = {"sigs": pa.binary(), "nodes": pa.binary()}
@@ -189,7 +190,7 @@ def features(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataF
             if len(pair):
                 yield rows(len(pair), low=pa.array(pair[:, 0]), high=pa.array(pair[:, 1]))
             sig, node = sig[first], node[first]
-            cut = np.searchsorted((sig >> U64(32)) * U64(buckets) >> U64(32), np.arange(buckets + 1).astype(U64))
+            cut = np.searchsorted((sig >> U64(32)) * U64(few) >> U64(32), np.arange(few + 1).astype(U64))
             used = np.flatnonzero(cut[1:] > cut[:-1])
             yield rows(len(used), bucket=pa.array(used), sigs=pa.array([sig[cut[u] : cut[u + 1]].tobytes() for u in used], pa.binary()), nodes=pa.array([node[cut[u] : cut[u + 1]].tobytes() for u in used], pa.binary()))
 

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 BLOCK_ROWS, RESOLUTION, BUCKET_ROWS = 16, 1000, 20_000
 #: A slot table above this many entries is joined by shuffle instead of broadcast.
 BROADCAST_ENTRIES = 500_000
+#: Offsets of (source, bucket) up to so many are broadcast, so rows with their texts stay where the ranking put them.
+BROADCAST_OFFSETS = 100_000
 
 
 def period(weights: list[int]) -> list[list[int]]:
@@ -80,6 +82,8 @@ def mixed(docs: DataFrame, target: Mapping | None = None, block_rows: int = BLOC
     sizes = docs.groupBy(source, "_bucket").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(source).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     before = before.select(F.col(source).alias("_s"), F.col("_bucket").alias("_b"), "_before")
+    if len(total) * buckets <= BROADCAST_OFFSETS:
+        before = F.broadcast(before)
     rank = F.row_number().over(Window.partitionBy(source, "_bucket").orderBy(F.col(key).asc_nulls_first(), "_tie")) - 1
     ranked = docs.withColumn("_rank", rank).join(before, F.col(source).eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_bucket", "_tie", "_s", "_b", "_before")
