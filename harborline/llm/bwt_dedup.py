@@ -59,7 +59,10 @@ def _windows(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     if n < length:
         return none, none, none.astype(U64), none
     x = _eights(raw)
-    v = mix(x[: n - gram + 1] * U64(0x9E3779B97F4A7C15) + x[gram - 8 : n - 7] * U64(0xC2B2AE3D27D4EB4F))
+    v = x[: n - gram + 1] * U64(0x9E3779B97F4A7C15)
+    v += x[gram - 8 : n - 7] * U64(0xC2B2AE3D27D4EB4F)
+    v ^= v >> U64(29)
+    v *= U64(0xBF58476D1CE4E5B9)
     del x
     span, width = length - gram + 1, 1
     while width * 2 <= span:
@@ -360,8 +363,8 @@ def _merged(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(run, "block long, bucket long, anchors binary, lows binary")
 
 
-def covered(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_bytes, kept (binary), n_removed, n_spans for every row of docs(doc_id, text).
+def covered(docs: DataFrame, block_bytes: int = BLOCK_BYTES, texts: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary, if ``texts``), kept_sha256 for every row of docs(doc_id, text).
 
     A null text is empty. Rows that share a doc_id do not remove from each other; rows with a null doc_id come after all
     others and do not remove from each other. Texts below 50 bytes stay whole. Very long texts are one piece of work each.
@@ -394,11 +397,15 @@ def covered(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         begin[inside] = gone[inside]
         spans = np.concatenate([[0], np.cumsum(begin)])
         kept = [raw[a:b][~gone[a:b]].tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
-        return pa.table({"doc_id": left.column("doc_id"), "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(total[off[1:]] - total[off[:-1]]), "n_spans": pa.array(spans[off[1:]] - spans[off[:-1]]), "kept": pa.array(kept, pa.binary()), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept])})
+        out = {"doc_id": left.column("doc_id"), "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(total[off[1:]] - total[off[:-1]]), "n_spans": pa.array(spans[off[1:]] - spans[off[:-1]])}
+        if texts:
+            out["kept"] = pa.array(kept, pa.binary())
+        return pa.table(out | {"kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())})
 
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, {'kept binary, ' if texts else ''}kept_sha256 string"
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
 def op7(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
-    return covered(docs.select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return covered(docs.select("doc_id", "text"), texts=False)
