@@ -11,6 +11,7 @@ of a bounded sample of documents: each is rewritten in spellings that the base r
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -105,11 +106,11 @@ def segments(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int
 
     Runs do not cross base spans.
     """
-    busy = sorted((a, b) for a, b, _ in taken)
+    busy = _disjoint(taken)
     if _DIGIT.search(text):
         for m in _RUN.finditer(text):
             groups = [g.span() for g in _GROUP.finditer(text, *m.span())]
-            free = [g for g in groups if not any(a < g[1] and g[0] < b for a, b in _near(busy, g))]
+            free = [g for g in groups if not _near(busy, g)]
             for part in _parts(free, text, busy):
                 found = []
                 for i in range(len(part)):
@@ -126,20 +127,25 @@ def segments(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int
                     yield len(part), found
     if "at" in text or "AT" in text:
         for m in _SPELLED.finditer(text):
-            if ("dot" in m[0].lower() or re.search(r"[(\[{]at", m[0], re.I)) and not any(a < m.end() and m.start() < b for a, b in _near(busy, m.span())):
+            if ("dot" in m[0].lower() or re.search(r"[(\[{]at", m[0], re.I)) and not _near(busy, m.span()):
                 yield 1, [(0, 1, *m.span(), features(text, *m.span(), []), ("email",))]
 
 
-def _near(busy: list[tuple[int, int]], span: tuple[int, int]) -> list[tuple[int, int]]:
-    return [x for x in busy if x[0] < span[1] and span[0] < x[1]] if len(busy) < 64 else _search(busy, span)
-
+def _disjoint(taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """Spans of several kinds may overlap: their union as disjoint intervals, sorted by start and so by end."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for a, b, _ in taken):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
-def _search(busy: list[tuple[int, int]], span: tuple[int, int]) -> list[tuple[int, int]]:
-    import bisect
 
-    i = bisect.bisect_left(busy, (span[0] - 5000, 0))
-    j = bisect.bisect_left(busy, (span[1], 0))
-    return busy[max(0, i - 1) : j]
+def _near(busy: list[tuple[int, int]], span: tuple[int, int]) -> list[tuple[int, int]]:
+    """The disjoint sorted intervals that overlap span."""
+    first = bisect.bisect_right(busy, span[0], key=lambda x: x[1])
+    return busy[first : bisect.bisect_left(busy, span[1], lo=first, key=lambda x: x[0])]
 
 
 def _parts(groups: list[tuple[int, int]], text: str, busy: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:

@@ -154,6 +154,24 @@ def test_field_finds_respelled_data_and_leaves_look_alikes():
         assert found(clean) == []
 
 
+def test_many_base_spans_lose_no_respelled_data():
+    w = pii.fit(SEED)
+    respelled = ["call (415) 555-0123 now", "host 10[.]2[.]3[.]4 there", "write to ann [at] mail dot example dot com, please", "on 2024-01-31 at noon"]
+    parts = [p for i in range(100) for p in (f"see user{i}@mail.example.com or 10.2.{i}.7; ", respelled[i % 4] + "; ")]
+    want, at = [], 0
+    for p in parts:
+        want += [(at + a, at + b, k) for a, b, k in pii.decode(p, pii.base_spans(p), w)]
+        at += len(p)
+    text = "".join(parts)
+    assert len(want) == 75 and sorted(pii.decode(text, pii.base_spans(text), w)) == want
+    rng = random.Random(6)
+    for _ in range(2000):
+        taken = [(a, a + rng.randint(1, 12), "ip") for a in (rng.randint(0, 300) for _ in range(rng.randint(0, 80)))]
+        a = rng.randint(0, 300)
+        b = a + rng.randint(1, 12)
+        assert bool(pii._near(pii._disjoint(taken), (a, b))) == any(x < b and a < y for x, y, _ in taken)
+
+
 def test_decode_takes_the_best_disjoint_segments():
     w = {("phone", "n=7"): 5.0, ("phone", "n=14"): 11.0, ("card", "n=14"): 30.0}
     t = "1234567 7654321"
