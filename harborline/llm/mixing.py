@@ -1,40 +1,58 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-A source's documents are cut into blocks of equal row count. With integer weights w out of W, block i of a source is released
+A source's documents are cut into blocks of equal row count. With weights w out of W, block i of a source is released
 at slot floor(i W / w) and due at slot ceil((i + 1) W / w); each slot goes to the released block with the earliest deadline.
-The number of blocks a source has had then differs from its ideal share by less than one at every slot. All windows repeat
-after W slots, so one period is scheduled and a block's slot is arithmetic on its number. When a source runs out, the others
-go on with their weights among themselves (a new phase). No row is dropped or repeated.
+The number of blocks a source has had then differs from its ideal share by less than one at every slot. Weights are the
+targets themselves as exact fractions, so the bound holds at every size. When a source runs out, the others go on with their
+weights among themselves (a new phase). No row is dropped or repeated.
+
+Exact targets have no short period: the slot of every block is worked out in turn on the driver, 8 bytes for ``BLOCK_ROWS`` rows.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+from array import array
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS, RESOLUTION, BUCKET_ROWS = 16, 1000, 20_000
-#: A slot table above this many entries is joined by shuffle instead of broadcast.
-BROADCAST_ENTRIES = 500_000
+BLOCK_ROWS, BUCKET_ROWS = 16, 20_000
+#: A table of more block slots than this (8 bytes each) is joined by shuffle instead of broadcast.
+BROADCAST_SLOTS = 8_000_000
+#: Slots of so many blocks of a source lie in one row of the table.
+CHUNK_BLOCKS = 1024
 #: Offsets of (source, bucket) up to so many are broadcast, so rows with their texts stay where the ranking put them.
 BROADCAST_OFFSETS = 100_000
 
 
+def fair(weights: list[int]) -> Iterator[int]:
+    """The source of every slot, without end."""
+    total = sum(weights)
+    later = [(0, -(-total // w), s, 0) for s, w in enumerate(weights)]
+    ready: list[tuple[int, int, int]] = []
+    slot = 0
+    while True:
+        while later and later[0][0] <= slot:
+            _, deadline, s, i = heapq.heappop(later)
+            heapq.heappush(ready, (deadline, s, i))
+        deadline, s, i = heapq.heappop(ready)
+        assert slot < deadline
+        yield s
+        i, w = i + 1, weights[s]
+        heapq.heappush(later, (i * total // w, -(-(i + 1) * total // w), s, i))
+        slot += 1
+
+
 def period(weights: list[int]) -> list[list[int]]:
     """Per source, the slots of its blocks within one period of sum(weights) slots."""
-    total = sum(weights)
-    released = sorted((i * total // w, -(-(i + 1) * total // w), s) for s, w in enumerate(weights) for i in range(w))
     slots: list[list[int]] = [[] for _ in weights]
-    ready: list[tuple[int, int]] = []
-    at = 0
-    for slot in range(total):
-        while at < len(released) and released[at][0] <= slot:
-            heapq.heappush(ready, released[at][1:])
-            at += 1
-        deadline, s = heapq.heappop(ready)
-        assert slot < deadline
+    for slot, s in zip(range(sum(weights)), fair(weights)):
         slots[s].append(slot)
     return slots
 
@@ -55,20 +73,33 @@ def phases(blocks: list[int], weights: list[int]) -> list[tuple[int, int, int, i
     return out
 
 
-def integer_weights(rows: Mapping, target: Mapping | None, resolution: int = RESOLUTION) -> dict:
-    """Targets (default: square roots of row counts) as integers of about ``resolution`` in sum, at least 1 each."""
-    raw = {s: float((target or {}).get(s, 0) if target is not None else n**0.5) for s, n in rows.items()}
+def schedule(blocks: list[int], weights: list[int]) -> list[array]:
+    """Per source, the slot of each of its blocks. Sources of weight 0 come after the others, in equal parts."""
+    slots, at = [array("q") for _ in blocks], 0
+    while rest := [s for s, n in enumerate(blocks) if len(slots[s]) < n]:
+        active = [s for s in rest if weights[s]] or rest
+        for k in fair([weights[s] or 1 for s in active]):
+            slots[active[k]].append(at)
+            at += 1
+            if len(slots[active[k]]) == blocks[active[k]]:
+                break
+    return slots
+
+
+def exact_weights(rows: Mapping, target: Mapping | None) -> dict:
+    """Targets (default: square roots of row counts) as integers in exactly their proportions; 0 for sources without one."""
+    raw = {s: Fraction((target or {}).get(s, 0) if target is not None else n**0.5) for s, n in rows.items()}
     if any(w < 0 for w in raw.values()):
         raise ValueError("weights must not be negative")
-    total = sum(raw.values()) or 1.0
-    return {s: max(1, round(resolution * w / total)) for s, w in raw.items()}
+    scale = math.lcm(*(w.denominator for w in raw.values()))
+    return {s: int(w * scale) for s, w in raw.items()}
 
 
 def mixed(docs: DataFrame, target: Mapping | None = None, block_rows: int = BLOCK_ROWS, source: str = "source", key: str = "doc_id") -> DataFrame:
     """docs plus block, slot and position; ordering by position gives the mixture.
 
     Rows of a source go to blocks by hash bucket, then key; equal rows are interchangeable. A null source is a source of its
-    own, a null key sorts first. Sources without a target get the least weight; an empty table stays empty. Columns named
+    own, a null key sorts first. Sources without a target follow when the others are used up; an empty table stays empty. Columns named
     block, slot or position are replaced; others stay. Sources are few by nature (each has a target): one row each
     comes to the driver. Their rows are ranked per (source, bucket), so a hot source is spread over many tasks.
     """
@@ -89,18 +120,22 @@ def mixed(docs: DataFrame, target: Mapping | None = None, block_rows: int = BLOC
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_bucket", "_tie", "_s", "_b", "_before")
     names = sorted((r[source] for r in total), key=lambda s: (s is not None, s))
     n = {r[source]: r["n"] for r in total}
-    weights = integer_weights(n, target)
-    plan = phases([-(-n[s] // block_rows) for s in names], [weights[s] for s in names])
-    kind = docs.schema[source].dataType.simpleString()
-    table = docs.sparkSession.createDataFrame([(names[p[0]], *p[1:]) for p in plan], f"_s {kind}, _from long, _to long, _start long, _w long, _period long, _slots array<int>")
-    if sum(p[4] for p in plan) <= BROADCAST_ENTRIES:
+    weights = exact_weights(n, target)
+    slots = schedule([-(-n[s] // block_rows) for s in names], [weights[s] for s in names])
+    chunks = [(k, at) for k, x in enumerate(slots) for at in range(0, len(x), CHUNK_BLOCKS)]
+    arrays = [np.frombuffer(slots[k], np.int64)[at : at + CHUNK_BLOCKS] for k, at in chunks]
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), np.concatenate([np.zeros(0, np.int64), *arrays]))
+    parts = pa.table({"_k": pa.array([k for k, _ in chunks], pa.int32()), "_c": pa.array([at // CHUNK_BLOCKS for _, at in chunks], pa.int64()), "_slots": lists})
+    spark = docs.sparkSession
+    known = spark.createDataFrame(list(enumerate(names)), f"_k int, _s {docs.schema[source].dataType.simpleString()}")
+    table = spark.createDataFrame(parts, "_k int, _c long, _slots array<long>").join(F.broadcast(known), "_k")
+    if sum(map(len, slots)) <= BROADCAST_SLOTS:
         table = F.broadcast(table)
     block = F.floor(F.col("_rank") / block_rows)
-    out = ranked.withColumn("block", block).join(table, F.col(source).eqNullSafe(F.col("_s")) & (F.col("block") >= F.col("_from")) & (F.col("block") < F.col("_to")))
-    local = F.col("block") - F.col("_from")
-    slot = F.col("_start") + F.floor(local / F.col("_w")) * F.col("_period") + F.element_at("_slots", (local % F.col("_w") + 1).cast("int"))
+    out = ranked.withColumn("block", block).join(table, F.col(source).eqNullSafe(F.col("_s")) & (F.floor(F.col("block") / CHUNK_BLOCKS) == F.col("_c")))
+    slot = F.element_at("_slots", (F.col("block") % CHUNK_BLOCKS + 1).cast("int"))
     out = out.withColumn("slot", slot).withColumn("position", F.col("slot") * block_rows + F.col("_rank") % block_rows)
-    return out.drop("_s", "_from", "_to", "_start", "_w", "_period", "_slots", "_rank")
+    return out.drop("_s", "_k", "_c", "_slots", "_rank")
 
 
 def in_order(docs: DataFrame, target: Mapping | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -316,6 +316,45 @@ def test_phases_use_every_block_once():
         assert sorted(x[1] for x in seen) == list(range(sum(n))) and [sum(s == x for x, _ in seen) for s in range(5)] == n
 
 
+def within_a_block(slots, shares):
+    source = np.full(sum(map(len, slots)), -1)
+    for s, x in enumerate(slots):
+        source[np.array(x)] = s
+    end = min(x[-1] for x in slots if len(x)) + 1  # until the first source runs out
+    for s, share in enumerate(shares):
+        assert np.abs(np.cumsum(source[:end] == s) - np.arange(1, end + 1) * share).max() < 1
+    return end
+
+
+def test_schedule_stays_within_a_block_of_the_target_itself():
+    n = [16 * 3000] * 19 + [16 * 28500]  # nineteen sources and one of 9.5 times their rows
+    w = mixing.exact_weights(dict(enumerate(n)), None)
+    assert within_a_block(mixing.schedule([x // 16 for x in n], [w[s] for s in range(20)]), np.sqrt(n) / np.sqrt(n).sum()) > 50000
+    target = {0: 0.011, **{s: 0.0002 for s in range(1, 2001)}}  # small sources beside a larger one
+    w = mixing.exact_weights(dict.fromkeys(target, 1), target)
+    slots = mixing.schedule([110] + [2] * 2000, [w[s] for s in target])
+    within_a_block(slots, [x / sum(target.values()) for x in target.values()])
+    assert [list(x) for x in mixing.schedule([2, 3, 1], [0, 3, 1])][0] == [4, 5]
+    rng = random.Random(9)
+    for _ in range(50):
+        n, ws = [rng.randint(0, 50) for _ in range(5)], [rng.randint(1, 20) for _ in range(5)]
+        want = {(s, k): start + (k - a) // w * total + x[(k - a) % w] for s, a, b, start, w, total, x in mixing.phases(n, ws) for k in range(a, b)}
+        assert {(s, k): x for s, xs in enumerate(mixing.schedule(n, ws)) for k, x in enumerate(xs)} == want
+
+
+def test_mixed_slots_follow_the_schedule(spark, monkeypatch):
+    n = {"a": 700, "b": 90, None: 33}
+    docs = spark.createDataFrame([(i, s) for s, m in n.items() for i in range(m)], "doc_id long, source string").repartition(5)
+    names = [None, "a", "b"]
+    w = mixing.exact_weights(n, None)
+    want = mixing.schedule([-(-n[s] // 4) for s in names], [w[s] for s in names])
+    for chunk, most in (1024, 10**6), (7, 0):
+        monkeypatch.setattr(mixing, "CHUNK_BLOCKS", chunk)
+        monkeypatch.setattr(mixing, "BROADCAST_SLOTS", most)
+        got = {(r.source, r.block, r.slot) for r in mixing.mixed(docs, None, 4).collect()}
+        assert got == {(s, k, x) for s, xs in zip(names, want) for k, x in enumerate(xs)}
+
+
 def test_mixture_keeps_rows(spark):
     rows = [(i, f"s{i % 3}" if i % 7 else None, "t") for i in range(300)] + [(5, "s0", "t")] * 40 + [(None, "s1", None)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, slot string").repartition(5)
