@@ -44,8 +44,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled piece ids in place of the text."""
-    return sentencepieces.encoded(docs)
+    """Sampled piece ids in place of the text, and position: the row's place in the mixture order that the files hold."""
+    return sentencepieces.encoded(mixing.placed(docs))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

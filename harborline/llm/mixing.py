@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 from array import array
 from collections.abc import Iterator, Mapping
 from fractions import Fraction
@@ -144,6 +145,28 @@ def in_order(docs: DataFrame, target: Mapping | None = None, block_rows: int = B
     return mixed(docs, target, block_rows).repartitionByRange("position").sortWithinPartitions("position").select(*[F.col(f"`{c}`") for c in columns])
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """docs, written by ``in_order`` and read again, plus position: rows from 0 in the order in which they were written.
+
+    Spark packs file splits into tasks by size, so the order of files is told by their names. A position has no gaps. Rows
+    that come from no files are numbered with gaps in the order of their partitions. A column named position is replaced.
+    """
+    docs = docs.drop("position")
+    if "Relation" not in docs._jdf.queryExecution().analyzed().nodeName():
+        return docs.withColumn("position", F.monotonically_increasing_id())
+    name = F.col("_metadata.file_name")
+    sizes = docs.groupBy(name.alias("_file")).agg(F.count("*").alias("_n")).collect()  # a row of each file
+    part = lambda f: [int(x) for x in re.search(r"part-(\d+)\D.*?(?:-c(\d+))?\.[a-z.0-9]+\Z", f).groups("0")]
+    before, total = [], 0
+    for r in sorted(sizes, key=lambda r: part(r["_file"])):
+        before.append((r["_file"], total))
+        total += r["_n"]
+    offsets = F.broadcast(docs.sparkSession.createDataFrame(before, "_file string, _before long"))
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    numbered = docs.select(*kept, name.alias("_file"), F.col("_metadata.row_index").alias("_row")).join(offsets, "_file")
+    return numbered.select(*kept, (F.col("_before") + F.col("_row")).alias("position"))
+
+
 def op6(docs: DataFrame) -> DataFrame:
     """doc_id, source, block, slot, position under square-root weights."""
     return mixed(docs.select("doc_id", "source")).select("doc_id", "source", "block", "slot", "position")

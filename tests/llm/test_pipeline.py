@@ -2,9 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from harborline.llm import jaccard_join, pii, queries, sentencepieces
+from harborline.llm import jaccard_join, mixing, pii, queries, sentencepieces
 
 
 def test_stages_in_order():
@@ -33,6 +34,26 @@ def test_each_stage(spark, sf_dir):
     assert back == {r.doc_id: r.text for r in docs.collect()}
 
 
+def test_last_stage_returns_the_mixture_order(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10**6)).cache()
+    stages = dict(corpus_pipeline.STAGES)
+    path = str(tmp_path / "mixture")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # several files
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 20)
+    try:
+        stages["mixture"](spark, docs, sf_dir).write.parquet(path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    back = spark.read.parquet(path)
+    want = [r.doc_id for r in mixing.mixed(docs).orderBy("position").select("doc_id").collect()]
+    assert len(back.inputFiles()) > 8 and [r.doc_id for r in back.collect()] != want
+    got = stages["encoding"](spark, back, sf_dir).orderBy("position").select("doc_id", "position").collect()
+    assert [r.doc_id for r in got] == want and [r.position for r in got] == list(range(len(want)))
+
+
 def test_run_returns_all_kept_documents(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert "ids" in out.columns and 0 < out.count() <= spark.read.parquet(f"{sf_dir}/documents.parquet").count()
