@@ -1,7 +1,7 @@
 """Language ID with bit-sliced Bloom filters over character n-grams.
 
-Each learned language owns one bit of a mask. A filter slot holds the OR of the masks of the n-grams that hash to it, so one
-probe of k slots (AND) answers for all languages at once. A text's votes per language are popcounts over its n-grams; the
+Each learned language owns one bit of a mask, of as many 64-bit words as that takes. A filter slot holds the OR of the masks of
+the n-grams that hash to it, so one probe of k slots (AND) answers for all languages of a word at once. A text's votes per language are popcounts over its n-grams; the
 expected votes from false positives, known from each language's fill, are taken off before the largest one decides.
 
 An n-gram enters a language's filter when its share among that language's n-grams is at least ``keep`` of its largest share
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, crc_fold, mix, pieces, written
 
-SLOTS, PROBES, KEEP, MAX_LANGUAGES = 1 << 20, 3, 0.25, 64
+SLOTS, PROBES, KEEP, WORD = 1 << 20, 3, 0.25, 64
 
 
 def _ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,27 +96,23 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, slots: int = SLOTS, probes: int = PROBES, keep: float = KEEP) -> dict:
-    """Learn the filters from docs(text, lang). What reaches the driver is bounded by ``slots`` masks and 64 languages."""
+    """Learn the filters from docs(text, lang). What reaches the driver is ``slots`` masks of a bit for each
+    language, and a row of each language."""
     counts = written(ngram_counts(docs), "grams")
-    totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
     langs = sorted(totals)
     if not langs:
-        return {"langs": [], "mask": np.zeros(slots, np.uint8), "probes": probes}
-    share = F.lit(0.0)
-    for lang in langs:
-        share = F.when(F.col("lang") == lang, F.col("n") / F.lit(float(totals[lang]))).otherwise(share)
-    bit = F.lit(0).cast("long")
-    for i, lang in enumerate(langs):
-        bit = F.when(F.col("lang") == lang, F.lit(1 << i if i < 63 else -(1 << 63)).cast("long")).otherwise(bit)
+        return {"langs": [], "mask": np.zeros((1, slots), np.uint8), "probes": probes}
+    bits = [(lang, float(totals[lang]), i // WORD, 1 << i % WORD if i % WORD < 63 else -(1 << 63)) for i, lang in enumerate(langs)]
+    bits = F.broadcast(docs.sparkSession.createDataFrame(bits, "lang string, total double, word int, bit long"))
     top = F.max("share").over(_by("gram"))
-    member = counts.select("gram", share.alias("share"), bit.alias("bit")).withColumn("top", top).where(F.col("share") >= F.col("top") * keep)
+    share = counts.join(bits, "lang").select("gram", (F.col("n") / F.col("total")).alias("share"), "word", "bit")
+    member = share.withColumn("top", top).where(F.col("share") >= F.col("top") * keep)
     step = 64 // probes  # the default 3 probes take 20 bits each, none twice
     slot = F.explode(F.array(*[F.shiftrightunsigned("gram", i * step).bitwiseAND(F.lit(slots - 1)) for i in range(probes)]))
-    rows = member.select("bit", slot.alias("slot")).groupBy("slot").agg(F.bit_or("bit").alias("mask")).toPandas()
-    mask = np.zeros(slots, np.uint64)
-    mask[rows["slot"].to_numpy()] = rows["mask"].to_numpy().astype(np.int64).view(np.uint64)
+    rows = member.select("word", "bit", slot.alias("slot")).groupBy("word", "slot").agg(F.bit_or("bit").alias("mask")).toPandas()
+    mask = np.zeros((-(-len(langs) // WORD), slots), np.uint64)
+    mask[rows["word"].to_numpy(), rows["slot"].to_numpy()] = rows["mask"].to_numpy().astype(np.int64).view(np.uint64)
     kind = np.uint8 if len(langs) <= 8 else np.uint16 if len(langs) <= 16 else np.uint32 if len(langs) <= 32 else np.uint64
     return {"langs": langs, "mask": mask.astype(kind), "probes": probes}
 
@@ -141,16 +137,19 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         langs, mask, k = m["langs"], m["mask"], m["probes"]
-        fill = np.array([float(((mask >> mask.dtype.type(i)) & mask.dtype.type(1)).mean()) ** k for i in range(len(langs))])
+        bit = lambda words, i: (words[i // WORD] >> mask.dtype.type(i % WORD)) & mask.dtype.type(1)
+        fill = np.array([float(bit(mask, i).mean()) ** k for i in range(len(langs))])
         step = 64 // k
         for batch in pieces(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             gram, who, has = _ngrams(texts)
-            hit = np.full(len(gram), np.iinfo(mask.dtype).max, mask.dtype)
+            hit = np.full((len(mask), len(gram)), np.iinfo(mask.dtype).max, mask.dtype)
             for i in range(k):
-                hit &= mask[((gram >> U64(i * step)) & U64(len(mask) - 1)).astype(np.int64)]
+                at = ((gram >> U64(i * step)) & U64(mask.shape[1] - 1)).astype(np.int64)
+                for word, of in zip(hit, mask):
+                    word &= of[at]
             n = np.bincount(who, minlength=len(texts)).astype(float)
-            votes = np.stack([np.bincount(who, weights=((hit >> mask.dtype.type(i)) & mask.dtype.type(1)).astype(np.float64), minlength=len(texts)) for i in range(len(langs))], 1) if langs else np.zeros((len(texts), 0))
+            votes = np.stack([np.bincount(who, weights=bit(hit, i).astype(np.float64), minlength=len(texts)) for i in range(len(langs))], 1) if langs else np.zeros((len(texts), 0))
             share = np.clip((votes / np.maximum(n, 1)[:, None] - fill) / np.maximum(1 - fill, 1e-9), 0, 1)
             ok = has & bool(langs)
             best = share.argmax(1) if langs else np.zeros(len(texts), int)

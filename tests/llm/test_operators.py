@@ -294,6 +294,14 @@ def test_language_odd_rows(spark, odd):
     assert {r.lang_pred for r in langid.predict(odd, none).collect()} == {"und"}
 
 
+def test_more_than_64_languages(spark):
+    own = lambda i: " ".join([chr(0x4E00 + 40 * i + j) * 3 for j in range(30)])
+    train = spark.createDataFrame([(f"l{i:03}", own(i)) for i in range(150)], "lang string, text string")
+    model = langid.fit(train)
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame([(i, own(i)) for i in range(150)], KIND), model).collect()}
+    assert all(got[i].lang_pred == f"l{i:03}" and got[i].score > 0.9 for i in range(150))
+
+
 # ---- 6 mixing
 
 
