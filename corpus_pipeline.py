@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harborline.llm import jaccard_join, langid, mixing, pii, sentencepieces
-from harborline.llm.common import written
+from harborline.llm.common import dropped, free, written
 from harborline.session import ship
 
 
@@ -24,8 +24,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.learn_from(docs)
     if not model["langs"]:
         return docs
-    out = langid.predict(docs, model)
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") > 0)).select(docs.columns)
+    found, score = free(docs.columns, "lang_pred", "score")
+    out = langid.predict(docs, model, (found, score))
+    return out.where((F.col(found) != "und") & (F.col(score) > 0)).drop(found, score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +45,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled piece ids in place of the text, and position: the row's place in the mixture order that the files hold."""
+    """Sampled piece ids in place of the text, and position: the row's place in the mixture order that the files hold.
+
+    A column of docs named ids or position is kept as ids_input or position_input.
+    """
     return sentencepieces.encoded(mixing.placed(docs))
 
 
@@ -63,5 +67,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,9 +5,10 @@ The numpy helpers run inside tasks on the batches Spark hands them.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-#: Bytes of text that one numpy pass inside a task takes at once (single longer texts pass alone).
-CHUNK_BYTES = 2 << 20
+#: Bytes of text that one numpy pass inside a task takes at once (single longer texts pass alone): its arrays stay in the cache.
+CHUNK_BYTES = 256 << 10
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -29,17 +30,36 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one is set only where the session names none."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
+    """The folder all executors share. Where the session names none, a temporary one is set on a local master only."""
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="harborline-"))
     return spark.sparkContext.getCheckpointDir()
 
 
+def free(columns: Iterable[str], *names: str) -> list[str]:
+    """names with as many underscores in front as it takes to be none of columns (Spark does not tell cases apart)."""
+    used = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def aside(df: DataFrame, *names: str) -> DataFrame:
+    """df with its own columns of these names, which an operator is about to add, kept as ``<name>_input``."""
+    taken = {n.lower() for n in names}
+    clash = [c for c in df.columns if c.lower() in taken]
+    new = dict(zip(clash, free([*df.columns, *names], *(f"{c}_input" for c in clash))))
+    return df.select(*[F.col(f"`{c}`").alias(new.get(c, c)) for c in df.columns]) if clash else df
+
+
 def written(df: DataFrame, name: str = "t") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, dropped, mix, n_blocks, pieces, span_hashes, tokens, utf8, written
+from .common import LOWER, U64, dropped, free, mix, n_blocks, pieces, span_hashes, tokens, utf8, written
 
 CHUNK, BUCKET_BYTES = 1024, 8 << 20
 #: Ranges with fewer shingles than this on average need the sets' repeated share first.
@@ -458,8 +458,10 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
 
     Rows with a null doc_id stay.
     """
-    keep = jaccard_components(docs, n, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(keep, docs["doc_id"] == keep["_kept"], "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]) if len(docs.columns) > 2 else F.lit(0))
-    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    kept, place = free(docs.columns, "kept", "place")
+    keep = jaccard_components(docs, n, num, den).where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
+    rows = docs.join(keep, docs["doc_id"] == keep[kept], "left_semi")
+    others = [F.col(f"`{c}`") for c, t in docs.dtypes if c not in ("doc_id", "text") and "map<" not in t and t != "variant"]
+    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*others, F.lit(0)))
+    rows = rows.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
     return rows.unionByName(docs.where("doc_id is null"))

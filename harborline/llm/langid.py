@@ -5,21 +5,28 @@ the n-grams that hash to it, so one probe of k slots (AND) answers for all langu
 expected votes from false positives, known from each language's fill, are taken off before the largest one decides.
 
 An n-gram enters a language's filter when its share among that language's n-grams is at least ``keep`` of its largest share
-in any language: stray foreign lines then do not open an n-gram to every language.
+in any language (stray foreign lines then do not open an n-gram to every language) and at least ``LEAST``. A language then has
+1 / LEAST n-grams at most, whatever the corpus, and the number of slots follows from the fullest language, so that a probe of a
+slot hits by chance no more often than ``FILL`` of the time.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, crc_fold, mix, pieces, written
+from .common import U64, aside, crc_fold, dropped, mix, pieces, written
 
-SLOTS, PROBES, KEEP, WORD = 1 << 20, 3, 0.25, 64
+PROBES, KEEP, WORD = 3, 0.25, 64
+#: Least share of an n-gram among those of its language, and the share of slots that the fullest language may set.
+LEAST, FILL = 2.0**-20, 0.25
+#: Characters of a text looked at together; n-grams do not reach across the borders of such slices.
+SLICE = 1 << 18
 
 
 def _ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,6 +55,20 @@ def _ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return (np.concatenate(out) if out else np.zeros(0, U64)), (np.concatenate(who) if who else np.zeros(0, np.int64)), has
 
 
+def _slices(texts: list[str | None]) -> Iterator[tuple[list[str | None], int]]:
+    """Texts to be looked at together, and the number of the first: all of them, or a long one slice by slice."""
+    at = 0
+    for i, t in enumerate(texts):
+        if t and len(t) > SLICE:
+            if at < i:
+                yield texts[at:i], at
+            for j in range(0, len(t), SLICE):
+                yield [t[j : j + SLICE]], i
+            at = i + 1
+    if at < len(texts):
+        yield texts[at:], at
+
+
 _TABLE = np.zeros(0, bool)
 
 
@@ -80,12 +101,12 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
             langs, texts = batch.column(0), batch.column(1)
             for lang in langs.unique().to_pylist():
                 mine = texts.filter(pa.compute.equal(langs, lang)).to_pylist()
-                gram, n = np.unique(_ngrams(mine)[0], return_counts=True)
-                if not len(gram):
-                    continue
-                held.setdefault(lang, []).append((gram, n))
-                size += len(gram)
-            if size > 3_000_000:
+                for part, _ in _slices(mine):
+                    gram, n = np.unique(_ngrams(part)[0], return_counts=True)
+                    if len(gram):
+                        held.setdefault(lang, []).append((gram, n))
+                        size += len(gram)
+            if size > 1_500_000:
                 yield from flush()
                 size = 0
         if held:
@@ -95,67 +116,92 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
     return part.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, slots: int = SLOTS, probes: int = PROBES, keep: float = KEEP) -> dict:
-    """Learn the filters from docs(text, lang). What reaches the driver is ``slots`` masks of a bit for each
-    language, and a row of each language."""
+def _slots(members: int, probes: int, fill: float = FILL) -> int:
+    """The least power of two of slots of which ``members`` n-grams with ``probes`` each set at most ``fill``."""
+    return 1 << max(10, math.ceil(math.log2(max(1, members) * probes / -math.log(1 - fill))))
+
+
+def fit(docs: DataFrame, probes: int = PROBES, keep: float = KEEP, least: float = LEAST) -> dict:
+    """Learn the filters from docs(text, lang). What reaches the driver is a mask of a bit for each language for every slot,
+    and a row of each language; ``least`` bounds the slots."""
+    spark = docs.sparkSession
     counts = written(ngram_counts(docs), "grams")
     totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
     langs = sorted(totals)
     if not langs:
-        return {"langs": [], "mask": np.zeros((1, slots), np.uint8), "probes": probes}
+        dropped(counts)
+        return {"langs": [], "mask": np.zeros((1, 1 << 10), np.uint8), "probes": probes}
     bits = [(lang, float(totals[lang]), i // WORD, 1 << i % WORD if i % WORD < 63 else -(1 << 63)) for i, lang in enumerate(langs)]
-    bits = F.broadcast(docs.sparkSession.createDataFrame(bits, "lang string, total double, word int, bit long"))
-    top = F.max("share").over(_by("gram"))
+    bits = F.broadcast(spark.createDataFrame(bits, "lang string, total double, word int, bit long"))
+    top = F.max("share").over(Window.partitionBy("gram"))
     share = counts.join(bits, "lang").select("gram", (F.col("n") / F.col("total")).alias("share"), "word", "bit")
-    member = share.withColumn("top", top).where(F.col("share") >= F.col("top") * keep)
-    step = 64 // probes  # the default 3 probes take 20 bits each, none twice
-    slot = F.explode(F.array(*[F.shiftrightunsigned("gram", i * step).bitwiseAND(F.lit(slots - 1)) for i in range(probes)]))
-    rows = member.select("word", "bit", slot.alias("slot")).groupBy("word", "slot").agg(F.bit_or("bit").alias("mask")).toPandas()
+    member = written(share.withColumn("top", top).where((F.col("share") >= F.col("top") * keep) & (F.col("share") >= least)).select("gram", "word", "bit"), "members")
+    most = member.groupBy("word", "bit").count().agg(F.max("count")).first()[0] or 0
+    slots = _slots(most, probes)
+    masks = member.select("word", "bit", F.explode(F.array(*[_slot_of(F.col("gram"), i, slots) for i in range(probes)])).alias("slot"))
+    rows = masks.groupBy("word", "slot").agg(F.bit_or("bit").alias("mask")).toPandas()
     mask = np.zeros((-(-len(langs) // WORD), slots), np.uint64)
     mask[rows["word"].to_numpy(), rows["slot"].to_numpy()] = rows["mask"].to_numpy().astype(np.int64).view(np.uint64)
+    dropped(counts)
+    dropped(member)
     kind = np.uint8 if len(langs) <= 8 else np.uint16 if len(langs) <= 16 else np.uint32 if len(langs) <= 32 else np.uint64
     return {"langs": langs, "mask": mask.astype(kind), "probes": probes}
 
 
-def _by(*cols):
-    from pyspark.sql import Window
+def _slot_of(gram: Column, probe: int, slots: int) -> Column:
+    """The slot of one probe: the n-gram's hash, turned by 21 bits a probe."""
+    turned = gram if not probe else F.shiftrightunsigned(gram, 21 * probe).bitwiseOR(F.shiftleft(gram, 64 - 21 * probe))
+    return turned.bitwiseAND(F.lit(slots - 1))
+
 
-    return Window.partitionBy(*cols)
+def _probe(gram: np.ndarray, probe: int, slots: int) -> np.ndarray:
+    """``_slot_of`` on numpy."""
+    turned = gram if not probe else gram >> U64(21 * probe) | gram << U64(64 - 21 * probe)
+    return (turned & U64(slots - 1)).astype(np.int64)
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """docs plus lang_pred and score, from the text alone. Nulls and texts without letters: ``und`` and 0.0.
+def predict(docs: DataFrame, model: dict, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs plus the predicted language and its score, from the text alone. Nulls and texts without letters: ``und`` and 0.0.
 
-    Extra columns stay, whatever their names but lang_pred and score, which are replaced. Ties go to the first name.
+    Extra columns stay, whatever their names; one that has the name of a new column is kept as ``<name>_input``. Ties go to
+    the first language by name.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded: slots masks
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in keep])
-    schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    docs = aside(docs, *names)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: see fit
+    schema = docs.select("*", F.lit("").alias(names[0]), F.lit(0.0).alias(names[1])).schema
+
+    def votes_of(texts: list[str | None], m: dict, bit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per text: n-grams that each language has, n-grams, has a letter."""
+        mask = m["mask"]
+        votes, n, has = np.zeros((len(texts), len(m["langs"]))), np.zeros(len(texts)), np.zeros(len(texts), bool)
+        for part, at in _slices(texts):
+            gram, who, letters = _ngrams(part)
+            hit = np.full((len(mask), len(gram)), np.iinfo(mask.dtype).max, mask.dtype)
+            for i in range(m["probes"]):
+                slot = _probe(gram, i, mask.shape[1])
+                for word, of in zip(hit, mask):
+                    word &= of[slot]
+            to = slice(at, at + len(part))
+            n[to] += np.bincount(who, minlength=len(part))
+            has[to] |= letters
+            for i in range(len(m["langs"])):
+                votes[to, i] += np.bincount(who, weights=bit(hit, i), minlength=len(part))
+        return votes, n, has
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         langs, mask, k = m["langs"], m["mask"], m["probes"]
         bit = lambda words, i: (words[i // WORD] >> mask.dtype.type(i % WORD)) & mask.dtype.type(1)
         fill = np.array([float(bit(mask, i).mean()) ** k for i in range(len(langs))])
-        step = 64 // k
         for batch in pieces(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            gram, who, has = _ngrams(texts)
-            hit = np.full((len(mask), len(gram)), np.iinfo(mask.dtype).max, mask.dtype)
-            for i in range(k):
-                at = ((gram >> U64(i * step)) & U64(mask.shape[1] - 1)).astype(np.int64)
-                for word, of in zip(hit, mask):
-                    word &= of[at]
-            n = np.bincount(who, minlength=len(texts)).astype(float)
-            votes = np.stack([np.bincount(who, weights=bit(hit, i).astype(np.float64), minlength=len(texts)) for i in range(len(langs))], 1) if langs else np.zeros((len(texts), 0))
+            votes, n, has = votes_of(texts, m, bit)
             share = np.clip((votes / np.maximum(n, 1)[:, None] - fill) / np.maximum(1 - fill, 1e-9), 0, 1)
             ok = has & bool(langs)
             best = share.argmax(1) if langs else np.zeros(len(texts), int)
             score = np.where(ok, share.max(1), 0.0) if langs else np.zeros(len(texts))
-            names = [langs[b] if o else "und" for b, o in zip(best.tolist(), ok.tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            found = [langs[b] if o else "und" for b, o in zip(best.tolist(), ok.tolist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)
 

@@ -293,7 +293,7 @@ def find(docs: DataFrame, weights: dict[tuple[str, str], float]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
-        for batch in pieces(batches, most=32 << 20):
+        for batch in pieces(batches, most=2 << 20):
             base = [base_spans(t or "") for t in batch.column(1).to_pylist()]
             more = [sorted(decode(t or "", b, shared.value)) for t, b in zip(batch.column(1).to_pylist(), base)]
             dicts = [[[{"start": a, "end": b, "kind": k} for a, b, k in row] for row in rows] for rows in (base, more)]
@@ -320,7 +320,7 @@ def redact(docs: DataFrame, weights: dict[tuple[str, str], float]) -> DataFrame:
     has = "n_chars" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, most=32 << 20):
+        for batch in pieces(batches, most=2 << 20):
             at = batch.schema.get_field_index("text")
             cols, new = list(batch.columns), []
             for t in cols[at].to_pylist():

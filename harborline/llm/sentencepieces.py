@@ -5,6 +5,8 @@ piece that matches, and byte pieces for characters the vocabulary lacks (and for
 No piece crosses the start of a run of blanks or a line end, so the lattice falls apart into *chunks* there. Filtering runs
 once for each distinct chunk of a batch; every occurrence then samples its own path from the end backwards, with uniforms that
 depend only on (seed, row key, chunk number, step). Equal keys and texts give equal segmentations, wherever rows are.
+A chunk of more than ``PART_POSITIONS`` characters (a text without blanks) keeps one forward probability for each position, and
+makes its edges window by window, once forwards and once on the way back.
 
 A piece of frequency rank r weighs (r + 2) ** -theta, theta being the inverse temperature.
 """
@@ -12,6 +14,7 @@ A piece of frequency rank r weighs (r + 2) ** -theta, theta being the inverse te
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,14 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, pieces
+from .common import U64, aside, mix, pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THETA, SEED = 1.0, 17
-#: Bytes of text filtered together: chunks repeat, so more text costs less each.
-BATCH_BYTES = 3 << 20
+#: Bytes of text filtered together (chunks repeat, so more text costs less each), and characters of a long text at a time.
+BATCH_BYTES, STRETCH = 1 << 20, 1 << 20
 #: Positions of distinct chunks whose lattices are held at once.
 PART_POSITIONS = 1 << 15
+#: Positions of a longer chunk whose edges are held at once.
+WINDOW = 1 << 13
 _BLANK, _LINE = 0x2581, 10
 _B1 = U64(0x9E3779B97F4A7C15)
 
@@ -118,10 +123,7 @@ class Lattice:
             found, w = self._lookup(mix(h[ok] + U64(k * int(scale) & (1 << 64) - 1)))
             weight[ok + k - 1, k - 1], ids[ok + k - 1, k - 1] = w, found
         lone = np.flatnonzero(ids[:, 0] < 0)
-        letters = text[lone]
-        letters = np.where(letters >= U64(0x110000), letters - U64(0x110000), letters)
-        width = 1 + (letters > U64(0x7F)) + (letters > U64(0x7FF)) + (letters > U64(0xFFFF))
-        weight[lone, 0] = self.byte_weight**width.astype(float)
+        weight[lone, 0] = self._lone(text[lone])
         # alpha is kept relative to a power of ``lift`` per character, which cancels among paths of one position
         alpha = np.zeros((len(size), most))
         alpha[:, 0] = 1.0  # alpha[:, j]: j + 1 characters back from the position at hand
@@ -141,31 +143,59 @@ class Lattice:
         return weight, ids
 
     def encode(self, texts: list[str], keys: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-        """Sampled piece ids of all texts, one after the other, and len(texts) + 1 offsets. keys: 64 bits per row."""
-        parts = [t.encode("utf-32-le", "surrogatepass") for t in texts]
-        blank = (32).to_bytes(4, "little")
-        code = np.frombuffer(blank + blank.join(parts) if parts else b"", np.uint32).astype(np.int64)
-        size = np.fromiter((len(p) // 4 + 1 for p in parts), np.int64, len(parts))
-        if len(size):
-            size[size == 1] = 1
-        off = np.concatenate([[0], np.cumsum(size)])
-        empty = size == 1
-        code = np.where(code == _BLANK, 0x110000 + _BLANK, code)
+        """Sampled piece ids of all texts, one after the other, and len(texts) + 1 offsets. keys: 64 bits per row.
+
+        A long text is encoded in stretches that end where a chunk does; chunks keep their numbers, so nothing changes by it.
+        """
+        got, counts, at = [], np.zeros(len(texts), np.int64), 0
+        for i in [*(i for i, t in enumerate(texts) if len(t) > STRETCH), len(texts)]:
+            if at < i:
+                size = np.fromiter((len(t) + 1 for t in texts[at:i]), np.int64, i - at)
+                ids, n = self._encode(self._codes(texts[at:i]), np.concatenate([[0], np.cumsum(size)]), keys[at:i], seed, 0)
+                got.append(ids)
+                counts[at:i] = n
+            if i < len(texts):
+                code = self._codes(texts[i : i + 1])
+                starts = np.append(np.flatnonzero(self._borders(code, np.zeros(1, np.int64))), len(code))
+                lo, n = 0, len(starts) - 1
+                while lo < n:
+                    hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + STRETCH, "right")) - 1)
+                    ids, _ = self._encode(code[starts[lo] : starts[hi]], np.array([0, starts[hi] - starts[lo]]), keys[i : i + 1], seed, lo)
+                    got.append(ids)
+                    counts[i] += len(ids)
+                    lo = hi
+            at = i + 1
+        return (np.concatenate(got) if got else np.zeros(0, np.int32)), np.concatenate([[0], np.cumsum(counts)])
+
+    @staticmethod
+    def _codes(texts: list[str]) -> np.ndarray:
+        """Code points of all texts, each with a blank in front; blanks are U+2581 and literal ones of these are marked."""
+        code = np.frombuffer("".join([x for t in texts for x in (" ", t)]).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+        code[code == _BLANK] = 0x110000 + _BLANK
         code[code == 32] = _BLANK
+        return code
+
+    @staticmethod
+    def _borders(code: np.ndarray, first: np.ndarray) -> np.ndarray:
         is_blank, is_line = code == _BLANK, code == _LINE
         border = np.zeros(len(code), bool)
         border[1:] = (is_blank[1:] & ~is_blank[:-1]) | is_line[1:] | is_line[:-1]
-        border[off[:-1]] = True
-        start = np.flatnonzero(border)
+        border[first] = True
+        return border
+
+    def _encode(self, code: np.ndarray, off: np.ndarray, keys: np.ndarray, seed: int, numbered: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts code[off[i]:off[i + 1]], one after the other, and how many each has; chunks count from ``numbered``."""
+        texts, empty = len(off) - 1, np.diff(off) == 1
+        start = np.flatnonzero(self._borders(code, off[:-1]))
         end = np.append(start[1:], len(code))
         doc = np.searchsorted(off, start, "right") - 1
         place = np.arange(len(code)) - np.repeat(start, end - start)
         h = mix(code.astype(U64) + place.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+        del place
         h = mix((np.add.reduceat(h, start) if len(start) else h) + (end - start).astype(U64))
-        del place, is_blank, is_line, border
-        keep = ~empty[doc]
+        keep = ~(empty[doc] & (code[start] == _BLANK)) if not numbered else np.ones(len(start), bool)
         start, end, doc, h = start[keep], end[keep], doc[keep], h[keep]
-        ordinal = np.arange(len(start)) - np.searchsorted(doc, doc)
+        ordinal = np.arange(len(start)) - np.searchsorted(doc, doc) + numbered
         _, one, which = np.unique(h, return_index=True, return_inverse=True)
         seeds = mix(keys[doc] ^ mix(ordinal.astype(U64) + U64(seed * int(_B1) & (1 << 64) - 1)))
         pos = (end - start).astype(np.int32)
@@ -179,17 +209,25 @@ class Lattice:
         lo = 0
         while lo < len(one):
             hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + PART_POSITIONS, "right")) - 1)
-            cum, ids = self._filter(code, start[one[lo:hi]], end[one[lo:hi]])
             live = by_chunk[at_chunk[lo] : at_chunk[hi]]
+            if width[lo] > PART_POSITIONS:  # a chunk on its own: its tables are held window by window
+                tables = self._long(code[start[one[lo]] : end[one[lo]]])
+                for chunk in live.tolist():
+                    piece = self._drawn(code[start[chunk] : end[chunk]], tables, seeds[chunk])
+                    got_chunk.append(np.full(len(piece), chunk))
+                    got_id.append(piece)
+                    got_step.append(np.arange(len(piece), dtype=np.int32))
+                lo = hi
+                continue
+            cum, ids = self._filter(code, start[one[lo:hi]], end[one[lo:hi]])
             base = upto[which[live]] - upto[lo]
             step = 0
             while len(live):
                 at = base + pos[live] - 1
-                u = (mix(seeds[live] + U64(step * 0xD1B54A32D192ED03 & (1 << 64) - 1)) >> U64(11)).astype(np.float64) * 2.0**-53
-                k = np.minimum((cum[at] <= u[:, None]).sum(1), cum.shape[1] - 1)
-                piece = ids[at, k].astype(np.int64)
+                k = np.minimum((cum[at] <= _uniform(seeds[live], step)[:, None]).sum(1), cum.shape[1] - 1)
+                piece = ids[at, k]
                 raw = piece < 0
-                piece[raw] = -1 - (code[start[live[raw]] + pos[live[raw]] - 1] % 0x110000)
+                piece[raw] = -1 - (code[start[live[raw]] + pos[live[raw]] - 1] % 0x110000).astype(np.int32)
                 got_chunk.append(live)
                 got_id.append(piece)
                 got_step.append(np.full(len(live), step, np.int32))
@@ -199,28 +237,94 @@ class Lattice:
                 step += 1
             lo = hi
         if not got_chunk:
-            return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+            return np.zeros(0, np.int32), np.zeros(texts, np.int64)
         chunk, piece, back = np.concatenate(got_chunk), np.concatenate(got_id), np.concatenate(got_step)
+        del got_chunk, got_id, got_step
         n = np.bincount(chunk, minlength=len(start))
         ends = np.cumsum(n)
-        out = np.empty(len(piece), np.int64)
+        out = np.empty(len(piece), np.int32)
         out[ends[chunk] - 1 - back] = piece
-        per_doc = np.bincount(doc, weights=n, minlength=len(texts)).astype(np.int64)
+        per_doc = np.bincount(doc, weights=n, minlength=texts).astype(np.int64)
         where = np.flatnonzero(out < 0)
         if len(where):
             spelled = [self.byte_id[np.frombuffer(chr(-1 - c).encode("utf-8", "surrogatepass"), np.uint8)] for c in out[where].tolist()]
             more = np.array([len(s) for s in spelled])
             repeat = np.ones(len(out), np.int64)
             repeat[where] = more
-            owner = np.repeat(np.arange(len(texts)), per_doc)
+            owner = np.repeat(np.arange(texts), per_doc)
             wide = np.repeat(out, repeat)
             first = np.cumsum(repeat)[where] - more
             for j in range(4):
                 has = more > j
                 wide[first[has] + j] = [s[j] for s in spelled if len(s) > j]
-            per_doc = np.bincount(np.repeat(owner, repeat), minlength=len(texts))
+            per_doc = np.bincount(np.repeat(owner, repeat), minlength=texts)
             out = wide
-        return out, np.concatenate([[0], np.cumsum(per_doc)])
+        return out, per_doc
+
+    def _edges(self, code: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and ids of the edges that end at positions lo to hi of one chunk; column k: k + 1 characters long."""
+        low = max(0, lo - self.most + 1)
+        text = code[low:hi].astype(U64)
+        weight, ids = np.zeros((hi - lo, self.most)), np.full((hi - lo, self.most), -1, np.int32)
+        h = np.zeros(len(text), U64)
+        for k in range(1, min(self.most, len(text)) + 1):
+            begin = np.arange(max(0, lo - low - k + 1), len(text) - k + 1)  # those whose edge ends in the window
+            h[: len(text) - k + 1] = h[: len(text) - k + 1] * _B1 + text[k - 1 :] + U64(1)
+            found, w = self._lookup(mix(h[begin] + U64(k * 0x632BE59BD9B4E019 & (1 << 64) - 1)))
+            at = begin + k - 1 - (lo - low)
+            weight[at, k - 1], ids[at, k - 1] = w, found
+        lone = np.flatnonzero(ids[:, 0] < 0)
+        weight[lone, 0] = self._lone(text[lone + lo - low])
+        return weight, ids
+
+    def _lone(self, letters: np.ndarray) -> np.ndarray:
+        """Weight of characters that the vocabulary lacks: a byte piece for each of their bytes."""
+        letters = np.where(letters >= U64(0x110000), letters - U64(0x110000), letters)
+        return self.byte_weight ** (1 + (letters > U64(0x7F)) + (letters > U64(0x7FF)) + (letters > U64(0xFFFF))).astype(float)
+
+    def _long(self, code: np.ndarray) -> np.ndarray:
+        """Forward probabilities of a long chunk's positions: log alpha, 8 bytes each; edges are made window by window."""
+        n, most = len(code), self.most
+        log = np.empty(n)
+        near, scale = np.zeros(WINDOW + most), 0.0
+        near[most - 1] = 1.0  # what stands before the window: the last ``most`` alphas, relative to exp(scale)
+        for lo in range(0, n, WINDOW):
+            weight = np.ascontiguousarray(self._edges(code, lo, min(n, lo + WINDOW))[0][:, ::-1])
+            mark = np.zeros(len(weight))
+            for i, row in enumerate(weight):
+                total = near[i : i + most] @ row
+                if total < 1e-150:
+                    near[i : i + most] /= total
+                    scale += math.log(total)
+                    mark[max(0, i - most) : i] = scale
+                    total = 1.0
+                near[i + most] = total
+                mark[i] = scale
+            log[lo : lo + len(weight)] = np.log(near[most : most + len(weight)]) + mark
+            near[:most] = near[len(weight) : len(weight) + most]
+        return log
+
+    def _drawn(self, code: np.ndarray, log: np.ndarray, seed: np.uint64) -> np.ndarray:
+        """A long chunk's pieces from the last to the first (below zero: a character by its bytes), sampled from ``_long``."""
+        pos, step, low, out, most = len(code), 0, len(code), [], self.most
+        seeds = np.full(WINDOW, seed)
+        while pos:
+            if pos <= low:
+                high, low = pos, max(0, pos - WINDOW)
+                weight, ids = self._edges(code, low, high)
+                # probability of each edge that ends at a position: alpha where it begins, times its weight
+                back = np.arange(low, high)[:, None] - np.arange(most)[None, :] - 1
+                before = np.where(back >= 0, log[np.maximum(back, 0)], 0.0)
+                with np.errstate(divide="ignore"):
+                    cum = np.cumsum(np.exp(before + np.log(weight) - log[low:high, None]), 1)
+                cum /= cum[:, -1:]
+                u, begun = _uniform(seeds, np.arange(step, step + WINDOW)), step
+            k = min(int(np.searchsorted(cum[pos - 1 - low], u[step - begun], "right")), most - 1)
+            piece = int(ids[pos - 1 - low, k])
+            out.append(piece if piece >= 0 else -1 - int(code[pos - 1]) % 0x110000)
+            pos -= k + 1
+            step += 1
+        return np.array(out, np.int32)
 
     def decode(self, ids: np.ndarray, off: np.ndarray) -> list[str]:
         """The texts that ids[off[i]:off[i + 1]] spell."""
@@ -260,6 +364,12 @@ class Lattice:
         return out
 
 
+def _uniform(seeds: np.ndarray, step: int | np.ndarray) -> np.ndarray:
+    """Uniforms in [0, 1) of (seed, step)."""
+    turn = np.asarray(step).astype(U64) * U64(0xD1B54A32D192ED03)
+    return (mix(seeds + turn) >> U64(11)).astype(np.float64) * 2.0**-53
+
+
 @lru_cache(maxsize=2)
 def _lattice(names: tuple[str, ...], kinds: tuple[int, ...], theta: float) -> Lattice:
     return Lattice(list(names), list(kinds), theta)
@@ -278,9 +388,9 @@ def _keys(col: pa.Array) -> np.ndarray:
 def encoded(docs: DataFrame, model: str = MODEL, theta: float = THETA, seed: int = SEED, key: str = "doc_id") -> DataFrame:
     """docs with text replaced by ids array<int>; a null text has null ids, an empty one none. Other columns stay.
 
-    A column named ids is replaced.
+    A column named ids is kept as ids_input.
     """
-    docs = docs.drop("ids")
+    docs = aside(docs, "ids")
     shared = docs.sparkSession.sparkContext.broadcast(tuple(map(tuple, vocabulary(model))))  # bounded: the vocabulary
     others = [c for c in docs.columns if c != "text"]
     ordered = docs.select(*[F.col(f"`{c}`") for c in others], "text")
@@ -293,7 +403,8 @@ def encoded(docs: DataFrame, model: str = MODEL, theta: float = THETA, seed: int
             ids, off = lattice.encode([t or "" for t in texts], _keys(batch.column(others.index(key))), seed)
             none = pa.array([t is None for t in texts])
             lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))
-            lists = pa.compute.if_else(none, pa.scalar(None, lists.type), lists) if any(none.to_pylist()) else lists
+            if batch.column(len(others)).null_count:
+                lists = pa.compute.if_else(none, pa.scalar(None, lists.type), lists)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*others, "ids"])
 
     return ordered.mapInArrow(run, schema)

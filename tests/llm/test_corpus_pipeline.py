@@ -34,6 +34,18 @@ def test_each_stage(spark, sf_dir):
     assert back == {r.doc_id: r.text for r in docs.collect()}
 
 
+def test_columns_of_the_table_survive_every_stage(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    names = ["score", "lang_pred", "position", "slot", "block", "_n", "_rank", "_kept", "place", "kept", "bucket", "n", "s", "ids"]
+    docs = docs.selectExpr("*", *[f"concat('{n}', doc_id) as {n}" for n in names]).cache()
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, sf_dir).cache()
+        kept = {n: n for n in names} | ({"ids": "ids_input", "position": "position_input"} if name == "encoding" else {})
+        assert docs.where(" or ".join(f"{kept[n]} is distinct from concat('{n}', doc_id)" for n in names)).count() == 0
+        assert name == "encoding" or docs.columns == before.columns
+        assert docs.count() > 20
+
+
 def test_last_stage_returns_the_mixture_order(spark, sf_dir, tmp_path):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10**6)).cache()

@@ -286,9 +286,11 @@ def test_language_held_out_accuracy(spark, sf_dir):
 
 def test_language_odd_rows(spark, odd):
     train = spark.createDataFrame([("en", "the cat and the hat in the house"), ("fr", "le chat et la maison avec une porte"), (None, "the"), ("en", None)], "lang string, text string")
-    model = langid.fit(train, slots=1 << 14)
+    model = langid.fit(train)
     rows = spark.createDataFrame([(1, "the house and the cat", "z"), (2, "123 !!", "z"), (3, None, "z"), (4, "", None), (5, "une maison et le chat", "z")], "doc_id long, text string, score string")
-    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(rows, model).collect()}
+    said = langid.predict(rows, model).collect()
+    assert {r.doc_id: r.score_input for r in said} == {1: "z", 2: "z", 3: "z", 4: None, 5: "z"}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in said}
     assert got[1][0] == "en" and got[5][0] == "fr" and {got[i] for i in (2, 3, 4)} == {("und", 0.0)}
     none = langid.fit(train.where("lang is null"))
     assert {r.lang_pred for r in langid.predict(odd, none).collect()} == {"und"}
@@ -302,14 +304,84 @@ def test_more_than_64_languages(spark):
     assert all(got[i].lang_pred == f"l{i:03}" and got[i].score > 0.9 for i in range(150))
 
 
+def test_votes_against_plain_filters(spark):
+    """The filters written out: sets of slots per language, one n-gram and one probe at a time."""
+    rng = random.Random(12)
+    own = {"en": "the house and the cat sat on a mat", "fr": "le chat et la maison avec une porte", "de": "das haus und die katze auf dem dach"}
+    rows = [(k, " ".join(rng.choice(t.split()) for _ in range(40))) for k, t in own.items() for _ in range(3)]
+    train = spark.createDataFrame(rows, "lang string, text string")
+    model = langid.fit(train)
+
+    def grams(t):
+        t = " " + re.sub(r"[^a-z]+", " ", t.lower()).strip() + " "
+        return [t[i : i + n] for n in (2, 3, 4) for i in range(len(t) - n + 1)]
+
+    count = {k: Counter(g for lang, t in rows if lang == k for g in grams(t)) for k in own}
+    share = {k: {g: n / sum(c.values()) for g, n in c.items()} for k, c in count.items()}
+    top = {g: max(s.get(g, 0) for s in share.values()) for c in count.values() for g in c}
+    hashed = lambda g: langid._ngrams([g.strip()])
+
+    def slots(g):
+        h = np.full(1, len(g), np.uint64)
+        for c in g:
+            h = h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(ord(c)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = langid.mix(h)
+        return [int(langid._probe(h, i, model["mask"].shape[1])[0]) for i in range(model["probes"])]
+
+    filters = {k: {s for g in share[k] if share[k][g] >= 0.25 * top[g] for s in slots(g)} for k in own}
+    for i, k in enumerate(sorted(own)):
+        assert set(np.flatnonzero(model["mask"][0] >> i & 1).tolist()) == filters[k]
+    texts = ["the cat and le chat", "auf dem dach", "zzz", "a mat, a door; the house"]
+    got = langid.predict(spark.createDataFrame(enumerate(texts), KIND), model).orderBy("doc_id").collect()
+    for r, t in zip(got, texts):
+        fill = {k: (len(filters[k]) / model["mask"].shape[1]) ** model["probes"] for k in own}
+        score = {k: max(0.0, (sum(all(s in filters[k] for s in slots(g)) for g in grams(t)) / len(grams(t)) - fill[k]) / (1 - fill[k])) for k in own}
+        assert abs(r.score - max(score.values())) < 1e-9 and score[r.lang_pred] == max(score.values())
+    assert hashed("the")[2].all()
+
+
+def test_filter_grows_with_the_corpus_and_stays_bounded():
+    assert langid._slots(100, 3) == 1 << 11 and langid._slots(10**6, 3) == 1 << 24
+    for members in 10, 1000, 300_000, 1 << 20:
+        assert 1 - math.exp(-3 * members / langid._slots(members, 3)) <= langid.FILL
+
+
 # ---- 6 mixing
 
 
+def period(weights):
+    """Per source, the slots of its blocks within one period: earliest deadline first, written out."""
+    total, had = sum(weights), [0] * len(weights)
+    slots = [[] for _ in weights]
+    for slot in range(total):
+        free = [s for s, w in enumerate(weights) if had[s] * total // w <= slot]
+        s = min(free, key=lambda s: (-(-(had[s] + 1) * total // weights[s]), s))
+        slots[s].append(slot)
+        had[s] += 1
+    return slots
+
+
+def phases(blocks, weights):
+    """(source, first block, end block, first slot, weight, period, slots) for every source and phase it is active in."""
+    left, done, start, out = list(blocks), [0] * len(blocks), 0, []
+    while active := [s for s, n in enumerate(left) if n > 0]:
+        ws = [weights[s] for s in active]
+        slots, total = period(ws), sum(ws)
+        end = min((left[s] - 1) // w * total + slots[k][(left[s] - 1) % w] + 1 for k, (s, w) in enumerate(zip(active, ws)))
+        for k, (s, w) in enumerate(zip(active, ws)):
+            ran = end // total * w + sum(x < end % total for x in slots[k])
+            out.append((s, done[s], done[s] + ran, start, w, total, slots[k]))
+            done[s] += ran
+            left[s] -= ran
+        start += end
+    return out
+
+
 def test_period_stays_within_a_block():
     rng = random.Random(3)
     for _ in range(100):
         ws = [rng.randint(1, 40) for _ in range(rng.randint(1, 9))]
-        for w, slots in zip(ws, mixing.period(ws)):
+        for w, slots in zip(ws, period(ws)):
             done = 0
             for t in range(sum(ws)):
                 done += done < len(slots) and slots[done] == t
@@ -320,7 +392,7 @@ def test_phases_use_every_block_once():
     rng = random.Random(4)
     for _ in range(100):
         n, ws = [rng.randint(0, 50) for _ in range(5)], [rng.randint(1, 20) for _ in range(5)]
-        seen = [(s, start + (k - a) // w * total + slots[(k - a) % w]) for s, a, b, start, w, total, slots in mixing.phases(n, ws) for k in range(a, b)]
+        seen = [(s, start + (k - a) // w * total + slots[(k - a) % w]) for s, a, b, start, w, total, slots in phases(n, ws) for k in range(a, b)]
         assert sorted(x[1] for x in seen) == list(range(sum(n))) and [sum(s == x for x, _ in seen) for s in range(5)] == n
 
 
@@ -346,7 +418,7 @@ def test_schedule_stays_within_a_block_of_the_target_itself():
     rng = random.Random(9)
     for _ in range(50):
         n, ws = [rng.randint(0, 50) for _ in range(5)], [rng.randint(1, 20) for _ in range(5)]
-        want = {(s, k): start + (k - a) // w * total + x[(k - a) % w] for s, a, b, start, w, total, x in mixing.phases(n, ws) for k in range(a, b)}
+        want = {(s, k): start + (k - a) // w * total + x[(k - a) % w] for s, a, b, start, w, total, x in phases(n, ws) for k in range(a, b)}
         assert {(s, k): x for s, xs in enumerate(mixing.schedule(n, ws)) for k, x in enumerate(xs)} == want
 
 
@@ -356,9 +428,10 @@ def test_mixed_slots_follow_the_schedule(spark, monkeypatch):
     names = [None, "a", "b"]
     w = mixing.exact_weights(n, None)
     want = mixing.schedule([-(-n[s] // 4) for s in names], [w[s] for s in names])
-    for chunk, most in (1024, 10**6), (7, 0):
+    for chunk, rows in (1024, 2048), (7, 3):
         monkeypatch.setattr(mixing, "CHUNK_BLOCKS", chunk)
-        monkeypatch.setattr(mixing, "BROADCAST_SLOTS", most)
+        monkeypatch.setattr(mixing, "BUCKET_ROWS", rows)
+        monkeypatch.setattr(mixing, "GROUP_BUCKETS", chunk)
         got = {(r.source, r.block, r.slot) for r in mixing.mixed(docs, None, 4).collect()}
         assert got == {(s, k, x) for s, xs in zip(names, want) for k, x in enumerate(xs)}
 
@@ -366,10 +439,13 @@ def test_mixed_slots_follow_the_schedule(spark, monkeypatch):
 def test_mixture_keeps_rows(spark):
     rows = [(i, f"s{i % 3}" if i % 7 else None, "t") for i in range(300)] + [(5, "s0", "t")] * 40 + [(None, "s1", None)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, slot string").repartition(5)
-    got = mixing.mixed(docs.withColumnRenamed("slot", "text"), {"s0": 3, "s1": 1, None: 1}, 8).toPandas()
+    got = mixing.mixed(docs, {"s0": 3, "s1": 1, None: 1}, 8).toPandas()
+    assert sorted(got.slot_input.astype(str)) == sorted(str(r[2]) for r in rows)
     assert len(got) == len(rows) and got.position.is_unique
     assert (got.groupby("slot").source.nunique(dropna=False) == 1).all() and (got.groupby("slot").size() <= 8).all()
-    assert mixing.in_order(docs, None, 8).columns == docs.columns
+    odd = docs.selectExpr("*", "doc_id as position", "doc_id as _rank", "doc_id as before", "'x' as block", "map(1, 2) as m")
+    back = mixing.in_order(odd, None, 8)
+    assert back.columns == odd.columns and sorted(map(str, back.drop("m").collect())) == sorted(map(str, odd.drop("m").collect()))
     assert mixing.mixed(docs.limit(0)).count() == 0
 
 
@@ -580,3 +656,23 @@ def test_pieces_rows(spark, odd, empty):
     back = sentencepieces.decoded(sentencepieces.encoded(docs))
     assert {r.doc_id: r.text for r in back.collect()} == dict(enumerate([*TEXTS, None]))
     assert sentencepieces.op10(empty).count() == 0
+
+
+def test_long_chunks_are_sampled_alike_by_windows(monkeypatch):
+    lattice = sentencepieces.Lattice(*sentencepieces.vocabulary())
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdefgh01AB漢é▁") for _ in range(40_000)), "short one\n two", "", "aa bb " * 3000]
+    keys = np.array([5, 6, 7, 8], np.uint64)
+    ids, off = lattice.encode(texts, keys)
+    assert lattice.decode(ids, off) == texts
+    monkeypatch.setattr(sentencepieces, "PART_POSITIONS", 1 << 17)
+    whole = lattice.encode(texts, keys)
+    assert np.array_equal(ids, whole[0]) and np.array_equal(off, whole[1])
+    monkeypatch.setattr(sentencepieces, "STRETCH", 1000)
+    assert np.array_equal(ids, lattice.encode(texts, keys)[0])
+
+
+def test_a_very_long_text_without_blanks_keeps_within_memory(spark):
+    text = "".join(random.Random(4).choice("abcdefgh01AB") for _ in range(1000)) * 2000
+    got = sentencepieces.op10(spark.createDataFrame([(1, text)], KIND)).collect()[0]
+    assert got.lossless and got.n_pieces > 100_000
