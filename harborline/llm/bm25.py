@@ -1,12 +1,18 @@
 """Exact top-k BM25 search with block-max WAND pruning over sharded inverted indexes.
 
 Documents fall into shards of bounded text size; each shard's index is built in one task and written. In a shard, documents
-are ordered so that similar ones are near, and cut into blocks; each (term, block) keeps its largest impact. For a query,
-the sums of these are upper bounds of the blocks; blocks are opened from the highest bounds down, and one whose bound does not
-reach the k-th best score so far is skipped unread (the WAND pivot test, made for many queries and blocks at once). Scores use the statistics of all
-shards (document frequencies, mean length), so merging the shards' best k gives the exact answer.
-
-Queries go to the shards in rounds, each a broadcast of bounded size; the query set may be any size.
+are ordered so that similar ones are near, and cut into blocks of ``BLOCK_DOCS``. A *cell* is what a term's list has in a block:
+the greatest count, the least length, and where its postings lie. Count and length bound the term's impact on the block's
+documents whatever the mean length of all shards turns out to be.
+
+A search reads the cells of the query's terms first. A query's cursor then goes through the blocks in document order to its
+next pivot, the first block where the maxima of its terms sum up to its k-th best score so far; only there are postings read and
+scored, and whatever lies between two pivots stays unread. The block with the largest sum goes first, as it raises the
+threshold. Many queries move along together, so a block's cells are read once for all queries that stop there. Scores use the
+statistics of all shards (document frequencies, mean length), so merging the shards' best k gives the exact answer.
+
+Queries go to the shards in rounds, each a broadcast of bounded size; the query set may be any size. A round's answers are
+written before the next begins.
 """
 
 from __future__ import annotations
@@ -18,14 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, n_blocks, pieces, span_hashes, tokens, utf8, written
+from .common import LOWER, U64, dropped, n_blocks, pieces, span_hashes, tokens, utf8, written
 
 K1, B, TOP = 1.2, 0.75, 10
 SHARD_BYTES, BLOCK_DOCS = 8 << 20, 16
+#: Shards that one task searches one after the other, so that thresholds carry over.
+TASK_SHARDS = 8
 #: Terms in so large a share of the documents, and no more of them, are scored as a dense matrix.
 DENSE_SHARE, DENSE_TERMS = 0.02, 1024
-#: Text of the queries of one round, in bytes: bounds each broadcast.
+#: Bytes of one round's queries, text and dense row of each: bounds each broadcast.
 ROUND_BYTES = 32 << 20
+_KINDS = {"ids": np.int64, "real": bool, "length": np.int64, "terms": U64, "df": np.uint32, "first": np.uint32, "block": np.uint32, "most": np.uint32, "least": np.uint32, "at": np.uint32, "doc": np.uint32, "tf": np.uint32}
 
 
 def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -35,8 +44,37 @@ def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(raw, start, end), doc
 
 
+def indexed(w: np.ndarray, d: np.ndarray, ids: np.ndarray, real: np.ndarray, block: int = BLOCK_DOCS) -> dict[str, np.ndarray]:
+    """The index of one shard: w and d are its tokens' words and documents; ids, real: per document its id and if it has one."""
+    at = len(ids)
+    length = np.bincount(d, minlength=at)
+    terms, which = np.unique(w, return_inverse=True)
+    pair, count = np.unique(which.astype(np.int64) * max(1, at) + d, return_counts=True)
+    term, doc = pair // max(1, at), pair % max(1, at)
+    df = np.bincount(term, minlength=len(terms))
+    # neighbours by their first frequent term (much the same language), then by the rarest term that fills a block, then by length
+    widely, common = df[term] * 10 >= at, df[term] >= block
+    tongue, subject = np.full(at, len(terms)), np.full(at, len(terms) * (at + 1), np.int64)
+    np.minimum.at(tongue, doc[widely], term[widely])
+    np.minimum.at(subject, doc[common], (df[term] * len(terms) + term)[common])
+    order = np.lexsort((length, subject, tongue))
+    place = np.empty(at, np.int64)
+    place[order] = np.arange(at)
+    doc = place[doc]
+    sort = np.lexsort((doc, term))
+    term, doc, count, length = term[sort], doc[sort], count[sort], length[order]
+    new = np.ones(len(term), bool)
+    new[1:] = (term[1:] != term[:-1]) | (doc[1:] // block != doc[:-1] // block)
+    cell = np.flatnonzero(new)
+    return {
+        "ids": ids[order], "real": real[order], "length": length, "terms": terms, "df": df, "first": np.searchsorted(term[cell], np.arange(len(terms) + 1)),
+        "block": doc[cell] // block, "most": np.maximum.reduceat(count, cell) if len(cell) else cell, "least": np.minimum.reduceat(length[doc], cell) if len(cell) else cell, "at": np.append(cell, len(term)),
+        "doc": doc, "tf": count,
+    }
+
+
 def build(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The written index, a row per shard: ids, lengths, terms, offsets, postings (document, count). docs: doc_id, text."""
+    """The written index, a row per shard (see ``indexed``). docs: doc_id, text."""
     n = n_blocks(docs, F.coalesce(F.octet_length("text"), F.lit(0)) + 16, shard_bytes)
     dealt = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).alias("shard"))
 
@@ -47,43 +85,22 @@ def build(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
             words.append(w)
             owner.append(d + at)
             at += batch.num_rows
-        w, d = np.concatenate(words), np.concatenate(owner)
-        length = np.bincount(d, minlength=at)
-        terms, which = np.unique(w, return_inverse=True)
-        # neighbours by the frequent term of lowest hash, then by length
-        pair, count = np.unique(which.astype(np.int64) * at + d, return_counts=True)
-        term, doc = pair // at, pair % at
-        df = np.bincount(term, minlength=len(terms))
-        common = df[term] * 10 >= at
-        label = np.full(at, len(terms))
-        np.minimum.at(label, doc[common], term[common])
-        place = np.empty(at, np.int64)
-        order = np.lexsort((length, label))
-        place[order] = np.arange(at)
-        doc = place[doc]
-        sort = np.lexsort((doc, term))
-        null = table.column("doc_id").is_null().to_numpy()
-        ids = table.column("doc_id").fill_null(0).to_numpy()
-        cols = {
-            "shard": pa.array([table.column("shard")[0].as_py()]),
-            "ids": ids[order].tobytes(),
-            "real": (~null[order]).tobytes(),
-            "length": length[order].astype(np.int64).tobytes(),
-            "terms": terms.tobytes(),
-            "df": df.astype(np.uint32).tobytes(),
-            "doc": doc[sort].astype(np.uint32).tobytes(),
-            "tf": count[sort].astype(np.uint32).tobytes(),
-        }
-        return pa.table({k: v if k == "shard" else pa.array([v], pa.binary()) for k, v in cols.items()})
-
-    return written(dealt.groupBy("shard").applyInArrow(run, "shard long, ids binary, real binary, length binary, terms binary, df binary, doc binary, tf binary"), "index")
+        row = indexed(np.concatenate(words), np.concatenate(owner), table.column("doc_id").fill_null(0).to_numpy(), ~table.column("doc_id").is_null().to_numpy())
+        cols = {k: pa.array([row[k].astype(kind).tobytes()], pa.binary()) for k, kind in _KINDS.items()}
+        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()]), **cols})
+
+    return written(dealt.groupBy("shard").applyInArrow(run, "shard long, " + ", ".join(f"{k} binary" for k in _KINDS)), "index")
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    kinds = {"ids": np.int64, "real": bool, "length": np.int64, "terms": U64, "df": np.uint32, "doc": np.uint32, "tf": np.uint32}
     for batch in batches:
         for i in range(batch.num_rows):
-            yield {n: np.frombuffer(batch.column(k)[i].as_py(), kinds[n]) for k, n in enumerate(batch.schema.names) if n in kinds}
+            yield {n: np.frombuffer(batch.column(k)[i].as_py(), _KINDS[n]) for k, n in enumerate(batch.schema.names) if n in _KINDS}
+
+
+def _cat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The ranges of ``size`` from each start, one after the other."""
+    return np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum())) if len(size) else np.zeros(0, np.int64)
 
 
 class Round:
@@ -108,8 +125,7 @@ class Round:
     def spread(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For sparse terms: each one's queries, one after the other, and how many each has."""
         n = self.first[term + 1] - self.first[term]
-        at = np.repeat(self.first[term] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-        return self.query[at], n
+        return self.query[_cat(self.first[term], n)], n
 
 
 class Best:
@@ -131,72 +147,91 @@ class Best:
             self.score[rows], self.doc[rows] = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_d, order, 1)
 
 
-def search_shard(row: dict, mean: float, asked: Round, best: Best, itself: bool, block: int = BLOCK_DOCS) -> tuple[int, int]:
-    """Let one shard improve ``best``; returns how many (query, block) pairs were opened, and of how many.
-
-    Bounds of all queries on all blocks come first; pairs are then opened block by block while their bound can still reach
-    the query's k-th best score, which later blocks and shards inherit.
-    """
+def search_shard(row: dict, mean: float, asked: Round, best: Best, itself: bool, block: int = BLOCK_DOCS) -> dict[str, int]:
+    """Let one shard improve ``best``. Returns how many (query, block) pairs were opened, of how many, and how many postings of
+    asked terms were read, of how many."""
+    reads = dict.fromkeys(("opened", "pairs", "read", "postings"), 0)
+    at = np.minimum(np.searchsorted(row["terms"], asked.every), max(0, len(row["terms"]) - 1))
+    term = np.flatnonzero(row["terms"][at] == asked.every) if len(row["terms"]) else np.zeros(0, np.int64)
+    if not len(term):
+        return reads
     n, blocks = len(row["length"]), -(-len(row["length"]) // block)
-    norm = K1 * (1 - B + B * row["length"] / mean)
-    wanted = np.full(len(row["terms"]), -1)
-    if not len(wanted):
-        return 0, 0
-    at = np.minimum(np.searchsorted(row["terms"], asked.every), len(wanted) - 1)
-    ok = row["terms"][at] == asked.every
-    wanted[at[ok]] = np.flatnonzero(ok)
-    term = np.repeat(wanted, row["df"])
-    mine = np.flatnonzero(term >= 0)
-    term, doc, tf = term[mine], row["doc"][mine].astype(np.int64), row["tf"][mine].astype(float)
-    value = asked.idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+    norm = np.zeros(blocks * block)
+    norm[:n] = K1 * (1 - B + B * row["length"] / mean)
+    size = (row["first"][at[term] + 1] - row["first"][at[term]]).astype(np.int64)
+    cell = _cat(row["first"][at[term]].astype(np.int64), size)
+    term, where = np.repeat(term, size), row["block"][cell].astype(np.int64)
+    begin, count = row["at"][cell].astype(np.int64), np.diff(row["at"].astype(np.int64))[cell]
+    reads |= {"pairs": len(best.queries) * blocks, "postings": int(count.sum())}
+    # bounds from the cells alone: greatest count at the least length
+    tf = row["most"][cell].astype(float)
+    most = asked.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * row["least"][cell] / mean))
     column = asked.column[term]
-    dense = np.zeros((asked.has.shape[1], blocks * block))
     often = column >= 0
-    dense[column[often], doc[often]] = value[often]
-    term, doc, value = term[~often], doc[~often], value[~often]
-    bound = asked.has @ dense.reshape(len(dense), blocks, block).max(2)
-    # block maxima of the sparse terms; postings are in order of term and document
-    cell = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (doc[1:] // block != doc[:-1] // block)])) if len(term) else np.zeros(0, np.int64)
-    most = np.maximum.reduceat(value, cell) if len(cell) else np.zeros(0)
-    size = np.cumsum(asked.first[term[cell] + 1] - asked.first[term[cell]])
-    for lo, hi in _cuts(size, 1_000_000):
-        query, times = asked.spread(term[cell[lo:hi]])
-        bound += np.bincount(query * blocks + np.repeat(doc[cell[lo:hi]] // block, times), weights=np.repeat(most[lo:hi], times), minlength=bound.size).reshape(bound.shape)
+    top = np.zeros((asked.has.shape[1], blocks))
+    top[column[often], where[often]] = most[often]
+    bound = asked.has @ top
+    rare = np.flatnonzero(~often)
+    times = np.cumsum(asked.first[term[rare] + 1] - asked.first[term[rare]])
+    for lo, hi in _cuts(times, 1_000_000):
+        part = rare[lo:hi]
+        query, many = asked.spread(term[part])
+        bound += np.bincount(query * blocks + np.repeat(where[part], many), weights=np.repeat(most[part], many), minlength=bound.size).reshape(bound.shape)
     bound = bound * (1 + 1e-9) + 1e-6  # sums of floats in another order, and scores rounded to six places
-    order = np.argsort(doc, kind="stable")
-    term, doc, value = term[order], doc[order], value[order]
-    begin = np.searchsorted(doc, np.arange(blocks + 1) * block)
+    del top, most, tf
+    order = np.argsort(where, kind="stable")
+    edge = np.searchsorted(where[order], np.arange(blocks + 1))
     ids, real = np.zeros(blocks * block, np.int64), np.zeros(blocks * block, bool)
     ids[:n], real[:n] = row["ids"], row["real"]
     place = np.full(len(best.queries), -1)
-    opened, done = 0, np.zeros(bound.shape, bool)
+
+    def values(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The documents of these cells' postings, and each one's impact: the only place where postings are read."""
+        at = _cat(begin[cells], count[cells])
+        reads["read"] += len(at)
+        doc, tf = row["doc"][at].astype(np.int64), row["tf"][at].astype(float)
+        return doc, np.repeat(asked.idf[term[cells]], count[cells]) * tf * (K1 + 1) / (tf + norm[doc])
 
     def open_(b: int, rows: np.ndarray) -> None:
-        score = asked.has[rows] @ dense[:, b * block : (b + 1) * block]
+        cells = order[edge[b] : edge[b + 1]]
+        has = asked.has[rows]
+        dense = cells[often[cells]]
+        dense = dense[has.any(0)[column[dense]]]
+        doc, value = values(dense)
+        grid = np.zeros((has.shape[1], block))
+        grid[np.repeat(column[dense], count[dense]), doc - b * block] = value
+        score = has @ grid
+        sparse = cells[~often[cells]]
         place[rows] = np.arange(len(rows))
-        s, e = begin[b], begin[b + 1]
-        query, times = asked.spread(term[s:e])
-        here = place[query]
-        where = here * block + np.repeat(doc[s:e] - b * block, times)
-        score += np.bincount(where[here >= 0], weights=np.repeat(value[s:e], times)[here >= 0], minlength=score.size).reshape(score.shape)
+        query, many = asked.spread(term[sparse])
+        wanted = place[query] >= 0
+        pair_cell, pair_row = np.repeat(np.arange(len(sparse)), many)[wanted], place[query][wanted]
         place[rows] = -1
+        if len(pair_cell):
+            used, which = np.unique(pair_cell, return_inverse=True)
+            doc, value = values(sparse[used])
+            first = np.concatenate([[0], np.cumsum(count[sparse[used]])])
+            many = count[sparse[used]][which]
+            at = _cat(first[which], many)
+            score += np.bincount(np.repeat(pair_row, many) * block + doc[at] - b * block, weights=value[at], minlength=score.size).reshape(score.shape)
         here = ids[b * block : (b + 1) * block]
         score[:, ~real[b * block : (b + 1) * block]] = -1.0
         if not itself:
             score[best.queries[rows][:, None] == here] = -1.0
         best.add(rows, score, here)
+        reads["opened"] += len(rows)
 
-    # the most promising block of each query first: it raises the floor for the others
-    top = bound.argmax(1)
-    for wave in (0, 1):
-        for b in np.unique(top) if wave == 0 else np.argsort(-bound.max(0)):
-            can = (bound[:, b] >= np.maximum(best.score[:, -1], 2e-6)) & ~done[:, b]
-            rows = np.flatnonzero(can & (top == b) if wave == 0 else can)
-            if len(rows):
-                open_(int(b), rows)
-                done[rows, b] = True
-                opened += len(rows)
-    return opened, bound.size
+    peak, done = bound.argmax(1), np.zeros(bound.shape, bool)
+    for b in np.unique(peak).tolist():  # the most promising block of each query
+        rows = np.flatnonzero((peak == b) & (bound[:, b] >= np.maximum(best.score[:, -1], 2e-6)))
+        if len(rows):
+            open_(b, rows)
+            done[rows, b] = True
+    for b in range(blocks):  # document order; a query stops where its summed maxima reach its threshold
+        rows = np.flatnonzero((bound[:, b] >= np.maximum(best.score[:, -1], 2e-6)) & ~done[:, b])
+        if len(rows):
+            open_(b, rows)
+    return reads
 
 
 def _cuts(total: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -223,21 +258,19 @@ def search(index: DataFrame, queries: DataFrame, k: int = TOP, round_bytes: int
         for row in _each(batches):
             yield pa.RecordBatch.from_arrays([pa.array([len(row["length"])]), pa.array([int(row["length"].sum())])], names=["n", "w"])
 
-    n, w = index.select("length").mapInArrow(lengths, "n long, w long").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    shards, n, w = index.select("length").mapInArrow(lengths, "n long, w long").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
     mean = max(w / max(1, n), 1e-9)
-    rounds = n_blocks(queries, F.coalesce(F.octet_length("text"), F.lit(0)) + 16, round_bytes)
-    out = None
+    rounds = n_blocks(queries, F.coalesce(F.octet_length("text"), F.lit(0)) + 8 * DENSE_TERMS, round_bytes)
+    parts = []
     for number in range(rounds):
-        asked = queries.where("query_id is not null").where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == number) if rounds > 1 else queries.where("query_id is not null")
+        asked = queries.where("query_id is not null").where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == number)
 
         def terms(batches):
             for batch in pieces(batches):
                 words, doc = _words(batch.column(1))
-                ids = batch.column(0).to_numpy()
-                at = np.searchsorted(doc, np.arange(len(ids) + 1))
-                for i in range(len(ids)):
-                    mine = np.unique(words[at[i] : at[i + 1]])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 1]), pa.array([mine.tobytes()], pa.binary())], names=["query_id", "terms"])
+                at = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+                sets = [np.unique(words[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["query_id", "terms"])
 
         rows = asked.select(F.col("query_id").cast("long"), "text").mapInArrow(terms, "query_id long, terms binary").collect()  # bounded by round_bytes
         if not rows:
@@ -261,7 +294,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = TOP, round_bytes: int
         df[got["t"].to_numpy()] = got["df"].to_numpy()
         pack = spark.sparkContext.broadcast(Round(np.array([r[0] for r in rows]), mine, every, df, n))
 
-        def answer(batches, pack=pack):
+        def answer(batches):
             asked = pack.value
             best = Best(asked.ids, k)
             for row in _each(batches):
@@ -269,11 +302,12 @@ def search(index: DataFrame, queries: DataFrame, k: int = TOP, round_bytes: int
             q, r = np.nonzero(best.score > 0)
             yield pa.RecordBatch.from_arrays([pa.array(asked.ids[q]), pa.array(best.doc[q, r]), pa.array(best.score[q, r])], names=["query_id", "doc_id", "score"])
 
-        # a task carries its floors from shard to shard, so as many tasks as run at once are best
-        part = index.drop("shard").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(answer, "query_id long, doc_id long, score double")
-        out = part if out is None else out.union(part)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
+        few = index.drop("shard", "df").coalesce(max(1, -(-shards // TASK_SHARDS)))
+        parts.append(written(few.mapInArrow(answer, "query_id long, doc_id long, score double"), "answers"))
+        pack.destroy()
+        shared_terms.destroy()
+    schema = "query_id long, doc_id long, score double"
+    out = spark.read.schema(schema).parquet(*[p._harborline_path for p in parts]) if parts else spark.createDataFrame([], schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
@@ -281,7 +315,10 @@ def search(index: DataFrame, queries: DataFrame, k: int = TOP, round_bytes: int
 def op3(docs: DataFrame) -> DataFrame:
     """Best ten of all documents for each whole text whose doc_id is divisible by 100, the document itself left out."""
     queries = docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text")
-    return search(build(docs.select("doc_id", "text")), queries)
+    index = build(docs.select("doc_id", "text"))
+    out = search(index, queries)
+    dropped(index)  # the answers are written
+    return out
 
 
 OP3_SQL = r"""

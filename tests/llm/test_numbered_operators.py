@@ -214,27 +214,30 @@ def test_search_is_exact_over_shards(spark, docs, corpus):
     assert index.count() > 3
     queries = [(i, t) for i, t in corpus if i % 5 == 0] + [(7000, "absent"), (7001, None), (7002, "")]
     got = {}
-    for r in bm25.search(index, spark.createDataFrame(queries, "query_id long, text string"), round_bytes=2000).orderBy("query_id", "rank").collect():
+    for r in bm25.search(index, spark.createDataFrame(queries, "query_id long, text string"), round_bytes=80_000).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.doc_id, r.score))
     want = {q: v for q, v in plain_bm25(corpus, queries).items() if v}
     assert {q: [x[0] for x in v] for q, v in got.items()} == {q: [x[0] for x in v] for q, v in want.items()}
 
 
-def test_search_prunes_blocks():
+def test_search_leaves_postings_unread():
     rng = random.Random(2)
-    rows = [(i, f"common w{i % 7} " + (" ".join(["rare"] * 3) if i == 60 else "x")) for i in range(64)]
-    counts = [Counter(words(t)) for _, t in rows]
-    vocabulary = sorted({w for c in counts for w in c})
-    terms = np.arange(len(vocabulary)).astype(np.uint64)
-    post = [(vocabulary.index(w), i, n) for i, c in enumerate(counts) for w, n in c.items()]
-    post.sort()
-    df = np.bincount([p[0] for p in post])
-    row = {"ids": np.arange(64), "real": np.ones(64, bool), "length": np.array([sum(c.values()) for c in counts]), "terms": terms, "df": df.astype(np.uint32), "doc": np.array([p[1] for p in post], np.uint32), "tf": np.array([p[2] for p in post], np.uint32)}
-    asked = bm25.Round(np.array([1000]), [np.array([vocabulary.index("rare"), vocabulary.index("common")], np.uint64)], terms, df, 64)
-    best = bm25.Best(asked.ids, 1)
-    opened, of = bm25.search_shard(row, row["length"].mean(), asked, best, False, 8)
-    assert best.doc[0, 0] == 60 and opened < of == 8
-    assert rng
+    common, topics = np.arange(1, 40, dtype=np.uint64), np.arange(1000, 1200, dtype=np.uint64)
+    docs = [np.array(rng.choices(common, k=60) + rng.choices(topics[20 * (i % 10) : 20 * (i % 10) + 20], k=20)) for i in range(640)]
+    row = bm25.indexed(np.concatenate(docs), np.repeat(np.arange(640), 80), np.arange(640), np.ones(640, bool))
+    assert (np.diff(row["at"].astype(int)) > 0).all() and len(row["at"]) == len(row["block"]) + 1
+    every, df = row["terms"], row["df"].astype(np.int64)
+    queries = [np.unique(docs[i]) for i in (3, 17, 200)]
+    asked = bm25.Round(np.array([3, 17, 200]), queries, np.unique(np.concatenate(queries)), df[np.isin(every, np.concatenate(queries))], 640)
+    best = bm25.Best(asked.ids, 5)
+    reads = bm25.search_shard(row, 80.0, asked, best, False)
+    for q, (number, terms) in enumerate(zip((3, 17, 200), queries)):
+        plain = []
+        for i, d in enumerate(docs):
+            tf = Counter(d.tolist())
+            plain.append((-round(sum(math.log(1 + (640 - df[j] + 0.5) / (df[j] + 0.5)) * tf[w] * 2.2 / (tf[w] + 1.2) for w in terms.tolist() if tf[w] for j in [int(np.searchsorted(every, w))]), 6), i))
+        assert [(-s, i) for s, i in sorted(x for x in plain if x[1] != number)[:5]] == list(zip(best.score[q].tolist(), best.doc[q].tolist()))
+    assert reads["opened"] < reads["pairs"] / 2 and reads["read"] < reads["postings"] * 0.7
 
 
 def test_search_odd_rows(odd, empty, spark):
