@@ -1,15 +1,17 @@
 """Language-model scoring with a hierarchical Pitman-Yor process.
 
-Levels: a restaurant for every context, all sharing one parent (unigrams), whose base is uniform over the known words plus one
-place for every unknown word. A context is the word before: itself up to ``SHORT`` bytes, else its ending; contexts are
-hashed to 2**16 restaurants, so what a sweep must agree on (customers and tables per restaurant) has a fixed size whatever
-the corpus holds. Discounts come from counts of counts at each level.
+Levels: a restaurant for every word that can stand before (the context, by its whole form), whose parent is the restaurant of
+that word's ending (its last three bytes), whose parent is the one of single words; its base is uniform over the known words plus
+one place for every unknown word. The number of restaurants grows with the corpus. Contexts with one ending share a parent.
 
 Distribution: every occurrence of a word falls to its hash bucket, with counts per context made beforehand in blocks of
-documents, so a very frequent word weighs no more than its contexts. In a bucket the seating of a word in all contexts and in
-the parent is sampled by Gibbs: the number of tables of a (context, word) given all others has a closed form by generalized
-Stirling numbers up to ``EXACT`` customers; customers beyond that are seated in steps of a 1/32 of those present (binomial).
-Totals per restaurant are brought together after each sweep. Predictive probabilities are averaged over the last samples.
+documents, so a very frequent word weighs no more than its contexts. In a bucket the seating of a word in all contexts, their
+endings and the root is sampled by Gibbs, one (restaurant, word) after the other: the number of its tables given all others has
+a closed form by generalized Stirling numbers. Up to ``EXACT`` customers these are tabulated, beyond that their ratios follow
+from how table sizes spread given customers and tables (``leaves``, right to about 1 in 100). What restaurants hold in all is
+added up by buckets of restaurants after each sweep and told to the buckets of words that ask: nothing of a size that grows
+meets in one task or the driver. Within a sweep these totals are
+those of its beginning. Predictive probabilities are averaged over the kept samples.
 
 Every word of every document is scored: blocks ask the buckets for their (context, word) pairs, and add up the answers.
 """
@@ -25,10 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, U64, crc_fold, dropped, mix, n_blocks, pieces, span_hashes, tokens, utf8, written
 
-SHORT, CONTEXTS = 4, 1 << 16
 BLOCK_BYTES = 8 << 20
-BURN_IN, SAMPLES, THETA, UNKNOWN, SEED, EXACT = 1, 2, 1.0, 0.5, 11, 64
+BURN_IN, SAMPLES, THETA, UNKNOWN, SEED = 2, 3, 1.0, 0.5, 11
+EXACT, GRID = 96, 64
 _END = U64(0x5DEECE66D1234567)
+#: A context is 39 bits of its word's hash and the word's last three bytes; the top bit tells it from a bare ending.
+_ENDING, _CONTEXT = U64(0xFFFFFF), U64(1 << 63)
 
 
 def _tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -37,17 +41,18 @@ def _tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = LOWER[raw]
     start, end, doc = tokens(raw, off)
     word = span_hashes(raw, start, end)
-    size = end - start
-    tail = span_hashes(raw, np.where(size > SHORT, end - (SHORT - 1), start), end)
-    ctx = np.where(size > SHORT, mix(tail + U64(1)), mix(tail)) % U64(CONTEXTS - 1) + U64(1)
+    ending = np.zeros(len(word), U64)
+    for k in (1, 2, 3):
+        has = end - start >= k
+        ending[has] |= raw[end[has] - k].astype(U64) << U64(8 * (k - 1))
     docs = len(off) - 1
     place = np.arange(len(word)) + doc
     n = np.bincount(doc, minlength=docs) + 1
     last = np.cumsum(n) - 1
-    w, c = np.full(len(word) + docs, _END), np.zeros(len(word) + docs, np.uint16)
+    w, c = np.full(len(word) + docs, _END), np.full(len(word) + docs, _CONTEXT)
     w[place] = word
-    c[place + 1] = ctx.astype(np.uint16)
-    c[np.concatenate([[0], last[:-1] + 1])[:docs]] = 0
+    c[place + 1] = word & ~_ENDING | ending | _CONTEXT
+    c[np.concatenate([[0], last[:-1] + 1])[:docs]] = _CONTEXT  # a text begins after nothing
     return w, c, np.repeat(np.arange(docs), n)
 
 
@@ -58,11 +63,14 @@ def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         x = _tokens(batch.column(batch.schema.get_field_index("text")))
         w.append(x[0])
         c.append(x[1])
-        d.append(x[2] + at)
+        d.append((x[2] + at).astype(np.int32))
         at += batch.num_rows
     words, which = np.unique(np.concatenate(w), return_inverse=True)
-    pair, token = np.unique(which.astype(np.int64) << 16 | np.concatenate(c), return_inverse=True)
-    return words, np.bincount(pair >> 16, minlength=len(words)), (pair & 0xFFFF).astype(np.uint16), token, np.concatenate(d)
+    contexts, near = np.unique(np.concatenate(c), return_inverse=True)
+    del w, c
+    pair, token = np.unique(which * len(contexts) + near, return_inverse=True)
+    del which, near
+    return words, np.bincount(pair // len(contexts), minlength=len(words)), contexts[pair % len(contexts)], token.astype(np.int32), np.concatenate(d)
 
 
 def _bucket(words: np.ndarray, buckets: int) -> np.ndarray:
@@ -73,52 +81,100 @@ def _of(x, kind) -> np.ndarray:
     return np.frombuffer(x.as_py() if hasattr(x, "as_py") else x, kind)
 
 
+def _runs(bucket: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal values of a sorted array."""
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist() if len(bucket) else []
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
 def _pairs(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, block, words, width, ctx, train): each block's distinct pairs and their training counts."""
 
     def run(table: pa.Table) -> pa.Table:
         words, width, ctx, token, doc = _block(table)
         learn = ~np.asarray(table.column("held_out").to_numpy())
-        train = np.bincount(token, weights=learn[doc], minlength=len(ctx)).astype(np.int64)
+        train = np.bincount(token, weights=learn[doc], minlength=len(ctx)).astype(np.uint32)
         first, bucket = np.concatenate([[0], np.cumsum(width)]), _bucket(words, buckets)
-        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
         block = table.column("block")[0].as_py()
-        out = [(int(bucket[a]), block, words[a:b].tobytes(), width[a:b].astype(np.uint32).tobytes(), ctx[first[a] : first[b]].tobytes(), train[first[a] : first[b]].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
+        out = [(int(bucket[a]), block, words[a:b].tobytes(), width[a:b].astype(np.uint32).tobytes(), ctx[first[a] : first[b]].tobytes(), train[first[a] : first[b]].tobytes()) for a, b in _runs(bucket)]
         return pa.table({k: pa.array([r[i] for r in out], kind) for i, (k, kind) in enumerate([("bucket", pa.int64()), ("block", pa.int64()), ("words", pa.binary()), ("width", pa.binary()), ("ctx", pa.binary()), ("train", pa.binary())])})
 
     return docs.groupBy("block").applyInArrow(run, "bucket long, block long, words binary, width binary, ctx binary, train binary")
 
 
-_MODEL = "bucket long, words binary, width binary, ctx binary, c binary, t array<binary>, tw array<binary>, stats array<long>"
+_COLUMNS = [("bucket", "long"), ("words", "binary"), ("width", "binary"), ("keys", "binary"), ("ctx", "binary"), ("c", "binary"), ("seats", "array<binary>"), ("totals", "array<binary>"), ("stats", "array<long>"), ("customers", "long"), ("tables", "long")]
+_MODEL = ", ".join(f"{n} {k}" for n, k in _COLUMNS)
+_ARROW = {"long": pa.int64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary()), "array<long>": pa.list_(pa.int64())}
+
+
+def _row(row: list) -> pa.Table:
+    return pa.table({n: pa.array([v], _ARROW[k]) for (n, k), v in zip(_COLUMNS, row)})
+
 
+class Bucket:
+    """A bucket's words and the restaurants that hold them.
+
+    keys: all contexts asked for and their endings, in the order in which their totals are told. A pair is a word in a
+    context; an upper pair is a word in an ending, the parent of the pairs whose contexts end so.
+    """
 
-def _gathered(pairs: DataFrame) -> DataFrame:
+    def __init__(self, row: dict):
+        self.width, self.key = _of(row["width"], np.uint32).astype(np.int64), _of(row["ctx"], np.uint32).astype(np.int64)
+        self.words, self.keys, self.c = _of(row["words"], U64), _of(row["keys"], U64), _of(row["c"], np.int64)
+        self.word = np.repeat(np.arange(len(self.width)), self.width)
+        bare = np.flatnonzero(self.keys < _CONTEXT)
+        bare = bare[np.argsort(self.keys[bare])]
+        self.ending = bare[np.searchsorted(self.keys[bare], self.keys & _ENDING)] if len(bare) else bare
+        self.upper, self.up = np.unique(self.word * max(1, len(self.keys)) + self.ending[self.key], return_inverse=True)
+        self.upper_word, self.upper_key = self.upper // max(1, len(self.keys)), self.upper % max(1, len(self.keys))
+
+    def seats(self, packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tables of the pairs, the upper pairs and the words in one sample."""
+        t = _of(packed, np.int32).astype(np.int64)
+        a, b = len(self.c), len(self.c) + len(self.upper)
+        return t[:a], t[a:b], t[b:]
+
+    def sums(self, t: np.ndarray, te: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables that this bucket has in each restaurant of keys."""
+        add = lambda at, x: np.bincount(at, weights=x, minlength=len(self.keys)).astype(np.int64)
+        return add(self.key, self.c) + add(self.upper_key, np.bincount(self.up, weights=t, minlength=len(te))), add(self.key, t) + add(self.upper_key, te)
+
+    def parents(self, t: np.ndarray, te: np.ndarray, tw: np.ndarray, totals: tuple[np.ndarray, np.ndarray], g: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Predictive probabilities of the upper pairs, and of the words in the root."""
+        root = (np.bincount(self.upper_word, weights=te, minlength=len(tw)) - g["d0"] * tw + (g["theta"] + g["d0"] * g["tables"]) * g["h0"]) / (g["theta"] + g["customers"])
+        customers, tables = totals[0][self.upper_key], totals[1][self.upper_key]
+        own = np.bincount(self.up, weights=t, minlength=len(te)) - g["d1"] * te
+        return (own + (g["theta"] + g["d1"] * tables) * root[self.upper_word]) / (g["theta"] + customers), root
+
+
+def _gathered(pairs: DataFrame, buckets: int) -> DataFrame:
     """One row per bucket: its training words, contexts per word, counts; one table for each pair to begin with."""
 
     def run(table: pa.Table) -> pa.Table:
-        words, ctx, c = [], [], []
-        for r in range(table.num_rows):
-            train = _of(table.column("train")[r], np.int64)
-            keep = train > 0
-            words.append(np.repeat(_of(table.column("words")[r], U64), _of(table.column("width")[r], np.uint32))[keep])
-            ctx.append(_of(table.column("ctx")[r], np.uint16)[keep])
-            c.append(train[keep])
-        vocabulary, which = np.unique(np.concatenate(words), return_inverse=True)
-        pair, at = np.unique(which.astype(np.int64) << 16 | np.concatenate(ctx), return_inverse=True)
-        count = np.bincount(at, weights=np.concatenate(c), minlength=len(pair)).astype(np.int64)
-        width = np.bincount(pair >> 16, minlength=len(vocabulary))
-        stats = [len(vocabulary), int(count.sum()), int((count == 1).sum()), int((count == 2).sum()), int((width == 1).sum()), int((width == 2).sum())]
-        row = [table.column("bucket")[0].as_py(), vocabulary.tobytes(), width.astype(np.uint32).tobytes(), (pair & 0xFFFF).astype(np.uint16).tobytes(), count.tobytes(), [np.ones(len(pair), np.int32).tobytes()], [np.ones(len(vocabulary), np.int32).tobytes()], stats]
-        return _row(row)
+        words = np.concatenate([np.repeat(_of(w, U64), _of(n, np.uint32)) for w, n in zip(table.column("words").to_pylist(), table.column("width").to_pylist())])
+        ctx = np.concatenate([_of(x, U64) for x in table.column("ctx").to_pylist()])
+        train = np.concatenate([_of(x, np.uint32) for x in table.column("train").to_pylist()])
+        keys = np.unique(ctx)
+        keys = np.concatenate([keys, np.unique(keys & _ENDING)])
+        keys = keys[np.lexsort((keys, _bucket(mix(keys), buckets)))]
+        learnt = train > 0
+        words, train = words[learnt], train[learnt]
+        sort = np.argsort(keys)
+        at = sort[np.searchsorted(keys[sort], ctx[learnt])]
+        vocabulary, which = np.unique(words, return_inverse=True)
+        pair, at = np.unique(which * len(keys) + at, return_inverse=True)
+        count = np.bincount(at, weights=train, minlength=len(pair)).astype(np.int64)
+        width = np.bincount(pair // len(keys), minlength=len(vocabulary))
+        row = [table.column("bucket")[0].as_py(), vocabulary.tobytes(), width.astype(np.uint32).tobytes(), keys.tobytes(), (pair % len(keys)).astype(np.uint32).tobytes(), count.tobytes()]
+        b = Bucket(dict(zip(("bucket", "words", "width", "keys", "ctx", "c"), row)))
+        contexts, endings = np.bincount(b.up, minlength=len(b.upper)), np.bincount(b.upper_word, minlength=len(vocabulary))
+        ones = np.ones(len(pair) + len(b.upper) + len(vocabulary), np.int32).tobytes()
+        stats = [len(vocabulary), int(count.sum()), *(int((x == k).sum()) for x in (count, contexts, endings) for k in (1, 2))]
+        return _row([*row, [ones], [], stats, len(b.upper), len(vocabulary)])
 
     return pairs.select("bucket", "words", "width", "ctx", "train").groupBy("bucket").applyInArrow(run, _MODEL)
 
 
-def _row(row: list) -> pa.Table:
-    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int64())]
-    return pa.table({n: pa.array([v], k) for n, v, k in zip(("bucket", "words", "width", "ctx", "c", "t", "tw", "stats"), row, kinds)})
-
-
 @lru_cache(maxsize=4)
 def _stirling(d: float) -> np.ndarray:
     """log S_d(c, t) for c, t up to EXACT."""
@@ -132,151 +188,203 @@ def _stirling(d: float) -> np.ndarray:
     return table
 
 
+@lru_cache(maxsize=4)
+def _sizes(d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean size of tables (log) and share of tables with one customer, along the family of size distributions of discount d."""
+    y = np.exp(-np.linspace(1e-4, 60, 6000))
+    z = 1 - y
+    return np.log(d * z * y ** (d - 1) / (1 - y**d)), d * z / (1 - y**d)
+
+
+def leaves(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """Probability that one of c customers at t tables sits alone: given both, sizes are nearly independent with mean c / t.
+
+    None does where there is one table, all do where each has their own; in between the error is about 1 in 100 (see the tests).
+    """
+    mean, alone = _sizes(d)
+    return (t - 1) / np.maximum(1, c - 1) * np.interp(np.log(c / t), mean, alone)
+
+
 def seat(c: np.ndarray, others: np.ndarray, log_h: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of a dish with c customers, given the tables of all other dishes of its restaurant and the dish's base."""
     t = np.minimum(c, 1).astype(np.int64)
-    head = np.minimum(c, EXACT)
+    head = np.where(c > EXACT, 0, c)
     log_s = _stirling(d)
     for n in np.unique(head[head > 1]).tolist():
-        for rows in np.array_split(at := np.flatnonzero(head == n), len(at) * n // 4_000_000 + 1):
+        for rows in np.array_split(at := np.flatnonzero(head == n), len(at) * n // 1_000_000 + 1):
             tables = np.arange(n)
             p = np.cumsum(np.log(theta + d * (others[rows][:, None] + tables)), 1) + log_h[rows][:, None] * (tables + 1) + log_s[n, 1 : n + 1]
             p = np.cumsum(np.exp(p - p.max(1)[:, None]), 1)
             t[rows] = (p < rng.random(len(rows))[:, None] * p[:, -1:]).sum(1) + 1
-    rows, seated = np.flatnonzero(c > EXACT), EXACT
-    h = np.exp(log_h)
-    while len(rows):
-        step = np.minimum(c[rows] - seated, max(1, seated // 32))
-        new = (theta + d * (others[rows] + t[rows])) * h[rows]
-        t[rows] += rng.binomial(step, new / (new + np.maximum(seated - d * t[rows], 1e-9)))
-        seated += max(1, seated // 32)
-        rows = rows[c[rows] > seated]
+    for rows in np.array_split(at := np.flatnonzero(c > EXACT), len(at) // 8000 + 1):
+        if len(rows):
+            t[rows] = _many(c[rows].astype(float), others[rows], log_h[rows], d, theta, rng)
     return t
 
 
-def _sums(model: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Customers and tables of each context restaurant in the last sample, and of the parent: a fixed number of rows."""
+def _many(c: np.ndarray, others: np.ndarray, log_h: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> np.ndarray:
+    """``seat`` for many customers: the same conditional, by the ratio of t + 1 tables to t, on a grid around its mode.
 
-    def run(batches):
-        c, t, root = np.zeros(CONTEXTS, np.int64), np.zeros(CONTEXTS, np.int64), 0
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ctx = _of(batch.column(0)[i], np.uint16)
-                c += np.bincount(ctx, weights=_of(batch.column(1)[i], np.int64), minlength=CONTEXTS).astype(np.int64)
-                t += np.bincount(ctx, weights=_of(batch.column(2)[i], np.int32), minlength=CONTEXTS).astype(np.int64)
-                root += int(_of(batch.column(3)[i], np.int32).sum())
-        at = np.flatnonzero(c)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(c[at], 0)), pa.array(np.append(t[at], root))], names=["ctx", "c", "t"])
-
-    part = model.select("ctx", "c", F.element_at("t", -1).alias("t"), F.element_at("tw", -1).alias("tw")).mapInArrow(run, "ctx long, c long, t long")
-    rows = part.groupBy("ctx").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).toPandas().to_numpy()
-    c, t = np.zeros(CONTEXTS, np.int64), np.zeros(CONTEXTS, np.int64)
-    root = int(rows[rows[:, 0] < 0, 2].sum()) if len(rows) else 0
-    rows = rows[rows[:, 0] >= 0] if len(rows) else np.zeros((0, 3), np.int64)
-    c[rows[:, 0]], t[rows[:, 0]] = rows[:, 1], rows[:, 2]
-    return c, t, int(t.sum()), root
-
-
-def _sweep(model: DataFrame, total: dict, keep: bool, number: int) -> DataFrame:
-    """One Gibbs sweep over all buckets, given the restaurants' totals; keep: the state before stays as a sample."""
-    shared = model.sparkSession.sparkContext.broadcast(total)  # 2 * 2**16 numbers
+    A Stirling number over the one of a table less is (1 - r) / r / (c - d (t + 1)), r being ``leaves`` of a customer and a
+    table more. The grid of ``GRID`` steps spans six standard deviations to both sides; steps are of one table up to some ten
+    deviations of tables, beyond that t is uniform within a step.
+    """
 
-    def run(batches):
-        g = shared.value
-        d, d0, theta = g["d"], g["d0"], g["theta"]
+    def rise(t: np.ndarray, at=slice(None)) -> np.ndarray:
+        r = np.clip(leaves(c[at] + 1, t + 1, d), 1e-300, 1 - 1e-12)
+        return np.log((1 - r) / r / (c[at] - d * (t + 1)) * (theta + d * (others[at] + t))) + log_h[at]
+
+    low, high = np.ones(len(c)), c - 1
+    for _ in range(40):
+        half = (low + high) / 2
+        up = rise(half) > 0
+        low, high = np.where(up, half, low), np.where(up, high, half)
+    near = np.maximum(1.0, 0.05 * low)
+    fall = (rise(np.maximum(1.0, low - near)) - rise(np.minimum(c - 1, low + near))) / (np.minimum(c - 1, low + near) - np.maximum(1.0, low - near))
+    width = np.clip(1 / np.sqrt(np.maximum(fall, 1e-12)), 4, np.maximum(4, low))
+    step = np.ceil(12 * width / GRID)
+    first = np.maximum(1, np.floor(low - 6 * width))
+    t = first[:, None] + step[:, None] * np.arange(GRID)
+    inside = np.minimum(t + (step[:, None] - 1) / 2, c[:, None] - 1)
+    each = (slice(None), None)
+    p = np.cumsum(np.concatenate([np.zeros((len(c), 1)), (step[:, None] * rise(inside, each))[:, :-1]], 1), 1)
+    p[t > c[:, None]] = -np.inf
+    p = np.cumsum(np.exp(p - p.max(1)[:, None]), 1)
+    at = np.minimum((p < rng.random(len(c))[:, None] * p[:, -1:]).sum(1), GRID - 1)
+    return np.minimum(first + step * at + np.floor(rng.random(len(c)) * step), c).astype(np.int64)
+
+
+def _totals(model: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, part, customers, tables): what each restaurant that a bucket knows of holds in all buckets together."""
+
+    def tell(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {n: batch.column(k)[i] for k, n in enumerate(batch.schema.names)}
-                width, ctx, c = _of(r["width"], np.uint32), _of(r["ctx"], np.uint16), _of(r["c"], np.int64)
-                old, old_root = r["t"].as_py(), r["tw"].as_py()
-                t, tw = _of(old[-1], np.int32).astype(np.int64), _of(old_root[-1], np.int32).astype(np.int64)
-                word = np.repeat(np.arange(len(width)), width)
-                rng = np.random.default_rng([SEED, number, r["bucket"].as_py()])
-                log_h = np.log(_parent(np.bincount(word, weights=t, minlength=len(width)), tw, g))
-                more = np.flatnonzero(c > 1)
-                new = np.ones(len(c), np.int64)
-                new[more] = seat(c[more], (g["t"][ctx[more]] - t[more]).astype(float), log_h[word[more]], d, theta, rng)
-                customers = np.bincount(word, weights=new, minlength=len(width)).astype(np.int64)
-                root = seat(customers, (g["root"] - tw).astype(float), np.full(len(width), np.log(g["h0"])), d0, theta, rng)
-                row = [r["bucket"].as_py(), r["words"].as_py(), r["width"].as_py(), r["ctx"].as_py(), r["c"].as_py(), [*(old if keep else []), new.astype(np.int32).tobytes()], [*(old_root if keep else []), root.astype(np.int32).tobytes()], r["stats"].as_py()]
-                yield from _row(row).to_batches()
-
-    return model.mapInArrow(run, _MODEL)
-
-
-def _parent(customers: np.ndarray, tables: np.ndarray, g: dict) -> np.ndarray:
-    """The parent's predictive probability of known words."""
-    return (customers - g["d0"] * tables + (g["theta"] + g["d0"] * g["root"]) * g["h0"]) / (g["theta"] + g["customers"])
-
-
-def fit(pairs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES) -> tuple[DataFrame, list[dict]]:
-    """The buckets' counts with sampled seatings, and each kept sample's totals (fixed size)."""
-    model = written(_gathered(pairs), "seats")
-    s = np.array([r[0] for r in model.select(F.array(*[F.sum(F.col("stats")[i]) for i in range(6)]).alias("s")).collect()][0], dtype=object)
-    v, n, n1, n2, w1, w2 = (int(x or 0) for x in s)
-    unknown = UNKNOWN if v else 1.0
-    fixed = {"d": min(0.95, max(0.05, n1 / max(1, n1 + 2 * n2))), "d0": min(0.95, max(0.05, w1 / max(1, w1 + 2 * w2))), "theta": THETA, "h0": (1 - unknown) / max(1, v), "unknown": unknown, "n": n, "v": v}
-
-    def totals() -> dict:
-        c, t, customers, root = _sums(model)
-        return fixed | {"c": c, "t": t, "customers": customers, "root": root}
+                b = Bucket(r)
+                t, te, _ = b.seats(r["last"].as_py())
+                c, t = b.sums(t, te)
+                part = _bucket(mix(b.keys), buckets)
+                out = [(int(part[x]), r["bucket"].as_py(), b.keys[x:y].tobytes(), c[x:y].tobytes(), t[x:y].tobytes()) for x, y in _runs(part)]
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64() if k < 2 else pa.binary()) for k in range(5)], names=["part", "bucket", "keys", "c", "t"])
+
+    def add(table: pa.Table) -> pa.Table:
+        lists = [_of(x, U64) for x in table.column("keys").to_pylist()]
+        keys, at = np.unique(np.concatenate(lists), return_inverse=True)
+        cut = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+        out = {}
+        for name in ("c", "t"):
+            one = np.concatenate([_of(x, np.int64) for x in table.column(name).to_pylist()])
+            whole = np.bincount(at, weights=one, minlength=len(keys)).astype(np.int64)[at]
+            out[name] = pa.array([whole[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())
+        return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "customers": out["c"], "tables": out["t"]})
+
+    told = model.select("bucket", "words", "width", "keys", "ctx", "c", F.element_at("seats", -1).alias("last")).mapInArrow(tell, "part long, bucket long, keys binary, c binary, t binary")
+    return written(told.groupBy("part").applyInArrow(add, "bucket long, part long, customers binary, tables binary"), "totals")
+
+
+def _heard(table: pa.Table) -> bytes:
+    """The totals told to one bucket, in the order of its keys: customers, then tables."""
+    order = np.argsort(table.column("part").to_numpy())
+    return b"".join(table.column(n)[int(i)].as_py() for n in ("customers", "tables") for i in order)
+
+
+def _sweep(model: DataFrame, totals: DataFrame, g: dict, keep: bool, number: int) -> DataFrame:
+    """One Gibbs sweep over all buckets, given the restaurants' totals; keep: the state before stays as a sample."""
 
-    now, kept = totals(), []
-    for number in range(burn_in + samples):
-        new = written(_sweep(model, now, number > burn_in, number), "seats")
-        dropped(model)
-        model, now = new, None
-        now = totals()
-        if number >= burn_in:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        r = {n: left.column(n)[0] for n in left.column_names}
+        b, heard = Bucket(r), _heard(right)
+        total = _of(heard, np.int64).reshape(2, -1)
+        seats, kept = r["seats"].as_py(), r["totals"].as_py()
+        t, te, tw = b.seats(seats[-1])
+        rng = np.random.default_rng([SEED, number, r["bucket"].as_py()])
+        upper, root = b.parents(t, te, tw, total, g)
+        new = seat(b.c, (total[1][b.key] - t).astype(float), np.log(upper)[b.up], g["d"], g["theta"], rng)
+        customers = np.bincount(b.up, weights=new, minlength=len(te)).astype(np.int64)
+        ending = seat(customers, (total[1][b.upper_key] - te).astype(float), np.log(root)[b.upper_word], g["d1"], g["theta"], rng)
+        customers = np.bincount(b.upper_word, weights=ending, minlength=len(tw)).astype(np.int64)
+        top = seat(customers, (g["tables"] - tw).astype(float), np.full(len(tw), np.log(g["h0"])), g["d0"], g["theta"], rng)
+        packed = np.concatenate([new, ending, top]).astype(np.int32).tobytes()
+        same = [r[n].as_py() for n in ("bucket", "words", "width", "keys", "ctx", "c")]
+        return _row([*same, [*(seats if keep else []), packed], [*kept, heard] if keep else kept, r["stats"].as_py(), int(ending.sum()), int(top.sum())])
+
+    return model.groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(run, _MODEL)
+
+
+def fit(pairs: DataFrame, buckets: int, burn_in: int = BURN_IN, samples: int = SAMPLES) -> tuple[DataFrame, DataFrame, list[dict]]:
+    """The buckets' counts with sampled seatings, the restaurants' totals in the last one, and each kept sample's few numbers."""
+    model = written(_gathered(pairs, buckets), "seats")
+    s = np.array([r[0] for r in model.select(F.array(*[F.sum(F.col("stats")[i]) for i in range(8)]).alias("s")).collect()][0], dtype=object)
+    v, n, *ones_and_twos = (int(x or 0) for x in s)
+    unknown = UNKNOWN if v else 1.0
+    discount = [min(0.95, max(0.05, a / max(1, a + 2 * b))) for a, b in zip(ones_and_twos[::2], ones_and_twos[1::2])]
+    fixed = dict(zip(("d", "d1", "d0"), discount)) | {"theta": THETA, "h0": (1 - unknown) / max(1, v), "unknown": unknown, "n": n, "v": v}
+    kept = []
+    for number in range(burn_in + samples + 1):
+        totals = _totals(model, buckets)
+        c, t = model.agg(F.sum("customers"), F.sum("tables")).first()
+        now = fixed | {"customers": int(c or 0), "tables": int(t or 0)}
+        if number > burn_in:
             kept.append(now)
-    return model, kept
+        if number == burn_in + samples:
+            return model, totals, kept
+        new = written(_sweep(model, totals, now, number > burn_in, number), "seats")
+        dropped(model)
+        dropped(totals)
+        model = new
 
 
-def _answers(pairs: DataFrame, model: DataFrame, kept: list[dict]) -> DataFrame:
+def _answers(pairs: DataFrame, model: DataFrame, totals: DataFrame, kept: list[dict]) -> DataFrame:
     """(block, bucket, score, known): for each pair of each block its log10 probability, for each word its training count."""
-    shared = model.sparkSession.sparkContext.broadcast(kept)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        samples = shared.value
-        if right.num_rows:
-            words, width, ctx, c = (_of(right.column(n)[0], k) for n, k in (("words", U64), ("width", np.uint32), ("ctx", np.uint16), ("c", np.int64)))
-            word = np.repeat(np.arange(len(words)), width)
-            key = word.astype(np.int64) << 16 | ctx
-            ts, tws = right.column("t")[0].as_py(), right.column("tw")[0].as_py()
-            count = np.bincount(word, weights=c, minlength=len(words)).astype(np.int64)
-            seats = [_of(x, np.int32) for x in ts]
-            parents = [_parent(np.bincount(word, weights=t, minlength=len(words)), _of(tw, np.int32), g) for t, tw, g in zip(seats, tws, samples)]
-        else:
-            words = np.zeros(0, U64)
+        row = right.filter(pa.compute.is_valid(right.column("words")))
+        r = {n: row.column(n)[0] for n in row.column_names}
+        b = Bucket(r)
+        heard = [*r["totals"].as_py(), _heard(right.filter(pa.compute.is_valid(right.column("part"))))]
+        sort, width = np.argsort(b.keys), max(1, len(b.keys))
+        pair, last = b.word * width + b.key, max(0, len(b.c) - 1)  # sorted
+        count = np.bincount(b.word, weights=b.c, minlength=len(b.words)).astype(np.int64)
+        samples = []
+        for packed, told, g in zip(r["seats"].as_py(), heard, kept):
+            t, te, tw = b.seats(packed)
+            total = _of(told, np.int64).reshape(2, -1)
+            samples.append((t, total, *b.parents(t, te, tw, total, g), g))
         out = []
-        for r in range(left.num_rows):
-            mine, wide, near = (_of(left.column(n)[r], k) for n, k in (("words", U64), ("width", np.uint32), ("ctx", np.uint16)))
-            p = np.zeros(len(near))
-            at = np.minimum(np.searchsorted(words, mine), max(0, len(words) - 1))
-            known = words[at] == mine if len(words) else np.zeros(len(mine), bool)
+        for i in range(left.num_rows):
+            mine, wide, near = (_of(left.column(n)[i], k) for n, k in (("words", U64), ("width", np.uint32), ("ctx", U64)))
+            at = np.minimum(np.searchsorted(b.words, mine), max(0, len(b.words) - 1))
+            known = b.words[at] == mine if len(b.words) else np.zeros(len(mine), bool)
             owner = np.repeat(np.arange(len(mine)), wide)
-            if len(words):
-                want = at[owner].astype(np.int64) << 16 | near
-                spot = np.minimum(np.searchsorted(key, want), len(key) - 1)
-                seen = known[owner] & (key[spot] == want)
-            for s, g in enumerate(samples):
-                none = (g["theta"] + g["d0"] * g["root"]) * g["unknown"] / (g["theta"] + g["customers"])
-                parent = np.where(known, parents[s][at], none)[owner] if len(words) else np.full(len(near), none)
-                here = g["theta"] + g["c"][near]
-                p += (g["theta"] + g["d"] * g["t"][near]) / here * parent
-                if len(words):
-                    p += np.where(seen, c[spot] - g["d"] * seats[s][spot], 0.0) / here
-            base = np.where(known, count[at], 0) if len(words) else np.zeros(len(mine), np.int64)
-            out.append((left.column("block")[r].as_py(), left.column("bucket")[r].as_py(), np.log10(p / len(samples)).astype(np.float32).tobytes(), base.astype(np.int64).tobytes()))
+            key = sort[np.searchsorted(b.keys[sort], near)]
+            p, word, knows = np.zeros(len(near)), at[owner], known[owner]
+            for t, total, upper, root, g in samples:
+                none = (g["theta"] + g["d0"] * g["tables"]) * g["unknown"] / (g["theta"] + g["customers"])
+                here = np.where(knows, root[word], none) if len(root) else np.full(len(near), none)
+                # the word in the context's ending, then in the context: seen there or not
+                end = b.ending[key]
+                spot = np.minimum(np.searchsorted(b.upper, word * width + end), max(0, len(b.upper) - 1))
+                seen = knows & (b.upper[spot] == word * width + end) if len(b.upper) else np.zeros(len(near), bool)
+                back = (g["theta"] + g["d1"] * total[1][end]) / (g["theta"] + total[0][end]) * here
+                here = np.where(seen, upper[spot], back) if len(upper) else back
+                spot = np.minimum(np.searchsorted(pair, word * width + key), last)
+                seen = knows & (pair[spot] == word * width + key) if len(pair) else np.zeros(len(near), bool)
+                here = (g["theta"] + g["d"] * total[1][key]) * here
+                if len(pair):
+                    here += np.where(seen, b.c[spot] - g["d"] * t[spot], 0.0)
+                p += here / (g["theta"] + total[0][key])
+            base = np.where(known, count[at], 0) if len(count) else np.zeros(len(mine), np.int64)
+            out.append((left.column("block")[i].as_py(), left.column("bucket")[i].as_py(), np.log10(p / len(samples)).astype(np.float32).tobytes(), base.astype(np.int64).tobytes()))
         return pa.table({"block": pa.array([o[0] for o in out], pa.int64()), "bucket": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.binary()), "known": pa.array([o[3] for o in out], pa.binary())})
 
     asked = pairs.select("bucket", "block", "words", "width", "ctx").groupBy("bucket")
-    told = model.select("bucket", "words", "width", "ctx", "c", "t", "tw").groupBy("bucket")
-    return asked.cogroup(told).applyInArrow(run, "block long, bucket long, score binary, known binary")
+    told = model.select("bucket", "words", "width", "keys", "ctx", "c", "seats", "totals").unionByName(totals, allowMissingColumns=True)
+    return asked.cogroup(told.groupBy("bucket")).applyInArrow(run, "block long, bucket long, score binary, known binary")
 
 
 def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs(doc_id, text, held_out).
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for every row of docs(doc_id, text, held_out).
 
     Rows with held_out teach nothing. A null or blank text has its end token only. Rows that repeat a doc_id are scored one by
     one. Without training rows every probability is that of the unknown word, 1. Extra columns are ignored.
@@ -284,17 +392,17 @@ def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     n = n_blocks(docs, F.coalesce(F.octet_length("text"), F.lit(0)) + 16, block_bytes)
     dealt = docs.select("doc_id", "text", "held_out", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).alias("block"))
     pairs = written(_pairs(dealt, n), "pairs")
-    model, kept = fit(pairs)
-    answers = written(_answers(pairs, model, kept), "answers")
-    dropped(pairs)
-    dropped(model)
+    model, totals, kept = fit(pairs, n)
+    answers = written(_answers(pairs, model, totals, kept), "answers")
+    for table in (pairs, model, totals):
+        dropped(table)
     tokens_, vocabulary = kept[-1]["n"], kept[-1]["v"]
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = left.num_rows
         if not rows:
-            return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "train_tokens": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
+            return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "train_tokens": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64()), "perplexity": pa.array([], pa.float64())})
         words, width, _, token, doc = _block(left)
         order = np.argsort(right.column("bucket").to_numpy())
         score = np.concatenate([_of(right.column("score")[int(i)], np.float32) for i in order]).astype(float)
@@ -302,9 +410,9 @@ def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         count = np.repeat(count, width)[token]
         base = np.log10((count + 0.5) / (tokens_ + 0.5 * (vocabulary + 1)))
         sums = [np.bincount(doc, weights=x, minlength=rows) for x in (np.ones(len(doc)), count > 0, base, score[token])]
-        return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(sums[0].astype(np.int64)), "n_known": pa.array(sums[1].astype(np.int64)), "train_tokens": pa.array(np.full(rows, tokens_, np.int64)), "base_score": pa.array(sums[2]), "score": pa.array(sums[3])})
+        return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(sums[0].astype(np.int64)), "n_known": pa.array(sums[1].astype(np.int64)), "train_tokens": pa.array(np.full(rows, tokens_, np.int64)), "base_score": pa.array(sums[2]), "score": pa.array(sums[3]), "perplexity": pa.array(10 ** (-sums[3] / sums[0]))})
 
-    out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
     return out
 
 

@@ -75,11 +75,72 @@ def test_pitman_yor_beats_the_base_on_held_out_text(spark, sf_dir):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
-def test_pitman_yor_sums_to_one():
-    c = np.array([3, 1, 4, 1])
-    g = {"d0": 0.5, "theta": 1.0, "root": 6, "customers": 9, "h0": 0.5 / 4}
-    known = pitman_yor._parent(c, np.array([2, 1, 2, 1]), g).sum()
-    assert known + (1.0 + 0.5 * 6) * 0.5 / (1.0 + 9) == pytest.approx(1)
+def test_pitman_yor_scores_follow_from_the_seats(spark, corpus):
+    """Seats and totals are collected; restaurants, their sums and every document's score are then made by plain loops."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, t, i % 5 == 1) for i, t in corpus]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3)
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
+    pairs = pitman_yor.written(pitman_yor._pairs(dealt, 4), "pairs")
+    model, totals, kept = pitman_yor.fit(pairs, 4, 1, 2)
+    want_c = Counter()
+    for _, t, held in rows:
+        if not held:
+            x = [None, *words(t), "\n"]
+            want_c.update(zip(x[:-1], x[1:]))
+
+    def hashed(x):
+        w, c, _ = pitman_yor._tokens(pitman_yor.pa.array([" ".join(y for y in x if y not in (None, "\n"))]))
+        return w, c
+
+    name_w, name_c = {}, {}
+    for _, t, _ in rows:
+        x = words(t)
+        w, c = hashed(x)
+        name_w.update(zip(w.tolist(), [*x, "\n"]))
+        name_c.update(zip(c.tolist(), [None, *x]))
+    prob = []  # of each sample
+    for s, g in enumerate(kept):
+        t_u, t_e, t_w, c_u, c_e = Counter(), Counter(), Counter(), Counter(), Counter()
+        for r in model.collect():
+            b = pitman_yor.Bucket(r.asDict())
+            t, te, tw = b.seats(r.seats[s])
+            for i in range(len(b.c)):
+                ctx, w = name_c[int(b.keys[b.key[i]])], name_w[int(b.words[b.word[i]])]
+                assert b.c[i] == want_c[ctx, w] and 1 <= t[i] <= b.c[i]
+                t_u[ctx, w], c_u[ctx, w] = int(t[i]), int(b.c[i])
+                end = (ctx or "").encode()[-3:]
+                c_e[end, w] += int(t[i])
+                t_e[end, w] = int(te[b.up[i]])
+                t_w[w] = int(tw[b.word[i]])
+        assert len(c_u) == len(want_c) and all(1 <= t_e[k] <= c_e[k] for k in c_e)
+        root_c, root_t = sum(t_e.values()), sum(t_w.values())
+        assert (root_c, root_t) == (g["customers"], g["tables"])
+        per = lambda x: Counter() if not x else sum((Counter({k[0]: v}) for k, v in x.items()), Counter())
+        cu, tu, ce, te_ = per(c_u), per(t_u), per(c_e), per(t_e)
+        cw = Counter()
+        for (_, w), v in t_e.items():
+            cw[w] += v
+
+        def p(ctx, w):
+            th, end = g["theta"], (ctx or "").encode()[-3:]
+            top = (cw[w] - g["d0"] * t_w[w] + (th + g["d0"] * root_t) * g["h0"] if w in t_w else (th + g["d0"] * root_t) * g["unknown"]) / (th + root_c)
+            mid = (c_e[end, w] - g["d1"] * t_e[end, w] + (th + g["d1"] * te_[end]) * top) / (th + ce[end])
+            return (c_u[ctx, w] - g["d"] * t_u[ctx, w] + (th + g["d"] * tu[ctx]) * mid) / (th + cu[ctx])
+
+        for ctx in [None, "w1", "w2", "w77", "never"]:
+            assert sum(p(ctx, w) for w in t_w) + p(ctx, "unheard of") == pytest.approx(1)
+        prob.append({(ctx, w): p(ctx, w) for _, t, _ in rows for ctx, w in zip([None, *words(t)], [*words(t), "\n"])})
+    answers = pitman_yor._answers(pairs, model, totals, kept).collect()
+    got = {}
+    for r in pairs.collect():
+        a = next(x for x in answers if (x.block, x.bucket) == (r.block, r.bucket))
+        w = np.repeat(np.frombuffer(r.words, np.uint64), np.frombuffer(r.width, np.uint32))
+        for word, ctx, score in zip(w.tolist(), np.frombuffer(r.ctx, np.uint64).tolist(), np.frombuffer(a.score, np.float32).tolist()):
+            got[name_c[ctx], name_w[word]] = score
+    assert set(got) == set(prob[0])
+    assert all(got[k] == pytest.approx(math.log10((prob[0][k] + prob[1][k]) / 2), abs=1e-5) for k in got)
 
 
 def test_seating_follows_the_exact_posterior():
@@ -108,7 +169,30 @@ def test_seating_follows_the_exact_posterior():
     for t, w in weight.items():
         assert got[t] / 40000 == pytest.approx(w / total, abs=0.01)
     big = pitman_yor.seat(np.array([1, 1000, 10**7]), np.zeros(3), np.full(3, -3.0), d, theta, rng)
-    assert big[0] == 1 and 1 <= big[1] <= 1000 and big[1] < big[2] < 10**7
+    assert big[0] == 1 and (big >= 1).all() and (big < 50).all()  # each further table costs a factor near exp(-3)
+
+
+def test_seating_of_many_customers_agrees_with_the_exact_way(monkeypatch):
+    rng, d, theta = np.random.default_rng(1), 0.5, 1.0
+    for c, h in (90, 0.02), (60, 0.3), (96, 0.9), (96, 1e-6):
+        args = np.full(4000, c), np.full(4000, 4.0), np.full(4000, math.log(h)), d, theta
+        exact = pitman_yor.seat(*args, rng)
+        monkeypatch.setattr(pitman_yor, "EXACT", 8)
+        pitman_yor._stirling.cache_clear()
+        moved = pitman_yor.seat(*args, rng)
+        monkeypatch.undo()
+        pitman_yor._stirling.cache_clear()
+        assert abs(moved.mean() - exact.mean()) < 0.04 * exact.mean() and abs(moved.std() - exact.std()) < 0.1 * exact.std() + 0.01
+    # a customer's chance to sit alone is a ratio of Stirling numbers
+    monkeypatch.setattr(pitman_yor, "EXACT", 400)
+    for d in 0.3, 0.5, 0.8:
+        pitman_yor._stirling.cache_clear()
+        log_s = pitman_yor._stirling(d)
+        for c in 100, 400:
+            t = np.array([1, 2, 5, 20, 60, c])
+            assert np.allclose(pitman_yor.leaves(np.full(6, c), t, d), np.exp(log_s[c - 1, t - 1] - log_s[c, t]), rtol=0.04, atol=1e-9)
+    monkeypatch.undo()
+    pitman_yor._stirling.cache_clear()
 
 
 def test_pitman_yor_odd_rows(odd, empty):
