@@ -1,9 +1,11 @@
 """Personal data spans: fixed base rules plus a semi-Markov conditional random field over candidate segments.
 
-Base rules (email, ip, card, phone) always hold. The field looks at the rest of a text: a *run* of digit groups, or words
-around a spelled-out "at", is a sequence in which a segment covers up to ``MOST_GROUPS`` consecutive groups. A segment's score
-for a kind sums the weights of features of the whole span (digit count, group shape, separators, check digit, octets,
-neighbours). A dynamic program over the run picks boundaries and kinds jointly; leaving a group out scores zero.
+Base rules (email, ip, card, phone) always hold. The field looks at the rest of a text. Candidate segments are up to
+``MOST_GROUPS`` consecutive groups of digits, and what stands around a spelled-out "at": up to ``MOST_DOTS`` parts of a name in
+front, up to ``MOST_DOTS`` labels behind, each choice a segment of its own. A segment's score for a kind sums the weights of
+features of the whole span (digit count, group shape, separators, check digit, octets, labels, neighbours). One dynamic program
+over all candidates of a text picks boundaries and kinds jointly; leaving characters out scores zero. Segments are of bounded
+length, so it runs along the text with a few of them in hand, whatever the text's length.
 
 Weights are fitted here by conditional likelihood (forward-backward over the same segments) on runs made from the base spans
 of a bounded sample of documents: each is rewritten in spellings that the base rules miss, beside look-alikes that are none.
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import heapq
 import math
 import random
 import re
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import pieces
 
 KINDS = ("email", "ip", "card", "phone")
-MOST_GROUPS, MOST_CHARS = 8, 64
+MOST_GROUPS, MOST_CHARS, MOST_DOTS = 8, 64, 4
 #: Documents whose base spans train the field, and base spans used of each kind.
 SAMPLE_DOCS, SAMPLE_SPANS = 2000, 80
 #: A segment must beat leaving it out by this much (natural log of the odds).
@@ -40,7 +43,12 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _RUN = re.compile(r"[0-9][0-9+(). \[\]/_ -]{5,}[0-9]")
 _GROUP = re.compile(r"[0-9]+")
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]{2,24}){1,4}", re.I)
+_AT = re.compile(r" ?(?:\(at\)|\[at\]|\{at\}| at ) ?", re.I)
+_USER = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
+_USER_DOT = re.compile(r"[A-Za-z0-9_%+-]{1,24} ?(?:\(dot\)|\[dot\]|\{dot\}| dot ) ?\Z", re.I)
+_HOST = re.compile(r"[A-Za-z0-9-]{1,63}")
+_DOT = re.compile(r" ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]{2,24}", re.I)
+_LETTERS = re.compile(r"[A-Za-z]{2,6}\Z")
 
 
 def luhn(digits: str) -> bool:
@@ -77,10 +85,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def features(text: str, start: int, end: int, groups: list[str]) -> list[str]:
-    """Names of the span's features, whatever its kind."""
+    """Names of the features of a span of digit groups, whatever its kind."""
     span = text[start:end]
-    if not groups:
-        return ["spelled", "at-bracket" if re.search(r"[(\[{]at", span, re.I) else "at-word", "dot-word" if re.search(r"dot", span, re.I) else "dot-sign", "tld" if re.search(r"[A-Za-z]{2,6}\Z", span) else "no-tld"]
     digits = "".join(groups)
     n = len(digits)
     seps = re.sub(r"[0-9]+", "", span)
@@ -98,37 +104,84 @@ def features(text: str, start: int, end: int, groups: list[str]) -> list[str]:
         out.append("touches")
     if re.match(r"[.,/_-][0-9]", text[end : end + 2]) or re.search(r"[0-9][.,/_-]\Z", text[max(0, start - 2) : start]):
         out.append("goes-on")
+    if _AT.match(text, end):
+        out.append("at-follows")
     return out
 
 
-def segments(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, list[tuple[int, int, int, int, list[str], tuple[str, ...]]]]]:
-    """Each run's length in groups and candidate segments (first group, one past the last, start, end, features, kinds).
+#: A candidate segment: start, end, features, kinds.
+Segment = tuple[int, int, list[str], tuple[str, ...]]
 
-    Runs do not cross base spans.
-    """
+
+def segments(text: str, taken: list[tuple[int, int, str]]) -> Iterator[Segment]:
+    """Candidate segments in order of their starts. None overlaps a base span."""
     busy = _disjoint(taken)
-    if _DIGIT.search(text):
-        for m in _RUN.finditer(text):
-            groups = [g.span() for g in _GROUP.finditer(text, *m.span())]
-            free = [g for g in groups if not _near(busy, g)]
-            for part in _parts(free, text, busy):
-                found = []
-                for i in range(len(part)):
-                    for j in range(i + 1, min(i + MOST_GROUPS, len(part)) + 1):
-                        start, end = part[i][0], part[j - 1][1]
-                        if text[start - 1 : start] == "(" and ")" in text[start:end]:
-                            start -= 1
-                        if end - start > MOST_CHARS:
-                            break
-                        spans = [text[a:b] for a, b in part[i:j]]
-                        if 7 <= sum(map(len, spans)) <= 19 or j - i == 4:
-                            found.append((i, j, start, end, features(text, start, end, spans), ("ip", "card", "phone")))
-                if found:
-                    yield len(part), found
-    if "at" in text or "AT" in text:
-        for m in _SPELLED.finditer(text):
-            if ("dot" in m[0].lower() or re.search(r"[(\[{]at", m[0], re.I)) and not _near(busy, m.span()):
-                yield 1, [(0, 1, *m.span(), features(text, *m.span(), []), ("email",))]
+    return heapq.merge(_digit_segments(text, busy), _mail_segments(text, busy), key=lambda s: s[0])
+
+
+def _digit_segments(text: str, busy: list[tuple[int, int]]) -> Iterator[Segment]:
+    if not _DIGIT.search(text):
+        return
+    for m in _RUN.finditer(text):
+        part: list[tuple[int, int]] = []  # the groups that a segment from the first of them may have
+        for g in _GROUP.finditer(text, *m.span()):
+            if _near(busy, g.span()):
+                continue
+            if part and (g.start() - part[-1][1] > 4 or _near(busy, (part[-1][1], g.start()))):
+                while part:
+                    yield from _from_first(text, part)
+                    del part[0]
+            elif len(part) == MOST_GROUPS:
+                yield from _from_first(text, part)
+                del part[0]
+            part.append(g.span())
+        while part:
+            yield from _from_first(text, part)
+            del part[0]
+
+
+def _from_first(text: str, part: list[tuple[int, int]]) -> Iterator[Segment]:
+    for j in range(1, len(part) + 1):
+        start, end = part[0][0], part[j - 1][1]
+        if text[start - 1 : start] == "(" and ")" in text[start:end]:
+            start -= 1
+        if end - start > MOST_CHARS:
+            return
+        if 7 <= sum(b - a for a, b in part[:j]) <= 19 or j == 4:
+            yield start, end, features(text, start, end, [text[a:b] for a, b in part[:j]]), ("ip", "card", "phone")
+
+
+def _mail_segments(text: str, busy: list[tuple[int, int]]) -> Iterator[Segment]:
+    if "at" not in text and "AT" not in text and "At" not in text and "aT" not in text:
+        return
+    for at in _AT.finditer(text):
+        user = _USER.search(text, max(0, at.start() - 64), at.start())
+        host = _HOST.match(text, at.end())
+        if not user or not host:
+            continue
+        starts, ends = [user.start()], []
+        while len(starts) <= MOST_DOTS and (more := _USER_DOT.search(text, max(0, starts[-1] - 34), starts[-1])):
+            starts.append(more.start())
+        end = host.end()
+        while len(ends) <= MOST_DOTS and (more := _DOT.match(text, end)):
+            ends.append(end := more.end())
+        bracket = any(c in at[0] for c in "([{")
+        for k in range(len(starts) - 1, -1, -1):
+            for n, end in enumerate(ends[:MOST_DOTS], 1):
+                words = "dot" in text[host.end() : end].lower()
+                if (words or bracket) and not _near(busy, (starts[k], end)):
+                    yield starts[k], end, _mail_features(text, starts[k], end, bracket, words, host, k, k + 1 < len(starts), n < len(ends)), ("email",)
+
+
+def _mail_features(text: str, start: int, end: int, bracket: bool, words: bool, host: re.Match, dots: int, before: bool, after: bool) -> list[str]:
+    out = ["spelled", "at-bracket" if bracket else "at-word", "dot-word" if words else "dot-sign", "tld" if _LETTERS.search(text, host.end(), end) else "no-tld", f"user-parts={dots}"]
+    if len(host[0]) == 1:
+        out.append("short-host")
+    if before:
+        out.append("goes-on-before")
+    if after:
+        out.append("goes-on-after")
+    return out
 
 
 def _disjoint(taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
@@ -148,41 +201,46 @@ def _near(busy: list[tuple[int, int]], span: tuple[int, int]) -> list[tuple[int,
     return busy[first : bisect.bisect_left(busy, span[1], lo=first, key=lambda x: x[0])]
 
 
-def _parts(groups: list[tuple[int, int]], text: str, busy: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
-    part: list[tuple[int, int]] = []
-    for g in groups:
-        if part and (g[0] - part[-1][1] > 4 or _near(busy, (part[-1][1], g[0]))):
-            yield part
-            part = []
-        part.append(g)
-    if part:
-        yield part
-
-
-def _scored(found: list, weights: dict[tuple[str, str], float]) -> list[tuple[int, int, float, str, int, int]]:
-    return [(i, j, sum(weights.get((kind, f), 0.0) for f in names), kind, a, b) for i, j, a, b, names, kinds in found for kind in kinds]
+def _score(features: list[str], kind: str, weights: dict[tuple[str, str], float]) -> float:
+    return sum(weights.get((kind, f), 0.0) for f in features)
 
 
 def decode(text: str, taken: list[tuple[int, int, str]], weights: dict[tuple[str, str], float], margin: float = MARGIN) -> list[tuple[int, int, str]]:
-    """Spans that the field adds: the best-scoring set of disjoint segments of every run."""
-    out = []
-    for n, found in segments(text, taken):
-        ends: list[list] = [[] for _ in range(n + 1)]
-        for s in _scored(found, weights):
-            ends[s[1]].append(s)
-        best, back = [0.0] * (n + 1), [None] * (n + 1)
-        for j in range(1, n + 1):
-            best[j] = best[j - 1]
-            for s in ends[j]:
-                if (value := best[s[0]] + s[2] - margin) > best[j]:
-                    best[j], back[j] = value, s
-        j = n
-        while j:
-            if back[j]:
-                out.append((back[j][4], back[j][5], back[j][3]))
-                j = back[j][0]
-            else:
-                j -= 1
+    """Spans that the field adds, in order: the best-scoring set of disjoint segments.
+
+    Segments come in order of their starts. Those whose end has not been passed wait in a heap, with the best score up to
+    their end; the best of all that end before the segment at hand is what it goes on from.
+    """
+    out: list[tuple[int, int, str]] = []
+    waiting: list[tuple[int, int, float, tuple]] = []
+    best, chain, last = 0.0, None, 0  # chain: the segments of the best set so far, from the last one back
+
+    def told() -> None:
+        nonlocal chain
+        found = []
+        while chain:
+            found.append(chain[0])
+            chain = chain[1]
+        out.extend(reversed(found))
+
+    for number, (start, end, names, kinds) in enumerate(segments(text, taken)):
+        while waiting and waiting[0][0] <= start:
+            _, _, value, path = heapq.heappop(waiting)
+            if value > best:
+                best, chain = value, path
+        if start >= last and chain:  # nothing is open: what is best so far stays
+            told()
+            best = 0.0
+        for k, kind in enumerate(kinds):
+            gain = _score(names, kind, weights) - margin
+            if gain > 0:
+                heapq.heappush(waiting, (end, number * len(KINDS) + k, best + gain, ((start, end, kind), chain)))
+                last = max(last, end)
+    while waiting:
+        _, _, value, path = heapq.heappop(waiting)
+        if value > best:
+            best, chain = value, path
+    told()
     return out
 
 
@@ -215,6 +273,11 @@ def _examples(spans: list[tuple[str, str]], rng: random.Random) -> list[tuple[st
             user, _, host = span.partition("@")
             for form in (f"{user} [at] {host}", f"{user}(at){host}", f"{user} at {host.replace('.', ' dot ')}", f"{user} [at] {host.replace('.', ' [dot] ')}"):
                 add(form, kind)
+            if len(user) > 3:
+                for form in (f"{user[:2]} dot {user[2:]} at {host.replace('.', ' dot ')}", f"{user[:-2]} [dot] {user[-2:]} [at] {host}"):
+                    add(form, kind)
+            for form in (f"{rng.randint(200, 999)}-{rng.randint(200, 999)}-{rng.randint(1000, 9999)} [at] {host}", f"{rng.randint(1000000, 9999999)}(at){host}"):
+                add(form, kind)
             add(f"{user} at a dot in", None)
     for _ in range(len(spans)):
         d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
@@ -229,14 +292,16 @@ def fit(spans: list[tuple[str, str]], epochs: int = 6, rate: float = 0.2, decay:
     weights: dict[tuple[str, str], float] = {}
     lattices = []
     for text, gold in _examples(spans, rng):
-        for n, found in segments(text, []):
-            lattices.append((n, found, gold))
+        found = list(segments(text, []))
+        if found:
+            borders = sorted({x for s in found for x in s[:2]})
+            lattices.append((len(borders) - 1, [(borders.index(s[0]), borders.index(s[1]), *s) for s in found], gold))
     for _ in range(epochs):
         rng.shuffle(lattices)
         for n, found, gold in lattices:
-            scored = _scored(found, weights)
-            names = [(f[4], k) for f in found for k in f[5]]
+            scored = [(i, j, _score(names, kind, weights), names, kind, (a, b, kind)) for i, j, a, b, names, kinds in found for kind in kinds]
             fore = [0.0] + [-math.inf] * n
+            back = [-math.inf] * n + [0.0]
             ends: list[list] = [[] for _ in range(n + 1)]
             starts: list[list] = [[] for _ in range(n + 1)]
             for s in scored:
@@ -244,14 +309,12 @@ def fit(spans: list[tuple[str, str]], epochs: int = 6, rate: float = 0.2, decay:
                 starts[s[0]].append(s)
             for j in range(1, n + 1):
                 fore[j] = _logsum([fore[j - 1], *(fore[s[0]] + s[2] for s in ends[j])])
-            back = [-math.inf] * n + [0.0]
             for i in range(n - 1, -1, -1):
                 back[i] = _logsum([back[i + 1], *(back[s[1]] + s[2] for s in starts[i])])
-            for s, (feats, kind) in zip(scored, names):
-                right = float(gold is not None and (s[4], s[5], kind) == gold)
-                step = right - math.exp(min(0.0, fore[s[0]] + s[2] + back[s[1]] - fore[n]))
+            for i, j, value, names, kind, span in scored:
+                step = float(span == gold) - math.exp(min(0.0, fore[i] + value + back[j] - fore[n]))
                 if abs(step) > 1e-4:
-                    for f in feats:
+                    for f in names:
                         w = weights.get((kind, f), 0.0)
                         weights[kind, f] = w + rate * (step - decay * w)
     return weights

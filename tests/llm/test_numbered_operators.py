@@ -260,7 +260,45 @@ def test_decode_takes_the_best_disjoint_segments():
     w = {("phone", "n=7"): 5.0, ("phone", "n=14"): 11.0, ("card", "n=14"): 30.0}
     t = "1234567 7654321"
     assert pii.decode(t, [], w, margin=0.0) == [(0, 15, "card")]
-    assert pii.decode(t, [], {("phone", "n=7"): 5.0}, margin=0.0) == [(8, 15, "phone"), (0, 7, "phone")]
+    assert pii.decode(t, [], {("phone", "n=7"): 5.0}, margin=0.0) == [(0, 7, "phone"), (8, 15, "phone")]
+
+
+def test_decode_agrees_with_every_set_of_segments():
+    rng = random.Random(3)
+    w = pii.fit(SEED)
+    for _ in range(300):
+        t = " ".join(rng.choice(["415-555-1234", "[at]", "at", "host.com", "mail dot org", "ann", "(212) 555", "0123", "10[.]2[.]3[.]4", "2024-01-31", "4111 1111 1111 1111"]) for _ in range(rng.randint(1, 5)))
+        taken = pii.base_spans(t)
+        scored = [(a, b, pii._score(f, k, w) - pii.MARGIN) for a, b, f, ks in pii.segments(t, taken) for k in ks]
+        scored = [s for s in scored if s[2] > 0]
+        best = {0: 0.0}  # best score up to each position
+        for x in range(1, len(t) + 1):
+            best[x] = max([best[x - 1], *(best[a] + v for a, b, v in scored if b == x)])
+        got = pii.decode(t, taken, w)
+        value = sum(next(pii._score(f, k, w) for a, b, f, ks in pii.segments(t, taken) if (a, b) == (x, y) and k in ks) - pii.MARGIN for x, y, k in got)
+        assert value == pytest.approx(best[len(t)]), t
+        assert all(a[1] <= b[0] for a, b in zip(got, got[1:])) and not any(a < y and x < b for a, b, _ in got for x, y, _ in taken)
+
+
+def test_boundaries_and_kinds_are_chosen_jointly():
+    w = pii.fit(SEED)
+    found = lambda t: [(t[a:b], k) for a, b, k in pii.decode(t, pii.base_spans(t), w)]
+    assert found("mail 415-555-1234 [at] host.com now") == [("415-555-1234 [at] host.com", "email")]  # not a phone besides
+    assert found("write to ann dot lee at mail dot example dot com then") == [("ann dot lee at mail dot example dot com", "email")]
+    assert found("write to ann [at] example.com then") == [("ann [at] example.com", "email")]
+    assert len({(a, b) for a, b, f, k in pii.segments("ann dot lee at mail dot example dot com", [])}) == 4
+
+
+def test_long_texts_are_decoded_in_little_memory():
+    import tracemalloc
+
+    w = pii.fit(SEED)
+    text = "7 " * 100_000 + "call (212) 555-0123 now " + "a" * 500_000
+    tracemalloc.start()
+    got = pii.decode(text, pii.base_spans(text), w)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ("(212) 555-0123", "phone") in [(text[a:b], k) for a, b, k in got] and peak < 40 << 20
 
 
 def test_pii_rows_and_redaction(spark):
