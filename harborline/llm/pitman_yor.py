@@ -1,17 +1,18 @@
 """Language-model scoring with a hierarchical Pitman-Yor process.
 
-Levels: a restaurant for every word that can stand before (the context, by its whole form), whose parent is the restaurant of
-that word's ending (its last three bytes), whose parent is the one of single words; its base is uniform over the known words plus
-one place for every unknown word. The number of restaurants grows with the corpus. Contexts with one ending share a parent.
+Levels: a restaurant for every word that can stand before (the context), whose parent is the restaurant of the words that end
+alike (their last two bytes), whose parent is the one of single words; its base is uniform over the known words plus one place for
+every unknown word. A context is told by 32 bits: 12 of its ending, 20 of its whole form, so restaurants grow in number with the
+corpus, and two words share one with odds of 2**-20 where they end alike. Discounts come from counts of counts at each level.
 
 Distribution: every occurrence of a word falls to its hash bucket, with counts per context made beforehand in blocks of
 documents, so a very frequent word weighs no more than its contexts. In a bucket the seating of a word in all contexts, their
 endings and the root is sampled by Gibbs, one (restaurant, word) after the other: the number of its tables given all others has
 a closed form by generalized Stirling numbers. Up to ``EXACT`` customers these are tabulated, beyond that their ratios follow
-from how table sizes spread given customers and tables (``leaves``, right to about 1 in 100). What restaurants hold in all is
-added up by buckets of restaurants after each sweep and told to the buckets of words that ask: nothing of a size that grows
-meets in one task or the driver. Within a sweep these totals are
-those of its beginning. Predictive probabilities are averaged over the kept samples.
+from how table sizes spread given customers and tables (``leaves``, right to about 1 in 100). What context restaurants hold in all
+is added up by hash parts of the contexts after each sweep and told to the buckets that ask: nothing of a size that grows meets
+in one task or the driver. Within a sweep these totals are those of its beginning. Predictive probabilities are averaged over
+the kept samples.
 
 Every word of every document is scored: blocks ask the buckets for their (context, word) pairs, and add up the answers.
 """
@@ -31,8 +32,9 @@ BLOCK_BYTES = 8 << 20
 BURN_IN, SAMPLES, THETA, UNKNOWN, SEED = 2, 3, 1.0, 0.5, 11
 EXACT, GRID = 96, 64
 _END = U64(0x5DEECE66D1234567)
-#: A context is 39 bits of its word's hash and the word's last three bytes; the top bit tells it from a bare ending.
-_ENDING, _CONTEXT = U64(0xFFFFFF), U64(1 << 63)
+ENDINGS = 1 << 12
+#: Answers are made for so many parts of the buckets one after the other: what a shuffle holds on disk goes in between.
+WAVES = 3
 
 
 def _tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,18 +43,16 @@ def _tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = LOWER[raw]
     start, end, doc = tokens(raw, off)
     word = span_hashes(raw, start, end)
-    ending = np.zeros(len(word), U64)
-    for k in (1, 2, 3):
-        has = end - start >= k
-        ending[has] |= raw[end[has] - k].astype(U64) << U64(8 * (k - 1))
+    ending = raw[end - 1].astype(U64) + U64(1) + np.where(end - start > 1, raw[np.maximum(end - 2, 0)].astype(U64) + U64(1), U64(0)) * U64(257)
+    context = ((word >> U64(20) & U64(0xFFFFF)) << U64(12) | mix(ending) & U64(ENDINGS - 1)).astype(np.uint32)
     docs = len(off) - 1
     place = np.arange(len(word)) + doc
     n = np.bincount(doc, minlength=docs) + 1
     last = np.cumsum(n) - 1
-    w, c = np.full(len(word) + docs, _END), np.full(len(word) + docs, _CONTEXT)
+    w, c = np.full(len(word) + docs, _END), np.zeros(len(word) + docs, np.uint32)
     w[place] = word
-    c[place + 1] = word & ~_ENDING | ending | _CONTEXT
-    c[np.concatenate([[0], last[:-1] + 1])[:docs]] = _CONTEXT  # a text begins after nothing
+    c[place + 1] = context
+    c[np.concatenate([[0], last[:-1] + 1])[:docs]] = 0  # a text begins after nothing
     return w, c, np.repeat(np.arange(docs), n)
 
 
@@ -66,11 +66,10 @@ def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         d.append((x[2] + at).astype(np.int32))
         at += batch.num_rows
     words, which = np.unique(np.concatenate(w), return_inverse=True)
-    contexts, near = np.unique(np.concatenate(c), return_inverse=True)
-    del w, c
-    pair, token = np.unique(which * len(contexts) + near, return_inverse=True)
-    del which, near
-    return words, np.bincount(pair // len(contexts), minlength=len(words)), contexts[pair % len(contexts)], token.astype(np.int32), np.concatenate(d)
+    pair = which << 32 | np.concatenate(c)
+    del w, c, which
+    pair, token = np.unique(pair, return_inverse=True)
+    return words, np.bincount(pair >> 32, minlength=len(words)), (pair & 0xFFFFFFFF).astype(np.uint32), token.astype(np.int32), np.concatenate(d)
 
 
 def _bucket(words: np.ndarray, buckets: int) -> np.ndarray:
@@ -102,31 +101,27 @@ def _pairs(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.groupBy("block").applyInArrow(run, "bucket long, block long, words binary, width binary, ctx binary, train binary")
 
 
-_COLUMNS = [("bucket", "long"), ("words", "binary"), ("width", "binary"), ("keys", "binary"), ("ctx", "binary"), ("c", "binary"), ("seats", "array<binary>"), ("totals", "array<binary>"), ("stats", "array<long>"), ("customers", "long"), ("tables", "long")]
-_MODEL = ", ".join(f"{n} {k}" for n, k in _COLUMNS)
-_ARROW = {"long": pa.int64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary()), "array<long>": pa.list_(pa.int64())}
-
-
-def _row(row: list) -> pa.Table:
-    return pa.table({n: pa.array([v], _ARROW[k]) for (n, k), v in zip(_COLUMNS, row)})
-
-
 class Bucket:
-    """A bucket's words and the restaurants that hold them.
+    """A bucket's words and the restaurants that hold them: what stays as it is while seats change.
 
-    keys: all contexts asked for and their endings, in the order in which their totals are told. A pair is a word in a
-    context; an upper pair is a word in an ending, the parent of the pairs whose contexts end so.
+    A pair is a word in a context; an upper pair is a word in an ending, the parent of its pairs whose contexts end so.
+    keys: all contexts that pairs of this bucket have, held-out ones too, in the order in which their totals are told.
     """
 
-    def __init__(self, row: dict):
-        self.width, self.key = _of(row["width"], np.uint32).astype(np.int64), _of(row["ctx"], np.uint32).astype(np.int64)
-        self.words, self.keys, self.c = _of(row["words"], U64), _of(row["keys"], U64), _of(row["c"], np.int64)
+    def __init__(self, row: dict, parts: int):
+        self.words, self.width = _of(row["words"], U64), _of(row["width"], np.uint32).astype(np.int64)
+        self.ctx, self.c, self.keys = _of(row["ctx"], np.uint32), _of(row["c"], np.uint32).astype(np.int64), _of(row["keys"], np.uint32)
+        self.parts = _part(self.keys, parts)
         self.word = np.repeat(np.arange(len(self.width)), self.width)
-        bare = np.flatnonzero(self.keys < _CONTEXT)
-        bare = bare[np.argsort(self.keys[bare])]
-        self.ending = bare[np.searchsorted(self.keys[bare], self.keys & _ENDING)] if len(bare) else bare
-        self.upper, self.up = np.unique(self.word * max(1, len(self.keys)) + self.ending[self.key], return_inverse=True)
-        self.upper_word, self.upper_key = self.upper // max(1, len(self.keys)), self.upper % max(1, len(self.keys))
+        self.sort = np.argsort(self.keys)
+        self.key = self.place(self.ctx)
+        self.pair = self.word << 32 | self.ctx  # sorted
+        self.upper, self.up = np.unique(self.word * ENDINGS + self.ctx % ENDINGS, return_inverse=True)
+        self.upper_word, self.upper_key = self.upper // ENDINGS, self.upper % ENDINGS
+
+    def place(self, ctx: np.ndarray) -> np.ndarray:
+        """Where these contexts stand in keys."""
+        return self.sort[np.searchsorted(self.keys, ctx, sorter=self.sort)] if len(self.keys) else np.zeros(0, np.int64)
 
     def seats(self, packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tables of the pairs, the upper pairs and the words in one sample."""
@@ -134,45 +129,52 @@ class Bucket:
         a, b = len(self.c), len(self.c) + len(self.upper)
         return t[:a], t[a:b], t[b:]
 
-    def sums(self, t: np.ndarray, te: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Customers and tables that this bucket has in each restaurant of keys."""
-        add = lambda at, x: np.bincount(at, weights=x, minlength=len(self.keys)).astype(np.int64)
-        return add(self.key, self.c) + add(self.upper_key, np.bincount(self.up, weights=t, minlength=len(te))), add(self.key, t) + add(self.upper_key, te)
-
-    def parents(self, t: np.ndarray, te: np.ndarray, tw: np.ndarray, totals: tuple[np.ndarray, np.ndarray], g: dict) -> tuple[np.ndarray, np.ndarray]:
+    def parents(self, t: np.ndarray, te: np.ndarray, tw: np.ndarray, g: dict) -> tuple[np.ndarray, np.ndarray]:
         """Predictive probabilities of the upper pairs, and of the words in the root."""
         root = (np.bincount(self.upper_word, weights=te, minlength=len(tw)) - g["d0"] * tw + (g["theta"] + g["d0"] * g["tables"]) * g["h0"]) / (g["theta"] + g["customers"])
-        customers, tables = totals[0][self.upper_key], totals[1][self.upper_key]
         own = np.bincount(self.up, weights=t, minlength=len(te)) - g["d1"] * te
-        return (own + (g["theta"] + g["d1"] * tables) * root[self.upper_word]) / (g["theta"] + customers), root
+        return (own + (g["theta"] + g["d1"] * g["te"][self.upper_key]) * root[self.upper_word]) / (g["theta"] + g["ce"][self.upper_key]), root
+
+    def told(self, t: np.ndarray, te: np.ndarray, tw: np.ndarray) -> tuple[bytes, bytes, int]:
+        """Tables of this bucket in each context of keys; customers and tables in each ending; tables in the root."""
+        add = lambda at, x, n: np.bincount(at, weights=x, minlength=n).astype(np.int64)
+        ends = add(self.upper_key, np.bincount(self.up, weights=t, minlength=len(te)), ENDINGS), add(self.upper_key, te, ENDINGS)
+        return add(self.key, t, len(self.keys)).astype(np.uint32).tobytes(), np.concatenate(ends).tobytes(), int(tw.sum())
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    return _bucket(mix(keys.astype(U64)), parts)
+
+
+_FIXED = "bucket long, words binary, width binary, ctx binary, c binary, keys binary, stats array<long>"
+_SEATS = "bucket long, keys binary, seats array<binary>, sums binary, ends binary, tables long"
+_KINDS = {"long": pa.int64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary()), "array<long>": pa.list_(pa.int64())}
+
+
+def _row(schema: str, row: list) -> pa.Table:
+    return pa.table({n: pa.array([v], _KINDS[k]) for (n, k), v in zip((x.split(" ") for x in schema.split(", ")), row)})
 
 
 def _gathered(pairs: DataFrame, buckets: int) -> DataFrame:
-    """One row per bucket: its training words, contexts per word, counts; one table for each pair to begin with."""
+    """One row per bucket: its training words, contexts per word, counts, and all contexts asked for."""
 
     def run(table: pa.Table) -> pa.Table:
         words = np.concatenate([np.repeat(_of(w, U64), _of(n, np.uint32)) for w, n in zip(table.column("words").to_pylist(), table.column("width").to_pylist())])
-        ctx = np.concatenate([_of(x, U64) for x in table.column("ctx").to_pylist()])
+        ctx = np.concatenate([_of(x, np.uint32) for x in table.column("ctx").to_pylist()])
         train = np.concatenate([_of(x, np.uint32) for x in table.column("train").to_pylist()])
         keys = np.unique(ctx)
-        keys = np.concatenate([keys, np.unique(keys & _ENDING)])
-        keys = keys[np.lexsort((keys, _bucket(mix(keys), buckets)))]
+        keys = keys[np.lexsort((keys, _part(keys, buckets)))]
         learnt = train > 0
-        words, train = words[learnt], train[learnt]
-        sort = np.argsort(keys)
-        at = sort[np.searchsorted(keys[sort], ctx[learnt])]
-        vocabulary, which = np.unique(words, return_inverse=True)
-        pair, at = np.unique(which * len(keys) + at, return_inverse=True)
-        count = np.bincount(at, weights=train, minlength=len(pair)).astype(np.int64)
-        width = np.bincount(pair // len(keys), minlength=len(vocabulary))
-        row = [table.column("bucket")[0].as_py(), vocabulary.tobytes(), width.astype(np.uint32).tobytes(), keys.tobytes(), (pair % len(keys)).astype(np.uint32).tobytes(), count.tobytes()]
-        b = Bucket(dict(zip(("bucket", "words", "width", "keys", "ctx", "c"), row)))
-        contexts, endings = np.bincount(b.up, minlength=len(b.upper)), np.bincount(b.upper_word, minlength=len(vocabulary))
-        ones = np.ones(len(pair) + len(b.upper) + len(vocabulary), np.int32).tobytes()
+        vocabulary, which = np.unique(words[learnt], return_inverse=True)
+        pair, at = np.unique(which << 32 | ctx[learnt], return_inverse=True)
+        count = np.bincount(at, weights=train[learnt], minlength=len(pair)).astype(np.int64)
+        width = np.bincount(pair >> 32, minlength=len(vocabulary))
+        upper, contexts = np.unique((pair >> 32) * ENDINGS + pair % ENDINGS, return_counts=True)
+        endings = np.bincount(upper // ENDINGS, minlength=len(vocabulary))
         stats = [len(vocabulary), int(count.sum()), *(int((x == k).sum()) for x in (count, contexts, endings) for k in (1, 2))]
-        return _row([*row, [ones], [], stats, len(b.upper), len(vocabulary)])
+        return _row(_FIXED, [table.column("bucket")[0].as_py(), vocabulary.tobytes(), width.astype(np.uint32).tobytes(), (pair & 0xFFFFFFFF).astype(np.uint32).tobytes(), count.astype(np.uint32).tobytes(), keys.tobytes(), stats])
 
-    return pairs.select("bucket", "words", "width", "ctx", "train").groupBy("bucket").applyInArrow(run, _MODEL)
+    return pairs.select("bucket", "words", "width", "ctx", "train").groupBy("bucket").applyInArrow(run, _FIXED)
 
 
 @lru_cache(maxsize=4)
@@ -254,133 +256,184 @@ def _many(c: np.ndarray, others: np.ndarray, log_h: np.ndarray, d: float, theta:
     return np.minimum(first + step * at + np.floor(rng.random(len(c)) * step), c).astype(np.int64)
 
 
-def _totals(model: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, part, customers, tables): what each restaurant that a bucket knows of holds in all buckets together."""
+def _begun(fixed: DataFrame, buckets: int) -> DataFrame:
+    """One table for each pair, to begin with."""
 
-    def tell(batches):
+    def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {n: batch.column(k)[i] for k, n in enumerate(batch.schema.names)}
-                b = Bucket(r)
-                t, te, _ = b.seats(r["last"].as_py())
-                c, t = b.sums(t, te)
-                part = _bucket(mix(b.keys), buckets)
-                out = [(int(part[x]), r["bucket"].as_py(), b.keys[x:y].tobytes(), c[x:y].tobytes(), t[x:y].tobytes()) for x, y in _runs(part)]
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64() if k < 2 else pa.binary()) for k in range(5)], names=["part", "bucket", "keys", "c", "t"])
+                b = Bucket(r, buckets)
+                seats = [np.ones(len(x), np.int64) for x in (b.c, b.upper, b.words)]
+                yield from _row(_SEATS, [r["bucket"].as_py(), r["keys"].as_py(), [np.concatenate(seats).astype(np.int32).tobytes()], *b.told(*seats)]).to_batches()
+
+    return fixed.select("bucket", "words", "width", "ctx", "c", "keys").mapInArrow(run, _SEATS)
+
+
+def _customers(fixed: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, keys, sums): customers of this bucket in each context."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {n: batch.column(k)[i] for k, n in enumerate(batch.schema.names)}
+                b = Bucket(r, buckets)
+                sums = np.bincount(b.key, weights=b.c, minlength=len(b.keys)).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array([r["bucket"].as_py()]), pa.array([r["keys"].as_py()], pa.binary()), pa.array([sums.tobytes()], pa.binary())], names=["bucket", "keys", "sums"])
+
+    return fixed.select("bucket", "words", "width", "ctx", "c", "keys").mapInArrow(run, "bucket long, keys binary, sums binary")
+
+
+def _totals(sums: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, part, total): what each context that a bucket knows of holds in all buckets together. sums: bucket, keys, sums."""
+
+    def tell(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, own = _of(batch.column(1)[i], np.uint32), _of(batch.column(2)[i], np.uint32)
+                part = _part(keys, buckets)
+                out = [(int(part[x]), batch.column(0)[i].as_py(), keys[x:y].tobytes(), own[x:y].tobytes()) for x, y in _runs(part)]
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64() if k < 2 else pa.binary()) for k in range(4)], names=["part", "bucket", "keys", "own"])
 
     def add(table: pa.Table) -> pa.Table:
-        lists = [_of(x, U64) for x in table.column("keys").to_pylist()]
+        lists = [_of(x, np.uint32) for x in table.column("keys").to_pylist()]
         keys, at = np.unique(np.concatenate(lists), return_inverse=True)
         cut = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-        out = {}
-        for name in ("c", "t"):
-            one = np.concatenate([_of(x, np.int64) for x in table.column(name).to_pylist()])
-            whole = np.bincount(at, weights=one, minlength=len(keys)).astype(np.int64)[at]
-            out[name] = pa.array([whole[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())
-        return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "customers": out["c"], "tables": out["t"]})
+        total = np.bincount(at, weights=np.concatenate([_of(x, np.uint32) for x in table.column("own").to_pylist()]), minlength=len(keys)).astype(np.int64)[at]
+        return pa.table({"bucket": table.column("bucket"), "part": table.column("part"), "total": pa.array([total[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
+
+    told = sums.select("bucket", "keys", "sums").mapInArrow(tell, "part long, bucket long, keys binary, own binary")
+    return written(told.groupBy("part").applyInArrow(add, "bucket long, part long, total binary"), "totals")
 
-    told = model.select("bucket", "words", "width", "keys", "ctx", "c", F.element_at("seats", -1).alias("last")).mapInArrow(tell, "part long, bucket long, keys binary, c binary, t binary")
-    return written(told.groupBy("part").applyInArrow(add, "bucket long, part long, customers binary, tables binary"), "totals")
 
+def _together(fixed: DataFrame, seats: DataFrame, totals: list[DataFrame]) -> DataFrame:
+    """All that a bucket needs, in rows of one schema: what is fixed, its seats, and the totals it was told (number: which)."""
+    out = fixed.drop("stats").unionByName(seats.select("bucket", "seats"), allowMissingColumns=True)
+    for number, t in enumerate(totals):
+        out = out.unionByName(t.withColumn("number", F.lit(number)), allowMissingColumns=True)
+    return out
 
-def _heard(table: pa.Table) -> bytes:
-    """The totals told to one bucket, in the order of its keys: customers, then tables."""
-    order = np.argsort(table.column("part").to_numpy())
-    return b"".join(table.column(n)[int(i)].as_py() for n in ("customers", "tables") for i in order)
 
+def _opened(table: pa.Table, buckets: int) -> tuple[Bucket, list[bytes], list[np.ndarray]]:
+    """A bucket from its rows of ``_together``: itself, its seats in all samples, and the totals by number."""
+    row = table.filter(pa.compute.is_valid(table.column("words")))
+    seats = table.column("seats").drop_null()[0].as_py()
+    told = table.filter(pa.compute.is_valid(table.column("part")))
+    told = told.take(np.lexsort((told.column("part").to_numpy(), told.column("number").to_numpy())))
+    totals: dict[int, list[bytes]] = {}
+    for number, x in zip(told.column("number").to_pylist(), told.column("total").to_pylist()):
+        totals.setdefault(number, []).append(x)
+    b = Bucket({n: row.column(n)[0] for n in ("words", "width", "ctx", "c", "keys")}, buckets)
+    return b, seats, [_of(b"".join(totals[k]), np.int64) for k in sorted(totals)]
 
-def _sweep(model: DataFrame, totals: DataFrame, g: dict, keep: bool, number: int) -> DataFrame:
-    """One Gibbs sweep over all buckets, given the restaurants' totals; keep: the state before stays as a sample."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        r = {n: left.column(n)[0] for n in left.column_names}
-        b, heard = Bucket(r), _heard(right)
-        total = _of(heard, np.int64).reshape(2, -1)
-        seats, kept = r["seats"].as_py(), r["totals"].as_py()
-        t, te, tw = b.seats(seats[-1])
-        rng = np.random.default_rng([SEED, number, r["bucket"].as_py()])
-        upper, root = b.parents(t, te, tw, total, g)
-        new = seat(b.c, (total[1][b.key] - t).astype(float), np.log(upper)[b.up], g["d"], g["theta"], rng)
+def _sweep(fixed: DataFrame, seats: DataFrame, totals: DataFrame, g: dict, buckets: int, keep: bool, number: int) -> DataFrame:
+    """Seats after one Gibbs sweep over all buckets, given the restaurants' totals; keep: the seats before stay as a sample."""
+
+    def run(table: pa.Table) -> pa.Table:
+        b, old, (total,) = _opened(table, buckets)
+        t, te, tw = b.seats(old[-1])
+        bucket = table.column("bucket")[0].as_py()
+        rng = np.random.default_rng([SEED, number, bucket])
+        upper, root = b.parents(t, te, tw, g)
+        new, more = np.ones(len(t), np.int64), np.flatnonzero(b.c > 1)
+        new[more] = seat(b.c[more], (total[b.key[more]] - t[more]).astype(float), np.log(upper)[b.up[more]], g["d"], g["theta"], rng)
         customers = np.bincount(b.up, weights=new, minlength=len(te)).astype(np.int64)
-        ending = seat(customers, (total[1][b.upper_key] - te).astype(float), np.log(root)[b.upper_word], g["d1"], g["theta"], rng)
+        ending = seat(customers, (g["te"][b.upper_key] - te).astype(float), np.log(root)[b.upper_word], g["d1"], g["theta"], rng)
         customers = np.bincount(b.upper_word, weights=ending, minlength=len(tw)).astype(np.int64)
         top = seat(customers, (g["tables"] - tw).astype(float), np.full(len(tw), np.log(g["h0"])), g["d0"], g["theta"], rng)
         packed = np.concatenate([new, ending, top]).astype(np.int32).tobytes()
-        same = [r[n].as_py() for n in ("bucket", "words", "width", "keys", "ctx", "c")]
-        return _row([*same, [*(seats if keep else []), packed], [*kept, heard] if keep else kept, r["stats"].as_py(), int(ending.sum()), int(top.sum())])
+        return _row(_SEATS, [bucket, b.keys.tobytes(), [*(old if keep else []), packed], *b.told(new, ending, top)])
 
-    return model.groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(run, _MODEL)
+    return _together(fixed, seats, [totals]).groupBy("bucket").applyInArrow(run, _SEATS)
 
 
-def fit(pairs: DataFrame, buckets: int, burn_in: int = BURN_IN, samples: int = SAMPLES) -> tuple[DataFrame, DataFrame, list[dict]]:
-    """The buckets' counts with sampled seatings, the restaurants' totals in the last one, and each kept sample's few numbers."""
-    model = written(_gathered(pairs, buckets), "seats")
-    s = np.array([r[0] for r in model.select(F.array(*[F.sum(F.col("stats")[i]) for i in range(8)]).alias("s")).collect()][0], dtype=object)
+def _shared(seats: DataFrame) -> dict:
+    """Customers and tables of each ending (a fixed number), and of the root."""
+
+    def run(batches):
+        ends, tables = np.zeros(2 * ENDINGS, np.int64), 0
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                ends += _of(x, np.int64)
+            tables += sum(batch.column(1).to_pylist())
+        at = np.flatnonzero(ends)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(ends[at], tables))], names=["at", "n"])
+
+    rows = seats.select("ends", "tables").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n")).collect()
+    ends, tables = np.zeros(2 * ENDINGS, np.int64), 0
+    for at, n in rows:
+        if at < 0:
+            tables = n
+        else:
+            ends[at] = n
+    return {"ce": ends[:ENDINGS], "te": ends[ENDINGS:], "customers": int(ends[ENDINGS:].sum()), "tables": tables}
+
+
+def fit(pairs: DataFrame, buckets: int, burn_in: int = BURN_IN, samples: int = SAMPLES) -> tuple[DataFrame, DataFrame, list[DataFrame], list[dict]]:
+    """The buckets' counts; their seats in the kept samples; totals of the contexts (customers, then tables in each sample);
+    and each sample's few shared numbers."""
+    fixed = written(_gathered(pairs, buckets), "counts")
+    s = np.array([r[0] for r in fixed.select(F.array(*[F.sum(F.col("stats")[i]) for i in range(8)]).alias("s")).collect()][0], dtype=object)
     v, n, *ones_and_twos = (int(x or 0) for x in s)
     unknown = UNKNOWN if v else 1.0
     discount = [min(0.95, max(0.05, a / max(1, a + 2 * b))) for a, b in zip(ones_and_twos[::2], ones_and_twos[1::2])]
-    fixed = dict(zip(("d", "d1", "d0"), discount)) | {"theta": THETA, "h0": (1 - unknown) / max(1, v), "unknown": unknown, "n": n, "v": v}
-    kept = []
+    numbers = dict(zip(("d", "d1", "d0"), discount)) | {"theta": THETA, "h0": (1 - unknown) / max(1, v), "unknown": unknown, "n": n, "v": v}
+    totals, kept = [_totals(_customers(fixed, buckets), buckets)], []
+    seats = written(_begun(fixed, buckets), "seats")
     for number in range(burn_in + samples + 1):
-        totals = _totals(model, buckets)
-        c, t = model.agg(F.sum("customers"), F.sum("tables")).first()
-        now = fixed | {"customers": int(c or 0), "tables": int(t or 0)}
+        now, told = numbers | _shared(seats), _totals(seats, buckets)
         if number > burn_in:
             kept.append(now)
+            totals.append(told)
         if number == burn_in + samples:
-            return model, totals, kept
-        new = written(_sweep(model, totals, now, number > burn_in, number), "seats")
-        dropped(model)
-        dropped(totals)
-        model = new
+            return fixed, seats, totals, kept
+        new = written(_sweep(fixed, seats, told, now, buckets, number > burn_in, number), "seats")
+        dropped(seats)
+        if number <= burn_in:
+            dropped(told)
+        seats = new
 
 
-def _answers(pairs: DataFrame, model: DataFrame, totals: DataFrame, kept: list[dict]) -> DataFrame:
+def _answers(pairs: DataFrame, fixed: DataFrame, seats: DataFrame, totals: list[DataFrame], kept: list[dict], buckets: int) -> DataFrame:
     """(block, bucket, score, known): for each pair of each block its log10 probability, for each word its training count."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        row = right.filter(pa.compute.is_valid(right.column("words")))
-        r = {n: row.column(n)[0] for n in row.column_names}
-        b = Bucket(r)
-        heard = [*r["totals"].as_py(), _heard(right.filter(pa.compute.is_valid(right.column("part"))))]
-        sort, width = np.argsort(b.keys), max(1, len(b.keys))
-        pair, last = b.word * width + b.key, max(0, len(b.c) - 1)  # sorted
+        b, packed, (customers, *tables) = _opened(right, buckets)
         count = np.bincount(b.word, weights=b.c, minlength=len(b.words)).astype(np.int64)
         samples = []
-        for packed, told, g in zip(r["seats"].as_py(), heard, kept):
-            t, te, tw = b.seats(packed)
-            total = _of(told, np.int64).reshape(2, -1)
-            samples.append((t, total, *b.parents(t, te, tw, total, g), g))
+        for x, told, g in zip(packed, tables, kept):
+            t, te, tw = b.seats(x)
+            samples.append((t, told, *b.parents(t, te, tw, g), g))
         out = []
         for i in range(left.num_rows):
-            mine, wide, near = (_of(left.column(n)[i], k) for n, k in (("words", U64), ("width", np.uint32), ("ctx", U64)))
+            mine, wide, near = (_of(left.column(n)[i], k) for n, k in (("words", U64), ("width", np.uint32), ("ctx", np.uint32)))
             at = np.minimum(np.searchsorted(b.words, mine), max(0, len(b.words) - 1))
             known = b.words[at] == mine if len(b.words) else np.zeros(len(mine), bool)
             owner = np.repeat(np.arange(len(mine)), wide)
-            key = sort[np.searchsorted(b.keys[sort], near)]
-            p, word, knows = np.zeros(len(near)), at[owner], known[owner]
-            for t, total, upper, root, g in samples:
+            key, end, word, knows = b.place(near), near % ENDINGS, at[owner], known[owner]
+            # the word in the context's ending, then in the context: seen there or not
+            upper_at = np.minimum(np.searchsorted(b.upper, word * ENDINGS + end), max(0, len(b.upper) - 1))
+            upper_seen = knows & (b.upper[upper_at] == word * ENDINGS + end) if len(b.upper) else np.zeros(len(near), bool)
+            spot = np.minimum(np.searchsorted(b.pair, word << 32 | near), max(0, len(b.pair) - 1))
+            seen = knows & (b.pair[spot] == word << 32 | near) if len(b.pair) else np.zeros(len(near), bool)
+            p = np.zeros(len(near))
+            for t, told, upper, root, g in samples:
                 none = (g["theta"] + g["d0"] * g["tables"]) * g["unknown"] / (g["theta"] + g["customers"])
                 here = np.where(knows, root[word], none) if len(root) else np.full(len(near), none)
-                # the word in the context's ending, then in the context: seen there or not
-                end = b.ending[key]
-                spot = np.minimum(np.searchsorted(b.upper, word * width + end), max(0, len(b.upper) - 1))
-                seen = knows & (b.upper[spot] == word * width + end) if len(b.upper) else np.zeros(len(near), bool)
-                back = (g["theta"] + g["d1"] * total[1][end]) / (g["theta"] + total[0][end]) * here
-                here = np.where(seen, upper[spot], back) if len(upper) else back
-                spot = np.minimum(np.searchsorted(pair, word * width + key), last)
-                seen = knows & (pair[spot] == word * width + key) if len(pair) else np.zeros(len(near), bool)
-                here = (g["theta"] + g["d"] * total[1][key]) * here
-                if len(pair):
+                here = (g["theta"] + g["d1"] * g["te"][end]) / (g["theta"] + g["ce"][end]) * here
+                if len(upper):
+                    here = np.where(upper_seen, upper[upper_at], here)
+                here = (g["theta"] + g["d"] * told[key]) * here
+                if len(b.pair):
                     here += np.where(seen, b.c[spot] - g["d"] * t[spot], 0.0)
-                p += here / (g["theta"] + total[0][key])
+                p += here / (g["theta"] + customers[key])
             base = np.where(known, count[at], 0) if len(count) else np.zeros(len(mine), np.int64)
             out.append((left.column("block")[i].as_py(), left.column("bucket")[i].as_py(), np.log10(p / len(samples)).astype(np.float32).tobytes(), base.astype(np.int64).tobytes()))
         return pa.table({"block": pa.array([o[0] for o in out], pa.int64()), "bucket": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.binary()), "known": pa.array([o[3] for o in out], pa.binary())})
 
     asked = pairs.select("bucket", "block", "words", "width", "ctx").groupBy("bucket")
-    told = model.select("bucket", "words", "width", "keys", "ctx", "c", "seats", "totals").unionByName(totals, allowMissingColumns=True)
-    return asked.cogroup(told.groupBy("bucket")).applyInArrow(run, "block long, bucket long, score binary, known binary")
+    return asked.cogroup(_together(fixed, seats, totals).groupBy("bucket")).applyInArrow(run, "block long, bucket long, score binary, known binary")
 
 
 def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -392,10 +445,16 @@ def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     n = n_blocks(docs, F.coalesce(F.octet_length("text"), F.lit(0)) + 16, block_bytes)
     dealt = docs.select("doc_id", "text", "held_out", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).alias("block"))
     pairs = written(_pairs(dealt, n), "pairs")
-    model, totals, kept = fit(pairs, n)
-    answers = written(_answers(pairs, model, totals, kept), "answers")
-    for table in (pairs, model, totals):
+    fixed, seats, totals, kept = fit(pairs, n)
+    waves = []
+    for wave in range(WAVES):
+        mine = lambda df: df.where(F.pmod("bucket", F.lit(WAVES)) == wave)  # noqa: B023, E731
+        waves.append(written(_answers(mine(pairs), mine(fixed), mine(seats), [mine(t) for t in totals], kept, n), "answers"))
+    for table in (pairs, fixed, seats, *totals):
         dropped(table)
+    answers = waves[0]
+    for wave in waves[1:]:
+        answers = answers.union(wave)
     tokens_, vocabulary = kept[-1]["n"], kept[-1]["v"]
     kind = docs.schema["doc_id"].dataType.simpleString()
 

@@ -83,7 +83,8 @@ def test_pitman_yor_scores_follow_from_the_seats(spark, corpus):
     docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").repartition(3)
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(4)))
     pairs = pitman_yor.written(pitman_yor._pairs(dealt, 4), "pairs")
-    model, totals, kept = pitman_yor.fit(pairs, 4, 1, 2)
+    fixed, seats, totals, kept = pitman_yor.fit(pairs, 4, 1, 2)
+    seated = {r.bucket: r.seats for r in seats.collect()}
     want_c = Counter()
     for _, t, held in rows:
         if not held:
@@ -100,17 +101,20 @@ def test_pitman_yor_scores_follow_from_the_seats(spark, corpus):
         w, c = hashed(x)
         name_w.update(zip(w.tolist(), [*x, "\n"]))
         name_c.update(zip(c.tolist(), [None, *x]))
+    ends = {x: c % pitman_yor.ENDINGS for c, x in name_c.items()}
+    assert len(set(name_c.values())) == len(name_c) and ends["w10"] == ends.get("w110", ends["w10"])
     prob = []  # of each sample
     for s, g in enumerate(kept):
         t_u, t_e, t_w, c_u, c_e = Counter(), Counter(), Counter(), Counter(), Counter()
-        for r in model.collect():
-            b = pitman_yor.Bucket(r.asDict())
-            t, te, tw = b.seats(r.seats[s])
+        for r in fixed.collect():
+            b = pitman_yor.Bucket(r.asDict(), 4)
+            t, te, tw = b.seats(seated[r.bucket][s])
             for i in range(len(b.c)):
-                ctx, w = name_c[int(b.keys[b.key[i]])], name_w[int(b.words[b.word[i]])]
+                assert b.keys[b.key[i]] == b.ctx[i]
+                ctx, w = name_c[int(b.ctx[i])], name_w[int(b.words[b.word[i]])]
                 assert b.c[i] == want_c[ctx, w] and 1 <= t[i] <= b.c[i]
                 t_u[ctx, w], c_u[ctx, w] = int(t[i]), int(b.c[i])
-                end = (ctx or "").encode()[-3:]
+                end = ends[ctx]
                 c_e[end, w] += int(t[i])
                 t_e[end, w] = int(te[b.up[i]])
                 t_w[w] = int(tw[b.word[i]])
@@ -124,7 +128,7 @@ def test_pitman_yor_scores_follow_from_the_seats(spark, corpus):
             cw[w] += v
 
         def p(ctx, w):
-            th, end = g["theta"], (ctx or "").encode()[-3:]
+            th, end = g["theta"], ends.get(ctx)
             top = (cw[w] - g["d0"] * t_w[w] + (th + g["d0"] * root_t) * g["h0"] if w in t_w else (th + g["d0"] * root_t) * g["unknown"]) / (th + root_c)
             mid = (c_e[end, w] - g["d1"] * t_e[end, w] + (th + g["d1"] * te_[end]) * top) / (th + ce[end])
             return (c_u[ctx, w] - g["d"] * t_u[ctx, w] + (th + g["d"] * tu[ctx]) * mid) / (th + cu[ctx])
@@ -132,12 +136,12 @@ def test_pitman_yor_scores_follow_from_the_seats(spark, corpus):
         for ctx in [None, "w1", "w2", "w77", "never"]:
             assert sum(p(ctx, w) for w in t_w) + p(ctx, "unheard of") == pytest.approx(1)
         prob.append({(ctx, w): p(ctx, w) for _, t, _ in rows for ctx, w in zip([None, *words(t)], [*words(t), "\n"])})
-    answers = pitman_yor._answers(pairs, model, totals, kept).collect()
+    answers = pitman_yor._answers(pairs, fixed, seats, totals, kept, 4).collect()
     got = {}
     for r in pairs.collect():
         a = next(x for x in answers if (x.block, x.bucket) == (r.block, r.bucket))
         w = np.repeat(np.frombuffer(r.words, np.uint64), np.frombuffer(r.width, np.uint32))
-        for word, ctx, score in zip(w.tolist(), np.frombuffer(r.ctx, np.uint64).tolist(), np.frombuffer(a.score, np.float32).tolist()):
+        for word, ctx, score in zip(w.tolist(), np.frombuffer(r.ctx, np.uint32).tolist(), np.frombuffer(a.score, np.float32).tolist()):
             got[name_c[ctx], name_w[word]] = score
     assert set(got) == set(prob[0])
     assert all(got[k] == pytest.approx(math.log10((prob[0][k] + prob[1][k]) / 2), abs=1e-5) for k in got)
