@@ -44,19 +44,27 @@ def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(raw, start, end), doc
 
 
-def indexed(w: np.ndarray, d: np.ndarray, ids: np.ndarray, real: np.ndarray, block: int = BLOCK_DOCS) -> dict[str, np.ndarray]:
-    """The index of one shard: w and d are its tokens' words and documents; ids, real: per document its id and if it has one."""
+def counted(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of each text of a small piece: words, text numbers, counts."""
+    w, d = _words(col)
+    order = np.lexsort((w, d))
+    w, d = w[order], d[order]
+    first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (d[1:] != d[:-1])])) if len(w) else np.zeros(0, np.int64)
+    return w[first], d[first].astype(np.int32), np.diff(np.append(first, len(w))).astype(np.int32)
+
+
+def indexed(w: np.ndarray, doc: np.ndarray, count: np.ndarray, ids: np.ndarray, real: np.ndarray, block: int = BLOCK_DOCS) -> dict[str, np.ndarray]:
+    """The index of one shard from the distinct words of its documents; ids, real: per document its id and if it has one."""
     at = len(ids)
-    length = np.bincount(d, minlength=at)
-    terms, which = np.unique(w, return_inverse=True)
-    pair, count = np.unique(which.astype(np.int64) * max(1, at) + d, return_counts=True)
-    term, doc = pair // max(1, at), pair % max(1, at)
+    length = np.bincount(doc, weights=count, minlength=at).astype(np.int64)
+    terms, term = np.unique(w, return_inverse=True)
+    term = term.astype(np.int32)
     df = np.bincount(term, minlength=len(terms))
     # neighbours by their first frequent term (much the same language), then by the rarest term that fills a block, then by length
     widely, common = df[term] * 10 >= at, df[term] >= block
     tongue, subject = np.full(at, len(terms)), np.full(at, len(terms) * (at + 1), np.int64)
     np.minimum.at(tongue, doc[widely], term[widely])
-    np.minimum.at(subject, doc[common], (df[term] * len(terms) + term)[common])
+    np.minimum.at(subject, doc[common], (df[term[common]] * len(terms) + term[common]))
     order = np.lexsort((length, subject, tongue))
     place = np.empty(at, np.int64)
     place[order] = np.arange(at)
@@ -79,13 +87,14 @@ def build(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     dealt = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).alias("shard"))
 
     def run(table: pa.Table) -> pa.Table:
-        words, owner, at = [], [], 0
+        parts, at = [], 0
         for batch in pieces(iter(table.to_batches())):
-            w, d = _words(batch.column(batch.schema.get_field_index("text")))
-            words.append(w)
-            owner.append(d + at)
+            w, d, n = counted(batch.column(batch.schema.get_field_index("text")))
+            parts.append((w, d + np.int32(at), n))
             at += batch.num_rows
-        row = indexed(np.concatenate(words), np.concatenate(owner), table.column("doc_id").fill_null(0).to_numpy(), ~table.column("doc_id").is_null().to_numpy())
+        w, d, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        del parts
+        row = indexed(w, d, n, table.column("doc_id").fill_null(0).to_numpy(), ~table.column("doc_id").is_null().to_numpy())
         cols = {k: pa.array([row[k].astype(kind).tobytes()], pa.binary()) for k, kind in _KINDS.items()}
         return pa.table({"shard": pa.array([table.column("shard")[0].as_py()]), **cols})
 
@@ -173,7 +182,7 @@ def search_shard(row: dict, mean: float, asked: Round, best: Best, itself: bool,
     bound = asked.has @ top
     rare = np.flatnonzero(~often)
     times = np.cumsum(asked.first[term[rare] + 1] - asked.first[term[rare]])
-    for lo, hi in _cuts(times, 1_000_000):
+    for lo, hi in _cuts(times, 250_000):
         part = rare[lo:hi]
         query, many = asked.spread(term[part])
         bound += np.bincount(query * blocks + np.repeat(where[part], many), weights=np.repeat(most[part], many), minlength=bound.size).reshape(bound.shape)

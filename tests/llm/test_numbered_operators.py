@@ -350,7 +350,8 @@ def test_search_leaves_postings_unread():
     rng = random.Random(2)
     common, topics = np.arange(1, 40, dtype=np.uint64), np.arange(1000, 1200, dtype=np.uint64)
     docs = [np.array(rng.choices(common, k=60) + rng.choices(topics[20 * (i % 10) : 20 * (i % 10) + 20], k=20)) for i in range(640)]
-    row = bm25.indexed(np.concatenate(docs), np.repeat(np.arange(640), 80), np.arange(640), np.ones(640, bool))
+    pairs = [(i, *x) for i, d in enumerate(docs) for x in Counter(d.tolist()).items()]
+    row = bm25.indexed(np.array([x[1] for x in pairs], np.uint64), np.array([x[0] for x in pairs]), np.array([x[2] for x in pairs]), np.arange(640), np.ones(640, bool))
     assert (np.diff(row["at"].astype(int)) > 0).all() and len(row["at"]) == len(row["block"]) + 1
     every, df = row["terms"], row["df"].astype(np.int64)
     queries = [np.unique(docs[i]) for i in (3, 17, 200)]
