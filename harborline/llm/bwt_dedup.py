@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, dropped, mix, n_blocks, utf8, written
+from .common import U64, dropped, mix, n_blocks, runs, utf8, written
 
 LENGTH, GRAM, PAD = 50, 16, 8
 BLOCK_BYTES, SHARD_SUFFIXES = 3 << 20, 1 << 16
@@ -242,11 +242,9 @@ def _anchors(dealt: DataFrame, buckets: int) -> DataFrame:
         a = a[first]
         to = _bucket(a, buckets)
         sort = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[sort], np.arange(buckets + 1))
-        used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
         block = table.column("block")[0].as_py() if table.num_rows else 0
-        part = [sort[cuts[b] : cuts[b + 1]] for b in used]
-        return pa.table({"bucket": pa.array(used, pa.int64()), "block": pa.array([block] * len(used), pa.int64()), "anchors": pa.array([a[p].tobytes() for p in part], pa.binary()), "many": pa.array([many[p].tobytes() for p in part], pa.binary())})
+        part = [sort[x:y] for x, y in runs(to[sort])]
+        return pa.table({"bucket": pa.array([int(to[p[0]]) for p in part], pa.int64()), "block": pa.array([block] * len(part), pa.int64()), "anchors": pa.array([a[p].tobytes() for p in part], pa.binary()), "many": pa.array([many[p].tobytes() for p in part], pa.binary())})
 
     return dealt.groupBy("block").applyInArrow(run, "bucket long, block long, anchors binary, many binary")
 
@@ -284,14 +282,13 @@ def _sent(dealt: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
         size = count[one] + LENGTH - 1
         byte = raw[_cat(start[one], size)]
         first = np.concatenate([[0], np.cumsum(size)])
-        cuts = np.searchsorted(_bucket(anchor[one], buckets), np.arange(buckets + 1))
-        used = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
         block = left.column("block")[0].as_py() if left.num_rows else 0
-        span = [(int(cuts[b]), int(cuts[b + 1])) for b in used]
+        to = _bucket(anchor[one], buckets)
+        span = runs(to)
         return pa.table(
             {
-                "bucket": pa.array(used, pa.int64()),
-                "block": pa.array([block] * len(used), pa.int64()),
+                "bucket": pa.array([int(to[a]) for a, _ in span], pa.int64()),
+                "block": pa.array([block] * len(span), pa.int64()),
                 "anchors": pa.array([anchor[one[a:b]].tobytes() for a, b in span], pa.binary()),
                 "count": pa.array([count[one[a:b]].tobytes() for a, b in span], pa.binary()),
                 "bytes": pa.array([byte[first[a] : first[b]].tobytes() for a, b in span], pa.binary()),

@@ -136,6 +136,12 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CH
             at = to
 
 
+def runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal values of a sorted array."""
+    cuts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1], [True]])).tolist() if len(values) else []
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import aside, free, written
 
 LIMIT_BYTES = 1 << 20
 BITS, SPARE_BITS = 60, 4
@@ -25,29 +25,33 @@ def hash_bits(key: Column) -> Column:
 def _directory(rows: DataFrame, bits: int, limit: int) -> DataFrame:
     """(entry, depth, bytes): the bucket of each directory entry in use; depth is null where even all ``bits`` do not fit.
 
-    rows: _h, _bytes. Sums are made per entry before anything is multiplied by depths.
+    rows: h, size. Sums are made per entry before anything is multiplied by depths. Prefixes that fit are told first: entries
+    look for theirs from the least depth at which any does, so no task gets the entries of a prefix that is too short.
     """
-    entries = rows.groupBy(F.shiftright("_h", BITS - bits).alias("entry")).agg(F.sum("_bytes").alias("bytes"))
-    depths = F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth")
-    at = entries.select("entry", "bytes", depths).withColumn("prefix", F.expr(f"shiftright(entry, {bits} - depth)"))
-    fits = at.groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") <= limit)
-    first = at.select("entry", "depth", "prefix").join(fits, ["depth", "prefix"]).groupBy("entry").agg(F.min(F.struct("depth", "bytes")).alias("b"))
+    entries = written(rows.groupBy(F.shiftright("h", BITS - bits).alias("entry")).agg(F.sum("size").alias("bytes")), "entries")
+    prefix = F.expr(f"shiftright(entry, {bits} - depth)").alias("prefix")
+    at = entries.select("entry", "bytes", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth"))
+    fits = written(at.groupBy("depth", prefix).agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") <= limit), "fits")
+    least = fits.agg(F.min("depth")).first()[0]
+    near = entries.select("entry", F.explode(F.sequence(F.lit(bits if least is None else least), F.lit(bits))).alias("depth")).select("entry", "depth", prefix)
+    first = near.join(fits, ["depth", "prefix"]).groupBy("entry").agg(F.min(F.struct("depth", "bytes")).alias("b"))
     return entries.select("entry").join(first, "entry", "left").select("entry", "b.depth", "b.bytes")
 
 
-def _split(rows: DataFrame, limit: int, total: int) -> tuple[DataFrame, DataFrame | None]:
-    """rows (with _h, _bytes) plus depth and shard_bytes; and, if any, those whose bucket exceeds the limit on all bits."""
+def _split(rows: DataFrame, limit: int, total: int, h: str, size: str, depth: str, bytes_: str) -> tuple[DataFrame, DataFrame | None]:
+    """rows (with hash h and size) plus depth and bytes of their shard; and, if any, those whose bucket exceeds the limit on all bits."""
     bits = min(BITS, max(1, (total // max(1, limit)).bit_length() + SPARE_BITS))
+    (entry,) = free([*rows.columns, depth, bytes_], "entry")
     done, rest = None, rows
     while True:
-        directory = _directory(rest.select("_h", "_bytes"), bits, limit)
-        out = rest.withColumn("_entry", F.shiftright("_h", BITS - bits)).join(directory.withColumnRenamed("entry", "_entry"), "_entry").drop("_entry")
-        out = out.withColumnRenamed("bytes", "shard_bytes")
-        fit = out.where("depth is not null")
+        directory = _directory(rest.select(F.col(h).alias("h"), F.col(size).alias("size")), bits, limit)
+        told = directory.select(F.col("entry").alias(entry), F.col("depth").alias(depth), F.col("bytes").alias(bytes_))
+        out = rest.withColumn(entry, F.shiftright(h, BITS - bits)).join(told, entry).drop(entry)
+        fit = out.where(F.col(depth).isNotNull())
         done = fit if done is None else done.unionByName(fit)
         if not directory.where("depth is null").limit(1).count():
             return done, None
-        rest = written(out.where("depth is null").drop("depth", "shard_bytes"), "oversized")
+        rest = written(out.where(F.col(depth).isNull()).drop(depth, bytes_), "oversized")
         if bits == BITS:
             return done, rest
         bits = BITS
@@ -59,30 +63,32 @@ def sharded(docs: DataFrame, limit: int = LIMIT_BYTES, key: str = "doc_id", size
     size: bytes of a row, default those of its text (null: 0). Rows that share all hash bits and exceed the limit together
     are told apart by the hash of the whole row: their shard is the key's bits, a slash, and bits of that hash. Equal rows
     beyond that are numbered and go to pages (``#n`` after the bits). Only a single row above the limit makes a larger
-    shard, alone. A null key is a key; an empty table has no shards. Columns named shard, depth or shard_bytes are replaced.
+    shard, alone. A null key is a key; an empty table has no shards. Extra columns stay; one named shard, depth or shard_bytes
+    is kept as ``<name>_input``.
     """
-    docs = docs.drop("shard", "depth", "shard_bytes")
+    docs = aside(docs, "shard", "depth", "shard_bytes")
     columns = [F.col(f"`{c}`") for c in docs.columns]
+    new = ("shard", "depth", "shard_bytes")
+    h, n, whole_key, count, page, number, held, copy = free([*docs.columns, *new], *"h n key count page number held copy".split())
     bytes_ = F.coalesce(F.octet_length("text") if size is None else size, F.lit(0)).cast("long")
-    rows = docs.select(*columns, bytes_.alias("_bytes"), hash_bits(F.col(f"`{key}`")).alias("_h"))
-    total = int(rows.agg(F.sum("_bytes")).first()[0] or 0)
-    done, hot = _split(rows, limit, total)
-    bits = F.expr(f"substring(lpad(bin(_h), {BITS}, '0'), 1, depth)")
+    rows = docs.select(*columns, bytes_.alias(n), hash_bits(F.col(f"`{key}`")).alias(h))
+    total = int(rows.agg(F.sum(n)).first()[0] or 0)
+    done, hot = _split(rows, limit, total, h, n, "depth", "shard_bytes")
+    bits = F.expr(f"substring(lpad(bin(`{h}`), {BITS}, '0'), 1, depth)")
     out = done.withColumn("shard", bits)
     if hot is not None:
-        whole = F.to_json(F.struct(*columns))
-        again = hot.withColumn("_key", F.lpad(F.bin("_h"), BITS, "0")).withColumn("_h", hash_bits(F.concat(F.col("_key"), whole)))
-        apart, equal = _split(again, limit, total)
-        out = out.unionByName(apart.withColumn("shard", F.concat("_key", F.lit("/"), bits)).drop("_key"))
+        again = hot.withColumn(whole_key, F.lpad(F.bin(h), BITS, "0")).withColumn(h, hash_bits(F.concat(F.col(whole_key), F.to_json(F.struct(*columns)))))
+        apart, equal = _split(again, limit, total, h, n, "depth", "shard_bytes")
+        out = out.unionByName(apart.withColumn("shard", F.concat(whole_key, F.lit("/"), bits)).drop(whole_key))
         if equal is not None:
-            names = [c for c in equal.columns if c not in ("_h", "_key")]
-            same = equal.groupBy("_h", "_key").agg(F.count("*").alias("_n"), *[F.first(F.col(f"`{c}`")).alias(c) for c in names])
-            page = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("_bytes", F.lit(1)))).cast("long")
-            paged = same.withColumn("_page", page).withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / F.col("_page")).cast("long"))))
-            paged = paged.withColumn("_k", F.least("_page", F.col("_n") - F.col("_p") * F.col("_page"))).repartition(F.col("_h"), F.col("_p"))
-            paged = paged.withColumn("shard_bytes", F.col("_k") * F.col("_bytes")).withColumn("depth", F.lit(BITS))
-            paged = paged.withColumn("shard", F.concat("_key", F.lit("/"), F.lpad(F.bin("_h"), BITS, "0"), F.lit("#"), "_p"))
-            paged = paged.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_k"))))
+            names = [c for c in equal.columns if c not in (h, whole_key)]
+            same = equal.groupBy(h, whole_key).agg(F.count("*").alias(count), *[F.first(F.col(f"`{c}`")).alias(c) for c in names])
+            paged = same.withColumn(page, F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(n, F.lit(1)))).cast("long"))
+            paged = paged.withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / F.col(page)).cast("long"))))
+            paged = paged.withColumn(held, F.least(page, F.col(count) - F.col(number) * F.col(page))).repartition(F.col(h), F.col(number))
+            paged = paged.withColumn("shard_bytes", F.col(held) * F.col(n)).withColumn("depth", F.lit(BITS))
+            paged = paged.withColumn("shard", F.concat(whole_key, F.lit("/"), F.lpad(F.bin(h), BITS, "0"), F.lit("#"), number))
+            paged = paged.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(held))))
             out = out.unionByName(paged.select(*out.columns))
     return out.select(*columns, "shard", F.col("depth").cast("int").alias("depth"), F.col("shard_bytes").cast("long").alias("shard_bytes"))
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, dropped, free, mix, n_blocks, pieces, span_hashes, tokens, utf8, written
+from .common import LOWER, U64, dropped, free, mix, n_blocks, pieces, runs, span_hashes, tokens, utf8, written
 
 CHUNK, BUCKET_BYTES = 1024, 8 << 20
 #: Ranges with fewer shingles than this on average need the sets' repeated share first.
@@ -139,10 +139,10 @@ def _repeated(dealt: DataFrame, n: int, buckets: int) -> DataFrame:
 
     def tell(table: pa.Table) -> pa.Table:
         every, count = np.unique(np.concatenate([shingle_sets(b.column(1), n)[0] for b in pieces(iter(table.to_batches()))] or [np.zeros(0, U64)]), return_counts=True)
-        cut = np.searchsorted((every >> U64(32)) * U64(buckets) >> U64(32), np.arange(buckets + 1).astype(U64))
-        used = np.flatnonzero(cut[1:] > cut[:-1])
-        part = lambda x: pa.array([x[cut[u] : cut[u + 1]].tobytes() for u in used], pa.binary())
-        return pa.table({"bucket": pa.array(used, pa.int64()), "block": pa.array([table.column("block")[0].as_py()] * len(used), pa.int64()), "hashes": part(every), "many": part(count > 1)})
+        to = ((every >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+        used = runs(to)
+        part = lambda x: pa.array([x[a:b].tobytes() for a, b in used], pa.binary())
+        return pa.table({"bucket": pa.array([int(to[a]) for a, _ in used], pa.int64()), "block": pa.array([table.column("block")[0].as_py()] * len(used), pa.int64()), "hashes": part(every), "many": part(count > 1)})
 
     def answer(table: pa.Table) -> pa.Table:
         lists = [np.frombuffer(x, U64) for x in table.column("hashes").to_pylist()]
@@ -190,9 +190,9 @@ def features(docs: DataFrame, n: int, num: int, den: int, buckets: int) -> DataF
             if len(pair):
                 yield rows(len(pair), low=pa.array(pair[:, 0]), high=pa.array(pair[:, 1]))
             sig, node = sig[first], node[first]
-            cut = np.searchsorted((sig >> U64(32)) * U64(few) >> U64(32), np.arange(few + 1).astype(U64))
-            used = np.flatnonzero(cut[1:] > cut[:-1])
-            yield rows(len(used), bucket=pa.array(used), sigs=pa.array([sig[cut[u] : cut[u + 1]].tobytes() for u in used], pa.binary()), nodes=pa.array([node[cut[u] : cut[u + 1]].tobytes() for u in used], pa.binary()))
+            to = ((sig >> U64(32)) * U64(few) >> U64(32)).astype(np.int64)
+            used = runs(to)
+            yield rows(len(used), bucket=pa.array([int(to[a]) for a, _ in used], pa.int64()), sigs=pa.array([sig[a:b].tobytes() for a, b in used], pa.binary()), nodes=pa.array([node[a:b].tobytes() for a, b in used], pa.binary()))
 
         for batch in pieces(batches):
             h, off = shingle_sets(batch.column(1), n)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import U64, mix, n_blocks, pieces
 
 LEVELS, KEEP = (2, 3), 64
-RANGE_BYTES, KNOTS, CHUNK_CHARS = 4 << 20, 1000, 1 << 20
+RANGE_BYTES, KNOTS, CHUNK_CHARS, GROUP_RANGES = 4 << 20, 1000, 1 << 18, 1024
 #: Up to so many ranges their first keys are broadcast (three numbers each), beyond that joined by shuffle.
 BROADCAST_RANGES = 100_000
 _BITS = np.arange(128)
@@ -151,6 +151,20 @@ def ranged(rows: DataFrame, key: str, size: Column, range_bytes: int = RANGE_BYT
     return rows.withColumn("_range", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(at * F.lit(each) + inside).cast("long")), each * max(1, len(knots) - 1) + 1
 
 
+def _ranges_before(first: DataFrame) -> DataFrame:
+    """(_r, _id, _h, _to): each range's first document, and the range before it (before the first one: the last).
+
+    first: _range, f. Ranges look for their neighbour within groups of them; between groups only their ends meet.
+    """
+    first = first.withColumn("_group", F.floor(F.col("_range") / GROUP_RANGES))
+    inside = first.withColumn("_to", F.lag("_range").over(Window.partitionBy("_group").orderBy("_range")))
+    ends = first.groupBy("_group").agg(F.max("_range").alias("_last"))
+    order = Window.orderBy("_group")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = ends.select(F.col("_group").alias("_g"), F.coalesce(F.lag("_last").over(order), F.last("_last").over(whole)).alias("_end"))  # a row for each GROUP_RANGES ranges
+    return inside.join(ends, F.col("_group") == F.col("_g")).select(F.col("_range").alias("_r"), F.col("f.doc_id").alias("_id"), F.col("f.h").alias("_h"), F.coalesce("_to", "_end").alias("_to"))
+
+
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of docs.
 
@@ -165,10 +179,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     rows, most = ranged(rows, "doc_id", F.octet_length("text") + 16)
     rows = rows.withColumn("h", F.xxhash64("text", F.octet_length("text")))
     first = rows.groupBy("_range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "h")).alias("f"))
-    wrap = Window.orderBy("_range")
-    whole = wrap.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # one row a range meets in this window
-    before = first.select("_range", F.col("f.doc_id").alias("_id"), F.col("f.h").alias("_h"), F.coalesce(F.lag("_range").over(wrap), F.last("_range").over(whole)).alias("_to")).withColumnRenamed("_range", "_r")
+    before = _ranges_before(first)
     if most <= BROADCAST_RANGES:
         before = F.broadcast(before)
     tagged = rows.join(before, (F.col("_range") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, crc_fold, dropped, mix, n_blocks, pieces, span_hashes, tokens, utf8, written
+from .common import LOWER, U64, crc_fold, dropped, mix, n_blocks, pieces, runs, span_hashes, tokens, utf8, written
 
 BLOCK_BYTES = 8 << 20
 BURN_IN, SAMPLES, THETA, UNKNOWN, SEED = 2, 3, 1.0, 0.5, 11
@@ -80,12 +80,6 @@ def _of(x, kind) -> np.ndarray:
     return np.frombuffer(x.as_py() if hasattr(x, "as_py") else x, kind)
 
 
-def _runs(bucket: np.ndarray) -> list[tuple[int, int]]:
-    """Ranges of equal values of a sorted array."""
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])).tolist() if len(bucket) else []
-    return list(zip(cuts[:-1], cuts[1:]))
-
-
 def _pairs(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, block, words, width, ctx, train): each block's distinct pairs and their training counts."""
 
@@ -95,7 +89,7 @@ def _pairs(docs: DataFrame, buckets: int) -> DataFrame:
         train = np.bincount(token, weights=learn[doc], minlength=len(ctx)).astype(np.uint32)
         first, bucket = np.concatenate([[0], np.cumsum(width)]), _bucket(words, buckets)
         block = table.column("block")[0].as_py()
-        out = [(int(bucket[a]), block, words[a:b].tobytes(), width[a:b].astype(np.uint32).tobytes(), ctx[first[a] : first[b]].tobytes(), train[first[a] : first[b]].tobytes()) for a, b in _runs(bucket)]
+        out = [(int(bucket[a]), block, words[a:b].tobytes(), width[a:b].astype(np.uint32).tobytes(), ctx[first[a] : first[b]].tobytes(), train[first[a] : first[b]].tobytes()) for a, b in runs(bucket)]
         return pa.table({k: pa.array([r[i] for r in out], kind) for i, (k, kind) in enumerate([("bucket", pa.int64()), ("block", pa.int64()), ("words", pa.binary()), ("width", pa.binary()), ("ctx", pa.binary()), ("train", pa.binary())])})
 
     return docs.groupBy("block").applyInArrow(run, "bucket long, block long, words binary, width binary, ctx binary, train binary")
@@ -292,7 +286,7 @@ def _totals(sums: DataFrame, buckets: int) -> DataFrame:
             for i in range(batch.num_rows):
                 keys, own = _of(batch.column(1)[i], np.uint32), _of(batch.column(2)[i], np.uint32)
                 part = _part(keys, buckets)
-                out = [(int(part[x]), batch.column(0)[i].as_py(), keys[x:y].tobytes(), own[x:y].tobytes()) for x, y in _runs(part)]
+                out = [(int(part[x]), batch.column(0)[i].as_py(), keys[x:y].tobytes(), own[x:y].tobytes()) for x, y in runs(part)]
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64() if k < 2 else pa.binary()) for k in range(4)], names=["part", "bucket", "keys", "own"])
 
     def add(table: pa.Table) -> pa.Table:

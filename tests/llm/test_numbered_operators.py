@@ -401,7 +401,7 @@ def test_shards_of_a_hot_key(spark):
 def test_shards_of_nothing_and_clashing_columns(empty, spark):
     assert extendible.sharded(empty).count() == 0
     clash = spark.createDataFrame([(1, "a", "old", 9)], "doc_id long, text string, shard string, depth int")
-    assert extendible.sharded(clash).columns == ["doc_id", "text", "shard", "depth", "shard_bytes"]
+    assert extendible.sharded(clash).columns == [*(f"{c}_input" if c in ("shard", "depth", "shard_bytes") else c for c in clash.columns), "shard", "depth", "shard_bytes"]
 
 
 # ---- 5 language
