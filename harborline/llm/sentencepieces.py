@@ -28,7 +28,7 @@ from .common import U64, aside, mix, pieces
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 THETA, SEED = 1.0, 17
 #: Bytes of text filtered together (chunks repeat, so more text costs less each), and characters of a long text at a time.
-BATCH_BYTES, STRETCH = 1 << 20, 1 << 20
+BATCH_BYTES, STRETCH = 2 << 20, 1 << 20
 #: Positions of distinct chunks whose lattices are held at once.
 PART_POSITIONS = 1 << 15
 #: Positions of a longer chunk whose edges are held at once.
