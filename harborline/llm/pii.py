@@ -326,9 +326,13 @@ def _logsum(xs: list[float]) -> float:
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_spans: int = SAMPLE_SPANS) -> dict[tuple[str, str], float]:
-    """Weights from the base spans of at most ``sample_docs`` documents with digits or an @ (lowest hash of the text first)."""
+    """Weights from the base spans of at most ``sample_docs`` distinct texts with digits or an @ (lowest hash of the text first).
+
+    The hash of the last of them is found first, from hashes alone, so that no task meets more texts than the sample has.
+    """
     near = docs.where(F.col("text").rlike(r"@[A-Za-z0-9-]+\.|\+[0-9]|[0-9] ?[0-9.][0-9.-]{5}")).select("text", F.xxhash64("text").alias("h"))
-    rows = near.orderBy("h").limit(sample_docs).select("text")
+    last = near.select("h").distinct().orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
+    rows = near.where(F.col("h") <= (0 if last is None else last)).dropDuplicates(["h"]).select("text")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
