@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from .common import LOWER, U64, crc_fold, dropped, mix, n_blocks, pieces, runs, span_hashes, tokens, utf8, written
 
 BLOCK_BYTES = 8 << 20
-BURN_IN, SAMPLES, THETA, UNKNOWN, SEED = 2, 3, 1.0, 0.5, 11
+BURN_IN, SAMPLES, THETA, UNKNOWN, SEED = 1, 2, 1.0, 0.5, 11
 EXACT, GRID = 96, 64
 _END = U64(0x5DEECE66D1234567)
-ENDINGS = 1 << 12
+ENDINGS, FORM_BITS = 1 << 12, 20
 #: Answers are made for so many parts of the buckets one after the other: what a shuffle holds on disk goes in between.
 WAVES = 3
 
@@ -44,7 +44,7 @@ def _tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, end, doc = tokens(raw, off)
     word = span_hashes(raw, start, end)
     ending = raw[end - 1].astype(U64) + U64(1) + np.where(end - start > 1, raw[np.maximum(end - 2, 0)].astype(U64) + U64(1), U64(0)) * U64(257)
-    context = ((word >> U64(20) & U64(0xFFFFF)) << U64(12) | mix(ending) & U64(ENDINGS - 1)).astype(np.uint32)
+    context = ((mix(ending) & U64(ENDINGS - 1)) << U64(FORM_BITS) | word >> U64(20) & U64((1 << FORM_BITS) - 1)).astype(np.uint32)
     docs = len(off) - 1
     place = np.arange(len(word)) + doc
     n = np.bincount(doc, minlength=docs) + 1
@@ -102,20 +102,21 @@ class Bucket:
     keys: all contexts that pairs of this bucket have, held-out ones too, in the order in which their totals are told.
     """
 
-    def __init__(self, row: dict, parts: int):
+    def __init__(self, row: dict):
         self.words, self.width = _of(row["words"], U64), _of(row["width"], np.uint32).astype(np.int64)
-        self.ctx, self.c, self.keys = _of(row["ctx"], np.uint32), _of(row["c"], np.uint32).astype(np.int64), _of(row["keys"], np.uint32)
-        self.parts = _part(self.keys, parts)
+        self.key, self.c, self.keys = _of(row["key"], np.uint32), _of(row["c"], np.uint32).astype(np.int64), _of(row["keys"], np.uint32)
         self.word = np.repeat(np.arange(len(self.width)), self.width)
-        self.sort = np.argsort(self.keys)
-        self.key = self.place(self.ctx)
-        self.pair = self.word << 32 | self.ctx  # sorted
-        self.upper, self.up = np.unique(self.word * ENDINGS + self.ctx % ENDINGS, return_inverse=True)
+        self.pair = self.word << 32 | self.keys[self.key]  # sorted, and so are the upper pairs: endings are the high bits
+        upper = self.pair >> FORM_BITS
+        first = np.ones(len(upper), bool)
+        first[1:] = upper[1:] != upper[:-1]
+        self.upper, self.up = upper[first], np.cumsum(first) - 1
         self.upper_word, self.upper_key = self.upper // ENDINGS, self.upper % ENDINGS
 
     def place(self, ctx: np.ndarray) -> np.ndarray:
         """Where these contexts stand in keys."""
-        return self.sort[np.searchsorted(self.keys, ctx, sorter=self.sort)] if len(self.keys) else np.zeros(0, np.int64)
+        sort = np.argsort(self.keys)
+        return sort[np.searchsorted(self.keys, ctx, sorter=sort)] if len(self.keys) else np.zeros(0, np.int64)
 
     def seats(self, packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tables of the pairs, the upper pairs and the words in one sample."""
@@ -140,7 +141,7 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     return _bucket(mix(keys.astype(U64)), parts)
 
 
-_FIXED = "bucket long, words binary, width binary, ctx binary, c binary, keys binary, stats array<long>"
+_FIXED = "bucket long, words binary, width binary, key binary, c binary, keys binary, stats array<long>"
 _SEATS = "bucket long, keys binary, seats array<binary>, sums binary, ends binary, tables long"
 _KINDS = {"long": pa.int64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary()), "array<long>": pa.list_(pa.int64())}
 
@@ -161,12 +162,15 @@ def _gathered(pairs: DataFrame, buckets: int) -> DataFrame:
         learnt = train > 0
         vocabulary, which = np.unique(words[learnt], return_inverse=True)
         pair, at = np.unique(which << 32 | ctx[learnt], return_inverse=True)
+        del words, which, ctx
+        sort = np.argsort(keys)
+        key = sort[np.searchsorted(keys, (pair & 0xFFFFFFFF).astype(np.uint32), sorter=sort)]
         count = np.bincount(at, weights=train[learnt], minlength=len(pair)).astype(np.int64)
         width = np.bincount(pair >> 32, minlength=len(vocabulary))
-        upper, contexts = np.unique((pair >> 32) * ENDINGS + pair % ENDINGS, return_counts=True)
+        upper, contexts = np.unique(pair >> FORM_BITS, return_counts=True)
         endings = np.bincount(upper // ENDINGS, minlength=len(vocabulary))
         stats = [len(vocabulary), int(count.sum()), *(int((x == k).sum()) for x in (count, contexts, endings) for k in (1, 2))]
-        return _row(_FIXED, [table.column("bucket")[0].as_py(), vocabulary.tobytes(), width.astype(np.uint32).tobytes(), (pair & 0xFFFFFFFF).astype(np.uint32).tobytes(), count.astype(np.uint32).tobytes(), keys.tobytes(), stats])
+        return _row(_FIXED, [table.column("bucket")[0].as_py(), vocabulary.tobytes(), width.astype(np.uint32).tobytes(), key.astype(np.uint32).tobytes(), count.astype(np.uint32).tobytes(), keys.tobytes(), stats])
 
     return pairs.select("bucket", "words", "width", "ctx", "train").groupBy("bucket").applyInArrow(run, _FIXED)
 
@@ -204,10 +208,12 @@ def leaves(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
 def seat(c: np.ndarray, others: np.ndarray, log_h: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of a dish with c customers, given the tables of all other dishes of its restaurant and the dish's base."""
     t = np.minimum(c, 1).astype(np.int64)
-    head = np.where(c > EXACT, 0, c)
     log_s = _stirling(d)
-    for n in np.unique(head[head > 1]).tolist():
-        for rows in np.array_split(at := np.flatnonzero(head == n), len(at) * n // 1_000_000 + 1):
+    few = np.flatnonzero((c > 1) & (c <= EXACT))
+    few = few[np.argsort(c[few], kind="stable")]
+    for lo, hi in runs(c[few]):
+        n = int(c[few[lo]])
+        for rows in np.array_split(few[lo:hi], (hi - lo) * n // 1_000_000 + 1):
             tables = np.arange(n)
             p = np.cumsum(np.log(theta + d * (others[rows][:, None] + tables)), 1) + log_h[rows][:, None] * (tables + 1) + log_s[n, 1 : n + 1]
             p = np.cumsum(np.exp(p - p.max(1)[:, None]), 1)
@@ -250,32 +256,32 @@ def _many(c: np.ndarray, others: np.ndarray, log_h: np.ndarray, d: float, theta:
     return np.minimum(first + step * at + np.floor(rng.random(len(c)) * step), c).astype(np.int64)
 
 
-def _begun(fixed: DataFrame, buckets: int) -> DataFrame:
+def _begun(fixed: DataFrame) -> DataFrame:
     """One table for each pair, to begin with."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {n: batch.column(k)[i] for k, n in enumerate(batch.schema.names)}
-                b = Bucket(r, buckets)
+                b = Bucket(r)
                 seats = [np.ones(len(x), np.int64) for x in (b.c, b.upper, b.words)]
                 yield from _row(_SEATS, [r["bucket"].as_py(), r["keys"].as_py(), [np.concatenate(seats).astype(np.int32).tobytes()], *b.told(*seats)]).to_batches()
 
-    return fixed.select("bucket", "words", "width", "ctx", "c", "keys").mapInArrow(run, _SEATS)
+    return fixed.select("bucket", "words", "width", "key", "c", "keys").mapInArrow(run, _SEATS)
 
 
-def _customers(fixed: DataFrame, buckets: int) -> DataFrame:
+def _customers(fixed: DataFrame) -> DataFrame:
     """(bucket, keys, sums): customers of this bucket in each context."""
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 r = {n: batch.column(k)[i] for k, n in enumerate(batch.schema.names)}
-                b = Bucket(r, buckets)
+                b = Bucket(r)
                 sums = np.bincount(b.key, weights=b.c, minlength=len(b.keys)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays([pa.array([r["bucket"].as_py()]), pa.array([r["keys"].as_py()], pa.binary()), pa.array([sums.tobytes()], pa.binary())], names=["bucket", "keys", "sums"])
 
-    return fixed.select("bucket", "words", "width", "ctx", "c", "keys").mapInArrow(run, "bucket long, keys binary, sums binary")
+    return fixed.select("bucket", "words", "width", "key", "c", "keys").mapInArrow(run, "bucket long, keys binary, sums binary")
 
 
 def _totals(sums: DataFrame, buckets: int) -> DataFrame:
@@ -308,7 +314,7 @@ def _together(fixed: DataFrame, seats: DataFrame, totals: list[DataFrame]) -> Da
     return out
 
 
-def _opened(table: pa.Table, buckets: int) -> tuple[Bucket, list[bytes], list[np.ndarray]]:
+def _opened(table: pa.Table) -> tuple[Bucket, list[bytes], list[np.ndarray]]:
     """A bucket from its rows of ``_together``: itself, its seats in all samples, and the totals by number."""
     row = table.filter(pa.compute.is_valid(table.column("words")))
     seats = table.column("seats").drop_null()[0].as_py()
@@ -317,15 +323,15 @@ def _opened(table: pa.Table, buckets: int) -> tuple[Bucket, list[bytes], list[np
     totals: dict[int, list[bytes]] = {}
     for number, x in zip(told.column("number").to_pylist(), told.column("total").to_pylist()):
         totals.setdefault(number, []).append(x)
-    b = Bucket({n: row.column(n)[0] for n in ("words", "width", "ctx", "c", "keys")}, buckets)
+    b = Bucket({n: row.column(n)[0] for n in ("words", "width", "key", "c", "keys")})
     return b, seats, [_of(b"".join(totals[k]), np.int64) for k in sorted(totals)]
 
 
-def _sweep(fixed: DataFrame, seats: DataFrame, totals: DataFrame, g: dict, buckets: int, keep: bool, number: int) -> DataFrame:
+def _sweep(fixed: DataFrame, seats: DataFrame, totals: DataFrame, g: dict, keep: bool, number: int) -> DataFrame:
     """Seats after one Gibbs sweep over all buckets, given the restaurants' totals; keep: the seats before stay as a sample."""
 
     def run(table: pa.Table) -> pa.Table:
-        b, old, (total,) = _opened(table, buckets)
+        b, old, (total,) = _opened(table)
         t, te, tw = b.seats(old[-1])
         bucket = table.column("bucket")[0].as_py()
         rng = np.random.default_rng([SEED, number, bucket])
@@ -373,8 +379,8 @@ def fit(pairs: DataFrame, buckets: int, burn_in: int = BURN_IN, samples: int = S
     unknown = UNKNOWN if v else 1.0
     discount = [min(0.95, max(0.05, a / max(1, a + 2 * b))) for a, b in zip(ones_and_twos[::2], ones_and_twos[1::2])]
     numbers = dict(zip(("d", "d1", "d0"), discount)) | {"theta": THETA, "h0": (1 - unknown) / max(1, v), "unknown": unknown, "n": n, "v": v}
-    totals, kept = [_totals(_customers(fixed, buckets), buckets)], []
-    seats = written(_begun(fixed, buckets), "seats")
+    totals, kept = [_totals(_customers(fixed), buckets)], []
+    seats = written(_begun(fixed), "seats")
     for number in range(burn_in + samples + 1):
         now, told = numbers | _shared(seats), _totals(seats, buckets)
         if number > burn_in:
@@ -382,18 +388,18 @@ def fit(pairs: DataFrame, buckets: int, burn_in: int = BURN_IN, samples: int = S
             totals.append(told)
         if number == burn_in + samples:
             return fixed, seats, totals, kept
-        new = written(_sweep(fixed, seats, told, now, buckets, number > burn_in, number), "seats")
+        new = written(_sweep(fixed, seats, told, now, number > burn_in, number), "seats")
         dropped(seats)
         if number <= burn_in:
             dropped(told)
         seats = new
 
 
-def _answers(pairs: DataFrame, fixed: DataFrame, seats: DataFrame, totals: list[DataFrame], kept: list[dict], buckets: int) -> DataFrame:
+def _answers(pairs: DataFrame, fixed: DataFrame, seats: DataFrame, totals: list[DataFrame], kept: list[dict]) -> DataFrame:
     """(block, bucket, score, known): for each pair of each block its log10 probability, for each word its training count."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        b, packed, (customers, *tables) = _opened(right, buckets)
+        b, packed, (customers, *tables) = _opened(right)
         count = np.bincount(b.word, weights=b.c, minlength=len(b.words)).astype(np.int64)
         samples = []
         for x, told, g in zip(packed, tables, kept):
@@ -405,7 +411,7 @@ def _answers(pairs: DataFrame, fixed: DataFrame, seats: DataFrame, totals: list[
             at = np.minimum(np.searchsorted(b.words, mine), max(0, len(b.words) - 1))
             known = b.words[at] == mine if len(b.words) else np.zeros(len(mine), bool)
             owner = np.repeat(np.arange(len(mine)), wide)
-            key, end, word, knows = b.place(near), near % ENDINGS, at[owner], known[owner]
+            key, end, word, knows = b.place(near), (near >> FORM_BITS).astype(np.int64), at[owner], known[owner]
             # the word in the context's ending, then in the context: seen there or not
             upper_at = np.minimum(np.searchsorted(b.upper, word * ENDINGS + end), max(0, len(b.upper) - 1))
             upper_seen = knows & (b.upper[upper_at] == word * ENDINGS + end) if len(b.upper) else np.zeros(len(near), bool)
@@ -443,7 +449,7 @@ def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     waves = []
     for wave in range(WAVES):
         mine = lambda df: df.where(F.pmod("bucket", F.lit(WAVES)) == wave)  # noqa: B023, E731
-        waves.append(written(_answers(mine(pairs), mine(fixed), mine(seats), [mine(t) for t in totals], kept, n), "answers"))
+        waves.append(written(_answers(mine(pairs), mine(fixed), mine(seats), [mine(t) for t in totals], kept), "answers"))
     for table in (pairs, fixed, seats, *totals):
         dropped(table)
     answers = waves[0]

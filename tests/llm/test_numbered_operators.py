@@ -101,17 +101,16 @@ def test_pitman_yor_scores_follow_from_the_seats(spark, corpus):
         w, c = hashed(x)
         name_w.update(zip(w.tolist(), [*x, "\n"]))
         name_c.update(zip(c.tolist(), [None, *x]))
-    ends = {x: c % pitman_yor.ENDINGS for c, x in name_c.items()}
+    ends = {x: c >> pitman_yor.FORM_BITS for c, x in name_c.items()}
     assert len(set(name_c.values())) == len(name_c) and ends["w10"] == ends.get("w110", ends["w10"])
     prob = []  # of each sample
     for s, g in enumerate(kept):
         t_u, t_e, t_w, c_u, c_e = Counter(), Counter(), Counter(), Counter(), Counter()
         for r in fixed.collect():
-            b = pitman_yor.Bucket(r.asDict(), 4)
+            b = pitman_yor.Bucket(r.asDict())
             t, te, tw = b.seats(seated[r.bucket][s])
             for i in range(len(b.c)):
-                assert b.keys[b.key[i]] == b.ctx[i]
-                ctx, w = name_c[int(b.ctx[i])], name_w[int(b.words[b.word[i]])]
+                ctx, w = name_c[int(b.keys[b.key[i]])], name_w[int(b.words[b.word[i]])]
                 assert b.c[i] == want_c[ctx, w] and 1 <= t[i] <= b.c[i]
                 t_u[ctx, w], c_u[ctx, w] = int(t[i]), int(b.c[i])
                 end = ends[ctx]
@@ -136,7 +135,7 @@ def test_pitman_yor_scores_follow_from_the_seats(spark, corpus):
         for ctx in [None, "w1", "w2", "w77", "never"]:
             assert sum(p(ctx, w) for w in t_w) + p(ctx, "unheard of") == pytest.approx(1)
         prob.append({(ctx, w): p(ctx, w) for _, t, _ in rows for ctx, w in zip([None, *words(t)], [*words(t), "\n"])})
-    answers = pitman_yor._answers(pairs, fixed, seats, totals, kept, 4).collect()
+    answers = pitman_yor._answers(pairs, fixed, seats, totals, kept).collect()
     got = {}
     for r in pairs.collect():
         a = next(x for x in answers if (x.block, x.bucket) == (r.block, r.bucket))
