@@ -11,6 +11,10 @@ from pyspark.sql import SparkSession
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4m")}
 
 
+#: Workers give freed arrays of this many bytes or more back to the system, whatever they freed before.
+MALLOC = {"MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "MALLOC_ARENA_MAX": "2"}
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package where it is used from a checkout rather than installed; keep batches small.
 
@@ -22,6 +26,8 @@ def ship(spark: SparkSession) -> SparkSession:
     root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    for name, value in MALLOC.items():
+        env.setdefault(name, value)
     return spark
 
 
