@@ -34,7 +34,19 @@ TASK_SHARDS = 8
 DENSE_SHARE, DENSE_TERMS = 0.02, 1024
 #: Bytes of one round's queries, text and dense row of each: bounds each broadcast.
 ROUND_BYTES = 32 << 20
-_KINDS = {"ids": np.int64, "real": bool, "length": np.int64, "terms": U64, "df": np.uint32, "first": np.uint32, "block": np.uint32, "most": np.uint32, "least": np.uint32, "at": np.uint32, "doc": np.uint32, "tf": np.uint32}
+#: Columns of a shard's row. All but ids and terms are packed as the narrowest unsigned integers that hold them.
+_COLUMNS = ("ids", "real", "length", "terms", "df", "cells", "block", "most", "least", "count", "doc", "tf")
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """An array of counts as bytes, the first of which tells their width."""
+    kind = np.min_scalar_type(int(values.max(initial=0))) if values.dtype != bool else np.dtype(np.uint8)
+    return bytes([kind.itemsize]) + values.astype(kind).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    kind = np.dtype(f"u{np.frombuffer(raw, np.uint8, 1)[0]}")
+    return np.frombuffer(raw, np.uint8)[1:].view(kind) if kind.itemsize == 1 else np.frombuffer(bytes(memoryview(raw)[1:]), kind)
 
 
 def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,9 +87,9 @@ def indexed(w: np.ndarray, doc: np.ndarray, count: np.ndarray, ids: np.ndarray,
     new[1:] = (term[1:] != term[:-1]) | (doc[1:] // block != doc[:-1] // block)
     cell = np.flatnonzero(new)
     return {
-        "ids": ids[order], "real": real[order], "length": length, "terms": terms, "df": df, "first": np.searchsorted(term[cell], np.arange(len(terms) + 1)),
-        "block": doc[cell] // block, "most": np.maximum.reduceat(count, cell) if len(cell) else cell, "least": np.minimum.reduceat(length[doc], cell) if len(cell) else cell, "at": np.append(cell, len(term)),
-        "doc": doc, "tf": count,
+        "ids": ids[order], "real": real[order], "length": length, "terms": terms, "df": df, "cells": np.bincount(term[cell], minlength=len(terms)),
+        "block": doc[cell] // block, "most": np.maximum.reduceat(count, cell) if len(cell) else cell, "least": np.minimum.reduceat(length[doc], cell) if len(cell) else cell, "count": np.diff(np.append(cell, len(term))),
+        "doc": doc % block, "tf": count,
     }
 
 
@@ -95,16 +107,17 @@ def build(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
         w, d, n = (np.concatenate([p[k] for p in parts]) for k in range(3))
         del parts
         row = indexed(w, d, n, table.column("doc_id").fill_null(0).to_numpy(), ~table.column("doc_id").is_null().to_numpy())
-        cols = {k: pa.array([row[k].astype(kind).tobytes()], pa.binary()) for k, kind in _KINDS.items()}
+        cols = {k: pa.array([row[k].tobytes() if k in ("ids", "terms") else _packed(row[k])], pa.binary()) for k in _COLUMNS}
         return pa.table({"shard": pa.array([table.column("shard")[0].as_py()]), **cols})
 
-    return written(dealt.groupBy("shard").applyInArrow(run, "shard long, " + ", ".join(f"{k} binary" for k in _KINDS)), "index")
+    return written(dealt.groupBy("shard").applyInArrow(run, "shard long, " + ", ".join(f"{k} binary" for k in _COLUMNS)), "index")
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
-            yield {n: np.frombuffer(batch.column(k)[i].as_py(), _KINDS[n]) for k, n in enumerate(batch.schema.names) if n in _KINDS}
+            raw = {n: batch.column(k)[i].as_buffer() for k, n in enumerate(batch.schema.names) if n in _COLUMNS}
+            yield {n: np.frombuffer(x, np.int64 if n == "ids" else U64) if n in ("ids", "terms") else _unpacked(x) for n, x in raw.items()}
 
 
 def _cat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -124,9 +137,9 @@ class Round:
         often = often[df[often] >= DENSE_SHARE * n]
         self.column = np.full(len(every), -1)
         self.column[often] = np.arange(len(often))
-        self.has = np.zeros((len(ids), len(often)))
+        self.has = np.zeros((len(ids), len(often)), bool)
         dense = self.column[which] >= 0
-        self.has[query[dense], self.column[which[dense]]] = 1.0
+        self.has[query[dense], self.column[which[dense]]] = True
         order = np.argsort(which[~dense], kind="stable")
         self.query = query[~dense][order]
         self.first = np.searchsorted(which[~dense][order], np.arange(len(every) + 1))
@@ -167,26 +180,26 @@ def search_shard(row: dict, mean: float, asked: Round, best: Best, itself: bool,
     n, blocks = len(row["length"]), -(-len(row["length"]) // block)
     norm = np.zeros(blocks * block)
     norm[:n] = K1 * (1 - B + B * row["length"] / mean)
-    size = (row["first"][at[term] + 1] - row["first"][at[term]]).astype(np.int64)
-    cell = _cat(row["first"][at[term]].astype(np.int64), size)
-    term, where = np.repeat(term, size), row["block"][cell].astype(np.int64)
-    begin, count = row["at"][cell].astype(np.int64), np.diff(row["at"].astype(np.int64))[cell]
+    size, count = row["cells"].astype(np.int64), row["count"].astype(np.int64)
+    cell = _cat((np.cumsum(size) - size)[at[term]], size[at[term]])
+    begin, count = (np.cumsum(count) - count)[cell], count[cell]
+    term, where = np.repeat(term, size[at[term]]), row["block"][cell].astype(np.int64)
     reads |= {"pairs": len(best.queries) * blocks, "postings": int(count.sum())}
     # bounds from the cells alone: greatest count at the least length
     tf = row["most"][cell].astype(float)
     most = asked.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * row["least"][cell] / mean))
     column = asked.column[term]
     often = column >= 0
-    top = np.zeros((asked.has.shape[1], blocks))
-    top[column[often], where[often]] = most[often]
-    bound = asked.has @ top
+    top = np.zeros((asked.has.shape[1], blocks), np.float32)
+    top[column[often], where[often]] = most[often] * (1 + 1e-5)  # rounding must not lower a bound
+    bound = np.concatenate([asked.has[lo : lo + 256].astype(np.float32) @ top for lo in range(0, len(asked.has), 256)])
     rare = np.flatnonzero(~often)
     times = np.cumsum(asked.first[term[rare] + 1] - asked.first[term[rare]])
     for lo, hi in _cuts(times, 250_000):
         part = rare[lo:hi]
         query, many = asked.spread(term[part])
-        bound += np.bincount(query * blocks + np.repeat(where[part], many), weights=np.repeat(most[part], many), minlength=bound.size).reshape(bound.shape)
-    bound = bound * (1 + 1e-9) + 1e-6  # sums of floats in another order, and scores rounded to six places
+        bound += np.bincount(query * blocks + np.repeat(where[part], many), weights=np.repeat(most[part], many), minlength=bound.size).reshape(bound.shape).astype(np.float32)
+    bound = bound * np.float32(1 + 1e-4) + np.float32(1e-5)  # sums of single floats in any order, and scores rounded to six places
     del top, most, tf
     order = np.argsort(where, kind="stable")
     edge = np.searchsorted(where[order], np.arange(blocks + 1))
@@ -198,7 +211,7 @@ def search_shard(row: dict, mean: float, asked: Round, best: Best, itself: bool,
         """The documents of these cells' postings, and each one's impact: the only place where postings are read."""
         at = _cat(begin[cells], count[cells])
         reads["read"] += len(at)
-        doc, tf = row["doc"][at].astype(np.int64), row["tf"][at].astype(float)
+        doc, tf = np.repeat(where[cells] * block, count[cells]) + row["doc"][at], row["tf"][at].astype(float)
         return doc, np.repeat(asked.idf[term[cells]], count[cells]) * tf * (K1 + 1) / (tf + norm[doc])
 
     def open_(b: int, rows: np.ndarray) -> None:
@@ -207,9 +220,9 @@ def search_shard(row: dict, mean: float, asked: Round, best: Best, itself: bool,
         dense = cells[often[cells]]
         dense = dense[has.any(0)[column[dense]]]
         doc, value = values(dense)
-        grid = np.zeros((has.shape[1], block))
-        grid[np.repeat(column[dense], count[dense]), doc - b * block] = value
-        score = has @ grid
+        grid = np.zeros((len(dense), block))
+        grid[np.repeat(np.arange(len(dense)), count[dense]), doc - b * block] = value
+        score = has[:, column[dense]].astype(float) @ grid
         sparse = cells[~often[cells]]
         place[rows] = np.arange(len(rows))
         query, many = asked.spread(term[sparse])

@@ -351,7 +351,8 @@ def test_search_leaves_postings_unread():
     docs = [np.array(rng.choices(common, k=60) + rng.choices(topics[20 * (i % 10) : 20 * (i % 10) + 20], k=20)) for i in range(640)]
     pairs = [(i, *x) for i, d in enumerate(docs) for x in Counter(d.tolist()).items()]
     row = bm25.indexed(np.array([x[1] for x in pairs], np.uint64), np.array([x[0] for x in pairs]), np.array([x[2] for x in pairs]), np.arange(640), np.ones(640, bool))
-    assert (np.diff(row["at"].astype(int)) > 0).all() and len(row["at"]) == len(row["block"]) + 1
+    assert (row["count"] > 0).all() and row["count"].sum() == len(row["doc"]) and row["cells"].sum() == len(row["block"])
+    assert all(np.array_equal(bm25._unpacked(bm25._packed(row[k])), row[k]) for k in ("count", "tf", "least", "df"))
     every, df = row["terms"], row["df"].astype(np.int64)
     queries = [np.unique(docs[i]) for i in (3, 17, 200)]
     asked = bm25.Round(np.array([3, 17, 200]), queries, np.unique(np.concatenate(queries)), df[np.isin(every, np.concatenate(queries))], 640)
