@@ -110,3 +110,32 @@ def truthy(text: Column) -> Column:
 def number(text: Column) -> Column:
     """A number that may hold thousands commas or a dollar sign; null if it is none."""
     return F.regexp_replace(text, "[,$]", "").try_cast("double")
+
+
+def line(points: list[tuple[Column, Column]], **properties: Column) -> Column:
+    """A GeoJSON line feature as text through (lon, lat) points."""
+    geometry = F.struct(F.lit("LineString").alias("type"), F.array(*[F.array(lon, lat) for lon, lat in points]).alias("coordinates"))
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*[c.alias(n) for n, c in properties.items()]).alias("properties")))
+
+
+def polygon(corners: Column, **properties: Column) -> Column:
+    """A GeoJSON polygon feature as text from a closed ring of [lon, lat]."""
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(corners).alias("coordinates"))
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*[c.alias(n) for n, c in properties.items()]).alias("properties")))
+
+
+def tier_of_probability(p: Column) -> Column:
+    """The alert tier of a simulated probability."""
+    return F.when(p > 0.7, "critical").when(p > 0.4, "warning").otherwise("info")
+
+
+def node_kind(kind: Column, node: Column) -> Column:
+    """A node's type: its own where known under some name, else by the words of its id."""
+    k, n = F.lower(F.coalesce(kind, F.lit(""))), F.lower(F.coalesce(node, F.lit("")))
+    known = F.when(k.isin("supplier", "vendor", "company"), "supplier").when(k.isin("port", "harbor", "harbour"), "port").when(k.isin("chokepoint", "strait", "canal"), "chokepoint").when(k.isin("event", "incident"), "event")
+    return F.coalesce(known, F.when(n.contains("supplier"), "supplier").when(n.contains("port"), "port").when(n.contains("choke"), "chokepoint").when(n.contains("event"), "event").otherwise("other"))
+
+
+def stability_index(estimate: Column) -> Column:
+    """A governance estimate of -2.5 to 2.5 as 0 to 1, to four places."""
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (estimate + 2.5) / 5.0)), 4)

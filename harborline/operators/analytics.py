@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import band_map, point
 
+#: Distinct values up to so many are put in order by one task.
+BRACKETED = 1_000_000
+
 #: Words that place a supplier in a sector.
 SECTORS = {
     "semiconductors": ["semiconductor", "electronics", "chip", "taiwan"],
@@ -100,27 +105,51 @@ def backtest(scored_labels: DataFrame, cut: float = 0.5, k: int = 20) -> DataFra
     """
     d, s = F.col("disrupted") == 1, F.coalesce("score", F.lit(0.0)) >= cut
     c = scored_labels.agg(F.count_if(d & s).alias("tp"), F.count_if(~d & s).alias("fp"), F.count_if(d & ~s).alias("fn"), F.count_if(~d & ~s).alias("tn"))
-    # the median by rank: no list of all leads is gathered
-    hits = scored_labels.where(d & s & F.col("lead_days").isNotNull()).groupBy("lead_days").agg(F.count("*").alias("n"))
-    run = hits.withColumn("upto", F.sum("n").over(Window.orderBy("lead_days"))).withColumn("all", F.sum("n").over(Window.partitionBy()))
-    median = run.where(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("lead_days").alias("median_lead"))
+    leads = scored_labels.where(d & s & F.col("lead_days").isNotNull())
+    median = value_at(leads, "lead_days", lambda n: n // 2).withColumnRenamed("value", "median_lead")
     best = scored_labels.where("score is not null").orderBy(F.desc("score"), "id").limit(k).agg((F.count_if(d) / F.greatest(F.count("*"), F.lit(1))).alias("precision_at_k"))
     ratio = lambda a, b: F.when(F.col(a) + F.col(b) > 0, F.col(a) / (F.col(a) + F.col(b))).otherwise(0.0)
     return c.withColumn("precision", F.round(ratio("tp", "fp"), 6)).withColumn("recall", F.round(ratio("tp", "fn"), 6)).crossJoin(median).crossJoin(best)
 
 
+def value_at(rows: DataFrame, value: str, rank) -> DataFrame:
+    """One row (value): what stands at rank(n) from 0 among the n non-null values in order; null where there are none.
+
+    Counts per value come first. Where these are many, a bracket of two approximate quantiles is taken, and only what lies
+    inside it is counted up in order: about a thousandth of the values.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    total, values = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    if not total:
+        return counts.agg(F.min("value").alias("value"))
+    want, below = min(max(int(rank(total)), 0), total - 1), 0
+    if values > BRACKETED:
+        at = want / total
+        low, high = rows.agg(F.percentile_approx(value, [max(0.0, at - 0.0005), min(1.0, at + 0.0005)], 100_000)).first()[0]
+        below = counts.where(F.col("value") < low).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        inside = counts.where(F.col("value").between(low, high))
+        if below <= want < below + inside.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]:
+            counts = inside
+        else:
+            below = 0
+    upto = F.sum("n").over(Window.orderBy("value")) + below
+    return counts.withColumn("upto", upto).where(F.col("upto") > want).agg(F.min("value").alias("value"))
+
+
 def quantile_higher(rows: DataFrame, value: str, q: float) -> DataFrame:
     """The value at rank ceil(q (n - 1)) from 0, without interpolation."""
-    n = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    run = n.withColumn("upto", F.sum("n").over(Window.orderBy(value))).withColumn("all", F.sum("n").over(Window.partitionBy()))
-    return run.where(F.col("upto") > F.ceil(q * (F.col("all") - 1))).agg(F.min(value).alias("quantile"))
+    return value_at(rows, value, lambda n: math.ceil(q * (n - 1))).withColumnRenamed("value", "quantile")
 
 
 def conformal(rows: DataFrame, score: str, label: str, order: str, q: float = 0.9) -> DataFrame:
-    """Score bands within 0 to 1 from absolute residuals of the last 30 % of labelled rows (five at least); below ten: none."""
+    """Score bands within 0 to 1 from absolute residuals of the last 30 % of labelled rows (five at least); below ten: none.
+
+    Rows that share the place where the last ones begin all count among them.
+    """
     labelled = rows.where(F.col(label).isNotNull())
-    ranked = labelled.withColumn("_r", F.row_number().over(Window.orderBy(F.desc(order)))).withColumn("_n", F.count("*").over(Window.partitionBy()))
-    last = ranked.where((F.col("_n") >= 10) & (F.col("_r") <= F.greatest((F.col("_n") * 0.3).cast("int"), F.lit(5))))
+    n = labelled.count()
+    first = value_at(labelled, order, lambda m: m - max(int(m * 0.3), 5))
+    last = labelled.join(F.broadcast(first), F.col(order) >= F.col("value")) if n >= 10 else labelled.limit(0)  # one row
     width = quantile_higher(last.withColumn("residual", F.abs(F.col(score) - F.col(label))), "residual", q)
     known = F.col("quantile").isNotNull()
     return rows.crossJoin(width).withColumn("low", F.when(known, F.greatest(F.lit(0.0), F.col(score) - F.col("quantile")))).withColumn("high", F.when(known, F.least(F.lit(1.0), F.col(score) + F.col("quantile")))).drop("quantile")

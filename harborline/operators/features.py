@@ -22,12 +22,13 @@ def congestion(ships_via: DataFrame, ports: DataFrame, chokepoints: DataFrame) -
     return lanes.groupBy("supplier_id").agg(F.max("vessel_count").alias("vessels"))
 
 
-def features(suppliers: DataFrame, signals: DataFrame, lanes: DataFrame, countries: DataFrame) -> DataFrame:
-    """Suppliers with their model features. countries: country, stability, weather, sanctions (missing: .5, 0, 0).
+def features(suppliers: DataFrame, signals: DataFrame, lanes: DataFrame, countries: DataFrame, history: DataFrame) -> DataFrame:
+    """Suppliers with their model features. countries: country, stability, weather, sanctions (missing: .5, 0, 0); history:
+    supplier_id, disruptions (missing: 0).
 
     A critical supplier has one critical event at least; proximity is .1 without events and at least .6 of the sanctions.
     """
-    joined = suppliers.join(signals, "supplier_id", "left").join(lanes, "supplier_id", "left").join(countries, "country", "left")
+    joined = suppliers.join(signals, "supplier_id", "left").join(lanes, "supplier_id", "left").join(countries, "country", "left").join(history, "supplier_id", "left")
     zero = F.lit(0.0)
     critical = F.coalesce("critical_events", F.lit(0))
     return joined.select(
@@ -42,6 +43,7 @@ def features(suppliers: DataFrame, signals: DataFrame, lanes: DataFrame, countri
         F.when(F.col("critical") & (critical == 0), 1).otherwise(critical).cast("long").alias("critical_events"),
         "single_source",
         F.when(F.col("critical"), 0.35).otherwise(0.65).alias("financial_health"),
+        F.coalesce("disruptions", F.lit(0)).alias("disruptions"),
     )
 
 
@@ -50,10 +52,10 @@ def share(count: Column, full: float) -> Column:
 
 
 def vector(f: DataFrame) -> DataFrame:
-    """The thirteen model inputs in order; depth, alternatives, volatility, history and resolution default to 1, 0, .3, 0, 0."""
+    """The thirteen model inputs in order; depth, alternatives, volatility and resolution default to 1, 0, .3 and 0."""
     inputs = [
         F.col("proximity"), F.col("stability"), F.col("congestion"), F.col("weather"), share(F.col("recent_events"), 10.0), share(F.col("critical_events"), 5.0), F.lit(1 / 5.0),
-        F.col("single_source").cast("double"), F.lit(0.0), F.col("financial_health"), F.lit(0.3), F.lit(0.0), F.lit(0.0),
+        F.col("single_source").cast("double"), F.lit(0.0), F.col("financial_health"), F.lit(0.3), share(F.col("disruptions"), 5.0), F.lit(0.0),
     ]
     return f.select("supplier_id", F.array(*[x.cast("double") for x in inputs]).alias("vector"))
 
@@ -70,10 +72,29 @@ def pillars(f: DataFrame, depth: int = 1) -> DataFrame:
     )
 
 
+def disruptions(labels: DataFrame) -> DataFrame:
+    """(supplier_id, disruptions): how often each supplier's labels say that it was disrupted; labels(supplier_id, disrupted)."""
+    return labels.where("disrupted = 1").groupBy("supplier_id").agg(F.count("*").alias("disruptions"))
+
+
+def rescored(scores: DataFrame, links: DataFrame, as_of, hours: int) -> DataFrame:
+    """The scores of suppliers that got a link in the last ``hours``; links(supplier_id, linked_at)."""
+    recent = links.where(F.col("linked_at") > F.lit(as_of) - F.make_dt_interval(F.lit(0), F.lit(hours))).select("supplier_id")
+    return scores.join(recent, "supplier_id", "left_semi")
+
+
+def contributions(f: DataFrame, top: int = 5) -> DataFrame:
+    """(supplier_id, rank, feature, contribution): the weighted terms of the rule score, by absolute value, ties by name."""
+    w = WEIGHTS
+    value = {"proximity": F.col("proximity"), "single_source": F.col("single_source").cast("double"), "critical_events": share(F.col("critical_events"), 5.0), "history": share(F.col("disruptions"), 5.0), "congestion": F.col("congestion"), "weather": F.col("weather")}
+    terms = F.array_sort(F.array(*[F.struct((-F.abs(w[k] * v)).alias("key"), F.lit(k).alias("feature"), (w[k] * v).alias("contribution")) for k, v in value.items()]))
+    return f.select("supplier_id", F.posexplode(F.slice(terms, 1, top)).alias("at", "t")).select("supplier_id", (F.col("at") + 1).alias("rank"), "t.feature", "t.contribution")
+
+
 def rule_score(f: DataFrame) -> DataFrame:
     """Weighted sum of the features within 0 to 1, its band, and why: the factors that raise it."""
     w = WEIGHTS
-    total = w["proximity"] * F.col("proximity") + w["single_source"] * F.col("single_source").cast("double") + w["critical_events"] * share(F.col("critical_events"), 5.0) + w["congestion"] * F.col("congestion") + w["weather"] * F.col("weather")
+    total = w["proximity"] * F.col("proximity") + w["single_source"] * F.col("single_source").cast("double") + w["critical_events"] * share(F.col("critical_events"), 5.0) + w["history"] * share(F.col("disruptions"), 5.0) + w["congestion"] * F.col("congestion") + w["weather"] * F.col("weather")
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))
     factors = F.filter(F.array(F.when(F.col("proximity") > 0.5, F.lit("conflict_proximity")), F.when(F.col("single_source"), F.lit("single_source"))), lambda x: x.isNotNull())
     return f.withColumn("score", score).withColumn("category", band_api(F.col("score"))).withColumn("factors", F.array_join(factors, ","))

@@ -157,16 +157,16 @@ def causal_assessment(pairs: DataFrame, x: str, y: str, order: str, least: int =
     """One row: pairs, method, effect and whether a causal claim is allowed.
 
     Below 5 pairs insufficient_data, below ``least`` association_only (the correlation). Else the slope of y on x after
-    weekly means are taken off both; it must exceed .05, and the slope on a random placebo must stay below half of it.
+    weekly means are taken off both; it must exceed .05, and the effect of a random placebo, both by a standard deviation, must stay below half of it.
     """
     season = F.pmod(F.col(order), F.lit(7))
     w = Window.partitionBy("_s")
     r = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_s", season)
     r = r.withColumn("_x", F.col(x) - F.avg(x).over(w)).withColumn("_y", F.col(y) - F.avg(y).over(w))
-    r = r.withColumn("_p", F.pmod(F.xxhash64(order, F.lit(11)), F.lit(1000)) / 1000.0)
-    a = r.agg(F.count("*").alias("n"), F.corr(x, y).alias("r"), F.regr_slope("_y", "_x").alias("slope"), F.regr_slope("_y", "_p").alias("placebo"))
+    r = r.withColumn("_p", F.conv(F.substring(F.md5(F.concat(F.col(order).cast("string"), F.lit("|11")).cast("binary")), 1, 8), 16, 10).cast("long") % 1000 / 1000.0)
+    a = r.agg(F.count("*").alias("n"), F.corr(x, y).alias("r"), F.regr_slope("_y", "_x").alias("slope"), (F.regr_slope("_y", "_p") * F.stddev_pop("_p")).alias("placebo"), F.stddev_pop("_x").alias("spread"))
     enough = F.col("n") >= least
     method = F.when(F.col("n") < 5, "insufficient_data").when(~enough, "association_only").otherwise("adjusted_regression")
     effect = F.when(F.col("n") < 5, None).when(~enough, F.col("r")).otherwise(F.col("slope"))
-    allowed = enough & (F.abs("slope") > 0.05) & (F.abs("placebo") < 0.5 * F.abs("slope"))
+    allowed = enough & (F.abs("slope") > 0.05) & (F.abs("placebo") < 0.5 * F.abs("slope") * F.col("spread"))
     return a.select("n", method.alias("method"), F.round(effect, 6).alias("effect"), F.coalesce(allowed, F.lit(False)).alias("causal_claim_allowed"))

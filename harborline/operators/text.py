@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..materialize import materialized
+
 #: Patterns in order, the event type and severity each stands for.
 EVENT_RULES = [
     (r"\b(war|invasion|airstrike|missile|bombing|armed conflict)\b", "armed_conflict", 0.9),
@@ -37,6 +40,10 @@ ROUTES = [
 DEFAULT_ROUTE = [("events", 2), ("suppliers", 2), ("methodology", 1), ("scenarios", 1), ("backtests", 1), ("graph_communities", 1)]
 
 
+#: Fixed value: where a place name stands.
+PLACE = r"(?i)\b(?:in|at|near|around)\s+([A-Z][a-zA-Z\s\-]{2,40})(?:[,\.]|\s+(?:port|canal|strait|region))"
+
+
 def event_class(text: Column) -> tuple[Column, Column]:
     """(type, severity) by the first rule that matches; under five characters unknown .3, no rule general_signal .4."""
     t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
@@ -48,19 +55,19 @@ def event_class(text: Column) -> tuple[Column, Column]:
 
 def locations(text: Column) -> Column:
     """Up to five places named after in, at, near or around."""
-    found = F.regexp_extract_all(text, F.lit(r"(?i)\b(?:in|at|near|around)\s+([A-Z][a-zA-Z\s\-]{2,40})(?:[,\.]|\s+(?:port|canal|strait|region))"), 1)
+    found = F.regexp_extract_all(text, F.lit(PLACE), 1)
     return F.slice(F.array_distinct(F.transform(found, F.trim)), 1, 5)
 
 
 def risk_level(text: Column) -> tuple[Column, Column]:
     """(level, confidence): share of the levels' words found in the text; NONE without any; ties go to the lower level."""
+    # the counts of all levels are made once, as a struct that the answers are read from
     t = F.lower(F.coalesce(text, F.lit("")))
-    hits = {level: sum((t.contains(w).cast("double") for w in words), F.lit(0.0)) for level, words in RISK_WORDS.items()}
-    total = sum(hits.values(), F.lit(0.0))
-    best, name = F.lit(0.0), F.lit("NONE")
-    for level in ("LOW", "MEDIUM", "HIGH", "CRITICAL"):
-        name, best = F.when(hits[level] > best, level).otherwise(name), F.greatest(best, hits[level])
-    return F.when(total == 0, "NONE").otherwise(name), F.when(total == 0, 1.0).otherwise(best / total)
+    count = lambda words: F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(t, w))).cast("double")
+    hits = F.array(*[F.struct(count(RISK_WORDS[level]).alias("n"), F.lit(i).alias("i"), F.lit(level).alias("level")) for i, level in enumerate(("CRITICAL", "HIGH", "MEDIUM", "LOW"))])
+    total = F.aggregate(hits, F.lit(0.0), lambda s, h: s + h["n"])
+    best = F.array_max(hits)
+    return F.when(total == 0, "NONE").otherwise(best["level"]), F.when(total == 0, 1.0).otherwise(best["n"] / total)
 
 
 def level_score(level: Column) -> Column:
@@ -103,21 +110,32 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+def in_rounds(queries: DataFrame, key: str, block: int, answer) -> DataFrame | None:
+    """The union of answer(rows) over blocks of about ``block`` rows of a stated query set, dealt by a hash of their key.
+
+    One block at a time is on the driver. Where there are several, each one's answers are written before the next is fetched.
+    """
+    rounds = max(1, -(-queries.count() // block))
+    parts = []
+    for number in range(rounds):
+        asked = queries.where(F.pmod(F.xxhash64(key), F.lit(rounds)) == number).orderBy(key).collect()
+        if asked:
+            parts.append(answer(asked) if rounds == 1 else materialized(answer(asked), "answers"))
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
 def vector_top_k(queries: DataFrame, rows: DataFrame, k: int, query_block: int = 256) -> DataFrame:
     """(query_id, rank, id, score): the k nearest rows by cosine for each query; queries(query_id, vector), rows(id, vector).
 
     A stated query set against all rows: queries are broadcast in blocks of bounded size, each task keeps its best k per
     query, and those are merged. A row of the query's own id is left out; ties go to the smaller id.
     """
-    asked = queries.orderBy("query_id").collect()  # the stated query set
-    out = None
-    for lo in range(0, len(asked), query_block):
-        part = asked[lo : lo + query_block]
-        ids, q = np.array([r[0] for r in part]), np.array([r[1] for r in part], float)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-        shared = queries.sparkSession.sparkContext.broadcast((ids, q))
-
-        def run(batches, shared=shared):
+
+    def answer(asked: list) -> DataFrame:
+        ids, q = np.array([r["query_id"] for r in asked]), np.array([r["vector"] for r in asked], float)
+        shared = queries.sparkSession.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)))
+
+        def run(batches):
             ids, q = shared.value
             best_s, best_i = np.full((len(ids), k), -2.0), np.full((len(ids), k), np.iinfo(np.int64).max)
             for batch in batches:
@@ -131,14 +149,27 @@ def vector_top_k(queries: DataFrame, rows: DataFrame, k: int, query_block: int =
             a, b = np.nonzero(best_s > -2.0)
             yield pd.DataFrame({"query_id": ids[a], "id": best_i[a, b], "score": best_s[a, b]})
 
-        one = rows.select("id", "vector").mapInPandas(run, "query_id long, id long, score double")
-        out = one if out is None else out.union(one)
+        return rows.select("id", "vector").mapInPandas(run, "query_id long, id long, score double")
+
+    out = in_rounds(queries, "query_id", query_block, answer)
     if out is None:
         return queries.sparkSession.createDataFrame([], "query_id long, rank int, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def routed_search(queries: DataFrame, hits: DataFrame, most: int = 8) -> DataFrame:
+    """(query_id, rank, collection, id, score): hits of the collections that each query is routed to, merged by score.
+
+    queries(query_id, query); hits(query_id, collection, id, score). Each collection gives as many as the route says.
+    """
+    routes = queries.select("query_id", F.explode(route(F.col("query"))).alias("r")).select("query_id", "r.collection", F.col("r.most").alias("most"))
+    inside = Window.partitionBy("query_id", "collection").orderBy(F.desc("score"), "id")
+    kept = hits.join(F.broadcast(routes), ["query_id", "collection"]).withColumn("n", F.row_number().over(inside)).where(F.col("n") <= F.col("most"))
+    merged = Window.partitionBy("query_id").orderBy(F.desc("score"), "collection", "id")
+    return kept.withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= most).select("query_id", "rank", "collection", "id", "score")
+
+
 def hash_embedding(texts: DataFrame, text: str = "text", size: int = 384) -> DataFrame:
     """texts plus vector: unit normals drawn from the first eight bytes of the text's sha-256. Equal texts have equal vectors."""
 
@@ -164,16 +195,21 @@ def within_budget(rows: DataFrame, query: str, order: str, text: str, budget: in
     return rows.withColumn("_before", before).where(F.col("_before") < budget).withColumn(text, F.substring(F.col(text), F.lit(1), (F.lit(budget) - F.col("_before")).cast("int"))).drop("_before")
 
 
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a bit for each character of b."""
+    at: dict[str, int] = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    row = every = (1 << len(b)) - 1
+    for x in a:
+        hit = row & at.get(x, 0)
+        row = (row + hit | row - hit) & every
+    return len(b) - row.bit_count()
+
+
 def indel_ratio(a: str, b: str) -> float:
     """100 (1 - insertions and deletions / both lengths), by the longest common subsequence."""
-    if not a and not b:
-        return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    return 200.0 * common_length(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
 def token_set_ratio(a: str, b: str) -> float:
@@ -188,21 +224,65 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(indel_ratio(left, right), indel_ratio(both, left) if both else 0.0, indel_ratio(both, right) if both else 0.0)
 
 
-def fuzzy_match(mentions: DataFrame, names: DataFrame, threshold: float = 70.0, top: int = 1) -> DataFrame:
-    """(mention, id, name, score): best names of each mention at or above the threshold; mentions(mention), names(id, name).
-
-    Candidates share a word or a word's first three letters, so no mention meets every name; the score is made for those.
+class Letters:
+    """Names' sorted words as letter counts: an upper bound of ``token_set_ratio`` for many pairs at once."""
+
+    KINDS = 64
+
+    def __init__(self, names: list[str]):
+        self.words = [sorted(set(re.findall(r"\w+", (n or "").lower()))) for n in names]
+        self.count = np.zeros((len(names), self.KINDS), np.int16)
+        for i, w in enumerate(self.words):
+            for c in " ".join(w):
+                self.count[i, ord(c) % self.KINDS] += 1
+        self.size = self.count.sum(1)
+
+    def near(self, other: Letters, threshold: float) -> np.ndarray:
+        """Pairs (mine, other) that may reach the threshold: letters in common, or a word in common."""
+        common = np.zeros((len(self.words), len(other.words)), np.int32)
+        for k in range(self.KINDS):
+            common += np.minimum(self.count[:, k, None], other.count[None, :, k])
+        ok = 200.0 * common >= threshold * (self.size[:, None] + other.size[None, :])
+        having: dict[str, list[int]] = {}
+        for j, w in enumerate(other.words):
+            for x in w:
+                having.setdefault(x, []).append(j)
+        for i, w in enumerate(self.words):
+            for x in w:
+                ok[i, having.get(x, [])] = True
+        return ok
+
+
+def fuzzy_match(mentions: DataFrame, names: DataFrame, threshold: float = 70.0, top: int = 1, block: int = 256) -> DataFrame:
+    """(mention, id, name, score, rank): best names of each mention at or above the threshold; mentions(mention), names(id, name).
+
+    The distinct mentions are a stated query set: blocks of them meet every name. Letter counts bound the score of all pairs
+    of a block at once; it is made for those that may reach the threshold, so none is lost. A task keeps its best per mention.
     """
-    block = lambda c: F.explode(F.array_distinct(F.transform(F.filter(F.split(F.lower(F.col(c)), r"\W+"), lambda w: w != ""), lambda w: F.substring(w, 1, 3))))
-    pairs = mentions.select("mention", block("mention").alias("b")).join(names.select("id", "name", block("name").alias("b")), "b").select("mention", "id", "name").distinct()
+    kind = names.schema["id"].dataType.simpleString()
 
-    def score(batches):
-        for batch in batches:
-            yield batch.assign(score=[token_set_ratio(a, b) for a, b in zip(batch["mention"], batch["name"])])
+    def answer(asked: list) -> DataFrame:
+        shared = mentions.sparkSession.sparkContext.broadcast([r[0] for r in asked])
+
+        def run(batches):
+            texts, best = shared.value, {}
+            letters = Letters(texts)
+            for batch in batches:
+                for i, j in zip(*np.nonzero(letters.near(Letters(batch["name"].tolist()), threshold))):
+                    name, key = batch["name"].iat[j], batch["id"].iat[j]
+                    if (score := token_set_ratio(texts[i], name)) >= threshold:
+                        best.setdefault(i, []).append((-score, key, name))
+                best = {i: sorted(found)[:top] for i, found in best.items()}
+            rows = [(texts[i], key, name, -score) for i, found in best.items() for score, key, name in found]
+            yield pd.DataFrame(rows, columns=["mention", "id", "name", "score"])
+
+        return names.select("id", "name").mapInPandas(run, f"mention string, id {kind}, name string, score double")
 
-    scored = pairs.mapInPandas(score, f"mention string, id {names.schema['id'].dataType.simpleString()}, name string, score double").where(F.col("score") >= threshold)
+    out = in_rounds(mentions.select("mention").where("mention is not null").distinct(), "mention", block, answer)
+    if out is None:
+        return mentions.sparkSession.createDataFrame([], f"mention string, id {kind}, name string, score double, rank int")
     order = Window.partitionBy("mention").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
 #: Chokepoint names that texts mention.

@@ -38,14 +38,16 @@ def r6(c):
 COUNTRY_SQL = """, country as (
   select n_name as country, 0.3::double + n_nationkey % 7 / 10.0::double as stability, n_nationkey % 4 / 5.0::double as weather, n_nationkey % 3 / 4.0::double as sanctions from nation where n_nationkey % 6 <> 0),
 sig as (select supplier_id, count(*) as recent_events, count(*) filter (severity >= 0.75) as critical_events, max(severity) as max_severity from ev, now where ts > as_of - interval 30 day group by supplier_id),
+hist as (select supplier_id, count(*) as n from lab where disrupted = 1 group by supplier_id),
 lane as (select supplier_id, max(vessel_count) as vessels from via join port using (port_id) join choke using (chokepoint_id) group by supplier_id),
 feat as (
   select s.supplier_id, s.name, s.country, greatest(least(coalesce(max_severity, 0.1), 1.0), coalesce(sanctions, 0.0) * 0.6) as proximity, coalesce(stability, 0.5) as stability,
     least(coalesce(vessels, 0) / 20.0::double, 1.0) as congestion, coalesce(weather, 0.0) as weather, coalesce(recent_events, 0)::bigint as recent_events,
     case when critical and coalesce(critical_events, 0) = 0 then 1 else coalesce(critical_events, 0) end::bigint as critical_events, single_source,
-    case when critical then 0.35 else 0.65 end::double as financial_health
-  from sup s left join sig using (supplier_id) left join lane using (supplier_id) left join country using (country))
+    case when critical then 0.35 else 0.65 end::double as financial_health, coalesce(hist.n, 0)::bigint as disruptions
+  from sup s left join sig using (supplier_id) left join lane using (supplier_id) left join country using (country) left join hist using (supplier_id))
 """
+SCORE_SQL = "least(1.0, greatest(0.0, 0.25 * proximity + 0.20 * single_source::int + 0.20 * least(critical_events / 5.0::double, 1.0) + 0.15 * least(disruptions / 5.0::double, 1.0) + 0.10 * congestion + 0.10 * weather))"
 
 
 def _countries(t: Tables) -> DataFrame:
@@ -54,13 +56,13 @@ def _countries(t: Tables) -> DataFrame:
 
 
 def _features(t: Tables) -> DataFrame:
-    return features.features(t.suppliers, features.event_signals(t.events, t.as_of), features.congestion(t.ships_via, t.ports, t.chokepoints), _countries(t))
+    return features.features(t.suppliers, features.event_signals(t.events, t.as_of), features.congestion(t.ships_via, t.ports, t.chokepoints), _countries(t), features.disruptions(t.disruption_labels))
 
 
 # ---- features and scores
 
 
-@query(COUNTRY_SQL + """, scored as (select *, least(1.0, greatest(0.0, 0.25 * proximity + 0.20 * single_source::int + 0.20 * least(critical_events / 5.0::double, 1.0) + 0.10 * congestion + 0.10 * weather)) as score from feat)
+@query(COUNTRY_SQL + f", scored as (select *, {SCORE_SQL} as score from feat)" + """
 select supplier_id, name, round(score, 6) as score, case when score >= 0.8 then 'CRITICAL' when score >= 0.6 then 'HIGH' when score >= 0.4 then 'MEDIUM' when score >= 0.2 then 'LOW' else 'NONE' end as category
 from scored order by score desc, supplier_id limit 10""")
 def supplier_risk(t):
@@ -68,14 +70,14 @@ def supplier_risk(t):
     return s.orderBy(F.desc("score"), "supplier_id").limit(10).select("supplier_id", "name", r6("score").alias("score"), "category")
 
 
-@query(COUNTRY_SQL + """select supplier_id, round(least(1.0, greatest(0.0, 0.25 * proximity + 0.20 * single_source::int + 0.20 * least(critical_events / 5.0::double, 1.0) + 0.10 * congestion + 0.10 * weather)), 6) as score,
+@query(COUNTRY_SQL + f"select supplier_id, round({SCORE_SQL}, 6) as score," + """
   concat_ws(',', case when proximity > 0.5 then 'conflict_proximity' end, case when single_source then 'single_source' end) as factors from feat""")
 def supplier_risk_rule_score(t):
     return features.rule_score(_features(t)).select("supplier_id", r6("score").alias("score"), "factors")
 
 
 @query(COUNTRY_SQL + """select supplier_id, round(proximity, 6) as f0, round(stability, 6) as f1, round(congestion, 6) as f2, round(weather, 6) as f3, round(least(recent_events / 10.0, 1.0), 6)::double as f4, round(least(critical_events / 5.0, 1.0), 6)::double as f5,
-  0.2::double as f6, single_source::int::double as f7, 0.0::double as f8, financial_health as f9, 0.3::double as f10, 0.0::double as f11, 0.0::double as f12 from feat""")
+  0.2::double as f6, single_source::int::double as f7, 0.0::double as f8, financial_health as f9, 0.3::double as f10, round(least(disruptions / 5.0, 1.0), 6)::double as f11, 0.0::double as f12 from feat""")
 def feature_vector(t):
     v = features.vector(_features(t))
     return v.select("supplier_id", *[r6(F.col("vector")[i]).alias(f"f{i}") for i in range(13)])
@@ -270,9 +272,9 @@ def event_supplier_geo_link(t):
     return links.geo_links(t.events, t.suppliers).select("event_id", "supplier_id", F.round("distance_km", 3).alias("distance_km"))
 
 
-@query("select event_id, s.supplier_id, 'country_match' as method, 0.7::double as confidence from ev e join sup s on upper(e.country) = upper(s.country) where severity >= 0.75")
+@query("select event_id, s.supplier_id, 'country_match' as method, 0.7::double as confidence from ev e join sup s on upper(e.country) = upper(s.country)")
 def event_supplier_country_link(t):
-    return links.country_links(t.events.where("severity >= 0.75"), t.suppliers)
+    return links.country_links(t.events, t.suppliers)
 
 
 @query("select event_id, supplier_id, min_by(method, linked_at::varchar || seq) as method, max(least(1.0, greatest(0.0, confidence))) as confidence, min(linked_at) as linked_at from aff group by event_id, supplier_id")
@@ -297,11 +299,12 @@ def two_hop_exposure(t):
     return lanes.groupBy("supplier_id", "chokepoint_name").agg(F.count("*").alias("lanes"), F.max("vessel_count").alias("vessels"))
 
 
-@query(""", snap as (select supplier_id, date_trunc('day', ts)::timestamp as day, max(severity) as score from ev where event_id % 3 = 0 group by all), want as (select event_id, supplier_id, ts from ev where event_id % 3 = 1)
-select event_id, w.supplier_id, round(coalesce((select max_by(score, day) from snap s where s.supplier_id = w.supplier_id and s.day <= w.ts), (select min_by(score, day) from snap s where s.supplier_id = w.supplier_id)), 6) as score from want w""")
+@query(""", snap as (select supplier_id, date_trunc('day', ts)::timestamp as day, max(severity) as score from ev group by all), first as (select supplier_id, min_by(score, day) as score from snap group by 1)
+select event_id, e.supplier_id, round(coalesce(s.score, f.score), 6) as score from (select event_id, supplier_id, ts - interval 1 day as ts from ev) e asof left join snap s on s.supplier_id = e.supplier_id and e.ts >= s.day left join first f on f.supplier_id = e.supplier_id""")
 def asof_snapshot(t):
-    snap = t.events.where("event_id % 3 = 0").groupBy("supplier_id", F.date_trunc("day", "ts").alias("day")).agg(F.max("severity").alias("score"))
-    want = t.events.where("event_id % 3 = 1").select("event_id", "supplier_id", "ts")
+    """Each event with its supplier's score of the day before, or the first one where there is none so early."""
+    snap = t.events.groupBy("supplier_id", F.date_trunc("day", "ts").alias("day")).agg(F.max("severity").alias("score"))
+    want = t.events.select("event_id", "supplier_id", (F.col("ts") - F.make_dt_interval(F.lit(1))).alias("ts"))
     return links.as_of_join(want, snap, "supplier_id", "ts", "day", "score").select("event_id", "supplier_id", r6("score").alias("score"))
 
 
@@ -406,7 +409,24 @@ def _spread(t: Tables, runs: list[tuple], depth: int = 5) -> DataFrame:
     return graph.propagate(graph.supply_edges(t), t.spark.createDataFrame(runs, "run_id string, node string, node_type string, impact double"), depth)
 
 
-@query()
+def _spread_sql(runs: str, depth: int) -> str:
+    """Breadth-first levels l0, l1, ... and their union ``spread``, from runs(run_id, node, node_type, impact)."""
+    decay = "case rel " + " ".join(f"when '{r}' then {v[0]}" for r, v in graph.DECAY.items()) + " else 0.5 end"
+    hours = "case rel " + " ".join(f"when '{r}' then {v[1]}" for r, v in graph.DECAY.items()) + " else 48.0 end"
+    out = EDGES_SQL + f", runs as ({runs}), nb as (select distinct * from near), a0 as (select run_id, node, node_type, 0 as depth, impact::double as impact, 0.0::double as delay_hours, 0::bigint as parent_step, '' as via from runs)"
+    for d in range(depth):
+        before = " union all ".join(f"select run_id, node from l{i}" for i in range(d)) or "select '' as run_id, '' as node where false"
+        out += f""",
+b{d} as materialized ({before}),
+t{d} as (select * from (select a.*, row_number() over (partition by run_id, node order by parent_step, via) as k from a{d} a where impact >= 0.1 and not exists (select 1 from b{d} b where b.run_id = a.run_id and b.node = a.node)) where k = 1),
+l{d} as materialized (select t.*, (row_number() over (partition by run_id order by parent_step, via, node) + (select count(*) from b{d} b where b.run_id = t.run_id))::bigint as step from t{d} t)"""
+        if d + 1 < depth:
+            out += f""",
+a{d + 1} as (select run_id, next as node, next_type as node_type, {d + 1} as depth, impact * {decay} as impact, delay_hours + {hours} as delay_hours, step as parent_step, rel as via from l{d} join nb using (node) where l{d}.node_type in ('supplier', 'port', 'chokepoint'))"""
+    return out + ", spread as (" + " union all ".join(f"select run_id, step, node, node_type, depth, impact, delay_hours from l{d}" for d in range(depth)) + ")"
+
+
+@query(_spread_sql("select * from (values ('r1', 'chokepoint-1', 'chokepoint', 0.9), ('r2', 'supplier-3', 'supplier', 0.6)) v(run_id, node, node_type, impact)", 5) + " select run_id, step, node, depth, round(impact, 6) as impact, delay_hours from spread")
 def bfs_propagation(t):
     return _spread(t, [("r1", "chokepoint-1", "chokepoint", 0.9), ("r2", "supplier-3", "supplier", 0.6)]).select("run_id", "step", "node", "depth", r6("impact").alias("impact"), "delay_hours")
 
@@ -428,13 +448,22 @@ def recovery_days(t):
     return _skus(t).select("supplier_id", graph.recovery_days(F.col("supplier_id") % 200, F.col("supplier_id") % 40, F.col("n")).alias("days"))
 
 
-@query()
+@query(_spread_sql("select 'chokepoint-' || chokepoint_id as run_id, 'chokepoint-' || chokepoint_id as node, 'chokepoint' as node_type, 0.5 as impact from choke", 3) + """ select run_id as source, step, depth, round(impact, 6) as impact, round(greatest(0.0, least(1.0, 0.4 * impact - 0.05 * step)), 6) as risk, case when 0.4 * impact - 0.05 * step > 0.7 then 'HIGH' else 'MEDIUM' end as priority from spread where node = 'supplier-2'""")
 def critical_paths(t):
     sources = t.chokepoints.select(F.concat(F.lit("chokepoint-"), F.col("chokepoint_id").cast("string")).alias("node"), F.lit("chokepoint").alias("node_type"))
-    return graph.critical_paths(graph.supply_edges(t), sources, "supplier-2")
+    return graph.critical_paths(graph.supply_edges(t), sources, "supplier-2").withColumn("impact", r6("impact")).withColumn("risk", r6("risk"))
 
 
-@query()
+def _labels_sql(rounds: int) -> str:
+    out = EDGES_SQL + ", link as (select distinct node, next from near where rel = 'SUPPLIES'), c0 as (select 'supplier-' || supplier_id as node, 'supplier-' || supplier_id as community from sup)"
+    for i in range(rounds):
+        out += f""",
+v{i} as (select node, community, row_number() over (partition by node order by count(*) desc, community) as k from (select l.node, c.community from link l join c{i} c on c.node = l.next) group by node, community),
+c{i + 1} as materialized (select c.node, coalesce(v.community, c.community) as community from c{i} c left join v{i} v on v.node = c.node and v.k = 1)"""
+    return out + f" select * from c{rounds}"
+
+
+@query(_labels_sql(3))
 def label_communities(t):
     nodes = t.suppliers.select(F.concat(F.lit("supplier-"), F.col("supplier_id").cast("string")).alias("node"))
     e = graph.supply_edges(t).where("rel = 'SUPPLIES'")
@@ -449,17 +478,6 @@ def _sku_nodes(t: Tables) -> DataFrame:
     return _skus(t).select(F.concat(F.lit("supplier-"), F.col("supplier_id").cast("string")).alias("node"), "n")
 
 
-@query()
-def monte_carlo(t):
-    return simulation.ranked(simulation.summary(simulation.simulate(graph.supply_edges(t), _scenarios(t), _sku_nodes(t))))
-
-
-@query()
-def sensitivity(t):
-    one = _scenarios(t).where("scenario_id = 'suez'")
-    return simulation.compare(simulation.summary(simulation.simulate(graph.supply_edges(t), simulation.sensitivity(one, "severity", [0.2, 0.5, 0.8]), _sku_nodes(t))))
-
-
 @query("select kind, quantile_cont(severity, 0.1) as p10, quantile_cont(severity, 0.5) as p50, quantile_cont(severity, 0.9) as p90, round(avg(severity), 6) as mean from ev group by kind")
 def percentile_bands(t):
     p = lambda q: F.percentile("severity", F.lit(q))
@@ -527,10 +545,10 @@ def vector_topk(t):
     return text.vector_top_k(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 5)
 
 
-@query("""select a.supplier_id, b.alt, b.score, b.rank from sup a, lateral (select s.supplier_id as alt, round(1 - s.risk_score, 6) as score, row_number() over (order by round(1 - s.risk_score, 6) desc, s.supplier_id)::int as rank from sup s where s.industry = a.industry and s.supplier_id <> a.supplier_id) b where rank <= 3 and a.supplier_id % 10 = 0""")
+@query("""select a.supplier_id, b.alt, b.score, b.rank from sup a, lateral (select s.supplier_id as alt, round(1 - s.risk_score, 6) as score, row_number() over (order by round(1 - s.risk_score, 6) desc, s.supplier_id)::int as rank from sup s where s.industry = a.industry and s.supplier_id <> a.supplier_id) b where rank <= 3""")
 def alternatives_rank(t):
     s = t.suppliers.select("supplier_id", "industry", "risk_score")
-    a = s.where("supplier_id % 10 = 0").select("supplier_id", "industry")
+    a = s.select("supplier_id", "industry")
     b = s.select(F.col("supplier_id").alias("alt"), "industry", F.round(1 - F.col("risk_score"), 6).alias("score"))
     # only the four best of an industry can be among anyone's three best others
     best = b.withColumn("_n", F.row_number().over(Window.partitionBy("industry").orderBy(F.desc("score"), "alt"))).where("_n <= 4").drop("_n")
@@ -553,23 +571,34 @@ def conversation_stats(t):
     return t.raw("conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.sum(F.length("text")).alias("chars"), F.count_if(F.col("role") == "user").alias("user_turns"))
 
 
-@query()
+@query("""select kind, entity, count(*) as n from (
+  select 'chokepoint' as kind, unnest(regexp_extract_all(text, '(?i)\\b(suez canal|panama canal|strait of hormuz|bab el mandeb|strait of malacca|bosphorus|strait of gibraltar|red sea|black sea|taiwan strait|south china sea|cape of good hope)\\b')) as entity from ev
+  union all select 'port', unnest(regexp_extract_all(text, '\\b(?:[Pp]ort of [A-Z][a-z]+(?: [A-Z][a-z]+)?|[A-Z][a-z]+ [Pp]ort)\\b')) from ev
+  union all select 'supplier', unnest(regexp_extract_all(text, '\\b[A-Z][\\w&]*(?: [A-Z][\\w&]*)* (?:Corp|Corporation|Inc|Ltd|GmbH|AG|Co|Company|Group|Holdings)\\b|\\bSupplier#\\d+\\b')) from ev) group by all""")
 def ner_entities(t):
+    """Entities of all event texts by kind (spans of these texts do not overlap, so the SQL takes each kind by itself)."""
     return text.entities(t.events.select("event_id", "text")).groupBy("kind", "entity").agg(F.count("*").alias("n"))
 
 
 @query()
 def fuzzy_match(t):
-    mentions = t.suppliers.where("supplier_id % 7 = 0").select(F.concat(F.lit("the "), F.upper("name"), F.lit(" plant")).alias("mention"))
+    """All suppliers' names, respelled, against all names."""
+    mentions = t.suppliers.select(F.concat(F.lit("the "), F.upper("name"), F.lit(" plant")).alias("mention"))
     return text.fuzzy_match(mentions, t.suppliers.select(F.col("supplier_id").alias("id"), "name"))
 
 
 @query()
 def hash_embed(t):
-    return text.hash_embedding(t.raw("benchmark").select("item_id", "text")).select("item_id", F.size("vector").alias("size"), r6(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))
+    return text.hash_embedding(t.raw("benchmark").select("item_id", "text")).select("item_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
-@query()
+@query(""", d as (select doc_id, [trim(p) for p in string_split(coalesce(text, ''), chr(10)) if trim(p) <> ''] as parts from documents),
+walk as (
+  select doc_id, parts, 1 as i, 0::bigint as chunks, 0::bigint as open, 0::bigint as longest from d
+  union all
+  select doc_id, parts, i + 1, case when open > 0 and open + len(parts[i]) + 2 > 600 then chunks + 1 else chunks end, case when open = 0 then len(parts[i]) when open + len(parts[i]) + 2 <= 600 then open + len(parts[i]) + 2 else len(parts[i]) end,
+    case when open > 0 and open + len(parts[i]) + 2 > 600 then greatest(longest, open) else longest end from walk where i <= len(parts))
+select doc_id, chunks + 1 as chunks, greatest(longest, open) as longest from walk where i = len(parts) + 1 and len(parts) > 0""")
 def chunked_documents(t):
     return text.chunks(t.raw("documents").select("doc_id", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")).alias("text"))).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("chunk")).alias("longest"))
 
@@ -577,7 +606,16 @@ def chunked_documents(t):
 # ---- alerts and upserts
 
 
-@query()
+@query(""", a as (select event_id as alert_id, epoch_us(ts) / 60e6 as minute, case when severity >= 0.85 then 'critical' else 'warning' end as tier, md5(supplier_id || '|' || case when severity >= 0.85 then 'critical' else 'warning' end || '|' || substr(text, 1, 50)) as key, row_number() over (partition by severity >= 0.85 order by ts, event_id) as i from ev where severity >= 0.75),
+lim as (select * from (values ('critical', 5), ('warning', 30)) v(tier, rate)),
+fold as (
+  select tier, rate, 0::bigint as i, null::bigint as alert_id, '' as outcome, map([]::varchar[], []::double[]) as sent, null::double as at from lim
+  union all
+  select f.tier, f.rate, a.i, a.alert_id, case when a.minute - sent[a.key] < 60 then 'duplicate' when a.minute - f.at < rate then 'rate_limited' else 'sent' end,
+    case when coalesce(a.minute - sent[a.key] < 60, false) or coalesce(a.minute - f.at < rate, false) then sent else map_from_entries([e for e in map_entries(sent) if a.minute - e.value < 60 and e.key <> a.key] || [{'key': a.key, 'value': a.minute}]) end,
+    case when coalesce(a.minute - sent[a.key] < 60, false) or coalesce(a.minute - f.at < rate, false) then f.at else a.minute end
+  from fold f join a on a.tier = f.tier and a.i = f.i + 1)
+select alert_id, tier, outcome from fold where i > 0""")
 def alert_dedup_fold(t):
     a = t.events.where("severity >= 0.75").select(F.col("event_id").alias("alert_id"), "ts", alerts.tier_of(F.col("severity")).alias("tier"), F.col("supplier_id").cast("string").alias("entity_id"), F.col("text").alias("title"))
     return alerts.gate(a).select("alert_id", "tier", "outcome")
@@ -679,19 +717,27 @@ def influential_neighbours(t):
     return reports.influential(graph.supply_edges(t), t.suppliers).withColumn("weight", r6("weight"))
 
 
-@query(", p as (select s.supplier_id, s.risk_score as x, count(e.event_id) / 100.0::double as y from sup s left join ev e using (supplier_id) group by all) select count(*) as n from p")
+@query(""", p as (select s.supplier_id, s.risk_score as x, count(e.event_id) / 100.0::double as y from sup s left join ev e using (supplier_id) group by all),
+r as (select *, x - avg(x) over (partition by supplier_id % 7) as dx, y - avg(y) over (partition by supplier_id % 7) as dy, ('0x' || substr(md5(supplier_id || '|11'), 1, 8))::bigint % 1000 / 1000.0::double as placebo from p),
+a as (select count(*) as n, corr(x, y) as r, regr_slope(dy, dx) as slope, regr_slope(dy, placebo) * stddev_pop(placebo) as placebo, stddev_pop(dx) as spread from r)
+select n, case when n < 5 then 'insufficient_data' when n < 30 then 'association_only' else 'adjusted_regression' end as method, round(case when n >= 30 then slope when n >= 5 then r end, 6) as effect, coalesce(n >= 30 and abs(slope) > 0.05 and abs(placebo) < 0.5 * abs(slope) * spread, false) as causal_claim_allowed from a""")
 def causal_pairs(t):
     e = t.events.groupBy("supplier_id").agg((F.count("*") / 100.0).alias("y"))
     p = t.suppliers.join(e, "supplier_id", "left").select("supplier_id", F.col("risk_score").alias("x"), F.coalesce("y", F.lit(0.0)).alias("y"))
-    return reports.causal_assessment(p, "x", "y", "supplier_id").select("n")
+    return reports.causal_assessment(p, "x", "y", "supplier_id")
 
 
 @query()
 def supplier_embeddings(t):
-    return reports.embeddings(t.suppliers, t.supplies.select(F.col("src").alias("supplier_id"), F.col("dst").alias("neighbour"))).select("supplier_id", F.size("vector").alias("size"))
+    return reports.embeddings(t.suppliers, t.supplies.select(F.col("src").alias("supplier_id"), F.col("dst").alias("neighbour"))).select("supplier_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
-@query()
+@query(""", q as (select * from (values (1, 'Which oil suppliers are at risk?'), (2, 'What about semiconductor fabs?')) v(question_id, question)),
+w as (select question_id, unnest(list_distinct(regexp_extract_all(lower(question), '[a-z]{3,}'))) as word from q),
+said as (select supplier_id, name, country, risk_score, unnest(list_distinct(regexp_extract_all(lower(name || ' ' || country || ' ' || industry), '[a-z]{3,}'))) as word from sup),
+hit as (select distinct question_id, supplier_id, name, country, risk_score from w join said using (word) where word not in ('the', 'and', 'for', 'are', 'what', 'which', 'how', 'why', 'who', 'our', 'with', 'from', 'that', 'this', 'does', 'have', 'has', 'was', 'were', 'any', 'about')),
+r as (select *, row_number() over (partition by question_id order by risk_score desc, supplier_id) as rank from hit)
+select question_id, rank::int as rank, name || ' in ' || country || ' is rated ' || case when risk_score >= 0.8 then 'CRITICAL' when risk_score >= 0.6 then 'HIGH' when risk_score >= 0.4 then 'MEDIUM' when risk_score >= 0.2 then 'LOW' else 'NONE' end as fact from r where rank <= 5""")
 def question_facts(t):
     q = t.spark.createDataFrame([(1, "Which oil suppliers are at risk?"), (2, "What about semiconductor fabs?")], "question_id int, question string")
     return reports.facts(q, t.suppliers)
@@ -699,6 +745,10 @@ def question_facts(t):
 
 @query()
 def resolved_links(t):
-    e = t.events.where("event_id % 20 = 0").select("event_id", F.concat("text", F.lit(" hits Supplier#"), F.col("supplier_id").cast("string")).alias("text"))
+    """Entities of all event texts, resolved to all suppliers and two chokepoints."""
+    e = t.events.select("event_id", F.concat("text", F.lit(" hits Supplier#"), F.lpad(F.col("supplier_id").cast("string"), 9, "0")).alias("text"))
     k = t.spark.createDataFrame([(1, "Suez Canal"), (2, "Strait of Hormuz")], "chokepoint_id int, chokepoint_name string")
-    return reports.resolved_links(e, t.suppliers, k).groupBy("target").agg(F.count("*").alias("links"))
+    return reports.resolved_links(e, t.suppliers, k)
+
+
+from . import more  # noqa: E402, F401  registers its queries beside these

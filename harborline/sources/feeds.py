@@ -189,3 +189,54 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
 def corpus(spark: SparkSession, path: str) -> DataFrame:
     """Whole Markdown files as (path, text)."""
     return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+
+
+#: Root types of the daily load, and of the backfill by date.
+LOADED_TYPES = ["conflict", "protest", "fight", "assault", "mass_violence"]
+BACKFILL_TYPES = ["conflict", "protest", "fight", "assault"]
+
+
+def export_of_day(spark: SparkSession, folder: str, day: str) -> DataFrame:
+    """Events of one day's export (``<folder>/<yyyymmdd>*``), those of the backfill's types."""
+    return export_events(export_rows(spark, f"{folder}/{day.replace('-', '')}*")).where(F.col("event_type").isin(BACKFILL_TYPES))
+
+
+def seed_suppliers(spark: SparkSession, path: str) -> DataFrame:
+    """The seed list of suppliers with port, volume and risk; ids are slugs of the names, rows without a name are dropped."""
+    raw = spark.read.option("header", True).csv(path)
+    return raw.where("coalesce(trim(name), '') <> ''").select(slug(F.col("name")).alias("supplier_id"), F.trim("name").alias("name"), F.upper("country_iso").alias("country"), "city", F.col("latitude").try_cast("double").alias("lat"), F.col("longitude").try_cast("double").alias("lon"), F.upper("port_code").alias("port_code"), F.coalesce(F.col("annual_volume_usd").try_cast("double"), F.lit(0.0)).alias("annual_volume_usd"), F.coalesce(F.col("risk_score").try_cast("double"), F.lit(0.5)).alias("risk_score"), F.coalesce(truthy(F.col("critical")), F.lit(False)).alias("critical"))
+
+
+def stability_table(spark: SparkSession, path: str, static: DataFrame) -> DataFrame:
+    """static(country, stability) with the cached indices over it. The cache is JSON, one object of country and index."""
+    cached = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "map<string,double>")).alias("country", "cached"))
+    both = static.join(cached, "country", "full")
+    return both.select("country", F.coalesce("cached", "stability").alias("stability"), F.when(F.col("cached").isNotNull(), "cached").otherwise("static_fallback").alias("stability_source"))
+
+
+def backtest_report(spark: SparkSession, path: str) -> DataFrame:
+    """A saved backtest's figures; one row with status not_run where there is none."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([("not_run",)], "status string")
+    return spark.read.option("multiLine", True).json(path)
+
+
+def vessel_properties(vessels: DataFrame) -> DataFrame:
+    """Vessels as the graph stores them: those without mmsi or place are dropped, a missing name is Unknown Vessel."""
+    name = F.when(F.coalesce(F.trim("name"), F.lit("")) != "", F.trim("name")).otherwise("Unknown Vessel")
+    return vessels.where("mmsi is not null and lat is not null and lon is not null").select(F.concat(F.lit("vessel-"), "mmsi").alias("vessel_id"), "mmsi", name.alias("name"), F.coalesce("ship_type", F.lit("unknown")).alias("ship_type"), "lat", "lon", F.coalesce("speed", F.lit(0.0)).alias("speed"))
+
+
+def first_errors(rows: DataFrame, rules: list[tuple[str, Column]], key: str, most: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(rows that keep all rules, the first ``most`` others by key with the first rule they break). A rule that is null is broken."""
+    broken = F.lit(None).cast("string")
+    for name, ok in reversed(rules):
+        broken = F.when(~F.coalesce(ok, F.lit(False)), name).otherwise(broken)
+    judged = rows.withColumn("reason", broken)
+    return judged.where("reason is null").drop("reason"), judged.where("reason is not null").orderBy(key).limit(most)
+
+
+def csv_template() -> list[str]:
+    """Header and example line of the supplier upload."""
+    return [",".join(["name", "country_iso", "region", "city", "tier", "industry", "annual_revenue_usd", "employee_count", "latitude", "longitude", "single_source_flag", "critical_flag"]), "Example Components,TW,,Hsinchu,1,semiconductors,1000000,250,24.8,120.97,true,false"]

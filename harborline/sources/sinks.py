@@ -48,3 +48,51 @@ def export_snapshot(suppliers: DataFrame, signals: DataFrame, folder: str, day:
     """One day's snapshot as CSV in name order: suppliers with the events of the last 30 days (none: 0)."""
     rows = suppliers.join(signals, "supplier_id", "left").select("supplier_id", "name", "risk_score", F.coalesce("recent_events", F.lit(0)).alias("events"), F.coalesce("max_severity", F.lit(0.0)).alias("max_severity"))
     rows.orderBy("name", "supplier_id").write.mode("overwrite").option("header", True).csv(f"{folder}/snapshot_date={day}")
+
+
+def publish(messages: DataFrame, servers: str) -> None:
+    """Send (topic, key, value) rows; each goes to the topic it names, acknowledged by all replicas."""
+    messages.write.format("kafka").option("kafka.bootstrap.servers", servers).option("kafka.acks", "all").option("kafka.compression.type", "gzip").save()
+
+
+def scored_history(scores: DataFrame, version: str, at: Column) -> DataFrame:
+    """Scores as history rows: (supplier_id, risk_score, risk_category, model_version, feature_snapshot, scored_at)."""
+    others = [c for c in scores.columns if c not in ("supplier_id", "score", "category")]
+    return scores.select("supplier_id", F.col("score").alias("risk_score"), F.col("category").alias("risk_category"), F.lit(version).alias("model_version"), F.to_json(F.struct(*others)).alias("feature_snapshot"), at.alias("scored_at"))
+
+
+def written_back(suppliers: DataFrame, scores: DataFrame) -> DataFrame:
+    """suppliers with the new scores; those without one keep theirs."""
+    new = scores.select("supplier_id", F.col("score").alias("_score"))
+    return suppliers.join(new, "supplier_id", "left").withColumn("risk_score", F.coalesce("_score", "risk_score")).drop("_score")
+
+
+def links_once(links: DataFrame) -> DataFrame:
+    """One link per (src, kind, dst), however often it was made."""
+    return links.select("src", "kind", "dst").distinct()
+
+
+#: The scenario that a supplier's country takes part in.
+SCENARIO_COUNTRIES = {"DIS-001": ["TW"], "DIS-002": ["EG"], "DIS-003": ["SA", "YE", "EG", "IL", "JO"]}
+
+
+def scenario_links(suppliers: DataFrame, countries: dict[str, list[str]] | None = None) -> DataFrame:
+    """(scenario_id, supplier_id): suppliers of the countries of each scenario; a country may be in several."""
+    found = F.filter(F.array(*[F.when(F.upper("country").isin(c), F.lit(s)) for s, c in (countries or SCENARIO_COUNTRIES).items()]), lambda x: x.isNotNull())
+    return suppliers.select(F.explode(found).alias("scenario_id"), "supplier_id")
+
+
+def seeded(old: DataFrame, seeds: DataFrame, key: str) -> DataFrame:
+    """old with the seeds merged in by key: a seed's fields win, and seeding twice changes nothing."""
+    return updated(old, seeds.dropDuplicates([key]), key).unionByName(seeds.dropDuplicates([key]).join(old, key, "left_anti"), allowMissingColumns=True)
+
+
+def newest_pairs(pairs: DataFrame, most: int) -> DataFrame:
+    """The newest pairs for export, by time, then by id."""
+    return pairs.orderBy(F.desc("ingested_at"), "event_id").limit(most)
+
+
+def digest_markdown(facts: DataFrame) -> DataFrame:
+    """One Markdown text of a digest: facts(events, critical, suppliers_hit, leading)."""
+    lines = F.concat_ws("\n", F.lit("# Weekly digest"), F.lit(""), F.concat(F.lit("- Events: "), F.col("events").cast("string")), F.concat(F.lit("- Critical: "), F.col("critical").cast("string")), F.concat(F.lit("- Suppliers hit: "), F.col("suppliers_hit").cast("string")), F.concat(F.lit("- Leading type: "), F.coalesce("leading", F.lit("none"))))
+    return facts.select(lines.alias("markdown"))

@@ -49,7 +49,8 @@ class Tables:
     @cached_property
     def chokepoints(self) -> DataFrame:
         """Chokepoints with the vessels (orders) of the nations behind them."""
-        lanes = self.raw("orders").join(self.raw("customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.count("*").alias("n"))
+        per_customer = self.raw("orders").groupBy("o_custkey").agg(F.count("*").alias("orders"))  # counted before the join
+        lanes = per_customer.join(self.raw("customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.sum("orders").alias("n"))
         vessels = lanes.join(self.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey").agg(F.sum("n").alias("vessel_count"))
         return self.raw("region").join(vessels, F.col("r_regionkey") == F.col("n_regionkey"), "left").select(F.col("r_regionkey").alias("chokepoint_id"), F.col("r_name").alias("chokepoint_name"), F.coalesce("vessel_count", F.lit(0)).alias("vessel_count"))
 
@@ -87,6 +88,11 @@ class Tables:
             F.concat(title, F.lit(" in "), "country").alias("text"),
         )
 
+    @cached_property
+    def disruption_labels(self) -> DataFrame:
+        """Labels of suppliers, several for each."""
+        return self.raw("labels").select((F.col("doc_id") % self.n_suppliers).alias("supplier_id"), F.col("toxic").alias("disrupted"))
+
     @cached_property
     def as_of(self):
         """The latest event time: every window is relative to it, never to the clock."""
@@ -99,6 +105,21 @@ class Tables:
         rows = F.explode(F.array(F.struct(F.lit("text").alias("method"), (0.5 + F.col("event_id") % 5 / 10.0).alias("confidence"), F.lit(1).alias("seq")), F.struct(F.lit("geo").alias("method"), (0.4 + F.col("event_id") % 7 / 10.0).alias("confidence"), F.lit(2).alias("seq"))))
         return e.select("event_id", "supplier_id", F.col("ts").alias("linked_at"), rows.alias("l")).select("event_id", "supplier_id", "linked_at", "l.*")
 
+    def as_views(self) -> SparkSession:
+        """The domain tables as temporary views, and the score bands as SQL functions; returns the session to ask."""
+        for name in ("suppliers", "ports", "chokepoints", "ships_via", "supplies", "events", "affects"):
+            getattr(self, name).createOrReplaceTempView(name)
+        for name, cuts in BANDS.items():
+            whens = " ".join(f"when score >= {cut} then '{band}'" for cut, band in cuts[:-1])
+            self.spark.sql(f"create or replace temporary function {name}(score double) returns string return case {whens} else '{cuts[-1][1]}' end")
+        return self.spark
+
+
+#: SQL functions of ``as_views``: score bands from the top down.
+BANDS = {
+    "band_map": [(0.8, "CRITICAL"), (0.6, "HIGH"), (0.4, "MEDIUM"), (0.0, "LOW")],
+    "band_methodology": [(0.75, "CRITICAL"), (0.5, "HIGH"), (0.25, "MEDIUM"), (0.0, "LOW")],
+}
 
 #: The kinds and text templates that stand in for each event type.
 KINDS = {"click": "protest", "error": "attack", "purchase": "shipment_delay", "signup": "sanction", "view": "weather"}
@@ -111,7 +132,7 @@ TITLES = {
 }
 
 DOMAIN_SQL = """
-with sup as (
+with recursive sup as (
   select s_suppkey as supplier_id, s_name as name, n_name as country, s_nationkey as port_id, n_regionkey as chokepoint_id,
     (s_suppkey * 37 % 101) / 100.0::double as risk_score, s_suppkey % 3 = 0 as single_source, s_suppkey % 5 = 0 as critical,
     (s_suppkey % 3 + 1)::int as tier, ['semiconductor fab', 'oil terminal', 'auto parts', 'container shipping'][s_suppkey % 4 + 1] as industry,
@@ -135,5 +156,6 @@ ev as (
 aff as (
   select event_id, supplier_id, ts as linked_at, 'text' as method, 0.5::double + event_id % 5 / 10.0::double as confidence, 1 as seq from ev
   union all select event_id, supplier_id, ts, 'geo', 0.4::double + event_id % 7 / 10.0::double, 2 from ev),
+lab as (select doc_id % (select count(*) from supplier) as supplier_id, toxic as disrupted from labels),
 now as (select max(ts) as as_of from events)
 """

@@ -12,6 +12,8 @@ from ..materialize import materialized
 from ..operators import alerts
 from ..sources.sinks import upserted
 
+#: Buckets of an upserted table, and the column that tells them.
+BUCKETS, BUCKET = 64, "key_bucket"
 #: One event message.
 MESSAGE = "event_id long, ts timestamp, kind string, severity double, supplier_id long, text string"
 
@@ -31,28 +33,66 @@ def decoded(raw: DataFrame, schema: str = MESSAGE) -> DataFrame:
     return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("m")).select("m.*").where("event_id is not null")
 
 
-def upsert_into(path: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
+def upsert_into(path: str, key: str, order: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """A batch function that merges a batch into a Parquet table: last writer wins, so a repeated batch changes nothing.
 
-    The table is written anew under the batch's number; ``current`` names the last whole one.
+    Keys are dealt to ``buckets`` by hash. A batch rewrites the buckets that it touches, under its own number; ``current`` reads
+    each bucket from the last whole version that has it. Versions of which nothing is current any more are deleted.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        old = current(batch.sparkSession, path)
-        new = batch if old is None else upserted(old, batch, key, order)
-        upserted(new.limit(0), new, key, order).write.mode("overwrite").parquet(f"{path}/version={number:012d}")
+        spark, version = batch.sparkSession, f"{path}/version={number:012d}"
+        if version in _versions(spark, path):
+            return  # the batch was merged before, whole
+        new = batch.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r[0] for r in new.select(BUCKET).distinct().collect()]  # at most ``buckets``
+        old = _read(spark, path, {b: p for b, p in _newest(spark, path).items() if b in touched})
+        rows = upserted(new.limit(0), new, key, order) if old is None else upserted(old, new, key, order)
+        rows.write.mode("overwrite").partitionBy(BUCKET).parquet(version)
+        used = {p.rsplit("/", 1)[0] for p in _newest(spark, path).values()}
+        for done in _versions(spark, path):
+            if done not in used:
+                _path(spark, done)[1].delete(_path(spark, done)[0], True)
 
     return merge
 
 
-def current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest whole version of an upserted table, or None."""
+def _path(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(where):
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Whole versions, newest first."""
+    where, fs = _path(spark, path)
+    found = [f"{path}/{s.getPath().getName()}" for s in fs.listStatus(where)] if fs.exists(where) else []
+    return sorted((p for p in found if fs.exists(_path(spark, f"{p}/_SUCCESS")[0])), reverse=True)
+
+
+def _newest(spark: SparkSession, path: str) -> dict[int, str]:
+    """Each bucket's folder in the newest whole version that has it."""
+    out: dict[int, str] = {}
+    for version in _versions(spark, path):
+        where, fs = _path(spark, version)
+        for s in fs.listStatus(where):
+            name = s.getPath().getName()
+            if name.startswith(f"{BUCKET}="):
+                out.setdefault(int(name.split("=")[1]), f"{version}/{name}")
+    return out
+
+
+def _read(spark: SparkSession, path: str, folders: dict[int, str]) -> DataFrame | None:
+    """Rows of these buckets with their bucket."""
+    if not folders:
         return None
-    done = sorted(s.getPath().toString() for s in fs.listStatus(where) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-    return spark.read.parquet(done[-1]) if done else None
+    parts = spark.read.option("basePath", path).parquet(*folders.values())
+    return parts.drop("version").withColumn(BUCKET, F.col(BUCKET).cast("int"))
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The upserted table as it is now, or None."""
+    rows = _read(spark, path, _newest(spark, path))
+    return None if rows is None else rows.drop(BUCKET)
 
 
 def run_upsert(events: DataFrame, path: str, checkpoint: str, key: str = "event_id", order: str = "ts") -> StreamingQuery:
