@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, dropped, n_blocks, pieces, span_hashes, tokens, utf8, written
+from .common import LOWER, U64, dropped, joined, n_blocks, pieces, span_hashes, tokens, utf8, written
 
 K1, B, TOP = 1.2, 0.75, 10
 SHARD_BYTES, BLOCK_DOCS = 8 << 20, 16
@@ -329,7 +329,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = TOP, round_bytes: int
         pack.destroy()
         shared_terms.destroy()
     schema = "query_id long, doc_id long, score double"
-    out = spark.read.schema(schema).parquet(*[p._harborline_path for p in parts]) if parts else spark.createDataFrame([], schema)
+    out = joined(parts) if parts else spark.createDataFrame([], schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 

@@ -86,13 +86,20 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Delete a table that ``written`` made, once nothing reads it any more."""
-    path = getattr(df, "_harborline_path", None)
-    if path:
+    for path in getattr(df, "_harborline_path", "").split():
         jvm = df.sparkSession.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def joined(parts: list[DataFrame]) -> DataFrame:
+    """Tables that ``written`` made, of one schema, as one; ``dropped`` deletes them all."""
+    paths = [p._harborline_path for p in parts]
+    out = parts[0].sparkSession.read.schema(parts[0].schema).parquet(*paths)
+    out._harborline_path = " ".join(paths)
+    return out
+
+
 def crc_fold(doc_id: str, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % F.lit(n)

@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, crc_fold, dropped, mix, n_blocks, pieces, runs, span_hashes, tokens, utf8, written
+from .common import LOWER, U64, crc_fold, dropped, joined, mix, n_blocks, pieces, runs, span_hashes, tokens, utf8, written
 
 BLOCK_BYTES = 8 << 20
 BURN_IN, SAMPLES, THETA, UNKNOWN, SEED = 1, 2, 1.0, 0.5, 11
 EXACT, GRID = 96, 64
 _END = U64(0x5DEECE66D1234567)
 ENDINGS, FORM_BITS = 1 << 12, 20
-#: Answers are made for so many parts of the buckets one after the other: what a shuffle holds on disk goes in between.
+#: Pairs are shuffled for so many parts of the buckets one after the other: what a shuffle holds on disk goes in between.
 WAVES = 3
 
 
@@ -141,6 +141,11 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     return _bucket(mix(keys.astype(U64)), parts)
 
 
+def _wave(rows: DataFrame, number: int) -> DataFrame:
+    """The rows of one part of the buckets."""
+    return rows.where(F.pmod("bucket", F.lit(WAVES)) == number)
+
+
 _FIXED = "bucket long, words binary, width binary, key binary, c binary, keys binary, stats array<long>"
 _SEATS = "bucket long, keys binary, seats array<binary>, sums binary, ends binary, tables long"
 _KINDS = {"long": pa.int64(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary()), "array<long>": pa.list_(pa.int64())}
@@ -373,7 +378,7 @@ def _shared(seats: DataFrame) -> dict:
 def fit(pairs: DataFrame, buckets: int, burn_in: int = BURN_IN, samples: int = SAMPLES) -> tuple[DataFrame, DataFrame, list[DataFrame], list[dict]]:
     """The buckets' counts; their seats in the kept samples; totals of the contexts (customers, then tables in each sample);
     and each sample's few shared numbers."""
-    fixed = written(_gathered(pairs, buckets), "counts")
+    fixed = joined([written(_gathered(_wave(pairs, w), buckets), "counts") for w in range(WAVES)])
     s = np.array([r[0] for r in fixed.select(F.array(*[F.sum(F.col("stats")[i]) for i in range(8)]).alias("s")).collect()][0], dtype=object)
     v, n, *ones_and_twos = (int(x or 0) for x in s)
     unknown = UNKNOWN if v else 1.0
@@ -446,15 +451,9 @@ def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     dealt = docs.select("doc_id", "text", "held_out", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).alias("block"))
     pairs = written(_pairs(dealt, n), "pairs")
     fixed, seats, totals, kept = fit(pairs, n)
-    waves = []
-    for wave in range(WAVES):
-        mine = lambda df: df.where(F.pmod("bucket", F.lit(WAVES)) == wave)  # noqa: B023, E731
-        waves.append(written(_answers(mine(pairs), mine(fixed), mine(seats), [mine(t) for t in totals], kept), "answers"))
+    answers = joined([written(_answers(_wave(pairs, w), _wave(fixed, w), _wave(seats, w), [_wave(t, w) for t in totals], kept), "answers") for w in range(WAVES)])
     for table in (pairs, fixed, seats, *totals):
         dropped(table)
-    answers = waves[0]
-    for wave in waves[1:]:
-        answers = answers.union(wave)
     tokens_, vocabulary = kept[-1]["n"], kept[-1]["v"]
     kind = docs.schema["doc_id"].dataType.simpleString()
 
