@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,7 +101,7 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
         for batch in pieces(batches):
             langs, texts = batch.column(0), batch.column(1)
             for lang in langs.unique().to_pylist():
-                mine = texts.filter(pa.compute.equal(langs, lang)).to_pylist()
+                mine = texts.filter(pc.equal(langs, lang)).to_pylist()
                 for part, _ in _slices(mine):
                     gram, n = np.unique(_ngrams(part)[0], return_counts=True)
                     if len(gram):

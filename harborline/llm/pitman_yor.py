@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -321,9 +322,9 @@ def _together(fixed: DataFrame, seats: DataFrame, totals: list[DataFrame]) -> Da
 
 def _opened(table: pa.Table) -> tuple[Bucket, list[bytes], list[np.ndarray]]:
     """A bucket from its rows of ``_together``: itself, its seats in all samples, and the totals by number."""
-    row = table.filter(pa.compute.is_valid(table.column("words")))
+    row = table.filter(pc.is_valid(table.column("words")))
     seats = table.column("seats").drop_null()[0].as_py()
-    told = table.filter(pa.compute.is_valid(table.column("part")))
+    told = table.filter(pc.is_valid(table.column("part")))
     told = told.take(np.lexsort((told.column("part").to_numpy(), told.column("number").to_numpy())))
     totals: dict[int, list[bytes]] = {}
     for number, x in zip(told.column("number").to_pylist(), told.column("total").to_pylist()):

@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -404,7 +405,7 @@ def encoded(docs: DataFrame, model: str = MODEL, theta: float = THETA, seed: int
             none = pa.array([t is None for t in texts])
             lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))
             if batch.column(len(others)).null_count:
-                lists = pa.compute.if_else(none, pa.scalar(None, lists.type), lists)
+                lists = pc.if_else(none, pa.scalar(None, lists.type), lists)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*others, "ids"])
 
     return ordered.mapInArrow(run, schema)
