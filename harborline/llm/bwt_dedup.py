@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, dropped, mix, n_blocks, runs, utf8, written
 
-LENGTH, GRAM, PAD = 50, 16, 8
+LENGTH, GRAM, PAD, RUN = 50, 16, 8, 2048
 BLOCK_BYTES, SHARD_SUFFIXES = 3 << 20, 1 << 16
 #: Suffixes merged at once; an anchor with more is one part with as many shards as it takes.
 PART_SUFFIXES, PIECE_BYTES = 1 << 17, 1 << 17
@@ -42,14 +42,24 @@ def _eights(raw: np.ndarray) -> np.ndarray:
 
 
 def windows(raw: np.ndarray, off: np.ndarray, piece: int = PIECE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The runs of all texts, found in groups of texts of about ``piece`` bytes, which stay in the cache."""
+    """The runs of all texts, found in groups of texts of about ``piece`` bytes, which stay in the cache; a longer text is taken
+    in stretches. Runs of more than ``RUN`` windows are cut: equal stretches of a text that repeats itself are then one string."""
     out, at = [], 0
     while at < len(off) - 1:
         to = max(at + 1, int(np.searchsorted(off, off[at] + piece, "right")) - 1)
-        start, count, anchor, text = _windows(raw[off[at] : off[to]], off[at : to + 1] - off[at])
-        out.append((start + off[at], count, anchor, text + at))
+        first, last = int(off[at]), int(off[to])
+        for a in range(first, max(last, first + 1), piece if to == at + 1 else last - first + 1):
+            b = min(last, a + piece + LENGTH - 1) if to == at + 1 else last
+            start, count, anchor, text = _windows(raw[a:b], off[at : to + 1] - a if to > at + 1 else np.array([0, b - a]))
+            out.append((start + a, count, anchor, text + at))
         at = to
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
+    start, count, anchor, text = (np.concatenate(x) for x in zip(*out))
+    times = -(-count // RUN)
+    which = np.repeat(np.arange(len(count)), times)
+    skip = (np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)) * RUN
+    return start[which] + skip, np.minimum(count[which] - skip, RUN), anchor[which], text[which]
 
 
 def _windows(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -162,12 +162,39 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
+#: Bytes whose spans are hashed together.
+SPAN_BYTES = 1 << 20
+
+
 def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end); equal bytes hash alike wherever they lie."""
+    """64-bit hashes of the byte spans [start, end), in order of their starts; equal bytes hash alike wherever they lie.
+
+    A long text is taken stretch by stretch, and a longer span piece by piece: its hash is that of its pieces put together.
+    """
+    size = (end - start).astype(U64) * U64(0xD6E8FEB86659FD93)
+    if len(raw) <= SPAN_BYTES:
+        return mix(_sums(raw, start, end) + size)
+    out, i = np.empty(len(start), U64), 0
+    while i < len(start):
+        a = int(start[i])
+        j = int(np.searchsorted(end, a + SPAN_BYTES, "right"))
+        if j > i:
+            out[i:j] = _sums(raw[a : int(end[j - 1])], start[i:j] - a, end[i:j] - a)
+        else:
+            j, total = i + 1, 0
+            for k, at in enumerate(range(a, int(end[i]), SPAN_BYTES)):
+                piece = raw[at : min(at + SPAN_BYTES, int(end[i]))]
+                total += int(_sums(piece, np.zeros(1, np.int64), np.array([len(piece)]))[0]) * pow(_BASE, k * SPAN_BYTES, 1 << 64)
+            out[i] = total & (1 << 64) - 1
+        i = j
+    return mix(out + size)
+
+
+def _sums(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     up, down = powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, U64)
     np.cumsum(_SYMBOL[raw] * up[: len(raw)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+    return (total[end] - total[start]) * down[start]
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

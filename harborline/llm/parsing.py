@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, mix, n_blocks, pieces
+from .common import U64, aside, mix, n_blocks, pieces
 
 LEVELS, KEEP = (2, 3), 64
 RANGE_BYTES, KNOTS, CHUNK_CHARS, GROUP_RANGES = 4 << 20, 1000, 1 << 18, 1024
@@ -120,8 +120,8 @@ def _hex(sketch: np.ndarray) -> str:
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs plus fingerprint (hex of the sketch) of each whole text; null counts as empty. A column fingerprint is replaced."""
-    docs = docs.drop("fingerprint")
+    """docs plus fingerprint (hex of the sketch) of each whole text; null counts as empty. A column fingerprint is kept as fingerprint_input."""
+    docs = aside(docs, "fingerprint")
     schema = docs.withColumn("fingerprint", F.lit("")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -412,12 +412,12 @@ def encoded(docs: DataFrame, model: str = MODEL, theta: float = THETA, seed: int
 
 
 def decoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """docs with ids replaced by the text they spell (null ids: null)."""
+    """docs with ids replaced by the text they spell (null ids: null). A column named text is kept as text_input."""
+    docs = aside(docs, "text")
     shared = docs.sparkSession.sparkContext.broadcast(tuple(map(tuple, vocabulary(model))))
     others = [c for c in docs.columns if c != "ids"]
-    schema = docs.withColumn("text", F.lit("")).drop("ids").schema
-    ordered = docs.select(*[F.col(f"`{c}`") for c in others if c != "text"], F.col("ids").cast("array<int>"))
-    others = [c for c in others if c != "text"]
+    ordered = docs.select(*[F.col(f"`{c}`") for c in others], F.col("ids").cast("array<int>"))
+    schema = docs.select(*[F.col(f"`{c}`") for c in others]).withColumn("text", F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(*shared.value, THETA)
@@ -430,7 +430,7 @@ def decoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
             texts = lattice.decode(values, off - off[0])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([None if x else t for x, t in zip(none, texts)], pa.string())], names=[*others, "text"])
 
-    return ordered.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name != "text"), "text string"]))
+    return ordered.mapInArrow(run, schema)
 
 
 def round_trips(docs: DataFrame, model: str = MODEL, theta: float = THETA, seed: int = SEED) -> DataFrame:

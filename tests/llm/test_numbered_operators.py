@@ -806,3 +806,65 @@ def test_a_very_long_text_without_blanks_keeps_within_memory(spark):
     text = "".join(random.Random(4).choice("abcdefgh01AB") for _ in range(1000)) * 2000
     got = sentencepieces.op10(spark.createDataFrame([(1, text)], KIND)).collect()[0]
     assert got.lossless and got.n_pieces > 100_000
+
+
+# ---- all of them
+
+
+def test_long_spans_hash_as_short_ones(monkeypatch):
+    from harborline.llm import common
+
+    rng = np.random.default_rng(8)
+    raw = rng.choice(np.frombuffer(b"abc  ", np.uint8), 5000)
+    raw[1000:1900] = 97
+    start, end, _ = common.tokens(raw, np.array([0, 5000]))
+    want = common.span_hashes(raw, start, end)
+    for size in 64, 300, 1000:
+        monkeypatch.setattr(common, "SPAN_BYTES", size)
+        assert np.array_equal(common.span_hashes(raw, start, end), want)
+
+
+def test_windows_of_long_texts_are_those_of_short_pieces():
+    rng = random.Random(9)
+    raw = np.frombuffer(("".join(rng.choice("ab ") for _ in range(3000)) + "z" * 9000 + "ab" * 2000).encode(), np.uint8)
+    off = np.array([0, 10, 400, 8000, len(raw)])
+
+    def every(piece):
+        start, count, anchor, text = bwt_dedup.windows(raw, off, piece)
+        at = np.repeat(start, count) + np.concatenate([np.arange(n) for n in count])
+        order = np.argsort(at)
+        return at[order], np.repeat(anchor, count)[order], np.repeat(text, count)[order]
+
+    want = every(1 << 20)
+    assert len(want[0]) == sum(max(0, int(n) - 49) for n in np.diff(off)) and len(np.unique(want[0])) == len(want[0])
+    for piece in 200, 1000:
+        assert all(np.array_equal(a, b) for a, b in zip(every(piece), want))
+
+
+QUERY = {1: pitman_yor.op1, 2: pii.op2, 3: bm25.op3, 4: extendible.op4, 5: langid.op5, 6: mixing.op6, 7: bwt_dedup.op7, 8: parsing.op8, 9: jaccard_join.op9, 10: sentencepieces.op10}
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Nulls, blanks, ties, repeated rows, unbroken and repeating texts of a million characters, and columns with names in use inside."""
+    rng = random.Random(10)
+    rows = [*ODD, (100, "".join(rng.choice("abcdefgh01") for _ in range(1_000_000))), (200, "ab" * 500_000), (201, "ab" * 500_000), (300, "7 " * 300_000)]
+    docs = spark.createDataFrame([(i, t, "en" if k % 2 else None, f"s{k % 3}" if k % 4 else None) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    names = "block bucket shard depth slot position score lang_pred ids h size n key entry rank query_id fingerprint held_out base added node label".split()
+    return docs.selectExpr("*", *[f"doc_id as {n}" for n in names], *[f"source as _{n}" for n in names]).repartition(4).cache()
+
+
+@pytest.mark.parametrize("number", sorted(QUERY))
+def test_awkward_tables(awkward, number):
+    got = QUERY[number](awkward).toPandas()
+    if number == 3:
+        assert set(got.query_id) <= {100, 200, 300, 900} and (got[got.query_id == 200].doc_id == 201).any()
+    else:
+        assert len(got) == awkward.count()
+    if number == 7:
+        assert got[got.doc_id == 201].n_removed.iloc[0] == 1_000_000 and got.n_removed.sum() == 1_000_000
+    if number == 9:
+        assert got[got.doc_id == 201].component_id.iloc[0] == 200
+    if number == 10:
+        assert got.lossless.all()
+    assert QUERY[number](awkward.limit(0)).count() == 0
