@@ -4,7 +4,8 @@ Every byte covered by a 50-byte string that also starts in a document with a sma
 
 1. Routing. Each 50-byte window has an anchor, the least hash of its 16-byte strings; equal windows have equal anchors.
    Windows whose anchor occurs in one document only have no repeat anywhere. Blocks of documents tell their anchors to the
-   anchors' hash buckets and learn which occur in other documents.
+   anchors' hash buckets and learn which occur in other documents. Windows of an anchor that more than ``HOT_BLOCKS`` blocks
+   have are told apart by a second anchor (least under another hash), so that a common line is dealt to many buckets.
 2. Runs of consecutive windows with such an anchor become strings, equal ones of a block once with their smallest doc_id, and
    go to the anchor's bucket: all windows that can be equal meet there.
 3. In a bucket the strings form shards, each with its own sorted suffixes and Burrows-Wheeler transform (symbols of eight bytes).
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ from .common import U64, dropped, mix, n_blocks, runs, utf8, written
 
 LENGTH, GRAM, PAD, RUN = 50, 16, 8, 2048
 BLOCK_BYTES, SHARD_SUFFIXES = 3 << 20, 1 << 16
+#: An anchor that so many blocks have is dealt out by a second one.
+HOT_BLOCKS = 64
 #: Suffixes merged at once; an anchor with more is one part with as many shards as it takes.
 PART_SUFFIXES, PIECE_BYTES = 1 << 17, 1 << 17
 _LAST = np.iinfo(np.int64).max
@@ -62,7 +66,7 @@ def windows(raw: np.ndarray, off: np.ndarray, piece: int = PIECE_BYTES) -> tuple
     return start[which] + skip, np.minimum(count[which] - skip, RUN), anchor[which], text[which]
 
 
-def _windows(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _windows(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of consecutive windows with one anchor: first start, number of windows, anchor, and text number."""
     n = len(raw)
     none = np.zeros(0, np.int64)
@@ -71,6 +75,7 @@ def _windows(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     x = _eights(raw)
     v = x[: n - gram + 1] * U64(0x9E3779B97F4A7C15)
     v += x[gram - 8 : n - 7] * U64(0xC2B2AE3D27D4EB4F)
+    v += U64(salt)
     v ^= v >> U64(29)
     v *= U64(0xBF58476D1CE4E5B9)
     del x
@@ -260,32 +265,47 @@ def _anchors(dealt: DataFrame, buckets: int) -> DataFrame:
 
 
 def _shared(anchors: DataFrame) -> DataFrame:
-    """(block, bucket, anchors): of each block's anchors those that occur in two documents or more."""
+    """(block, bucket, anchors, hot): of each block's anchors those that occur in two documents or more; in many blocks or not."""
 
     def run(table: pa.Table) -> pa.Table:
         lists = [np.frombuffer(x, U64) for x in table.column("anchors").to_pylist()]
         many = np.concatenate([np.frombuffer(x, bool) for x in table.column("many").to_pylist()])
         every = np.concatenate(lists)
         _, which, count = np.unique(every, return_inverse=True, return_counts=True)
-        again = (count > 1) | (np.bincount(which, weights=many, minlength=len(count)) > 0)
-        keep = np.split(again[which], np.cumsum([len(x) for x in lists])[:-1])
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "anchors": pa.array([x[k].tobytes() for x, k in zip(lists, keep)], pa.binary())})
-
-    return anchors.groupBy("bucket").applyInArrow(run, "block long, bucket long, anchors binary")
-
-
-def _wanted(right: pa.Table, anchor: np.ndarray) -> np.ndarray:
-    every = np.sort(np.concatenate([np.zeros(0, U64), *(np.frombuffer(x, U64) for x in right.column("anchors").to_pylist())]))
-    return every[np.minimum(np.searchsorted(every, anchor), len(every) - 1)] == anchor if len(every) else np.zeros(len(anchor), bool)
+        again = ((count > 1) | (np.bincount(which, weights=many, minlength=len(count)) > 0))[which]
+        hot = (count > HOT_BLOCKS)[which]
+        cuts = np.cumsum([len(x) for x in lists])[:-1]
+        part = lambda x: pa.array([y[k].tobytes() for y, k in zip(np.split(x, cuts), np.split(again, cuts))], pa.binary())
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "anchors": part(every), "hot": part(hot)})
+
+    return anchors.groupBy("bucket").applyInArrow(run, "block long, bucket long, anchors binary, hot binary")
+
+
+def _routed(left: pa.Table, shared: pa.Table) -> tuple:
+    """A block's bytes, offsets and ids; and the runs whose anchor other documents have: start, windows, anchor, text number."""
+    raw, off, ids, start, count, anchor, doc = _runs(left)
+    every, hot = (np.concatenate([np.zeros(0, k), *(np.frombuffer(x, k) for x in shared.column(n).to_pylist())]) for n, k in (("anchors", U64), ("hot", bool)))
+    order = np.argsort(every)
+    every, hot = every[order], hot[order]
+    at = np.minimum(np.searchsorted(every, anchor), max(0, len(every) - 1))
+    ok = np.flatnonzero(every[at] == anchor) if len(every) else np.zeros(0, np.int64)
+    start, count, anchor, doc, hot = start[ok], count[ok], anchor[ok], doc[ok], hot[at[ok]] if len(every) else np.zeros(0, bool)
+    if hot.any():
+        n = count[hot] + LENGTH - 1
+        inner = np.concatenate([[0], np.cumsum(n)])
+        sub, windows_, second, which = _windows(raw[_cat(start[hot], n)], inner, salt=0x632BE59BD9B4E019)
+        rest = ~hot
+        begin = start[hot][which] + sub - inner[which]
+        start, count, doc = np.concatenate([start[rest], begin]), np.concatenate([count[rest], windows_]), np.concatenate([doc[rest], doc[hot][which]])
+        anchor = np.concatenate([anchor[rest], mix(anchor[hot][which] ^ mix(second))])
+    return raw, off, ids, start, count, anchor, doc
 
 
 def _sent(dealt: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
     """(bucket, block, anchors, count, bytes, docs): distinct strings of runs with shared anchors and their smallest doc_id."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        raw, _, ids, start, count, anchor, doc = _runs(left)
-        ok = _wanted(right, anchor)
-        start, count, anchor, doc = start[ok], count[ok], anchor[ok], doc[ok]
+        raw, _, ids, start, count, anchor, doc = _routed(left, right)
         one, which, _ = _strings(raw, start, count, anchor, buckets)
         low = np.full(len(one), _LAST)
         np.minimum.at(low, which, ids[doc])
@@ -337,7 +357,7 @@ def _least(byte: np.ndarray, start: np.ndarray, size: np.ndarray, count: np.ndar
 
 
 def _merged(sent: DataFrame) -> DataFrame:
-    """(block, bucket, anchors, lows): for every window of every string of a block the smallest doc_id that has it."""
+    """(block, bucket, lows): for every window of every string of a block the smallest doc_id that has it."""
 
     def run(table: pa.Table) -> pa.Table:
         cols = {k: [np.frombuffer(x, t) for x in table.column(k).to_pylist()] for k, t in (("anchors", U64), ("count", np.int64), ("bytes", np.uint8), ("docs", np.int64))}
@@ -365,9 +385,9 @@ def _merged(sent: DataFrame) -> DataFrame:
             mine = which[at : at + len(c)]
             out.append(answer[_cat(start[mine], c)].tobytes())
             at += len(c)
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "anchors": pa.array([np.unique(x).tobytes() for x in cols["anchors"]], pa.binary()), "lows": pa.array(out, pa.binary())})
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "lows": pa.array(out, pa.binary())})
 
-    return sent.groupBy("bucket").applyInArrow(run, "block long, bucket long, anchors binary, lows binary")
+    return sent.groupBy("bucket").applyInArrow(run, "block long, bucket long, lows binary")
 
 
 def covered(docs: DataFrame, block_bytes: int = BLOCK_BYTES, texts: bool = True) -> DataFrame:
@@ -380,13 +400,13 @@ def covered(docs: DataFrame, block_bytes: int = BLOCK_BYTES, texts: bool = True)
     dealt = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).alias("block"))
     shared = written(_shared(_anchors(dealt, n)), "shared")
     answers = written(_merged(_sent(dealt, shared, n)), "answers")
-    dropped(shared)
+    told = answers.unionByName(shared.select("block", "anchors", "hot"), allowMissingColumns=True)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        raw, off, ids, start, count, anchor, doc = _runs(left)
-        ok = _wanted(right, anchor)
-        start, count, anchor, doc = start[ok], count[ok], anchor[ok], doc[ok]
+        answered = pc.is_valid(right.column("lows"))
+        raw, off, ids, start, count, anchor, doc = _routed(left, right.filter(pc.invert(answered)))
         one, which, _ = _strings(raw, start, count, anchor, n)
+        right = right.filter(answered)
         order = np.argsort(right.column("bucket").to_numpy())
         lows = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(right.column("lows")[int(i)].as_py(), np.int64) for i in order)])
         first = np.concatenate([[0], np.cumsum(count[one])])[:-1]
@@ -410,7 +430,7 @@ def covered(docs: DataFrame, block_bytes: int = BLOCK_BYTES, texts: bool = True)
         return pa.table(out | {"kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())})
 
     schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, {'kept binary, ' if texts else ''}kept_sha256 string"
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -605,7 +605,9 @@ def passages():
     return rows + [(200, None), (201, ""), (202, "short"), (203, "x" * 49), (204, "x" * 50), (205, "x" * 50)]
 
 
-def test_removed_bytes_are_exact(spark):
+@pytest.mark.parametrize("hot", [64, 1, 0])
+def test_removed_bytes_are_exact(spark, monkeypatch, hot):
+    monkeypatch.setattr(bwt_dedup, "HOT_BLOCKS", hot)
     rows = passages()
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in bwt_dedup.covered(spark.createDataFrame(rows, KIND).repartition(4), 4000).collect()}
     assert got == plain_kept(rows)
