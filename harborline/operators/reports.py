@@ -170,3 +170,91 @@ def causal_assessment(pairs: DataFrame, x: str, y: str, order: str, least: int =
     effect = F.when(F.col("n") < 5, None).when(~enough, F.col("r")).otherwise(F.col("slope"))
     allowed = enough & (F.abs("slope") > 0.05) & (F.abs("placebo") < 0.5 * F.abs("slope") * F.col("spread"))
     return a.select("n", method.alias("method"), F.round(effect, 6).alias("effect"), F.coalesce(allowed, F.lit(False)).alias("causal_claim_allowed"))
+
+
+#: Words of a question that lead to a scenario; the first scenario with one wins.
+SCENARIO_WORDS = {
+    "red-sea-bab-el-mandeb": ["red sea", "houthi", "bab"],
+    "taiwan-strait-tension": ["taiwan", "semiconductor", "chip"],
+    "suez-canal-blockage": ["suez", "canal"],
+    "russia-ukraine-supply": ["ukraine", "russia"],
+    "us-iran-hormuz": ["hormuz", "iran"],
+    "china-us-trade": ["china", "tariff", "export control"],
+}
+#: Fixed value: questions that ask for a number.
+ASKS_NUMBER = r"(?i)\b(\d{1,3})\s*%\s*(risk|scri|score)|risk\s*(score|level)\s*(is|of|at)\s*(\d+\.?\d*)|what\s+is\s+the\s+risk\s+score"
+
+
+def scenario_of(question: Column) -> Column:
+    """The first scenario that one of its words in the question leads to, or null."""
+    q = F.lower(question)
+    hit = F.lit(None).cast("string")
+    for scenario, words in reversed(SCENARIO_WORDS.items()):
+        hit = F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(q, w)), scenario).otherwise(hit)
+    return hit
+
+
+def answers(questions: DataFrame, suppliers: DataFrame, per_question: int = 5) -> DataFrame:
+    """(question_id, scenario_id, grounded, answer): what the tables can say to each question, and nothing else.
+
+    A question for a number is told the scores of the suppliers that it names, or refused where there are none; others are
+    told the facts that hold their words, with the scenario to look at. Without either nothing is claimed.
+    """
+    found = facts(questions, suppliers, per_question).groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "fact"))), lambda x: x["fact"]), "; ").alias("facts"))
+    asked = questions.select("question_id", F.explode(keywords(F.col("question"))).alias("word"))
+    named = suppliers.where("risk_score is not null").select("supplier_id", "name", "risk_score", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", "name", "country", "industry")), F.lit("[a-z]{3,}"), 0))).alias("word"))
+    rank = Window.partitionBy("question_id").orderBy(F.desc("risk_score"), "supplier_id")
+    known = asked.join(named, "word").select("question_id", "supplier_id", "name", "risk_score").distinct().withColumn("n", F.row_number().over(rank)).where(F.col("n") <= per_question)
+    scores = known.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "name", "risk_score"))), lambda x: F.concat(x["name"], F.lit(" "), F.floor(x["risk_score"] * 100).cast("string"), F.lit(" %"))), "; ").alias("scores"))
+    q = questions.join(found, "question_id", "left").join(scores, "question_id", "left").withColumn("scenario_id", scenario_of(F.col("question")))
+    number = F.col("question").rlike(ASKS_NUMBER)
+    text_ = (
+        F.when(number & F.col("scores").isNull(), "No scores are known for this question, so no number is given.")
+        .when(number, F.concat(F.lit("Known scores: "), F.col("scores"), F.lit(".")))
+        .when(F.col("scenario_id").isNotNull(), F.concat(F.lit("See scenario "), F.col("scenario_id"), F.lit(". Facts: "), F.coalesce("facts", F.lit("none")), F.lit(".")))
+        .when(F.col("facts").isNotNull(), F.concat(F.lit("No scenario fits. Facts: "), F.col("facts"), F.lit(".")))
+        .otherwise("The tables do not say.")
+    )
+    grounded = number | F.col("scenario_id").isNotNull() | F.col("facts").isNotNull()
+    return q.select("question_id", "scenario_id", grounded.alias("grounded"), text_.alias("answer"))
+
+
+def scenario_documents(scenarios: DataFrame) -> DataFrame:
+    """(id, source, text) of scenarios(id, name, description, region, sectors, severity, mitigations): three mitigations at most."""
+    key = F.col("id")
+    body = F.concat(F.coalesce("name", key), F.lit(". "), F.coalesce("description", F.lit("")), F.lit(" Region: "), F.coalesce("region", F.lit("")), F.lit(". Sectors: "), F.array_join(F.coalesce("sectors", F.array().cast("array<string>")), ", "), F.lit(". Severity: "), F.coalesce(F.col("severity").cast("string"), F.lit("")), F.lit(". Mitigations: "), F.array_join(F.slice(F.coalesce("mitigations", F.array().cast("array<string>")), 1, 3), "; "))
+    return scenarios.select(text.document_id(F.lit("scenarios"), key).alias("id"), F.concat(F.lit("simulation/"), key).alias("source"), F.trim(body).alias("text"))
+
+
+def backtest_documents(cases: DataFrame) -> DataFrame:
+    """(id, source, text) of past cases(id, title, description, region, lessons)."""
+    key = F.col("id")
+    body = F.concat(F.coalesce("title", key), F.lit(". "), F.coalesce("description", F.lit("")), F.lit(" Region: "), F.coalesce("region", F.lit("")), F.lit(". Lessons: "), F.array_join(F.coalesce("lessons", F.array().cast("array<string>")), "; "))
+    return cases.select(text.document_id(F.lit("backtests"), key).alias("id"), F.concat(F.lit("backtest/"), key).alias("source"), F.trim(body).alias("text"))
+
+
+def message_documents(events: DataFrame, most: int = 800) -> DataFrame:
+    """(id, text) of event messages(event_id, event_type, region, country, description, actors); those without an id are dropped."""
+    place = F.coalesce("region", "country", F.lit("Unknown"))
+    kind = F.initcap(F.replace(F.coalesce("event_type", F.lit("event")), F.lit("_"), F.lit(" ")))
+    actor = F.try_element_at("actors", F.lit(1))
+    head = F.when(actor.isNotNull(), F.concat(kind, F.lit(" — "), actor, F.lit(" ("), place, F.lit(")"))).otherwise(F.concat(kind, F.lit(" in "), place))
+    body = F.concat(head, F.lit(". "), F.coalesce("description", F.lit("Geopolitical signal")), F.lit(" Region: "), place)
+    return events.where("event_id is not null").select(F.col("event_id").alias("id"), F.substring(F.trim(body), 1, most).alias("text"))
+
+
+def recommendations(suppliers: DataFrame, top: int = 3) -> DataFrame:
+    """(rank, recommendation) for the riskiest suppliers: a review of them, contingency plans where one is critical, and standing advice."""
+    best = suppliers.orderBy(F.desc("risk_score"), "supplier_id").limit(top)
+    row = best.agg(F.count("*").alias("n"), F.coalesce(F.max("risk_score"), F.lit(0.0)).alias("worst"))
+    told = F.filter(
+        F.array(
+            F.when(F.col("n") > 0, F.concat(F.lit("Review the "), F.col("n").cast("string"), F.lit(" riskiest suppliers now"))),
+            F.when(F.col("worst") > 0.8, F.lit("Start contingency plans for critical suppliers")),
+            F.lit("Check stock of the products they make"),
+            F.lit("Look for other suppliers"),
+            F.lit("Tell stakeholders what changed"),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    return row.select(F.posexplode(told).alias("at", "recommendation")).select((F.col("at") + 1).alias("rank"), "recommendation")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expressions as ex
-from ..operators import features, graph, monitoring, signals, simulation, text
+from ..operators import features, graph, monitoring, reports, signals, simulation, text
 from ..sources import feeds, sinks
 from .catalog import COUNTRY_SQL, DAILY_SQL, RATE_SQL, SCORE_SQL, SKU_SQL, _daily, _features, _scenarios, _sku_nodes, _spread_sql, query, r6
 
@@ -214,6 +214,41 @@ def routed_search(t):
     return text.routed_search(q, hits).withColumn("score", r6("score"))
 
 
+WORDS_SQL = """, q as (select * from (values (1, 'What is the risk score of oil suppliers?'), (2, 'Is the Suez canal open for container lines?'), (3, 'Which semiconductor fabs are there?'), (4, 'Tell me a joke'), (5, 'What is the risk score of nobody?'), (6, 'Any auto parts in trouble?')) v(question_id, question)),
+w as (select question_id, unnest(list_distinct([x for x in regexp_extract_all(lower(question), '[a-z]{3,}') if x not in ('the', 'and', 'for', 'are', 'what', 'which', 'how', 'why', 'who', 'our', 'with', 'from', 'that', 'this', 'does', 'have', 'has', 'was', 'were', 'any', 'about')])[:8]) as word from q),
+said as (select supplier_id, name, country, risk_score, unnest(list_distinct(regexp_extract_all(lower(name || ' ' || country || ' ' || industry), '[a-z]{3,}'))) as word from sup),
+h as (select *, row_number() over (partition by question_id order by risk_score desc, supplier_id) as n from (select distinct question_id, supplier_id, name, country, risk_score from w join said using (word))),
+f as (select question_id, string_agg(name || ' in ' || country || ' is rated ' || case when risk_score >= 0.8 then 'CRITICAL' when risk_score >= 0.6 then 'HIGH' when risk_score >= 0.4 then 'MEDIUM' when risk_score >= 0.2 then 'LOW' else 'NONE' end, '; ' order by n) as facts, string_agg(name || ' ' || floor(risk_score * 100)::bigint || ' %', '; ' order by n) as scores from h where n <= 5 group by 1)
+"""
+
+
+@query(WORDS_SQL + """select question_id, case question_id when 2 then 'suez-canal-blockage' when 3 then 'taiwan-strait-tension' end as scenario_id, question_id <> 4 as grounded, case when question_id in (1, 5) then coalesce('Known scores: ' || scores || '.', 'No scores are known for this question, so no number is given.')
+  when question_id = 2 then 'See scenario suez-canal-blockage. Facts: ' || coalesce(facts, 'none') || '.' when question_id = 3 then 'See scenario taiwan-strait-tension. Facts: ' || coalesce(facts, 'none') || '.' when facts is not null then 'No scenario fits. Facts: ' || facts || '.' else 'The tables do not say.' end as answer from q left join f using (question_id)""")
+def grounded_answers(t):
+    q = [(1, "What is the risk score of oil suppliers?"), (2, "Is the Suez canal open for container lines?"), (3, "Which semiconductor fabs are there?"), (4, "Tell me a joke"), (5, "What is the risk score of nobody?"), (6, "Any auto parts in trouble?")]
+    return reports.answers(t.spark.createDataFrame(q, "question_id int, question string"), t.suppliers)
+
+
+@query("""select ('0x' || substr(sha256('scenarios:s' || chokepoint_id), 1, 15))::bigint as id, 'simulation/s' || chokepoint_id as source, 'Closure of ' || chokepoint_name || '. Ships wait. Region: ' || chokepoint_name || '. Sectors: shipping, energy. Severity: 0.8. Mitigations: reroute; buffer; air freight' as text from choke
+union all select ('0x' || substr(sha256('backtests:b' || chokepoint_id), 1, 15))::bigint, 'backtest/b' || chokepoint_id, 'Case ' || chokepoint_name || '. What happened. Region: ' || chokepoint_name || '. Lessons: watch queues; keep stock' from choke""")
+def scenario_documents(t):
+    c = t.chokepoints
+    s = c.select(F.concat(F.lit("s"), F.col("chokepoint_id").cast("string")).alias("id"), F.concat(F.lit("Closure of "), "chokepoint_name").alias("name"), F.lit("Ships wait.").alias("description"), F.col("chokepoint_name").alias("region"), F.array(F.lit("shipping"), F.lit("energy")).alias("sectors"), F.lit(0.8).alias("severity"), F.array(*map(F.lit, ("reroute", "buffer", "air freight", "insure"))).alias("mitigations"))
+    b = c.select(F.concat(F.lit("b"), F.col("chokepoint_id").cast("string")).alias("id"), F.concat(F.lit("Case "), "chokepoint_name").alias("title"), F.lit("What happened.").alias("description"), F.col("chokepoint_name").alias("region"), F.array(F.lit("watch queues"), F.lit("keep stock")).alias("lessons"))
+    return reports.scenario_documents(s).unionByName(reports.backtest_documents(b))
+
+
+@query("""select event_id as id, substr(case kind when 'shipment_delay' then 'Shipment Delay' else upper(kind[1]) || kind[2:] end || case when event_id % 2 = 0 then ' — Union (' || country || ')' else ' in ' || country end || '. ' || text || ' Region: ' || country, 1, 800) as text from ev""")
+def message_documents(t):
+    e = t.events.select("event_id", F.col("kind").alias("event_type"), F.lit(None).cast("string").alias("region"), "country", F.col("text").alias("description"), F.when(F.col("event_id") % 2 == 0, F.array(F.lit("Union"))).otherwise(F.array().cast("array<string>")).alias("actors"))
+    return reports.message_documents(e)
+
+
+@query(", b as (select * from sup order by risk_score desc, supplier_id limit 3) select row_number() over (order by o)::int as rank, r as recommendation from (select 1 as o, 'Review the ' || count(*) || ' riskiest suppliers now' as r from b having count(*) > 0 union all select 2, 'Start contingency plans for critical suppliers' from b having max(risk_score) > 0.8 union all select * from (values (3, 'Check stock of the products they make'), (4, 'Look for other suppliers'), (5, 'Tell stakeholders what changed')) v(o, r))")
+def digest_recommendations(t):
+    return reports.recommendations(t.suppliers)
+
+
 # ---- simulation
 
 
