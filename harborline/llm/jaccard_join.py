@@ -261,7 +261,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = held.select("u", "v").union(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select("v", "m").distinct()
+        large = both.where("v > u").join(low, "u").select("v", "m")
         down = large.groupBy("v").agg(F.min("m").alias("r"))
         small = large.join(down, "v").select(F.explode(F.array(F.struct(F.col("v").alias("v"), F.col("r").alias("m")), F.struct(F.col("m").alias("v"), F.col("r").alias("m")))).alias("e")).select("e.v", "e.m")
         new = written(small.where("v <> m").select(F.col("m").alias("u"), "v").distinct(), "edges")
