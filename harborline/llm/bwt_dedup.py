@@ -375,7 +375,13 @@ def _merged(sent: DataFrame) -> DataFrame:
         answer = np.empty(start[-1], np.int64)
         order = np.argsort(np.concatenate(cols["anchors"])[one], kind="stable")
         anchor = np.concatenate(cols["anchors"])[one][order]
-        edge = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1], [True]]))
+        # an anchor with one string has nothing to be merged with: whoever has one of its windows has this very string
+        new = np.concatenate([[True], anchor[1:] != anchor[:-1], [True]])
+        alone = new[:-1] & new[1:]
+        lone = order[alone]
+        answer[_cat(start[lone], count[one][lone])] = np.repeat(best[lone], count[one][lone])
+        order, anchor = order[~alone], anchor[~alone]
+        edge = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1], [True]])) if len(order) else np.zeros(1, np.int64)
         total = np.concatenate([[0], np.cumsum(size[one][order] + PAD)])[edge]
         for lo, hi in _parts(total, PART_SUFFIXES):
             mine = order[edge[lo] : edge[hi]]
