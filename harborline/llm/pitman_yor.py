@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, U64, crc_fold, dropped, joined, mix, n_blocks, pieces, runs, span_hashes, tokens, utf8, written
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 5 << 20
 BURN_IN, SAMPLES, THETA, UNKNOWN, SEED = 1, 2, 1.0, 0.5, 11
 EXACT, GRID = 96, 64
 _END = U64(0x5DEECE66D1234567)
