@@ -60,9 +60,11 @@ def aside(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`").alias(new.get(c, c)) for c in df.columns]) if clash else df
 
 
-def written(df: DataFrame, name: str = "t") -> DataFrame:
+def written(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors.
 
+    by: an integer column whose values have a folder each, which can be dropped by itself.
+
     The table goes when the driver ends; ``dropped`` removes it sooner.
     """
     spark = df.sparkSession
@@ -70,7 +72,7 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")  # the job's shuffle files go when the table is there
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         if before is None:
             spark.conf.unset(_CLEANUP)
@@ -84,11 +86,11 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     return back
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete a table that ``written`` made, once nothing reads it any more."""
+def dropped(df: DataFrame, part: str = "") -> None:
+    """Delete a table that ``written`` made, or one folder of it (``column=value``), once nothing reads it any more."""
     for path in getattr(df, "_harborline_path", "").split():
         jvm = df.sparkSession.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
+        where = jvm.org.apache.hadoop.fs.Path(f"{path}/{part}" if part else path)
         where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 

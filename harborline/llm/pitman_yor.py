@@ -143,8 +143,8 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _wave(rows: DataFrame, number: int) -> DataFrame:
-    """The rows of one part of the buckets."""
-    return rows.where(F.pmod("bucket", F.lit(WAVES)) == number)
+    """The rows of one part of the buckets; where a table has folders of these, no others are read."""
+    return rows.where(F.col("wave") == number).drop("wave") if "wave" in rows.columns else rows.where(F.pmod("bucket", F.lit(WAVES)) == number)
 
 
 _FIXED = "bucket long, words binary, width binary, key binary, c binary, keys binary, stats array<long>"
@@ -450,9 +450,13 @@ def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """
     n = n_blocks(docs, F.coalesce(F.octet_length("text"), F.lit(0)) + 16, block_bytes)
     dealt = docs.select("doc_id", "text", "held_out", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).alias("block"))
-    pairs = written(_pairs(dealt, n), "pairs")
+    pairs = written(_pairs(dealt, n).withColumn("wave", F.pmod("bucket", F.lit(WAVES)).cast("int")), "pairs", "wave")
     fixed, seats, totals, kept = fit(pairs, n)
-    answers = joined([written(_answers(_wave(pairs, w), _wave(fixed, w), _wave(seats, w), [_wave(t, w) for t in totals], kept), "answers") for w in range(WAVES)])
+    answers = []
+    for w in range(WAVES):
+        answers.append(written(_answers(_wave(pairs, w), _wave(fixed, w), _wave(seats, w), [_wave(t, w) for t in totals], kept), "answers"))
+        dropped(pairs, f"wave={w}")
+    answers = joined(answers)
     for table in (pairs, fixed, seats, *totals):
         dropped(table)
     tokens_, vocabulary = kept[-1]["n"], kept[-1]["v"]
