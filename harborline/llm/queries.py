@@ -7,27 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import bm25, bwt_dedup, extendible, jaccard_join, langid, mixing, parsing, pii, pitman_yor, sentencepieces
+from . import bm25, bwt_dedup, chat, extendible, hard_negatives, infilling, jaccard_join, langid, mixing, parsing, pii, pitman_yor, sentencepieces
 
 
-def _over_documents(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: op(ship(spark).read.parquet(f"{sf_dir}/documents.parquet"))
+def _over(op: Callable[[DataFrame], DataFrame], table: str = "documents") -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: op(ship(spark).read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_pitman_yor": _over_documents(pitman_yor.op1),
-    "op2_semi_crf_pii": _over_documents(pii.op2),
-    "op3_block_max_wand": _over_documents(bm25.op3),
-    "op4_extendible_hashing": _over_documents(extendible.op4),
-    "op5_language_filters": _over_documents(langid.op5),
-    "op6_pfair_mixing": _over_documents(mixing.op6),
-    "op7_bwt_dedup": _over_documents(bwt_dedup.op7),
-    "op8_consistent_parsing": _over_documents(parsing.op8),
-    "op9_jaccard_join": _over_documents(jaccard_join.op9),
-    "op10_sentencepiece": _over_documents(sentencepieces.op10),
+    "op1_pitman_yor": _over(pitman_yor.op1),
+    "op2_semi_crf_pii": _over(pii.op2),
+    "op3_block_max_wand": _over(bm25.op3),
+    "op4_extendible_hashing": _over(extendible.op4),
+    "op5_language_filters": _over(langid.op5),
+    "op6_pfair_mixing": _over(mixing.op6),
+    "op7_bwt_dedup": _over(bwt_dedup.op7),
+    "op8_consistent_parsing": _over(parsing.op8),
+    "op9_jaccard_join": _over(jaccard_join.op9),
+    "op10_sentencepiece": _over(sentencepieces.op10),
+    "op11_fill_in_middle": _over(infilling.op11),
+    "op12_hard_negatives": _over(hard_negatives.op12, "embeddings"),
+    "op13_chat_format": _over(chat.op13, "conversations"),
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_fill_in_middle": infilling.OP11_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
+    "op13_chat_format": chat.OP13_SQL,
     "op3_block_max_wand": bm25.OP3_SQL,
     "op4_extendible_hashing": extendible.OP4_SQL,
     "op9_jaccard_join": r"""
