@@ -751,4 +751,4 @@ def resolved_links(t):
     return reports.resolved_links(e, t.suppliers, k)
 
 
-from . import more  # noqa: E402, F401  registers its queries beside these
+from . import models, more  # noqa: E402, F401  they register their queries beside these
