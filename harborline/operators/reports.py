@@ -64,8 +64,7 @@ def event_documents(events: DataFrame, most: int = 800) -> DataFrame:
 def analyze(events: DataFrame) -> DataFrame:
     """Events with rule type, risk level and confidence, and the features that these imply."""
     kind, severity = text.event_class(F.col("text"))
-    level, sure = text.risk_level(F.col("text"))
-    e = events.select("event_id", kind.alias("event_type"), severity.alias("rule_severity"), level.alias("level"), sure.alias("confidence"))
+    e = text.risk_levels(events.select("event_id", "text", kind.alias("event_type"), severity.alias("rule_severity"))).drop("text")
     high = F.col("level").isin("HIGH", "CRITICAL")
     return e.withColumn("proximity", F.when(high, 0.7).otherwise(0.1)).withColumn("critical_events", F.when(high, 1).otherwise(0)).withColumn("stability", 1 - text.level_score(F.col("level")))
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..materialize import materialized
+from .names import common_length, fuzzy_match, indel_ratio, token_set_ratio  # noqa: F401
 
 #: Patterns in order, the event type and severity each stands for.
 EVENT_RULES = [
@@ -59,15 +60,29 @@ def locations(text: Column) -> Column:
     return F.slice(F.array_distinct(F.transform(found, F.trim)), 1, 5)
 
 
+def _level_counts(lowered: Column) -> list[Column]:
+    return [reduce(lambda a, b: a + b, [lowered.contains(w).cast("int") for w in words]) for words in RISK_WORDS.values()]
+
+
+def _level_of(n: list[Column]) -> tuple[Column, Column]:
+    best, total = F.greatest(*n), reduce(lambda a, b: a + b, n)
+    level = F.lit("NONE")
+    for c, name in zip(n, RISK_WORDS):  # the last that reaches the greatest count wins
+        level = F.when((total > 0) & (c == best), name).otherwise(level)
+    return level, F.when(total == 0, 1.0).otherwise(best / total)
+
+
 def risk_level(text: Column) -> tuple[Column, Column]:
     """(level, confidence): share of the levels' words found in the text; NONE without any; ties go to the lower level."""
-    # the counts of all levels are made once, as a struct that the answers are read from
-    t = F.lower(F.coalesce(text, F.lit("")))
-    count = lambda words: F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(t, w))).cast("double")
-    hits = F.array(*[F.struct(count(RISK_WORDS[level]).alias("n"), F.lit(i).alias("i"), F.lit(level).alias("level")) for i, level in enumerate(("CRITICAL", "HIGH", "MEDIUM", "LOW"))])
-    total = F.aggregate(hits, F.lit(0.0), lambda s, h: s + h["n"])
-    best = F.array_max(hits)
-    return F.when(total == 0, "NONE").otherwise(best["level"]), F.when(total == 0, 1.0).otherwise(best["n"] / total)
+    return _level_of(_level_counts(F.lower(F.coalesce(text, F.lit("")))))
+
+
+def risk_levels(rows: DataFrame, text: str = "text") -> DataFrame:
+    """rows plus level and confidence as ``risk_level`` tells them; the counts are made once, in a projection of their own."""
+    lowered = rows.withColumn("_t", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    counted = lowered.withColumns({f"_n{i}": c for i, c in enumerate(_level_counts(F.col("_t")))}).drop("_t")
+    level, sure = _level_of([F.col(f"_n{i}") for i in range(len(RISK_WORDS))])
+    return counted.select(*rows.columns, level.alias("level"), sure.alias("confidence"))
 
 
 def level_score(level: Column) -> Column:
@@ -195,96 +210,6 @@ def within_budget(rows: DataFrame, query: str, order: str, text: str, budget: in
     return rows.withColumn("_before", before).where(F.col("_before") < budget).withColumn(text, F.substring(F.col(text), F.lit(1), (F.lit(budget) - F.col("_before")).cast("int"))).drop("_before")
 
 
-def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a bit for each character of b."""
-    at: dict[str, int] = {}
-    for j, y in enumerate(b):
-        at[y] = at.get(y, 0) | 1 << j
-    row = every = (1 << len(b)) - 1
-    for x in a:
-        hit = row & at.get(x, 0)
-        row = (row + hit | row - hit) & every
-    return len(b) - row.bit_count()
-
-
-def indel_ratio(a: str, b: str) -> float:
-    """100 (1 - insertions and deletions / both lengths), by the longest common subsequence."""
-    return 200.0 * common_length(a, b) / (len(a) + len(b)) if a or b else 100.0
-
-
-def token_set_ratio(a: str, b: str) -> float:
-    """Similarity of two names by their common and their other words, letter case and order aside."""
-    x, y = set(re.findall(r"\w+", (a or "").lower())), set(re.findall(r"\w+", (b or "").lower()))
-    if not x or not y:
-        return 0.0
-    both = " ".join(sorted(x & y))
-    if both and (x <= y or y <= x):
-        return 100.0
-    left, right = " ".join(filter(None, [both, *[" ".join(sorted(x - y))]])), " ".join(filter(None, [both, *[" ".join(sorted(y - x))]]))
-    return max(indel_ratio(left, right), indel_ratio(both, left) if both else 0.0, indel_ratio(both, right) if both else 0.0)
-
-
-class Letters:
-    """Names' sorted words as letter counts: an upper bound of ``token_set_ratio`` for many pairs at once."""
-
-    KINDS = 64
-
-    def __init__(self, names: list[str]):
-        self.words = [sorted(set(re.findall(r"\w+", (n or "").lower()))) for n in names]
-        self.count = np.zeros((len(names), self.KINDS), np.int16)
-        for i, w in enumerate(self.words):
-            for c in " ".join(w):
-                self.count[i, ord(c) % self.KINDS] += 1
-        self.size = self.count.sum(1)
-
-    def near(self, other: Letters, threshold: float) -> np.ndarray:
-        """Pairs (mine, other) that may reach the threshold: letters in common, or a word in common."""
-        common = np.zeros((len(self.words), len(other.words)), np.int32)
-        for k in range(self.KINDS):
-            common += np.minimum(self.count[:, k, None], other.count[None, :, k])
-        ok = 200.0 * common >= threshold * (self.size[:, None] + other.size[None, :])
-        having: dict[str, list[int]] = {}
-        for j, w in enumerate(other.words):
-            for x in w:
-                having.setdefault(x, []).append(j)
-        for i, w in enumerate(self.words):
-            for x in w:
-                ok[i, having.get(x, [])] = True
-        return ok
-
-
-def fuzzy_match(mentions: DataFrame, names: DataFrame, threshold: float = 70.0, top: int = 1, block: int = 256) -> DataFrame:
-    """(mention, id, name, score, rank): best names of each mention at or above the threshold; mentions(mention), names(id, name).
-
-    The distinct mentions are a stated query set: blocks of them meet every name. Letter counts bound the score of all pairs
-    of a block at once; it is made for those that may reach the threshold, so none is lost. A task keeps its best per mention.
-    """
-    kind = names.schema["id"].dataType.simpleString()
-
-    def answer(asked: list) -> DataFrame:
-        shared = mentions.sparkSession.sparkContext.broadcast([r[0] for r in asked])
-
-        def run(batches):
-            texts, best = shared.value, {}
-            letters = Letters(texts)
-            for batch in batches:
-                for i, j in zip(*np.nonzero(letters.near(Letters(batch["name"].tolist()), threshold))):
-                    name, key = batch["name"].iat[j], batch["id"].iat[j]
-                    if (score := token_set_ratio(texts[i], name)) >= threshold:
-                        best.setdefault(i, []).append((-score, key, name))
-                best = {i: sorted(found)[:top] for i, found in best.items()}
-            rows = [(texts[i], key, name, -score) for i, found in best.items() for score, key, name in found]
-            yield pd.DataFrame(rows, columns=["mention", "id", "name", "score"])
-
-        return names.select("id", "name").mapInPandas(run, f"mention string, id {kind}, name string, score double")
-
-    out = in_rounds(mentions.select("mention").where("mention is not null").distinct(), "mention", block, answer)
-    if out is None:
-        return mentions.sparkSession.createDataFrame([], f"mention string, id {kind}, name string, score double, rank int")
-    order = Window.partitionBy("mention").orderBy(F.desc("score"), "id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-
-
 #: Chokepoint names that texts mention.
 CHOKEPOINTS = ["suez canal", "panama canal", "strait of hormuz", "bab el mandeb", "strait of malacca", "bosphorus", "strait of gibraltar", "red sea", "black sea", "taiwan strait", "south china sea", "cape of good hope"]
 

@@ -531,11 +531,25 @@ def event_classifier(t):
     return t.events.select("event_id", text.event_class(F.col("text"))[0].alias("event_type"))
 
 
-@query("""select event_id, case kind when 'protest' then 'HIGH' when 'attack' then 'CRITICAL' when 'shipment_delay' then 'HIGH' when 'sanction' then 'HIGH' else 'CRITICAL' end as level,
-  1.0::double as confidence from ev""")
+def _risk_sql() -> str:
+    """Common table expressions ``risk``(event_id, level, confidence): the words of each level counted in the text."""
+    count = lambda words: " + ".join(f"contains(t, '{w}')::int" for w in words)
+    counts = ", ".join(f"{count(words)} as {level}" for level, words in text.RISK_WORDS.items())
+    best = "greatest(" + ", ".join(text.RISK_WORDS) + ")"
+    total = " + ".join(text.RISK_WORDS)
+    ladder = " ".join(f"when {level} = {best} then '{level}'" for level in reversed(text.RISK_WORDS))
+    return f", risk as (select event_id, case when {total} = 0 then 'NONE' {ladder} end as level, case when {total} = 0 then 1.0 else {best}::double / ({total}) end::double as confidence from (select event_id, {counts} from (select event_id, lower(text) as t from ev)))"
+
+
+def _kind_sql() -> str:
+    """Common table expression ``kinds``(event_id, event_type): the first rule that matches."""
+    ladder = " ".join(f"when regexp_matches(t, '{pattern}') then '{name}'" for pattern, name, _ in text.EVENT_RULES)
+    return f", kinds as (select event_id, case when length(t) < 5 then 'unknown' {ladder} else 'general_signal' end as event_type from (select event_id, lower(trim(text)) as t from ev))"
+
+
+@query(_risk_sql() + " select event_id, level, confidence from risk")
 def keyword_classifier(t):
-    level, sure = text.risk_level(F.col("text"))
-    return t.events.select("event_id", level.alias("level"), sure.alias("confidence"))
+    return text.risk_levels(t.events.select("event_id", "text")).select("event_id", "level", "confidence")
 
 
 @query("""select q.vec_id as query_id, r.rank, r.id, r.score from (select * from embeddings where vec_id % 100 = 0) q, lateral (
@@ -580,13 +594,20 @@ def ner_entities(t):
     return text.entities(t.events.select("event_id", "text")).groupBy("kind", "entity").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("select 'the ' || upper(name) || ' plant' as mention, supplier_id as id, name, 100.0::double as score, 1::int as rank from sup")
 def fuzzy_match(t):
-    """All suppliers' names, respelled, against all names."""
+    """All suppliers' names, respelled, against all names: each has all words of its own."""
     mentions = t.suppliers.select(F.concat(F.lit("the "), F.upper("name"), F.lit(" plant")).alias("mention"))
     return text.fuzzy_match(mentions, t.suppliers.select(F.col("supplier_id").alias("id"), "name"))
 
 
+@query("select 'suplier ' || name[10:] as mention, supplier_id as id, name, round(200.0 * (7 + length(name) - 9 + 1) / (7 + 8 + 2 * (length(name) - 9 + 1)), 6)::double as score, 1::int as rank from sup")
+def fuzzy_match_misspelled(t):
+    """Names with a letter missing: all numbers share most digits, so most pairs are near, and only the best is wanted."""
+    mentions = t.suppliers.select(F.concat(F.lit("suplier "), F.substring("name", 10, 100)).alias("mention"))
+    return text.fuzzy_match(mentions, t.suppliers.select(F.col("supplier_id").alias("id"), "name")).withColumn("score", r6("score"))
+
+
 @query()
 def hash_embed(t):
     return text.hash_embedding(t.raw("benchmark").select("item_id", "text")).select("item_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
@@ -686,8 +707,8 @@ def event_documents(t):
     return reports.event_documents(t.events)
 
 
-@query("""select event_id, case kind when 'protest' then 'civil_unrest' when 'attack' then 'armed_conflict' when 'shipment_delay' then 'logistics_delay' when 'sanction' then 'sanctions' else 'natural_disaster' end as event_type,
-  case when kind in ('attack', 'weather') then 'CRITICAL' else 'HIGH' end as level, 0.7::double as proximity, case when kind in ('attack', 'weather') then 0.0 else 0.25 end::double as stability from ev""")
+@query(_risk_sql() + _kind_sql() + """ select event_id, event_type, level, case when level in ('HIGH', 'CRITICAL') then 0.7 else 0.1 end::double as proximity,
+  1 - case level when 'CRITICAL' then 1.0 when 'HIGH' then 0.75 when 'MEDIUM' then 0.5 when 'LOW' then 0.25 when 'NONE' then 0.0 else 0.5 end::double as stability from risk join kinds using (event_id)""")
 def analyzed_events(t):
     return reports.analyze(t.events).select("event_id", "event_type", "level", "proximity", "stability")
 
@@ -743,7 +764,7 @@ def question_facts(t):
     return reports.facts(q, t.suppliers)
 
 
-@query()
+@query("select event_id, 'supplier' as target, supplier_id::varchar as id, 100.0::double as score from ev union all select event_id, 'chokepoint', '1', 100.0 from ev where contains(lower(text), 'suez canal')")
 def resolved_links(t):
     """Entities of all event texts, resolved to all suppliers and two chokepoints."""
     e = t.events.select("event_id", F.concat("text", F.lit(" hits Supplier#"), F.lpad(F.col("supplier_id").cast("string"), 9, "0")).alias("text"))

@@ -39,7 +39,7 @@ def test_no_similar_name_is_lost(spark):
     names = [" ".join(slip(rng.choice(words)) if rng.random() < 0.5 else rng.choice(words) for _ in range(rng.randint(1, 3))) for _ in range(150)]
     mentions = ["Avrora", "Hundai", "", None, *names[:40]]
     got = {}
-    for r in text.fuzzy_match(spark.createDataFrame([(m,) for m in mentions], "mention string"), spark.createDataFrame(list(enumerate(names)), "id long, name string").repartition(3), top=200, block=7).collect():
+    for r in text.fuzzy_match(spark.createDataFrame([(m,) for m in mentions], "mention string"), spark.createDataFrame(list(enumerate(names)), "id long, name string").repartition(3), top=200).collect():
         got.setdefault(r.mention, set()).add((r.id, r.score))
     for m in {m for m in mentions if m}:
         want = {(i, s) for i, n in enumerate(names) if (s := text.token_set_ratio(m, n)) >= 70}
