@@ -206,7 +206,7 @@ def shapley(rows: DataFrame, key: str, forest: Leaves, names: list[str], top: in
                 {
                     key: np.repeat(batch[key].to_numpy(), n),
                     "rank": np.tile(np.arange(1, n + 1), len(batch)).astype("int32"),
-                    "feature": [names[i] for i in order.ravel()],
+                    "feature": pd.Series([names[i] for i in order.ravel()], dtype=object),
                     "contribution": np.take_along_axis(phi, order, 1).ravel(),
                     "expected": shared.value.expected,
                     "total": np.repeat(phi.sum(1) + shared.value.expected, n),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..materialize import materialized
 from .names import common_length, fuzzy_match, indel_ratio, token_set_ratio  # noqa: F401
+from .vectors import Cells
 
 #: Patterns in order, the event type and severity each stands for.
 EVENT_RULES = [
@@ -185,6 +186,16 @@ def routed_search(queries: DataFrame, hits: DataFrame, most: int = 8) -> DataFra
     return kept.withColumn("rank", F.row_number().over(merged)).where(F.col("rank") <= most).select("query_id", "rank", "collection", "id", "score")
 
 
+def collection_hits(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query_id, collection, id, score): the nearest rows of each collection that a query is routed to, as many as any route wants.
+
+    queries(query_id, query, vector); rows(id, vector, kind), the kind being the collection. Exact, by ``vectors.Cells``.
+    """
+    most = max(n for r in [DEFAULT_ROUTE, *(r for _, r in ROUTES)] for _, n in r)
+    asked = queries.select("query_id", "vector", F.explode(route(F.col("query"))).alias("r")).select("query_id", "vector", F.col("r.collection").alias("kind"))
+    return Cells(rows).search(asked, most, skip_own=False).select("query_id", F.col("kind").alias("collection"), "id", "score")
+
+
 def hash_embedding(texts: DataFrame, text: str = "text", size: int = 384) -> DataFrame:
     """texts plus vector: unit normals drawn from the first eight bytes of the text's sha-256. Equal texts have equal vectors."""
 

@@ -1,10 +1,10 @@
-"""Registered queries of the learned score and of communities by modularity."""
+"""Registered queries of the learned score, communities by modularity, and vectors."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import features, graph, learning, modularity
+from ..operators import features, graph, learning, modularity, reports, text, vectors
 from .catalog import COUNTRY_SQL, EDGES_SQL, _features, query, r6
 
 # ---- the learned score
@@ -109,3 +109,48 @@ select (select count(distinct community) from members) as communities, round(sum
 def community_modularity(t):
     edges, nodes = _links(t)
     return modularity.modularity(edges, modularity.communities(edges, nodes, *_COMMUNITIES)).withColumn("modularity", r6("modularity"))
+
+
+# ---- vectors
+
+
+@query()
+def alternatives_by_embedding(t):
+    """The five best alternatives of every supplier: .6 of the embeddings' cosine and .4 of what is missing to full risk."""
+    near = graph.undirected(graph.supply_edges(t)).where("node_type = 'supplier' and next_type in ('supplier', 'port')")
+    neighbours = near.select(F.substring("node", 10, 20).cast("long").alias("supplier_id"), F.col("next").alias("neighbour")).distinct()
+    s = reports.embeddings(t.suppliers, neighbours).join(t.suppliers.select("supplier_id", "name", "risk_score"), "supplier_id")
+    rows = s.select(F.col("supplier_id").alias("id"), "vector", (0.4 * (1 - F.coalesce("risk_score", F.lit(0.5)))).alias("bonus"))
+    best = vectors.Cells(rows).search(rows.select(F.col("id").alias("query_id"), "vector"), 5, 0.6)
+    risk = t.suppliers.select(F.col("supplier_id").alias("id"), F.col("name").alias("alternative"), "risk_score")
+    told = best.join(risk, "id").select(F.col("query_id").alias("supplier_id"), "rank", "id", "alternative", F.round("risk_score", 4).alias("risk_score"), F.col("score"))
+    similarity = F.round((F.col("score") - 0.4 * (1 - F.coalesce("risk_score", F.lit(0.5)))) / 0.6, 4)
+    return told.withColumn("similarity", similarity).withColumn("score", F.round("score", 4))
+
+
+QUESTIONS = [(1, "How is the methodology of SCRI calculated?"), (2, "What happened at Suez in 2021?"), (3, "Which sector cluster is at risk?"), (4, "Any news on suppliers?")]
+COLLECTIONS = ["events", "suppliers", "methodology", "scenarios", "backtests", "graph_communities"]
+_ROUTED_SQL = """with q as (select * from (values %s) v(query_id, question)),
+route as (select query_id, unnest(case %s else %s end) as x from q),
+qv as (select query_id, [('0x' || substr(md5(question || '|' || j), 1, 8))::bigint / 4294967295.0::double - 0.5 for j in range(1, 65)] as v from q),
+hit as (select r.query_id, r.x.collection as collection, r.x.most as most, e.vec_id as id, round(list_cosine_similarity(qv.v, e.embedding::double[]), 6) as score from route r join qv using (query_id)
+  join embeddings e on ['events', 'suppliers', 'methodology', 'scenarios', 'backtests', 'graph_communities'][e.vec_id %% 6 + 1] = r.x.collection),
+k as (select *, row_number() over (partition by query_id, collection order by score desc, id) as n from hit),
+m as (select *, row_number() over (partition by query_id order by score desc, collection, id) as rank from k where n <= most)
+select query_id, rank::int as rank, collection, id, score from m where rank <= 8"""
+
+
+def _route_sql() -> str:
+    as_list = lambda r: "[" + ", ".join(f"{{'collection': '{c}', 'most': {n}}}" for c, n in r) + "]"
+    whens = " ".join(f"when regexp_matches(question, '{pattern}') then {as_list(r)}" for pattern, r in text.ROUTES)
+    return _ROUTED_SQL % (", ".join(f"({i}, '{x}')" for i, x in QUESTIONS), whens, as_list(text.DEFAULT_ROUTE))
+
+
+@query(_route_sql(), domain=False)
+def routed_search(t):
+    """Questions against the vectors of the collections that each is routed to."""
+    asked = t.spark.createDataFrame(QUESTIONS, "query_id long, query string")
+    number = lambda j: F.conv(F.substring(F.md5(F.concat(F.col("query"), F.lit("|"), j.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") / 4294967295.0 - 0.5
+    asked = asked.withColumn("vector", F.transform(F.sequence(F.lit(1), F.lit(64)), number))
+    rows = t.raw("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.element_at(F.array(*map(F.lit, COLLECTIONS)), (F.col("vec_id") % 6 + 1).cast("int")).alias("kind"))
+    return text.routed_search(asked, text.collection_hits(asked, rows))

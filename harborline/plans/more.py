@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import expressions as ex
-from ..operators import features, graph, monitoring, reports, signals, simulation, text
+from ..operators import features, graph, monitoring, reports, signals, simulation
 from ..sources import feeds, sinks
 from .catalog import COUNTRY_SQL, DAILY_SQL, RATE_SQL, SCORE_SQL, SKU_SQL, _daily, _features, _scenarios, _sku_nodes, _spread_sql, query, r6
 
@@ -43,11 +43,6 @@ def label_features(t):
     return s.join(labels, "slug", "left").select("supplier_id", "slug", F.coalesce("disrupted", ((F.col("risk_score") >= 0.65) | F.col("critical")).cast("int")).cast("int").alias("label"))
 
 
-@query("select model, source, source in ('file', 'mlflow') as model_loaded, case when source in ('file', 'mlflow') then 'validated' else 'demo' end as training_status, case when source in ('file', 'mlflow') and ok then 'validated' else 'demo' end as calibration_status, not (source in ('file', 'mlflow') and ok) as is_demo_calibration from (values ('a', 'file', true), ('b', 'mlflow', false), ('c', 'synthetic_default', true)) v(model, source, ok)", domain=False)
-def model_status(t):
-    return monitoring.model_status(t.spark.createDataFrame([("a", "file", True), ("b", "mlflow", False), ("c", "synthetic_default", True)], "model string, source string, labels_validated boolean"))
-
-
 @query("select n_name as country, round(greatest(0.0, least(1.0, (n_nationkey % 13 - 6.0::double + 2.5) / 5.0)), 4) as stability from nation", domain=False)
 def stability_index(t):
     return t.raw("nation").select(F.col("n_name").alias("country"), ex.stability_index(F.col("n_nationkey") % 13 - 6.0).alias("stability"))
@@ -193,26 +188,7 @@ def padded_rates(t):
     return s.select("country", F.size("series").alias("days"), r6(F.aggregate("series", F.lit(0.0), lambda a, x: a + x)).alias("total"))
 
 
-# ---- routed search
-
-QUESTIONS = [(1, "How is the methodology of SCRI calculated?"), (2, "What happened at Suez in 2021?"), (3, "Which sector cluster is at risk?"), (4, "Any news on suppliers?")]
-COLLECTIONS = ["events", "suppliers", "methodology", "scenarios", "backtests", "graph_communities"]
-
-
-@query(""", q as (select * from (values (1, 'methodology'), (2, 'backtests'), (3, 'graph'), (4, 'default')) v(query_id, r)),
-routes as (select * from (values ('methodology', 'methodology', 4), ('methodology', 'events', 1), ('methodology', 'suppliers', 1), ('backtests', 'backtests', 4), ('backtests', 'scenarios', 2), ('backtests', 'events', 1), ('graph', 'graph_communities', 3), ('graph', 'suppliers', 2), ('graph', 'events', 1),
-  ('default', 'events', 2), ('default', 'suppliers', 2), ('default', 'methodology', 1), ('default', 'scenarios', 1), ('default', 'backtests', 1), ('default', 'graph_communities', 1)) v(r, collection, most)),
-hit as (select query_id, ['events', 'suppliers', 'methodology', 'scenarios', 'backtests', 'graph_communities'][vec_id % 6 + 1] as collection, vec_id as id, ((vec_id * 37 + query_id * 101) % 1009) / 1009.0::double as score from embeddings, q),
-k as (select h.*, row_number() over (partition by query_id, collection order by score desc, id) as n from hit h),
-m as (select query_id, collection, id, score, row_number() over (partition by query_id order by score desc, collection, id) as rank from k join q using (query_id) join routes using (r, collection) where n <= most)
-select query_id, rank::int as rank, collection, id, round(score, 6) as score from m where rank <= 8""")
-def routed_search(t):
-    """Questions against scored rows of every collection (the scores stand in for a vector search of each)."""
-    q = t.spark.createDataFrame(QUESTIONS, "query_id int, query string")
-    v = t.raw("embeddings").select(F.col("vec_id").alias("id"))
-    hits = v.join(F.broadcast(q.select("query_id"))).select("query_id", F.element_at(F.array(*map(F.lit, COLLECTIONS)), (F.col("id") % 6 + 1).cast("int")).alias("collection"), "id", (((F.col("id") * 37 + F.col("query_id") * 101) % 1009) / 1009.0).alias("score"))
-    return text.routed_search(q, hits).withColumn("score", r6("score"))
-
+# ---- answers and documents
 
 WORDS_SQL = """, q as (select * from (values (1, 'What is the risk score of oil suppliers?'), (2, 'Is the Suez canal open for container lines?'), (3, 'Which semiconductor fabs are there?'), (4, 'Tell me a joke'), (5, 'What is the risk score of nobody?'), (6, 'Any auto parts in trouble?')) v(question_id, question)),
 w as (select question_id, unnest(list_distinct([x for x in regexp_extract_all(lower(question), '[a-z]{3,}') if x not in ('the', 'and', 'for', 'are', 'what', 'which', 'how', 'why', 'who', 'our', 'with', 'from', 'that', 'this', 'does', 'have', 'has', 'was', 'were', 'any', 'about')])[:8]) as word from q),
