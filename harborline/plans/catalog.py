@@ -772,4 +772,4 @@ def resolved_links(t):
     return reports.resolved_links(e, t.suppliers, k)
 
 
-from . import models, more  # noqa: E402, F401  they register their queries beside these
+from . import models, more, streams  # noqa: E402, F401  they register their queries beside these

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -33,28 +33,71 @@ def decoded(raw: DataFrame, schema: str = MESSAGE) -> DataFrame:
     return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("m")).select("m.*").where("event_id is not null")
 
 
-def upsert_into(path: str, key: str, order: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
-    """A batch function that merges a batch into a Parquet table: last writer wins, so a repeated batch changes nothing.
+def merge_into(path: str, key: str, merge: Callable[[DataFrame | None, DataFrame, int], DataFrame], buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A batch function that puts ``merge(old rows or None, batch, number)`` in place of the buckets that a batch touches.
 
-    Keys are dealt to ``buckets`` by hash. A batch rewrites the buckets that it touches, under its own number; ``current`` reads
-    each bucket from the last whole version that has it. Versions of which nothing is current any more are deleted.
+    Keys are dealt to ``buckets`` by hash. The new rows are written under the batch's number; ``current`` reads each bucket from
+    the last whole version that has it, so a batch that was lost halfway was never there, and one that comes twice changes
+    nothing. Versions of which nothing is current any more are deleted.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
+    def run(batch: DataFrame, number: int) -> None:
         spark, version = batch.sparkSession, f"{path}/version={number:012d}"
         if version in _versions(spark, path):
             return  # the batch was merged before, whole
         new = batch.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
         touched = [r[0] for r in new.select(BUCKET).distinct().collect()]  # at most ``buckets``
         old = _read(spark, path, {b: p for b, p in _newest(spark, path).items() if b in touched})
-        rows = upserted(new.limit(0), new, key, order) if old is None else upserted(old, new, key, order)
-        rows.write.mode("overwrite").partitionBy(BUCKET).parquet(version)
+        merge(old, new, number).write.mode("overwrite").partitionBy(BUCKET).parquet(version)
         used = {p.rsplit("/", 1)[0] for p in _newest(spark, path).values()}
         for done in _versions(spark, path):
             if done not in used:
                 _path(spark, done)[1].delete(_path(spark, done)[0], True)
 
-    return merge
+    return run
+
+
+def upsert_into(path: str, key: str, order: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A batch function that merges a batch into a Parquet table: the last row of each key by ``order`` stays."""
+    return merge_into(path, key, lambda old, new, number: upserted(new.limit(0) if old is None else old, new, key, order), buckets)
+
+
+def count_into(path: str, key: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A batch function that adds a batch's rows to the totals (key, n, batch) of each key.
+
+    batch is the ledger: the number of the batch that a row's bucket has counted last, in the same file as the totals. A batch
+    is added where that number is lower, so totals are right though a version is deleted and its batch comes again.
+    """
+
+    def merge(old: DataFrame | None, new: DataFrame, number: int) -> DataFrame:
+        more = new.where(F.col(key).isNotNull()).groupBy(key, BUCKET).agg(F.count("*").alias("n"))
+        if old is None:
+            return more.withColumn("batch", F.lit(number).cast("long"))
+        done = old.groupBy(BUCKET).agg(F.max("batch").alias("_done"))  # a row for each bucket
+        fresh = more.join(done, BUCKET, "left").where(F.coalesce("_done", F.lit(-1)) < number).select(key, BUCKET, "n")
+        every = old.select(key, BUCKET, "n", "batch").unionByName(fresh.withColumn("batch", F.lit(number).cast("long")))
+        last = F.max("batch").over(Window.partitionBy(BUCKET))
+        return every.groupBy(key, BUCKET).agg(F.sum("n").alias("n"), F.max("batch").alias("batch")).withColumn("batch", last)
+
+    return merge_into(path, key, merge, buckets)
+
+
+def vessels_into(folder: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """A batch function for vessel reports (mmsi, ts, chokepoint, ...): the vessel's last report, its TRANSITING link to each
+    chokepoint, and the chokepoints' counters. Each of the three tables takes a batch once, so a batch that fails between two of
+    them is completed when it comes again.
+    """
+    vessels = upsert_into(f"{folder}/vessels", "mmsi", "ts", buckets)
+    links, counts = upsert_into(f"{folder}/transiting", "link", "ts", buckets), count_into(f"{folder}/chokepoints", "chokepoint", buckets)
+
+    def run(batch: DataFrame, number: int) -> None:
+        rows = materialized(batch.where("mmsi is not null"), "vessels")
+        vessels(rows, number)
+        near = rows.where("chokepoint is not null").select(F.concat_ws("|", F.col("mmsi").cast("string"), "chokepoint").alias("link"), "mmsi", F.lit("TRANSITING").alias("kind"), "chokepoint", "ts")
+        links(near, number)
+        counts(near.select("chokepoint"), number)
+
+    return run
 
 
 def _path(spark: SparkSession, path: str):
@@ -119,3 +162,31 @@ def batch_metadata(batch: DataFrame, run_id: str) -> DataFrame:
     """One row about a batch."""
     b = materialized(batch, "batch")
     return b.agg(F.lit(run_id).alias("run_id"), F.count("*").alias("events"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+def vessel_sessions(reports: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
+    """(mmsi, start, end, reports, max_speed): runs of a vessel's reports with less than ``gap`` between two.
+
+    reports(mmsi, ts, speed), a stream or a table. end is the last report plus the gap, when a stream tells the session; what is
+    later than the watermark is dropped, and the state of told sessions goes.
+    """
+    s = reports.withWatermark("ts", late).groupBy("mmsi", F.session_window("ts", gap)).agg(F.count("*").alias("reports"), F.max("speed").alias("max_speed"))
+    return s.select("mmsi", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "reports", "max_speed")
+
+
+def sliding_counts(events: DataFrame, width: str = "24 hours", step: str = "6 hours", late: str = "1 hour") -> DataFrame:
+    """Events and largest severity per kind and sliding window."""
+    out = events.withWatermark("ts", late).groupBy(F.window("ts", width, step), "kind").agg(F.count("*").alias("n"), F.max("severity").alias("max_severity"))
+    return out.select(F.col("window.start").alias("start"), "kind", "n", "max_severity")
+
+
+def reports_after_events(reports: DataFrame, events: DataFrame, hours: int = 2, late: str = "1 hour") -> DataFrame:
+    """(event_id, mmsi, event_ts, report_ts): reports of vessels in an event's country up to ``hours`` after it.
+
+    reports(mmsi, country, ts), events(event_id, country, ts), two streams or two tables. Both sides have a watermark and the
+    times bound each other, so each side's rows leave the state once no partner can come.
+    """
+    r = reports.select("mmsi", F.col("country").alias("r_country"), F.col("ts").alias("report_ts")).withWatermark("report_ts", late)
+    e = events.select("event_id", F.col("country").alias("e_country"), F.col("ts").alias("event_ts")).withWatermark("event_ts", late)
+    near = F.expr(f"r_country = e_country and report_ts >= event_ts and report_ts <= event_ts + interval {hours} hours")
+    return r.join(e, near).select("event_id", "mmsi", "event_ts", "report_ts")
