@@ -7,7 +7,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 #: Minutes between two alerts of a tier; minutes for which a sent alert hides equal ones.
 RATE_MINUTES = {"info": 60, "warning": 30, "critical": 5}
@@ -22,6 +22,15 @@ def alert_key(entity: str | None, tier: str, title: str) -> str:
     return hashlib.md5(f"{entity}|{tier}|{(title or '')[:50]}".encode()).hexdigest()
 
 
+def outcome_of(minute: float, sent_at: float | None, tier_at: float | None, tier: str) -> str:
+    """What becomes of an alert, from when its key and its tier were last sent."""
+    if sent_at is not None and minute - sent_at < HIDE_MINUTES:
+        return "duplicate"
+    if tier_at is not None and minute - tier_at < RATE_MINUTES[tier]:
+        return "rate_limited"
+    return "sent"
+
+
 class Gate:
     """What was last sent: by alert key and by tier, in minutes."""
 
@@ -29,13 +38,11 @@ class Gate:
         self.sent, self.tier_at = dict(sent or {}), tier_at
 
     def offer(self, minute: float, tier: str, key: str) -> str:
-        if key in self.sent and minute - self.sent[key] < HIDE_MINUTES:
-            return "duplicate"
-        if self.tier_at is not None and minute - self.tier_at < RATE_MINUTES[tier]:
-            return "rate_limited"
-        self.sent = {k: m for k, m in self.sent.items() if minute - m < HIDE_MINUTES}
-        self.sent[key], self.tier_at = minute, minute
-        return "sent"
+        outcome = outcome_of(minute, self.sent.get(key), self.tier_at, tier)
+        if outcome == "sent":
+            self.sent = {k: m for k, m in self.sent.items() if minute - m < HIDE_MINUTES}
+            self.sent[key], self.tier_at = minute, minute
+        return outcome
 
 
 def gate(alerts: DataFrame) -> DataFrame:
@@ -55,19 +62,51 @@ def gate(alerts: DataFrame) -> DataFrame:
     return dealt.mapInPandas(fold, dealt.withColumn("outcome", F.lit("")).schema)
 
 
-def gate_stream(alerts: DataFrame) -> DataFrame:
-    """The same gate over a stream: state per tier, kept across micro-batches."""
+class StreamGate(StatefulProcessor):
+    """The gate of one tier: a state entry for each alert key that was sent, and when the tier was last sent.
 
-    def fold(key, frames, state: GroupState):
-        keys, minutes, at = state.get if state.exists else ([], [], None)
-        g = Gate(dict(zip(keys, minutes)), at)
-        for frame in frames:
-            frame = frame.sort_values(["ts", "alert_id"])
-            minute = frame["ts"].map(lambda x: x.timestamp() / 60)
-            yield pd.DataFrame({"alert_id": frame["alert_id"], "ts": frame["ts"], "tier": frame["tier"], "outcome": [g.offer(m, t, alert_key(e, t, n)) for m, t, e, n in zip(minute, frame["tier"], frame["entity_id"], frame["title"])]})
-        state.update((list(g.sent), [float(x) for x in g.sent.values()], g.tier_at))
+    An entry has a timer at the end of its hour; when the watermark passes it, no alert that it could hide can come, and it goes.
+    """
 
-    return alerts.groupBy("tier").applyInPandasWithState(fold, "alert_id long, ts timestamp, tier string, outcome string", "keys array<string>, minutes array<double>, at double", "append", GroupStateTimeout.NoTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sent = handle.getMapState("sent", "alert_key string", "minute double")
+        self.last = handle.getValueState("last", "minute double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        frame = pd.concat(list(rows)).sort_values(["ts", "alert_id"])
+        outcomes = []
+        for ts, entity, title in zip(frame["ts"], frame["entity_id"], frame["title"]):
+            minute, name = ts.timestamp() / 60, (alert_key(entity, key[0], title),)
+            at = self.sent.getValue(name)[0] if self.sent.containsKey(name) else None
+            last = self.last.get()[0] if self.last.exists() else None
+            outcome = outcome_of(minute, at, last, key[0])
+            if outcome == "sent":
+                self.sent.updateValue(name, (minute,))
+                self.last.update((minute,))
+                self.handle.registerTimer(int((minute + HIDE_MINUTES) * 60_000))
+            outcomes.append(outcome)
+        yield pd.DataFrame({"alert_id": frame["alert_id"], "ts": frame["ts"], "tier": key[0], "outcome": pd.Series(outcomes, dtype=object, index=frame.index)})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        minute = expiredTimerInfo.getExpiryTimeInMs() / 60_000
+        for name, at in list(self.sent.iterator()):
+            if at[0] + HIDE_MINUTES <= minute + 1e-4:
+                self.sent.removeKey(name)
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def gate_stream(alerts: DataFrame, late: str = "1 hour") -> DataFrame:
+    """The same gate over a stream, kept across micro-batches; alerts later than the watermark are dropped.
+
+    Sets the session's state store to RocksDB, which this kind of state needs.
+    """
+    alerts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = alerts.select("alert_id", "ts", "tier", "entity_id", "title").withWatermark("ts", late)
+    return rows.groupBy("tier").transformWithStateInPandas(StreamGate(), "alert_id long, ts timestamp, tier string, outcome string", "append", "EventTime")
 
 
 def emit_high(events: DataFrame, as_of, hours: int = 1, least: float = 0.75, most: int = 10) -> DataFrame:

@@ -3,11 +3,13 @@
 import datetime as dt
 import json
 import os
+import random
 import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
+from harborline.operators import alerts
 from harborline.streaming import pipelines
 
 START = dt.datetime(2024, 1, 1)
@@ -115,3 +117,21 @@ def test_a_crash_before_the_commit_changes_nothing(spark, tmp_path):
     assert tables(spark, str(folder))[2] == {"suez": 1}
     into(more, 1)
     assert tables(spark, str(folder)) == ({1: 0, 2: 1, 3: 1}, {(1, "suez"), (2, "suez"), (3, "suez")}, {"suez": 3})
+
+
+def test_the_stream_gate_equals_the_fold_and_forgets(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, START + dt.timedelta(minutes=m), rng.choice(["critical", "warning"]), str(rng.randrange(3)), "t" * rng.randrange(3)) for i, m in enumerate(sorted(rng.uniform(0, 400) for _ in range(120)))]
+    kind = "alert_id long, ts timestamp, tier string, entity_id string, title string"
+    want = {r.alert_id: r.outcome for r in alerts.gate(spark.createDataFrame(rows, kind)).collect()}
+    last = [(900 + k, START + dt.timedelta(minutes=5000 + k), "critical", "9", "x") for k in (0, 1)]  # long after: what was kept can go
+    for n, part in enumerate([rows[:30], rows[30:70], rows[70:], last[:1], last[1:]]):
+        land(tmp_path / "in", n, [dict(alert_id=i, ts=t.isoformat() + "Z", tier=a, entity_id=e, title=x) for i, t, a, e, x in part])
+    df = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    q = alerts.gate_stream(df).writeStream.format("memory").queryName("gate").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r.alert_id: r.outcome for r in spark.table("gate").collect()}
+    assert {i: o for i, o in got.items() if i < 900} == want and set(want.values()) == {"sent", "duplicate", "rate_limited"}
+    assert got[900] == "sent" and got[901] == "duplicate"
+    kept = spark.read.format("statestore").option("path", str(tmp_path / "cp")).option("stateVarName", "sent").load()
+    assert kept.count() == 1  # the last alert's key; those of the first day are gone
