@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import features, graph, learning, modularity, reports, text, vectors
+from ..operators import causal, features, graph, learning, modularity, reports, text, vectors
 from .catalog import COUNTRY_SQL, EDGES_SQL, _features, query, r6
 
 # ---- the learned score
@@ -154,3 +154,43 @@ def routed_search(t):
     asked = asked.withColumn("vector", F.transform(F.sequence(F.lit(1), F.lit(64)), number))
     rows = t.raw("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.element_at(F.array(*map(F.lit, COLLECTIONS)), (F.col("vec_id") % 6 + 1).cast("int")).alias("kind"))
     return text.routed_search(asked, text.collection_hits(asked, rows))
+
+
+# ---- causes
+
+
+def _cause_pairs(t):
+    """Suppliers' risk and number of events, with two common causes."""
+    e = t.events.groupBy("supplier_id").agg((F.count("*") / 100.0).alias("y"))
+    s = t.suppliers.select("supplier_id", F.col("risk_score").alias("x"), (F.col("supplier_id") % 7).alias("season"), F.col("single_source").cast("int").alias("single"))
+    return s.join(e, "supplier_id", "left").withColumn("y", F.coalesce("y", F.lit(0.0)))
+
+
+_U = "('0x' || substr(md5(k || '|{}'), 1, 8))::bigint / 4294967296.0::double"
+_CAUSE_SQL = f""", p as (select s.supplier_id as k, s.risk_score::double as x, count(e.event_id) / 100.0::double as y, (s.supplier_id % 7)::double as c0, s.single_source::int::double as c1 from sup s left join ev e using (supplier_id) group by all),
+d as (select p.*, i as draw from p, range(0, 20) r(i)),
+v as (select 'estimate' as kind, 0 as draw, x, y, c0, c1, 0.0::double as c2 from p union all select 'random_cause', 0, x, y, c0, c1, {_U.format('cause')} from p
+  union all select 'subset', draw, x, y, c0, c1, 0.0 from d where draw < 5 and {_U.format("subset' || draw || '")} < 0.8
+  union all select 'placebo', draw, coalesce(lead(x) over w, first_value(x) over w), y, c0, c1, 0.0 from d window w as (partition by draw order by {_U.format("placebo' || draw || '")}, k)),
+s0 as (select kind, draw, x - avg(x) over w as x, y - avg(y) over w as y, c0 - avg(c0) over w as c0, c1 - avg(c1) over w as c1, c2 - avg(c2) over w as c2 from v window w as (partition by kind, draw)),
+s1 as (select kind, draw, x - c0 * coalesce(regr_slope(x, c0) over w, 0) as x, y - c0 * coalesce(regr_slope(y, c0) over w, 0) as y, c1 - c0 * coalesce(regr_slope(c1, c0) over w, 0) as c1, c2 - c0 * coalesce(regr_slope(c2, c0) over w, 0) as c2 from s0 window w as (partition by kind, draw)),
+s2 as (select kind, draw, x - c1 * coalesce(regr_slope(x, c1) over w, 0) as x, y - c1 * coalesce(regr_slope(y, c1) over w, 0) as y, c2 - c1 * coalesce(regr_slope(c2, c1) over w, 0) as c2 from s1 window w as (partition by kind, draw)),
+s3 as (select kind, draw, case when kind = 'random_cause' then x - c2 * regr_slope(x, c2) over w else x end as x, case when kind = 'random_cause' then y - c2 * regr_slope(y, c2) over w else y end as y from s2 window w as (partition by kind, draw)),
+fx as (select kind, draw, count(*) as n, regr_slope(y, x) as effect from s3 group by all)
+"""
+
+
+@query(_CAUSE_SQL + "select kind, draw::int as draw, n, round(effect, 6) as effect from fx")
+def causal_refuters(t):
+    """The adjusted effect in every variant of the data."""
+    found = causal.effects(causal.variants(_cause_pairs(t), "supplier_id", "x", "y", ["season", "single"]), 3)
+    return t.spark.createDataFrame(found, "kind string, draw int, n long, effect double").withColumn("effect", r6("effect"))
+
+
+@query(_CAUSE_SQL + """, a as (select (select effect from fx where kind = 'estimate') as effect, (select n from fx where kind = 'estimate') as n, (select avg((abs(effect) >= abs((select effect from fx where kind = 'estimate')))::int) from fx where kind = 'placebo') as placebo_share,
+  (select abs(effect - (select effect from fx where kind = 'estimate')) from fx where kind = 'random_cause') as cause_change, (select max(abs(effect - (select effect from fx where kind = 'estimate'))) from fx where kind = 'subset') as subset_spread)
+select n, 'adjusted_regression' as method, round(effect, 6) as effect, placebo_share, round(cause_change, 6) as cause_change, round(subset_spread, 6) as subset_spread, placebo_share < 0.05 and cause_change <= 0.1 * abs(effect) and subset_spread <= 0.5 * abs(effect) as refutation_passed,
+  placebo_share < 0.05 and cause_change <= 0.1 * abs(effect) and subset_spread <= 0.5 * abs(effect) and abs(effect) > 0.05 as causal_claim_allowed from a""")
+def causal_assessment(t):
+    out = causal.assessed(_cause_pairs(t), "supplier_id", "x", "y", ["season", "single"])
+    return out.withColumns({c: r6(c) for c in ("effect", "cause_change", "subset_spread")})
