@@ -87,12 +87,39 @@ def impact_summary(spread: DataFrame, skus: DataFrame) -> DataFrame:
     return agg.select("run_id", "steps", "depth", "suppliers", "skus", revenue(F.col("skus")).alias("revenue_at_risk"), recovery_days(F.col("max_delay"), F.col("suppliers"), F.col("skus")).alias("recovery_days"))
 
 
-def critical_paths(edges: DataFrame, sources: DataFrame, target: str, revenue_at_risk: float = 0.0) -> DataFrame:
-    """For each source node the step that reaches ``target`` at depth 3 or less from impact .5, with its path risk and priority."""
+def critical_paths(edges: DataFrame, sources: DataFrame, target: str, skus: DataFrame) -> DataFrame:
+    """For each source node the step that reaches ``target`` at depth 3 or less from impact .5, with its path risk and priority.
+
+    The risk is .4 of the impact and .5 of the revenue of the target's products (skus(node, n); a million counts full), less .05 a
+    step.
+    """
     runs = sources.select(F.col("node").alias("run_id"), "node", "node_type", F.lit(0.5).alias("impact"))
-    hit = propagate(edges, runs, 3).where(F.col("node") == target)
-    risk = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.4 * F.col("impact") + 0.5 * F.least(F.lit(revenue_at_risk / 1e6), F.lit(1.0)) - 0.05 * F.col("step")))
-    return hit.select(F.col("run_id").alias("source"), "step", "depth", "impact", risk.alias("risk"), F.when(risk > 0.7, "HIGH").otherwise("MEDIUM").alias("priority"))
+    hit = propagate(edges, runs, 3).where(F.col("node") == target).join(skus.select("node", "n"), "node", "left")
+    at_risk = revenue(F.coalesce("n", F.lit(0)))
+    risk = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.4 * F.col("impact") + 0.5 * F.least(at_risk / 1e6, F.lit(1.0)) - 0.05 * F.col("step")))
+    out = hit.select(F.col("run_id").alias("source"), "step", "depth", "impact", at_risk.alias("revenue_at_risk"), risk.alias("risk"))
+    return out.withColumn("priority", F.when(F.col("risk") > 0.7, "HIGH").otherwise("MEDIUM"))
+
+
+def paths(edges: DataFrame, starts: DataFrame, depth: int = 3, best: int = 3) -> DataFrame:
+    """(start, node, rank, hops, path, impact): paths of ``depth`` undirected links at most that visit no node twice; starts(node).
+
+    impact is the product of what the strongest relation of each link passes on. For each start and node the ``best`` paths by impact, then
+    fewer hops, then the nodes' names; a frontier carries its path and keeps as many for each (start, node) at every hop, so it
+    has at most ``best`` rows for each pair however many paths there are.
+    """
+    shares = undirected(edges).groupBy("node", "next").agg(F.max(_by_relation(0)).alias("share"))
+    near = materialized(shares, "links")
+    first = Window.partitionBy("start", "node").orderBy(F.desc("impact"), F.array_join("path", ">"))
+    frontier = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("hops"), F.array("node").alias("path"), F.lit(1.0).alias("impact"))
+    found = None
+    for hop in range(1, depth + 1):
+        grown = frontier.join(near, "node").where(~F.array_contains("path", F.col("next")))
+        grown = grown.select("start", F.col("next").alias("node"), F.lit(hop).alias("hops"), F.array_append("path", F.col("next")).alias("path"), F.round(F.col("impact") * F.col("share"), 9).alias("impact"))
+        frontier = materialized(grown.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= best).drop("_n"), "paths")
+        found = frontier if found is None else found.unionByName(frontier)
+    order = Window.partitionBy("start", "node").orderBy(F.desc("impact"), "hops", F.array_join("path", ">"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best).select("start", "node", "rank", "hops", F.array_join("path", ">").alias("path"), "impact")
 
 
 def reachable(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:

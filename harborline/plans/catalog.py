@@ -448,10 +448,35 @@ def recovery_days(t):
     return _skus(t).select("supplier_id", graph.recovery_days(F.col("supplier_id") % 200, F.col("supplier_id") % 40, F.col("n")).alias("days"))
 
 
-@query(_spread_sql("select 'chokepoint-' || chokepoint_id as run_id, 'chokepoint-' || chokepoint_id as node, 'chokepoint' as node_type, 0.5 as impact from choke", 3) + """ select run_id as source, step, depth, round(impact, 6) as impact, round(greatest(0.0, least(1.0, 0.4 * impact - 0.05 * step)), 6) as risk, case when 0.4 * impact - 0.05 * step > 0.7 then 'HIGH' else 'MEDIUM' end as priority from spread where node = 'supplier-2'""")
+_PATH_RISK_SQL = "greatest(0.0, least(1.0, 0.4 * impact + 0.5 * least(revenue_at_risk / 1e6, 1.0) - 0.05 * step))"
+
+
+@query(_spread_sql("select 'chokepoint-' || chokepoint_id as run_id, 'chokepoint-' || chokepoint_id as node, 'chokepoint' as node_type, 0.5 as impact from choke", 3) + SKU_SQL + f""", hit as (select run_id as source, step, depth, impact, coalesce((select sum(greatest(50000.0, 250000.0 * (1 - 0.05 * i))) from range(0, (select n from sku where supplier_id = 2)) r(i)), 0)::double as revenue_at_risk from spread where node = 'supplier-2')
+select source, step, depth, round(impact, 6) as impact, revenue_at_risk, round({_PATH_RISK_SQL}, 6) as risk, case when {_PATH_RISK_SQL} > 0.7 then 'HIGH' else 'MEDIUM' end as priority from hit""")
 def critical_paths(t):
-    sources = t.chokepoints.select(F.concat(F.lit("chokepoint-"), F.col("chokepoint_id").cast("string")).alias("node"), F.lit("chokepoint").alias("node_type"))
-    return graph.critical_paths(graph.supply_edges(t), sources, "supplier-2").withColumn("impact", r6("impact")).withColumn("risk", r6("risk"))
+    found = graph.critical_paths(graph.supply_edges(t), _chokepoint_nodes(t), "supplier-2", _sku_nodes(t))
+    return found.withColumn("impact", r6("impact")).withColumn("risk", r6("risk"))
+
+
+def _chokepoint_nodes(t: Tables) -> DataFrame:
+    return t.chokepoints.select(F.concat(F.lit("chokepoint-"), F.col("chokepoint_id").cast("string")).alias("node"), F.lit("chokepoint").alias("node_type"))
+
+
+def _paths_sql(depth: int, best: int) -> str:
+    share = "case rel " + " ".join(f"when '{r}' then {v[0]}" for r, v in graph.DECAY.items()) + " else 0.5 end"
+    out = EDGES_SQL + f", shr as materialized (select node, next, max({share})::double as share from near group by all), f0 as (select 'chokepoint-' || chokepoint_id as start, 'chokepoint-' || chokepoint_id as node, 0 as hops, ['chokepoint-' || chokepoint_id] as path, 1.0::double as impact from choke)"
+    for h in range(1, depth + 1):
+        out += f""",
+f{h} as materialized (select start, node, hops, path, impact from (select *, row_number() over (partition by start, node order by impact desc, array_to_string(path, '>')) as k from (
+  select start, next as node, {h} as hops, list_append(path, next) as path, round(impact * share, 9) as impact from f{h - 1} join shr using (node) where not list_contains(path, next))) where k <= {best})"""
+    every = " union all ".join(f"select * from f{h}" for h in range(1, depth + 1))
+    return out + f" select start, node, rank::int as rank, hops::int as hops, array_to_string(path, '>') as path, impact from (select *, row_number() over (partition by start, node order by impact desc, hops, array_to_string(path, '>')) as rank from ({every})) where rank <= {best}"
+
+
+@query(_paths_sql(3, 3))
+def supply_paths(t):
+    """The three strongest paths of three links at most from each chokepoint to every node."""
+    return graph.paths(graph.supply_edges(t), _chokepoint_nodes(t), 3, 3)
 
 
 def _labels_sql(rounds: int) -> str:
