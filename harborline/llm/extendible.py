@@ -8,7 +8,7 @@ not fit are refined by a directory of all bits over their rows alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import aside, free, written
@@ -57,19 +57,47 @@ def _split(rows: DataFrame, limit: int, total: int, h: str, size: str, depth: st
         bits = BITS
 
 
+def _row_text(docs: DataFrame) -> Column:
+    """A text that tells most rows apart: each column as it is hashed by Spark, or as text where that cannot be."""
+    hashed = [F.xxhash64(F.col(f"`{c}`")) if "map" not in docs.schema[c].dataType.simpleString() and "variant" not in docs.schema[c].dataType.simpleString() else F.col(f"`{c}`").cast("string") for c in docs.columns]
+    return F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in hashed])
+
+
+def _paged(rows: DataFrame, limit: int, h: str, n: str, whole_key: str, page: str, number: str) -> DataFrame:
+    """Rows that share every hash bit, in pages of at most ``limit`` bytes: shard, depth and shard_bytes.
+
+    A row's page is that of the bytes before it: in its part of the table, by a running sum, and in the parts before, by one row
+    for each (hash, part). So no task but the one that wrote them gets equal rows together. A page takes as many rows
+    as fit whatever their sizes: pages are cut at half the limit, and a row above that has a page of its own.
+    """
+    (part, order, before, cut) = free(rows.columns, "part", "order", "before", "cut")
+    dealt = written(rows.withColumn(part, F.spark_partition_id()).withColumn(order, F.monotonically_increasing_id()), "equal")
+    parts = dealt.groupBy(whole_key, h, part).agg(F.sum(n).alias(before))
+    above = Window.partitionBy(whole_key, h).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn(before, F.coalesce(F.sum(before).over(above), F.lit(0)))
+    inside = Window.partitionBy(whole_key, h, part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    half = max(1, limit // 2)
+    at = dealt.join(parts, [whole_key, h, part]).withColumn(before, F.col(before) + F.coalesce(F.sum(n).over(inside), F.lit(0)))
+    large = F.col(n) > half
+    at = at.withColumn(cut, F.when(large, F.concat(F.lit("+"), F.col(order).cast("string"))).otherwise(F.floor(F.col(before) / half).cast("string")))
+    sizes = at.groupBy(whole_key, h, F.col(cut).alias(page)).agg(F.sum(n).alias(number))
+    told = at.withColumnRenamed(cut, page).join(sizes, [whole_key, h, page]).withColumn("shard_bytes", F.col(number)).withColumn("depth", F.lit(BITS))
+    return told.withColumn("shard", F.concat(whole_key, F.lit("/"), F.lpad(F.bin(h), BITS, "0"), F.lit("#"), page))
+
+
 def sharded(docs: DataFrame, limit: int = LIMIT_BYTES, key: str = "doc_id", size: Column | None = None) -> DataFrame:
     """docs plus shard (its bits as text), depth and shard_bytes; every shard holds at most ``limit`` bytes.
 
     size: bytes of a row, default those of its text (null: 0). Rows that share all hash bits and exceed the limit together
-    are told apart by the hash of the whole row: their shard is the key's bits, a slash, and bits of that hash. Equal rows
-    beyond that are numbered and go to pages (``#n`` after the bits). Only a single row above the limit makes a larger
-    shard, alone. A null key is a key; an empty table has no shards. Extra columns stay; one named shard, depth or shard_bytes
+    are told apart by a hash of the whole row: their shard is the key's bits, a slash, and bits of that hash. Rows that are
+    alike there too are numbered and go to pages (``#n`` after the bits). Rows are only ever moved, never made anew. Only a
+    single row above the limit makes a larger shard, alone. A null key is a key; an empty table has no shards. Extra columns stay; one named shard, depth or shard_bytes
     is kept as ``<name>_input``.
     """
     docs = aside(docs, "shard", "depth", "shard_bytes")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     new = ("shard", "depth", "shard_bytes")
-    h, n, whole_key, count, page, number, held, copy = free([*docs.columns, *new], *"h n key count page number held copy".split())
+    h, n, whole_key, page, number = free([*docs.columns, *new], *"h n key page number".split())
     bytes_ = F.coalesce(F.octet_length("text") if size is None else size, F.lit(0)).cast("long")
     rows = docs.select(*columns, bytes_.alias(n), hash_bits(F.col(f"`{key}`")).alias(h))
     total = int(rows.agg(F.sum(n)).first()[0] or 0)
@@ -77,19 +105,11 @@ def sharded(docs: DataFrame, limit: int = LIMIT_BYTES, key: str = "doc_id", size
     bits = F.expr(f"substring(lpad(bin(`{h}`), {BITS}, '0'), 1, depth)")
     out = done.withColumn("shard", bits)
     if hot is not None:
-        again = hot.withColumn(whole_key, F.lpad(F.bin(h), BITS, "0")).withColumn(h, hash_bits(F.concat(F.col(whole_key), F.to_json(F.struct(*columns)))))
+        again = hot.withColumn(whole_key, F.lpad(F.bin(h), BITS, "0")).withColumn(h, hash_bits(F.concat(F.col(whole_key), _row_text(docs))))
         apart, equal = _split(again, limit, total, h, n, "depth", "shard_bytes")
         out = out.unionByName(apart.withColumn("shard", F.concat(whole_key, F.lit("/"), bits)).drop(whole_key))
         if equal is not None:
-            names = [c for c in equal.columns if c not in (h, whole_key)]
-            same = equal.groupBy(h, whole_key).agg(F.count("*").alias(count), *[F.first(F.col(f"`{c}`")).alias(c) for c in names])
-            paged = same.withColumn(page, F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(n, F.lit(1)))).cast("long"))
-            paged = paged.withColumn(number, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / F.col(page)).cast("long"))))
-            paged = paged.withColumn(held, F.least(page, F.col(count) - F.col(number) * F.col(page))).repartition(F.col(h), F.col(number))
-            paged = paged.withColumn("shard_bytes", F.col(held) * F.col(n)).withColumn("depth", F.lit(BITS))
-            paged = paged.withColumn("shard", F.concat(whole_key, F.lit("/"), F.lpad(F.bin(h), BITS, "0"), F.lit("#"), number))
-            paged = paged.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(held))))
-            out = out.unionByName(paged.select(*out.columns))
+            out = out.unionByName(_paged(equal, limit, h, n, whole_key, page, number).select(*out.columns))
     return out.select(*columns, "shard", F.col("depth").cast("int").alias("depth"), F.col("shard_bytes").cast("long").alias("shard_bytes"))
 
 

@@ -26,7 +26,7 @@ from .common import dropped, joined, written
 #: Rows that centres are fitted on (lowest hash of the id), values of such rows at most, and sweeps of the fit.
 SAMPLE_ROWS, SAMPLE_VALUES, SWEEPS = 8192, 1 << 22, 8
 MOST_LISTS, SLOT_ROWS, BLOCK_ROWS, PACK_ROWS, TILE_ROWS = 1024, 16384, 2048, 1024, 256
-LEAST, MOST = -(1 << 62), 1 << 62
+LEAST, MOST = 1 - (1 << 63), (1 << 63) - 1
 #: Shares of all lists that an anchor has reached after each wave.
 WAVES = (1 / 16, 1 / 4, 1)
 
@@ -261,15 +261,14 @@ def hard_negatives(rows: DataFrame, anchor: Column, positives: int = 5, negative
     anchor's id are neither its positives nor its negatives. Scores are sums of 64 bits. An empty table gives none.
     """
     whole = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", lambda x: x.isNotNull())
-    rows = rows.select(F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), F.col("vector").cast("array<long>").alias("vector")).where(whole)
-    rows = rows.withColumn("anchor", F.coalesce(anchor, F.lit(False)))
+    rows = rows.select(F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), F.col("vector").cast("array<long>").alias("vector"), F.coalesce(anchor, F.lit(False)).alias("anchor")).where(whole)
     kind = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     if not rows.where("anchor").limit(1).count():
         return rows.sparkSession.createDataFrame([], kind)
     index = Lists(rows)
     every = index.packs.select("pack", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("member"), F.lit(1).alias("place"), F.lit(LEAST).alias("lo"), F.lit(MOST).alias("hi"))
     near = index.search(every, positives, True)
-    p = F.col("score")
+    p = F.col("score").cast("decimal(20,0)")
     window = near.select("pack", "member", F.col("rank").alias("place"), F.ceil(F.lit(low) * p / F.lit(100)).cast("long").alias("lo"), F.floor(F.lit(high) * p / F.lit(100)).cast("long").alias("hi")).where("lo <= hi")
     far = index.search(window, negatives, False)
     index.dropped()
