@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import band_map, point
@@ -155,9 +155,16 @@ def conformal(rows: DataFrame, score: str, label: str, order: str, q: float = 0.
     return rows.crossJoin(width).withColumn("low", F.when(known, F.greatest(F.lit(0.0), F.col(score) - F.col("quantile")))).withColumn("high", F.when(known, F.least(F.lit(1.0), F.col(score) + F.col("quantile")))).drop("quantile")
 
 
+def pearson(a: str, b: str) -> Column:
+    """Pearson's r as an aggregate; null where a side does not vary."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def correlation(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """One row: pairs, Pearson's r, and what it supports: below 5 insufficient_data, else association_only."""
-    return pairs.agg(F.count("*").alias("n"), F.corr(a, b).alias("r")).withColumn("verdict", F.when(F.col("n") < 5, "insufficient_data").otherwise("association_only"))
+    return pairs.agg(F.count("*").alias("n"), pearson(a, b).alias("r")).withColumn("verdict", F.when(F.col("n") < 5, "insufficient_data").otherwise("association_only"))
 
 
 def bootstrap_correlation(pairs: DataFrame, a: str, b: str, replicates: int = 1000, seed: int = 42) -> DataFrame:

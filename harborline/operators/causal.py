@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..materialize import materialized
+from .analytics import pearson
 
 PLACEBOS, SUBSETS, SUBSET_SHARE = 20, 5, 0.8
 #: Rows among which a placebo permutes, about.
@@ -87,7 +88,7 @@ def assessed(pairs: DataFrame, key: str, x: str, y: str, causes: list[str], leas
     """
     spark, rows = pairs.sparkSession, variants(pairs, key, x, y, causes)
     kind = "n long, method string, effect double, placebo_share double, cause_change double, subset_spread double, refutation_passed boolean, causal_claim_allowed boolean"
-    n, r = rows.where("kind = 'estimate'").agg(F.count("*"), F.corr("x", "y")).first()
+    n, r = rows.where("kind = 'estimate'").agg(F.count("*"), pearson("x", "y")).first()
     if n < least:
         return spark.createDataFrame([(n, "insufficient_data" if n < 5 else "association_only", None if n < 5 else r, None, None, None, False, False)], kind)
     found = effects(rows, len(causes) + 1)

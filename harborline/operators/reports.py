@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import band_api, point
 from . import graph, text
+from .analytics import pearson
 
 
 def map_events(events: DataFrame, affects: DataFrame, suppliers: DataFrame, kinds: list[str] | None = None, limit: int = 100) -> DataFrame:
@@ -163,7 +164,7 @@ def causal_assessment(pairs: DataFrame, x: str, y: str, order: str, least: int =
     r = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_s", season)
     r = r.withColumn("_x", F.col(x) - F.avg(x).over(w)).withColumn("_y", F.col(y) - F.avg(y).over(w))
     r = r.withColumn("_p", F.conv(F.substring(F.md5(F.concat(F.col(order).cast("string"), F.lit("|11")).cast("binary")), 1, 8), 16, 10).cast("long") % 1000 / 1000.0)
-    a = r.agg(F.count("*").alias("n"), F.corr(x, y).alias("r"), F.regr_slope("_y", "_x").alias("slope"), (F.regr_slope("_y", "_p") * F.stddev_pop("_p")).alias("placebo"), F.stddev_pop("_x").alias("spread"))
+    a = r.agg(F.count("*").alias("n"), pearson(x, y).alias("r"), F.regr_slope("_y", "_x").alias("slope"), (F.regr_slope("_y", "_p") * F.stddev_pop("_p")).alias("placebo"), F.stddev_pop("_x").alias("spread"))
     enough = F.col("n") >= least
     method = F.when(F.col("n") < 5, "insufficient_data").when(~enough, "association_only").otherwise("adjusted_regression")
     effect = F.when(F.col("n") < 5, None).when(~enough, F.col("r")).otherwise(F.col("slope"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import causal, features, graph, learning, modularity, reports, text, vectors
-from .catalog import COUNTRY_SQL, EDGES_SQL, _features, query, r6
+from ..operators import causal, features, graph, learning, modularity, recurrent, reports, signals, text, vectors
+from .catalog import EDGES_SQL, RATE_SQL, _features, query, r6
 
 # ---- the learned score
 
@@ -194,3 +194,31 @@ select n, 'adjusted_regression' as method, round(effect, 6) as effect, placebo_s
 def causal_assessment(t):
     out = causal.assessed(_cause_pairs(t), "supplier_id", "x", "y", ["season", "single"])
     return out.withColumns({c: r6(c) for c in ("effect", "cause_change", "subset_spread")})
+
+
+# ---- recurrent forecast
+
+
+@query(RATE_SQL + """, w as (select country, day, list(rate) over (partition by country order by day rows between 13 preceding and current row) as a, list(rate) over (partition by country order by day rows between 1 following and 7 following) as b from rate)
+select country, day::varchar as day, round(list_sum(a), 6) as inputs, round(list_sum(b), 6) as targets from w where len(a) = 14 and len(b) = 7""")
+def training_windows(t):
+    """Windows of 14 days and the 7 after them, told by their sums."""
+    total = lambda c: r6(F.aggregate(c, F.lit(0.0), lambda s, v: s + v))
+    w = recurrent.window_pairs(signals.regional_rate(t.events, "country", t.as_of), "country", "rate")
+    return w.select("country", F.col("day").cast("string").alias("day"), total("inputs").alias("inputs"), total("targets").alias("targets"))
+
+
+@query(""", x as (select s.supplier_id, coalesce(risk_score, 0.5)::double as risk, m from sup s left join (select supplier_id, max(severity) as m from ev, now where ts > as_of - interval 30 day group by 1) using (supplier_id)),
+b as (select *, case when m is not null then 0.3::double else greatest(0.1, least(1.0, risk * 0.85)) end as base from x), l as (select *, case when m is not null then greatest(base, m * 0.8) else greatest(base, risk * 0.8, least(0.95, risk) * 0.95) end as last from b)
+select supplier_id, case when m is not null then 'events' else 'snapshot' end as origin, round(11 * base + 3 * last, 6) as total, round(last, 6) as latest from l""")
+def forecast_history(t):
+    h = recurrent.history(t.suppliers, features.event_signals(t.events, t.as_of))
+    return h.select("supplier_id", "origin", r6(F.aggregate("series", F.lit(0.0), lambda s, v: s + v)).alias("total"), r6(F.element_at("series", -1)).alias("latest"))
+
+
+@query()
+def recurrent_forecast(t):
+    """The rate of every country a week ahead, by the cell where there are three weeks of it, else by its trend."""
+    rate = signals.regional_rate(t.events, "country", t.as_of)
+    model = recurrent.fitted(recurrent.window_pairs(rate, "country", "rate"), "country")
+    return recurrent.forecasts(signals.as_series(rate, "country", "rate"), "country", model)
