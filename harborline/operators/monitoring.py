@@ -44,12 +44,43 @@ def left_padded(series: DataFrame, days: int = 30) -> DataFrame:
     return series.withColumn("series", F.slice(F.concat(filler, F.col("series")), -days, days))
 
 
-def model_status(models: DataFrame) -> DataFrame:
-    """models(model, source, labels_validated) plus training_status, calibration_status and is_demo_calibration."""
-    kept = F.col("source").isin("file", "mlflow")
-    training = F.when(kept, "validated").otherwise("demo")
-    calibration = F.when(kept & F.coalesce("labels_validated", F.lit(False)), "validated").otherwise("demo")
-    return models.select("model", "source", kept.alias("model_loaded"), training.alias("training_status"), calibration.alias("calibration_status"), (calibration == "demo").alias("is_demo_calibration"))
+def monitored(daily: DataFrame, scores: DataFrame, key: str, value: str = "n", contamination: float = 0.1) -> DataFrame:
+    """(key, signal, strength, confidence): anomalous windows, changepoints and rises of each entity, together.
+
+    daily(key, day, value), scores(key, series). A window is anomalous if its isolation score is above all but ``contamination`` of
+    the entity's own; an entity has one anomaly signal, of its strongest window.
+    """
+    w = signals.window_features(daily, key, value).na.fill(0.0)
+    found = signals.anomalies(w, key, ["mean", "std", "top", "slope"]).withColumn("cut", F.percentile("score", F.lit(1 - contamination)).over(Window.partitionBy(key)))
+    odd = found.where(F.col("score") > F.col("cut")).groupBy(key).agg(F.least(F.lit(1.0), F.max("score")).alias("strength"))
+    rest = weak_signals(signals.as_series(daily, key, value), scores, key)
+    sure = F.when(F.col("signal") == "anomaly", 0.7).when(F.col("signal") == "trend", 0.6).otherwise(F.lit(0.8))
+    return odd.select(key, F.lit("anomaly").alias("signal"), "strength").unionByName(rest.select(key, "signal", F.col("strength").cast("double").alias("strength"))).withColumn("confidence", sure)
+
+
+def risk_summary(scored: DataFrame, recent: DataFrame) -> DataFrame:
+    """(supplier_id, name, country, score, category, recent_events, statistic, jump, direction, forecast) of each supplier.
+
+    scored(supplier_id, name, country, score, category), recent(supplier_id, recent_events). Where no daily counts are kept, a
+    supplier's month is three quiet weeks and one of a seventh of its events a day (one at least), and its scores are .3.
+    """
+    s = scored.join(recent.select("supplier_id", F.col("recent_events").alias("_n")), "supplier_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    week = F.greatest(F.lit(1), F.floor(F.col("_n") / 7)).cast("double")
+    jump = signals.changepoint(s.select("supplier_id", F.concat(F.array_repeat(F.lit(0.0), 21), F.array_repeat(week, 7)).alias("series")), "supplier_id")
+    rise = signals.trend(s.select("supplier_id", F.array_repeat(F.lit(0.3), 14).alias("series")), "supplier_id")
+    out = s.join(jump.select("supplier_id", "statistic", F.col("detected").alias("jump")), "supplier_id").join(rise.select("supplier_id", "direction", F.element_at("forecast", -1).alias("forecast")), "supplier_id")
+    return out.select("supplier_id", "name", "country", "score", "category", F.col("_n").alias("recent_events"), "statistic", "jump", "direction", "forecast")
+
+
+def model_status(rows: DataFrame, loaded: bool, least: int = 10) -> DataFrame:
+    """One row about a model: whether it is loaded, and whether its labels are enough to call it trained and calibrated.
+
+    rows(label, held_out): training needs both classes among the rows that are not held out, calibration ``least`` labelled rows.
+    """
+    a = rows.agg(F.count("label").alias("labels"), F.countDistinct(F.when(~F.col("held_out"), F.col("label"))).alias("_classes"))
+    trained = F.lit(loaded) & (F.col("_classes") > 1)
+    status = lambda ok: F.when(ok, "validated").otherwise("demo")
+    return a.select("labels", F.lit(loaded).alias("model_loaded"), status(trained).alias("training_status"), status(trained & (F.col("labels") >= least)).alias("calibration_status"))
 
 
 def community_summary(members: DataFrame, names: int = 5) -> DataFrame:

@@ -46,6 +46,17 @@ DEFAULT_ROUTE = [("events", 2), ("suppliers", 2), ("methodology", 1), ("scenario
 PLACE = r"(?i)\b(?:in|at|near|around)\s+([A-Z][a-zA-Z\s\-]{2,40})(?:[,\.]|\s+(?:port|canal|strait|region))"
 
 
+#: Fixed value: a run of capitalised words; fixed values: words that are none by themselves.
+NAMES = r"\b([A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+){0,3})\b"
+NO_NAMES = ["The", "A", "An", "In", "At", "On", "For", "And", "Or", "Red", "Sea"]
+
+
+def named(text: Column) -> Column:
+    """Up to eight runs of capitalised words, of three letters or more, in order."""
+    found = F.regexp_extract_all(text, F.lit(NAMES), 1)
+    return F.slice(F.filter(found, lambda x: ~x.isin(NO_NAMES) & (F.length(x) > 2)), 1, 8)
+
+
 def event_class(text: Column) -> tuple[Column, Column]:
     """(type, severity) by the first rule that matches; under five characters unknown .3, no rule general_signal .4."""
     t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
@@ -246,3 +257,69 @@ def entities(texts: DataFrame, text: str = "text") -> DataFrame:
         return t.map(lambda x: spans(x or ""))
 
     return texts.withColumn("_e", F.explode(find(F.col(text)))).select(*[F.col(c) for c in texts.columns], "_e.*")
+
+
+#: Words near which a capitalised name is a supplier, and words that are a port where a name is near.
+SUPPLIER_WORDS = ["supplier", "manufacturer", "factory", "plant", "facility", "vendor", "contractor", "subcontractor", "producer", "foundry", "mill", "refinery", "assembler"]
+PORT_WORDS = ["port", "harbor", "terminal", "dock", "marina", "anchorage", "quay", "pier", "jetty", "wharf", "seaport"]
+#: Patterns of ports, letter case aside, and of names.
+PORT_PATTERNS = [r"Port of ([A-Z][a-zA-Z\s]+?)(?:\s|,|\.|;|$)", r"([A-Z][a-zA-Z\s]+?)(?:\s)(?:Port|Harbor|Terminal|Marina)", r"([A-Z][a-zA-Z\s]+?)(?:\s)(?:seaport|shipping terminal)"]
+CAPITALISED = r"[A-Z][a-zA-Z]*(?:\s+[A-Z][a-zA-Z]*)*"
+
+
+def rule_spans(t: str, chokepoints: list[str]) -> list[tuple[str, int, int, float]]:
+    """(kind, start, end, confidence) of a text: chokepoints .95, port patterns .7, port words near a name .6, names near a
+    supplier word .5; of overlapping ones the surer stays, then the one of the earlier rule."""
+    found = [("chokepoint", *m.span(), 0.95) for c in chokepoints for m in re.finditer(rf"\b{re.escape(c)}\b", t, re.I)]
+    found += [("port", *m.span(), 0.7) for p in PORT_PATTERNS for m in re.finditer(p, t, re.I)]
+    found += [("port", *m.span(), 0.6) for w in PORT_WORDS for m in re.finditer(rf"\b{w}\b", t, re.I) if re.search("[A-Z][a-z]+", t[max(0, m.start() - 30) : m.end() + 30])]
+    low = t.lower()
+    for w in SUPPLIER_WORDS:
+        if (at := low.find(w)) >= 0:
+            start = max(0, at - 100)
+            found += [("supplier", start + m.start(), start + m.end(), 0.5) for m in re.finditer(CAPITALISED, t[start : at + 100])]
+    kept: list[tuple[str, int, int, float]] = []
+    for s in sorted(found, key=lambda s: -s[3]):
+        if all(s[2] <= k[1] or s[1] >= k[2] for k in kept):
+            kept.append(s)
+    return sorted(kept, key=lambda s: s[1])
+
+
+def rule_entities(texts: DataFrame, text: str = "text", chokepoints: list[str] | None = None) -> DataFrame:
+    """texts exploded into (kind, entity, start, end, confidence) by ``rule_spans``; a null text has none."""
+    names = chokepoints or CHOKEPOINTS
+    kind = "array<struct<kind:string,entity:string,start:int,end:int,confidence:double>>"
+
+    @F.pandas_udf(kind)
+    def find(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: [{"kind": k, "entity": x[a:b], "start": a, "end": b, "confidence": c} for k, a, b, c in rule_spans(x, names)] if x else [])
+
+    return texts.withColumn("_e", F.explode(find(F.col(text)))).select(*[F.col(c) for c in texts.columns], "_e.*")
+
+
+def message_text(fields: dict[str, Column]) -> Column:
+    """The text of a message: the first of its fields that is not empty, by ``MESSAGE_FIELDS``; fields that a table lacks are passed over."""
+    return F.coalesce(*[F.when(fields[f] != "", fields[f]) for f in MESSAGE_FIELDS if f in fields], F.lit(""))
+
+
+#: The fields of a message that may hold its text, in order; those of its raw data come after its own.
+MESSAGE_FIELDS = ["description", "notes", "headline", "news_title", "title", "raw_data.description", "raw_data.notes", "raw_data.title", "raw_data.source_url"]
+
+
+def register_functions(spark) -> None:
+    """Make name_similarity(a, b), risk_word_level(text) and rule_entities(text) callable from SQL, the first and last on Arrow batches."""
+
+    @F.pandas_udf("double")
+    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b)], dtype=float)
+
+    @F.pandas_udf("array<string>")
+    def found(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: [f"{k}:{x[a:b]}" for k, a, b, _ in rule_spans(x, CHOKEPOINTS)] if x else [])
+
+    spark.udf.register("name_similarity", similarity)
+    spark.udf.register("rule_entities", found)
+    counts = {level: " + ".join(f"cast(contains(lower(coalesce(t, '')), '{w}') as int)" for w in words) for level, words in RISK_WORDS.items()}
+    best = f"greatest({', '.join(counts.values())})"
+    ladder = " ".join(f"when {n} = {best} then '{level}'" for level, n in reversed(counts.items()))
+    spark.sql(f"create or replace temporary function risk_word_level(t string) returns string return case when {best} = 0 then 'NONE' {ladder} end")

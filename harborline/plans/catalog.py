@@ -738,10 +738,10 @@ def analyzed_events(t):
     return reports.analyze(t.events).select("event_id", "event_type", "level", "proximity", "stability")
 
 
-@query("""select d.day::varchar as day, coalesce(n, 0)::bigint as n, case when n is null then ['quiet', 'calm', 'no news'][(d.day - date '1970-01-01') % 3 + 1] end as note from (select unnest(generate_series((select min(ts)::date from ev where severity >= 1), (select max(ts)::date from ev where severity >= 1), interval 1 day))::date as day) d
-left join (select ts::date as day, count(*) as n from ev where severity >= 1 group by 1) e on e.day = d.day""")
+@query("""select d.day::varchar as day, coalesce(n, 0)::bigint as n, case when n is null then ['quiet', 'calm', 'no news'][(d.day - date '1970-01-01') % 3 + 1] end as note from (select unnest(generate_series((select min(ts)::date from ev), (select max(ts)::date from ev), interval 1 day))::date as day) d
+left join (select ts::date as day, count(*) as n from ev group by 1) e on e.day = d.day""")
 def timeline_gaps(t):
-    return reports.gap_filled(t.events.where("severity >= 1"), ["quiet", "calm", "no news"]).withColumn("day", F.col("day").cast("string"))
+    return reports.gap_filled(t.events, ["quiet", "calm", "no news"]).withColumn("day", F.col("day").cast("string"))
 
 
 @query(RATE_SQL + """, m as (select country, avg(rate) as x from (select *, row_number() over (partition by country order by day desc) as r from rate) where r <= 7 group by country)
@@ -797,4 +797,4 @@ def resolved_links(t):
     return reports.resolved_links(e, t.suppliers, k)
 
 
-from . import models, more, streams  # noqa: E402, F401  they register their queries beside these
+from . import insight, models, more, streams  # noqa: E402, F401  they register their queries beside these

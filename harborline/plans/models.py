@@ -189,8 +189,9 @@ def causal_refuters(t):
 
 @query(_CAUSE_SQL + """, a as (select (select effect from fx where kind = 'estimate') as effect, (select n from fx where kind = 'estimate') as n, (select avg((abs(effect) >= abs((select effect from fx where kind = 'estimate')))::int) from fx where kind = 'placebo') as placebo_share,
   (select abs(effect - (select effect from fx where kind = 'estimate')) from fx where kind = 'random_cause') as cause_change, (select max(abs(effect - (select effect from fx where kind = 'estimate'))) from fx where kind = 'subset') as subset_spread)
-select n, 'adjusted_regression' as method, round(effect, 6) as effect, placebo_share, round(cause_change, 6) as cause_change, round(subset_spread, 6) as subset_spread, placebo_share < 0.05 and cause_change <= 0.1 * abs(effect) and subset_spread <= 0.5 * abs(effect) as refutation_passed,
-  placebo_share < 0.05 and cause_change <= 0.1 * abs(effect) and subset_spread <= 0.5 * abs(effect) and abs(effect) > 0.05 as causal_claim_allowed from a""")
+select n, case when n < 5 then 'insufficient_data' when n < 30 then 'association_only' else 'adjusted_regression' end as method, round(case when n >= 30 then effect when n >= 5 then (select corr(x, y) from p) end, 6) as effect, case when n >= 30 then placebo_share end as placebo_share,
+  case when n >= 30 then round(cause_change, 6) end as cause_change, case when n >= 30 then round(subset_spread, 6) end as subset_spread, n >= 30 and placebo_share < 0.05 and cause_change <= 0.1 * abs(effect) and subset_spread <= 0.5 * abs(effect) as refutation_passed,
+  n >= 30 and placebo_share < 0.05 and cause_change <= 0.1 * abs(effect) and subset_spread <= 0.5 * abs(effect) and abs(effect) > 0.05 as causal_claim_allowed from a""")
 def causal_assessment(t):
     out = causal.assessed(_cause_pairs(t), "supplier_id", "x", "y", ["season", "single"])
     return out.withColumns({c: r6(c) for c in ("effect", "cause_change", "subset_spread")})

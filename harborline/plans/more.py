@@ -34,12 +34,12 @@ def score_write_back(t):
     return sinks.written_back(t.suppliers, features.rule_score(_features(t))).select("supplier_id", "name", r6("risk_score").alias("risk_score"))
 
 
-@query(""", named as (select trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') as slug, s.*, l.disrupted from sup s left join (select supplier_id, max(disrupted) as disrupted from lab where supplier_id % 2 = 0 group by 1) l using (supplier_id))
+@query(""", named as (select trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') as slug, s.*, l.disrupted from sup s left join (select supplier_id, max(disrupted) as disrupted from lab group by 1) l using (supplier_id))
 select supplier_id, slug, coalesce(disrupted, (risk_score >= 0.65 or critical)::int)::int as label from named""")
 def label_features(t):
-    """Suppliers with their label by slug of the name; half of them have none in the label file and take the fallback rule."""
+    """Suppliers with their label by slug of the name; those that the labels leave out take the fallback rule."""
     s = t.suppliers.select("supplier_id", "name", "risk_score", "critical", ex.slug(F.col("name")).alias("slug"))
-    labels = t.disruption_labels.where("supplier_id % 2 = 0").groupBy("supplier_id").agg(F.max("disrupted").alias("disrupted")).join(s.select("supplier_id", "slug"), "supplier_id").drop("supplier_id")
+    labels = t.disruption_labels.groupBy("supplier_id").agg(F.max("disrupted").alias("disrupted")).join(s.select("supplier_id", "slug"), "supplier_id").drop("supplier_id")
     return s.join(labels, "slug", "left").select("supplier_id", "slug", F.coalesce("disrupted", ((F.col("risk_score") >= 0.65) | F.col("critical")).cast("int")).cast("int").alias("label"))
 
 

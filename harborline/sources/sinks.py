@@ -96,3 +96,41 @@ def digest_markdown(facts: DataFrame) -> DataFrame:
     """One Markdown text of a digest: facts(events, critical, suppliers_hit, leading)."""
     lines = F.concat_ws("\n", F.lit("# Weekly digest"), F.lit(""), F.concat(F.lit("- Events: "), F.col("events").cast("string")), F.concat(F.lit("- Critical: "), F.col("critical").cast("string")), F.concat(F.lit("- Suppliers hit: "), F.col("suppliers_hit").cast("string")), F.concat(F.lit("- Leading type: "), F.coalesce("leading", F.lit("none"))))
     return facts.select(lines.alias("markdown"))
+
+
+def pairs_summary(pairs: DataFrame, at: Column) -> DataFrame:
+    """One JSON text beside an export of pairs: when, how many, and how many of them can be correlated."""
+    told = F.struct(at.alias("exported_at"), F.col("pair_count"), F.col("correlation_pairs"))
+    both = F.col("severity").isNotNull() & F.col("risk_score").isNotNull()
+    return pairs.agg(F.count("*").alias("pair_count"), F.count_if(both).alias("correlation_pairs")).select(F.to_json(told).alias("summary"))
+
+
+def export_pairs(pairs: DataFrame, path: str, at: Column) -> None:
+    """Pairs as CSV in ``path`` and their summary as JSON in ``path.summary``."""
+    pairs.write.mode("overwrite").option("header", True).csv(path)
+    pairs_summary(pairs, at).withColumnRenamed("summary", "value").write.mode("overwrite").text(f"{path}.summary")
+
+
+def vectors_upserted(old: DataFrame, documents: DataFrame, embed) -> DataFrame:
+    """old(id, text, source, vector, version) with the documents(id, text, source, version) put in by id, each embedded once.
+
+    embed: a function of a table with text that adds vector. Only documents that are new or have another text are embedded.
+    """
+    known = old.select("id", F.col("text").alias("_text"))
+    changed = documents.join(known, "id", "left").where(~F.col("_text").eqNullSafe(F.col("text"))).drop("_text")
+    return upserted(old, embed(changed.select("id", "text", "source", "version")).select(old.columns), "id", "version")
+
+
+def keep_alerts(alerts: DataFrame, path: str, most: int = 2000) -> None:
+    """Add alerts(alert_id, ts, ...) to the store and keep the newest ``most``; an alert that comes again replaces itself.
+
+    The kept rows are written beside the store and take its place, so a store is whole at any time; ``most`` rows are one task.
+    """
+    spark = alerts.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    where, beside = hadoop(path), hadoop(f"{path}.new")
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    every = alerts.unionByName(spark.read.parquet(path), allowMissingColumns=True) if fs.exists(where) else alerts
+    every.dropDuplicates(["alert_id"]).orderBy(F.desc("ts"), F.desc("alert_id")).limit(most).write.mode("overwrite").parquet(f"{path}.new")
+    fs.delete(where, True)
+    fs.rename(beside, where)
