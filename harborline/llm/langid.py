@@ -4,10 +4,9 @@ Each learned language owns one bit of a mask, of as many 64-bit words as that ta
 the n-grams that hash to it, so one probe of k slots (AND) answers for all languages of a word at once. A text's votes per language are popcounts over its n-grams; the
 expected votes from false positives, known from each language's fill, are taken off before the largest one decides.
 
-An n-gram enters a language's filter when its share among that language's n-grams is at least ``keep`` of its largest share
-in any language (stray foreign lines then do not open an n-gram to every language) and at least ``LEAST``. A language then has
-1 / LEAST n-grams at most, whatever the corpus, and the number of slots follows from the fullest language, so that a probe of a
-slot hits by chance no more often than ``FILL`` of the time.
+Every n-gram of a language is in its filter, however rare. The number of slots follows from the fullest language, so that a
+probe of a slot hits by chance no more often than ``FILL`` of the time; from ``MOST_SLOTS`` on, which bounds what is broadcast, the
+fill rises instead, and with it what is taken off.
 """
 
 from __future__ import annotations
@@ -18,15 +17,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, aside, crc_fold, dropped, mix, pieces, written
 
-PROBES, KEEP, WORD = 3, 0.25, 64
-#: Least share of an n-gram among those of its language, and the share of slots that the fullest language may set.
-LEAST, FILL = 2.0**-20, 0.25
-#: Characters of a text looked at together; n-grams do not reach across the borders of such slices.
+PROBES, WORD = 3, 64
+#: The share of slots that the fullest language may set, and the most slots (8 bytes each for every 64 languages, one up to 8).
+FILL, MOST_SLOTS = 0.25, 1 << 26
+#: Characters of a text looked at together; a longer text goes slice by slice, with the last symbols of one put before the next.
 SLICE = 1 << 18
 
 
@@ -39,35 +38,61 @@ def _ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     letter = table[code]
     lengths = np.fromiter(map(len, low), np.int64, len(low)) + 2
     owner_ends = np.cumsum(lengths)
-    ended = np.flatnonzero(letter | np.concatenate([[True], letter[:-1]]))  # runs of other characters shrink to one blank
+    kept = letter | np.concatenate([[True], letter[:-1]])  # runs of other characters shrink to one blank
+    kept[owner_ends - lengths] = True  # a text begins with one, whatever stands before it in the batch
+    ended = np.flatnonzero(kept)
     code, owner = np.where(letter[ended], code[ended], 32).astype(U64), np.searchsorted(owner_ends, ended, "right")
-    out, who = [], []
+    grams, starts = _hashes(code, owner)
+    has = np.zeros(len(low), bool)
+    has[owner[code != 32]] = True
+    return grams, owner[starts], has
+
+
+def _hashes(code: np.ndarray, owner: np.ndarray | None = None, old: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the 2- to 4-grams of symbols that lie in one text and reach beyond the first ``old`` symbols."""
+    out, at = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
     for n in (2, 3, 4):
         if len(code) < n:
             continue
         h = np.full(len(code) - n + 1, n, U64)
         for i in range(n):
             h = h * U64(0x9E3779B97F4A7C15) + code[i : len(code) - n + 1 + i] * U64(0xC2B2AE3D27D4EB4F)
-        same = (owner[: len(h)] == owner[n - 1 :]) & ((code[: len(h)] != 32) | (code[n - 1 :] != 32) | (n > 2))
+        same = (code[: len(h)] != 32) | (code[n - 1 :] != 32) | (n > 2)
+        if owner is not None:
+            same &= owner[: len(h)] == owner[n - 1 :]
+        same[: max(0, old - n + 1)] = False
         out.append(mix(h[same]))
-        who.append(owner[: len(h)][same])
-    has = np.zeros(len(low), bool)
-    has[owner[code != 32]] = True
-    return (np.concatenate(out) if out else np.zeros(0, U64)), (np.concatenate(who) if who else np.zeros(0, np.int64)), has
-
-
-def _slices(texts: list[str | None]) -> Iterator[tuple[list[str | None], int]]:
-    """Texts to be looked at together, and the number of the first: all of them, or a long one slice by slice."""
+        at.append(np.flatnonzero(same))
+    return np.concatenate(out), np.concatenate(at)
+
+
+def _long(text: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What ``_ngrams`` gives for one text, slice by slice: the n-grams of the slices are those of the whole text."""
+    low = " " + text.lower() + " "
+    last, seam = True, np.zeros(0, U64)  # whether the character before was a letter; the last symbols before the slice
+    for j in range(0, len(low), SLICE):
+        code = np.frombuffer(low[j : j + SLICE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _letters(int(code.max()) + 1)[code]
+        ended = np.flatnonzero(letter | np.concatenate([[last], letter[:-1]]))
+        new = np.where(letter[ended], code[ended], 32).astype(U64)
+        both = np.concatenate([seam, new])
+        grams, _ = _hashes(both, None, len(seam))
+        yield grams, np.zeros(len(grams), np.int64), np.array([bool(letter.any())])
+        last, seam = bool(letter[-1]), both[-3:]
+
+
+def _parts(texts: list[str | None]) -> Iterator[tuple[int, int, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """(number of the first text, number of texts, their n-grams): texts together, but a long one slice by slice."""
     at = 0
     for i, t in enumerate(texts):
         if t and len(t) > SLICE:
             if at < i:
-                yield texts[at:i], at
-            for j in range(0, len(t), SLICE):
-                yield [t[j : j + SLICE]], i
+                yield at, i - at, _ngrams(texts[at:i])
+            for found in _long(t):
+                yield i, 1, found
             at = i + 1
     if at < len(texts):
-        yield texts[at:], at
+        yield at, len(texts) - at, _ngrams(texts[at:])
 
 
 _TABLE = np.zeros(0, bool)
@@ -102,8 +127,8 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
             langs, texts = batch.column(0), batch.column(1)
             for lang in langs.unique().to_pylist():
                 mine = texts.filter(pc.equal(langs, lang)).to_pylist()
-                for part, _ in _slices(mine):
-                    gram, n = np.unique(_ngrams(part)[0], return_counts=True)
+                for _, _, (found, _, _) in _parts(mine):
+                    gram, n = np.unique(found, return_counts=True)
                     if len(gram):
                         held.setdefault(lang, []).append((gram, n))
                         size += len(gram)
@@ -119,31 +144,27 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
 
 def _slots(members: int, probes: int, fill: float = FILL) -> int:
     """The least power of two of slots of which ``members`` n-grams with ``probes`` each set at most ``fill``."""
-    return 1 << max(10, math.ceil(math.log2(max(1, members) * probes / -math.log(1 - fill))))
+    return min(MOST_SLOTS, 1 << max(10, math.ceil(math.log2(max(1, members) * probes / -math.log(1 - fill)))))
 
 
-def fit(docs: DataFrame, probes: int = PROBES, keep: float = KEEP, least: float = LEAST) -> dict:
+def fit(docs: DataFrame, probes: int = PROBES) -> dict:
     """Learn the filters from docs(text, lang). What reaches the driver is a mask of a bit for each language for every slot,
-    and a row of each language; ``least`` bounds the slots."""
+    of which there are ``MOST_SLOTS`` at most, and a row of each language."""
     spark = docs.sparkSession
-    counts = written(ngram_counts(docs), "grams")
-    totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
-    langs = sorted(totals)
+    member = written(ngram_counts(docs).select("lang", "gram"), "members")
+    members = {r[0]: r[1] for r in member.groupBy("lang").count().collect()}
+    langs = sorted(members)
     if not langs:
-        dropped(counts)
+        dropped(member)
         return {"langs": [], "mask": np.zeros((1, 1 << 10), np.uint8), "probes": probes}
-    bits = [(lang, float(totals[lang]), i // WORD, 1 << i % WORD if i % WORD < 63 else -(1 << 63)) for i, lang in enumerate(langs)]
-    bits = F.broadcast(spark.createDataFrame(bits, "lang string, total double, word int, bit long"))
-    top = F.max("share").over(Window.partitionBy("gram"))
-    share = counts.join(bits, "lang").select("gram", (F.col("n") / F.col("total")).alias("share"), "word", "bit")
-    member = written(share.withColumn("top", top).where((F.col("share") >= F.col("top") * keep) & (F.col("share") >= least)).select("gram", "word", "bit"), "members")
-    most = member.groupBy("word", "bit").count().agg(F.max("count")).first()[0] or 0
+    bits = [(lang, i // WORD, 1 << i % WORD if i % WORD < 63 else -(1 << 63)) for i, lang in enumerate(langs)]
+    member_bits = member.join(F.broadcast(spark.createDataFrame(bits, "lang string, word int, bit long")), "lang")  # a row of each language
+    most = max(members.values())
     slots = _slots(most, probes)
-    masks = member.select("word", "bit", F.explode(F.array(*[_slot_of(F.col("gram"), i, slots) for i in range(probes)])).alias("slot"))
+    masks = member_bits.select("word", "bit", F.explode(F.array(*[_slot_of(F.col("gram"), i, slots) for i in range(probes)])).alias("slot"))
     rows = masks.groupBy("word", "slot").agg(F.bit_or("bit").alias("mask")).toPandas()
     mask = np.zeros((-(-len(langs) // WORD), slots), np.uint64)
     mask[rows["word"].to_numpy(), rows["slot"].to_numpy()] = rows["mask"].to_numpy().astype(np.int64).view(np.uint64)
-    dropped(counts)
     dropped(member)
     kind = np.uint8 if len(langs) <= 8 else np.uint16 if len(langs) <= 16 else np.uint32 if len(langs) <= 32 else np.uint64
     return {"langs": langs, "mask": mask.astype(kind), "probes": probes}
@@ -175,18 +196,17 @@ def predict(docs: DataFrame, model: dict, names: tuple[str, str] = ("lang_pred",
         """Per text: n-grams that each language has, n-grams, has a letter."""
         mask = m["mask"]
         votes, n, has = np.zeros((len(texts), len(m["langs"]))), np.zeros(len(texts)), np.zeros(len(texts), bool)
-        for part, at in _slices(texts):
-            gram, who, letters = _ngrams(part)
+        for at, many, (gram, who, letters) in _parts(texts):
             hit = np.full((len(mask), len(gram)), np.iinfo(mask.dtype).max, mask.dtype)
             for i in range(m["probes"]):
                 slot = _probe(gram, i, mask.shape[1])
                 for word, of in zip(hit, mask):
                     word &= of[slot]
-            to = slice(at, at + len(part))
-            n[to] += np.bincount(who, minlength=len(part))
+            to = slice(at, at + many)
+            n[to] += np.bincount(who, minlength=many)
             has[to] |= letters
             for i in range(len(m["langs"])):
-                votes[to, i] += np.bincount(who, weights=bit(hit, i), minlength=len(part))
+                votes[to, i] += np.bincount(who, weights=bit(hit, i), minlength=many)
         return votes, n, has
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

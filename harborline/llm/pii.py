@@ -1,8 +1,9 @@
 """Personal data spans: fixed base rules plus a semi-Markov conditional random field over candidate segments.
 
 Base rules (email, ip, card, phone) always hold. The field looks at the rest of a text. Candidate segments are up to
-``MOST_GROUPS`` consecutive groups of digits, and what stands around a spelled-out "at": up to ``MOST_DOTS`` parts of a name in
-front, up to ``MOST_DOTS`` labels behind, each choice a segment of its own. A segment's score for a kind sums the weights of
+``MOST_GROUPS`` consecutive groups of digits (``MOST_CHARS`` characters at most), and what stands around a spelled-out "at": up to
+``MOST_DOTS`` further parts of a name in front, up to ``MOST_DOTS`` labels behind, each choice a segment of its own. Parts of a name
+are whole, whatever their length; a label of more than 63 characters makes no segment. A segment's score for a kind sums the weights of
 features of the whole span (digit count, group shape, separators, check digit, octets, labels, neighbours). One dynamic program
 over all candidates of a text picks boundaries and kinds jointly; leaving characters out scores zero. Segments are of bounded
 length, so it runs along the text with a few of them in hand, whatever the text's length.
@@ -44,10 +45,9 @@ _DIGIT = re.compile(r"[0-9]")
 _RUN = re.compile(r"[0-9][0-9+(). \[\]/_ -]{5,}[0-9]")
 _GROUP = re.compile(r"[0-9]+")
 _AT = re.compile(r" ?(?:\(at\)|\[at\]|\{at\}| at ) ?", re.I)
-_USER = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
-_USER_DOT = re.compile(r"[A-Za-z0-9_%+-]{1,24} ?(?:\(dot\)|\[dot\]|\{dot\}| dot ) ?\Z", re.I)
-_HOST = re.compile(r"[A-Za-z0-9-]{1,63}")
-_DOT = re.compile(r" ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]{2,24}", re.I)
+_DOT_BEFORE = re.compile(r" ?(?:\(dot\)|\[dot\]|\{dot\}| dot ) ?\Z", re.I)
+_HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?![A-Za-z0-9-])")
+_DOT = re.compile(r" ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]{2,63}(?![A-Za-z0-9-])", re.I)
 _LETTERS = re.compile(r"[A-Za-z]{2,6}\Z")
 
 
@@ -151,17 +151,23 @@ def _from_first(text: str, part: list[tuple[int, int]]) -> Iterator[Segment]:
             yield start, end, features(text, start, end, [text[a:b] for a, b in part[:j]]), ("ip", "card", "phone")
 
 
+def _name_start(text: str, end: int) -> int:
+    """Where the run of name characters that ends at ``end`` begins, however long: runs before different words "at" are disjoint."""
+    while end > 0 and text[end - 1] in _LOCAL_CHARS:
+        end -= 1
+    return end
+
+
 def _mail_segments(text: str, busy: list[tuple[int, int]]) -> Iterator[Segment]:
     if "at" not in text and "AT" not in text and "At" not in text and "aT" not in text:
         return
     for at in _AT.finditer(text):
-        user = _USER.search(text, max(0, at.start() - 64), at.start())
-        host = _HOST.match(text, at.end())
-        if not user or not host:
+        user, host = _name_start(text, at.start()), _HOST.match(text, at.end())
+        if user == at.start() or not host:
             continue
-        starts, ends = [user.start()], []
-        while len(starts) <= MOST_DOTS and (more := _USER_DOT.search(text, max(0, starts[-1] - 34), starts[-1])):
-            starts.append(more.start())
+        starts, ends = [user], []
+        while len(starts) <= MOST_DOTS and (more := _DOT_BEFORE.search(text, max(0, starts[-1] - 8), starts[-1])) and (user := _name_start(text, more.start())) < more.start():
+            starts.append(user)
         end = host.end()
         while len(ends) <= MOST_DOTS and (more := _DOT.match(text, end)):
             ends.append(end := more.end())

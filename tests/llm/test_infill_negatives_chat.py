@@ -191,3 +191,40 @@ def test_rows_of_a_hot_key_come_back_as_they_were(spark):
         said[r.shard] = r.shard_bytes
     assert {s: sum(v) for s, v in held.items()} == said
     assert all(sum(v) <= 500 or len(v) == 1 for v in held.values())
+
+
+# ---- 2 and 5: nothing is cut
+
+
+def test_spelled_out_names_are_whole():
+    from harborline.llm import pii
+
+    weights = {("email", "spelled"): 5.0}
+    for name in ("a" * 80, "b" * 200, "first.last_" * 30, "x" + "y" * 40 + " dot " + "z" * 70):
+        t = f"write to {name} [at] example.com now"
+        assert pii.decode(t, pii.base_spans(t), weights) == [(9, 9 + len(name) + len(" [at] example.com"), "email")]
+    for t in ("x [at] " + "h" * 70 + ".com", "x [at] example." + "t" * 70):
+        assert pii.decode(t, pii.base_spans(t), weights) == []  # no host has such a label
+
+
+def test_slices_of_a_long_text_have_its_ngrams(spark, monkeypatch):
+    from harborline.llm import langid
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abc é漢  ..\nÀΣ1") for _ in range(rng.randint(51, 400))) for _ in range(60)]
+    alone = [np.sort(langid._ngrams([t])[0]) for t in texts]
+    grams, who, has = langid._ngrams(texts)
+    for i, want in enumerate(alone):  # the same in any company
+        assert np.array_equal(np.sort(grams[who == i]), want)
+    monkeypatch.setattr(langid, "SLICE", 50)
+    for t, want in zip(texts, alone):
+        assert np.array_equal(np.sort(np.concatenate([g for g, _, _ in langid._long(t)])), want)
+    rows = [(i, t, "x" if "é" in t[:20] else "y") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    count = lambda: sorted(map(tuple, langid.ngram_counts(df).collect()))
+    cut = count()
+    total = {}
+    for (_, _, lang), g in zip(rows, alone):
+        for x in g.view(np.int64).tolist():
+            total[lang, x] = total.get((lang, x), 0) + 1
+    assert cut == sorted((lang, x, n) for (lang, x), n in total.items())
