@@ -79,7 +79,7 @@ def mixed(docs: DataFrame, target: Mapping | None = None, block_rows: int | None
     """docs plus block, slot and position; ordering by position gives the mixture.
 
     Rows of a source go to blocks by hash bucket, then key; equal rows are interchangeable. A null source is a source of its
-    own, a null key sorts first. Sources without a target follow when the others are used up; an empty table stays empty.
+    own; rows without a key or with one key are dealt by the rest of the row. Sources without a target follow when the others are used up; an empty table stays empty.
     Extra columns stay; one that has the name of a new column is kept as ``<name>_input``. block_rows: ``BLOCK_ROWS``, or the
     ``MOST_BLOCKS``-th part of the table where that is more. Sources are few by nature (each has a target): one row each
     comes to the driver. Their rows are ranked per (source, bucket), so a hot source is spread over many tasks.
@@ -91,7 +91,8 @@ def mixed(docs: DataFrame, target: Mapping | None = None, block_rows: int | None
     rows = sum(r[1] for r in total)
     block_rows = block_rows or max(BLOCK_ROWS, -(-rows // MOST_BLOCKS))
     buckets = max(1, -(-rows // BUCKET_ROWS))
-    docs = docs.withColumn(bucket, F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(buckets)).cast("long")).withColumn(tie, order)
+    # rows that share a key, null ones too, are told apart by the hash of the whole row, so a hot key is many buckets
+    docs = docs.withColumn(tie, order).withColumn(bucket, F.pmod(F.xxhash64(F.col(f"`{key}`"), F.col(tie)), F.lit(buckets)).cast("long"))
     before = _before(docs.groupBy(F.col(f"`{source}`").alias(s), F.col(bucket).alias(b)).agg(F.count("*").alias(n_)), s, b, n_, group, before_)
     if len(total) * buckets <= BROADCAST_OFFSETS:
         before = F.broadcast(before)

@@ -228,3 +228,21 @@ def test_slices_of_a_long_text_have_its_ngrams(spark, monkeypatch):
         for x in g.view(np.int64).tolist():
             total[lang, x] = total.get((lang, x), 0) + 1
     assert cut == sorted((lang, x, n) for (lang, x), n in total.items())
+
+
+# ---- 6 one key on many rows
+
+
+def test_a_hot_key_is_many_buckets(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from harborline.llm import mixing
+
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    rows = [(None, f"text {i}", "a") for i in range(1000)] + [(i, f"t{i}", "b") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mixed(df)
+    assert out.count() == 1500 and out.select("position").distinct().count() == 1500 and sorted(r.text for r in out.collect()) == sorted(t for _, t, _ in rows)
+    order = F.xxhash64("text", "source", F.lit(1))
+    spread = df.where("doc_id is null").groupBy(F.pmod(F.xxhash64("doc_id", order), F.lit(30))).count()
+    assert spread.agg(F.max("count")).first()[0] < 100  # none near the whole thousand
