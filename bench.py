@@ -14,6 +14,7 @@ HEADLINE = [
     "supplier_risk", "pillar_scores", "graph_health", "sector_rollup", "event_timeline", "affects_merge_max_conf", "event_supplier_geo_link", "two_hop_exposure", "asof_snapshot", "daily_counts_spine",
     "sliding_window_features", "cusum", "regime_threshold", "linear_trend", "bfs_propagation", "monte_carlo", "percentile_bands", "pearson_corr", "backtest_metrics", "event_classifier",
     "keyword_classifier", "vector_topk", "context_budget", "alert_dedup_fold", "supplier_volume", "order_volume",
+    "fuzzy_match", "resolved_links", "chunked_documents", "supply_paths", "vessel_sessions", "reports_after_events", "supplier_explained", "causal_refuters",
 ]
 
 
