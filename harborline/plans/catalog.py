@@ -797,4 +797,4 @@ def resolved_links(t):
     return reports.resolved_links(e, t.suppliers, k)
 
 
-from . import insight, models, more, streams  # noqa: E402, F401  they register their queries beside these
+from . import insight, landed, models, more, streams  # noqa: E402, F401  they register their queries beside these
