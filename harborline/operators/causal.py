@@ -98,3 +98,18 @@ def assessed(pairs: DataFrame, key: str, x: str, y: str, causes: list[str], leas
     change, spread = float(abs(of("random_cause")[0] - effect)), float(np.abs(of("subset") - effect).max())
     passed = placebo < PLACEBO_LEVEL and change <= MOST_CHANGE * abs(effect) and spread <= MOST_SPREAD * abs(effect)
     return spark.createDataFrame([(n, "adjusted_regression", effect, placebo, change, spread, passed, passed and abs(effect) > LEAST_EFFECT)], kind)
+
+
+#: What an alert says about each method's result.
+DISCLAIMERS = {
+    "insufficient_data": "Not enough pairs to say anything about causes.",
+    "association_only": "Seen together; not a verified causal claim.",
+    "adjusted_regression": "Adjusted regression with placebo, random cause and subset refuters.",
+}
+
+
+def with_causal_fields(alerts: DataFrame, assessment: DataFrame) -> DataFrame:
+    """alerts plus what an ``assessed`` row says: whether a claim is allowed, its method, effect, pairs and disclaimer."""
+    told = F.element_at(F.create_map(*[F.lit(x) for pair in DISCLAIMERS.items() for x in pair]), F.col("method"))
+    row = assessment.select(F.col("causal_claim_allowed"), F.col("method").alias("causal_method"), F.round("effect", 4).alias("causal_effect_size"), F.col("n").alias("causal_sample_count"), told.alias("causal_disclaimer"))
+    return alerts.crossJoin(F.broadcast(row))  # one row

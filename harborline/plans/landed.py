@@ -225,3 +225,32 @@ def first_critical_day(t):
     """Days until a country's trend reaches .62 within the week; 0 where it does not."""
     s = signals.as_series(signals.regional_rate(t.events, "country", t.as_of), "country", "rate")
     return reports.first_critical(signals.trend(s, "country"), "country", 0.62).select("country", F.coalesce("days", F.lit(0)).alias("days"))
+
+
+# ---- consumers
+
+
+@query(r""", m as (select * from ev where event_id % 10 <> 0),
+g as (select 'graph_loader' as consumer, event_id::varchar as id, upper(kind[1]) || kind[2:] || ' — x (' || country || ')' as told from m where lat is not null and kind <> 'shipment_delay' union all select 'graph_loader', event_id::varchar, 'Shipment Delay — x (' || country || ')' from m where lat is not null and kind = 'shipment_delay'),
+v as (select 'vessel_loader' as consumer, 'vessel-' || event_id as id, 'V' || event_id as told from m where lat is not null),
+e as (select 'entity_resolution' as consumer, event_id::varchar as id, 'chokepoint:Suez Canal' as told from m where contains(text, 'Suez Canal')),
+d as (select 'rag_indexer' as consumer, event_id::varchar as id, case kind when 'shipment_delay' then 'Shipment Delay' else upper(kind[1]) || kind[2:] end || ' — x (' || country || '). ' || text || ' Region: ' || country as told from m)
+select * from g union all select * from v union all select * from e union all select * from d""")
+def consumed_messages(t):
+    """Every event as a message with metadata, each tenth broken, as each of the four consumers handles it."""
+    i = F.col("event_id").cast("string")
+    body = F.struct(i.alias("event_id"), i.alias("mmsi"), F.concat(F.lit("V"), i).alias("name"), F.col("ts"), F.col("kind").alias("event_type"), "lat", "lon", "country", F.col("text").alias("description"), F.array(F.lit("x")).alias("actors"), F.struct(F.lit("feed").alias("source")).alias("_graph_metadata"))
+    value = F.when(F.col("event_id") % 10 != 0, F.to_json(body)).otherwise(F.lit("{broken"))
+    raw = t.events.select(value.alias("value"))
+    told = {
+        "graph_loader": ("event_id", F.col("title")),
+        "vessel_loader": ("vessel_id", F.col("name")),
+        "entity_resolution": ("event_id", F.concat("kind", F.lit(":"), "entity")),
+        "rag_indexer": ("id", F.col("text")),
+    }
+    parts = []
+    for consumer, (key, what) in told.items():
+        rows = pipelines.handled(raw, consumer)
+        rows = rows.where("kind = 'chokepoint'") if consumer == "entity_resolution" else rows
+        parts.append(rows.select(F.lit(consumer).alias("consumer"), F.col(key).alias("id"), what.alias("told")))
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import causal, features, graph, learning, modularity, recurrent, reports, signals, text, vectors
+from ..operators import alerts, causal, features, graph, learning, modularity, recurrent, reports, signals, text, vectors
 from .catalog import EDGES_SQL, RATE_SQL, _features, query, r6
 
 # ---- the learned score
@@ -167,7 +167,9 @@ def _cause_pairs(t):
 
 
 _U = "('0x' || substr(md5(k || '|{}'), 1, 8))::bigint / 4294967296.0::double"
-_CAUSE_SQL = f""", p as (select s.supplier_id as k, s.risk_score::double as x, count(e.event_id) / 100.0::double as y, (s.supplier_id % 7)::double as c0, s.single_source::int::double as c1 from sup s left join ev e using (supplier_id) group by all),
+def _cause_sql(pairs: str) -> str:
+    """The effect in every variant of p(k, x, y, c0, c1), by taking the causes off one after another."""
+    return f""", p as ({pairs}),
 d as (select p.*, i as draw from p, range(0, 20) r(i)),
 v as (select 'estimate' as kind, 0 as draw, x, y, c0, c1, 0.0::double as c2 from p union all select 'random_cause', 0, x, y, c0, c1, {_U.format('cause')} from p
   union all select 'subset', draw, x, y, c0, c1, 0.0 from d where draw < 5 and {_U.format("subset' || draw || '")} < 0.8
@@ -180,6 +182,9 @@ fx as (select kind, draw, count(*) as n, regr_slope(y, x) as effect from s3 grou
 """
 
 
+_CAUSE_SQL = _cause_sql("select s.supplier_id as k, s.risk_score::double as x, count(e.event_id) / 100.0::double as y, (s.supplier_id % 7)::double as c0, s.single_source::int::double as c1 from sup s left join ev e using (supplier_id) group by all")
+
+
 @query(_CAUSE_SQL + "select kind, draw::int as draw, n, round(effect, 6) as effect from fx")
 def causal_refuters(t):
     """The adjusted effect in every variant of the data."""
@@ -187,16 +192,31 @@ def causal_refuters(t):
     return t.spark.createDataFrame(found, "kind string, draw int, n long, effect double").withColumn("effect", r6("effect"))
 
 
-@query(_CAUSE_SQL + """, a as (select (select effect from fx where kind = 'estimate') as effect, (select n from fx where kind = 'estimate') as n, (select avg((abs(effect) >= abs((select effect from fx where kind = 'estimate')))::int) from fx where kind = 'placebo') as placebo_share,
-  (select abs(effect - (select effect from fx where kind = 'estimate')) from fx where kind = 'random_cause') as cause_change, (select max(abs(effect - (select effect from fx where kind = 'estimate'))) from fx where kind = 'subset') as subset_spread)
-select n, case when n < 5 then 'insufficient_data' when n < 30 then 'association_only' else 'adjusted_regression' end as method, round(case when n >= 30 then effect when n >= 5 then (select corr(x, y) from p) end, 6) as effect, case when n >= 30 then placebo_share end as placebo_share,
+_VERDICT_SQL = """, a as (select (select effect from fx where kind = 'estimate') as effect, (select n from fx where kind = 'estimate') as n, (select avg((abs(effect) >= abs((select effect from fx where kind = 'estimate')))::int) from fx where kind = 'placebo') as placebo_share,
+  (select abs(effect - (select effect from fx where kind = 'estimate')) from fx where kind = 'random_cause') as cause_change, (select max(abs(effect - (select effect from fx where kind = 'estimate'))) from fx where kind = 'subset') as subset_spread),
+said as (select n, case when n < 5 then 'insufficient_data' when n < 30 then 'association_only' else 'adjusted_regression' end as method, round(case when n >= 30 then effect when n >= 5 then (select corr(x, y) from p) end, 6) as effect, case when n >= 30 then placebo_share end as placebo_share,
   case when n >= 30 then round(cause_change, 6) end as cause_change, case when n >= 30 then round(subset_spread, 6) end as subset_spread, n >= 30 and placebo_share < 0.05 and cause_change <= 0.1 * abs(effect) and subset_spread <= 0.5 * abs(effect) as refutation_passed,
-  n >= 30 and placebo_share < 0.05 and cause_change <= 0.1 * abs(effect) and subset_spread <= 0.5 * abs(effect) and abs(effect) > 0.05 as causal_claim_allowed from a""")
+  n >= 30 and placebo_share < 0.05 and cause_change <= 0.1 * abs(effect) and subset_spread <= 0.5 * abs(effect) and abs(effect) > 0.05 as causal_claim_allowed from a)
+"""
+
+
+@query(_CAUSE_SQL + _VERDICT_SQL + "select * from said")
 def causal_assessment(t):
     out = causal.assessed(_cause_pairs(t), "supplier_id", "x", "y", ["season", "single"])
     return out.withColumns({c: r6(c) for c in ("effect", "cause_change", "subset_spread")})
 
 
+@query(_cause_sql("select e.event_id as k, e.severity::double as x, s.risk_score::double as y, (e.event_id % 7)::double as c0, s.single_source::int::double as c1 from (select * from ev order by ts desc, event_id limit 100) e join sup s using (supplier_id)") + _VERDICT_SQL + """
+select event_id as alert_id, causal_claim_allowed, method as causal_method, round(effect, 4) as causal_effect_size, n as causal_sample_count, case method when 'insufficient_data' then 'Not enough pairs to say anything about causes.' when 'association_only' then 'Seen together; not a verified causal claim.' else 'Adjusted regression with placebo, random cause and subset refuters.' end as causal_disclaimer
+from (select event_id from ev, now where severity >= 0.75 and ts > as_of - interval 24 hour order by severity desc, event_id limit 10), said""")
+def causal_alerts(t):
+    """The severest alerts of the last day with what the newest hundred pairs say about causes."""
+    newest = t.events.orderBy(F.desc("ts"), "event_id").limit(100).select("event_id", "supplier_id", "severity")
+    pairs = newest.join(t.suppliers.select("supplier_id", "risk_score", F.col("single_source").cast("int").alias("single")), "supplier_id").withColumn("season", F.col("event_id") % 7)
+    said = causal.assessed(pairs, "event_id", "severity", "risk_score", ["season", "single"])
+    return causal.with_causal_fields(alerts.emit_high(t.events, t.as_of, 24).select("alert_id"), said)
+
+
 # ---- recurrent forecast
 
 

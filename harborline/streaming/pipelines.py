@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..materialize import materialized
-from ..operators import alerts
+from ..operators import alerts, reports, text
+from ..sources import feeds
 from ..sources.sinks import upserted
 
 #: Buckets of an upserted table, and the column that tells them.
@@ -57,6 +58,33 @@ def merge_into(path: str, key: str, merge: Callable[[DataFrame | None, DataFrame
     return run
 
 
+#: What each consumer of a topic reads of a message: its key, and its fields; metadata and other fields are passed over.
+CONSUMERS = {
+    "graph_loader": ("event_id", "event_id string, ts timestamp, event_type string, lat double, lon double, country string, region string, description string, actors array<string>, goldstein double"),
+    "vessel_loader": ("mmsi", "mmsi string, name string, ship_type string, lat double, lon double, speed double, ts timestamp, chokepoint string"),
+    "entity_resolution": ("event_id", "event_id string, description string, notes string, headline string, news_title string, title string, raw_data struct<description:string,notes:string,title:string,source_url:string>"),
+    "rag_indexer": ("event_id", "event_id string, event_type string, region string, country string, description string, actors array<string>"),
+}
+
+
+def consumed(raw: DataFrame, consumer: str) -> DataFrame:
+    """Messages (value) as a consumer's columns; what is not JSON or lacks its key is dropped."""
+    key, schema = CONSUMERS[consumer]
+    return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("m")).select("m.*").where(F.col(key).isNotNull())
+
+
+def handled(raw: DataFrame, consumer: str) -> DataFrame:
+    """What a consumer makes of its messages, a stream or a table: graph events, vessels, entities of the texts, or documents."""
+    rows = consumed(raw, consumer)
+    if consumer == "graph_loader":
+        return feeds.with_graph_fields(rows)
+    if consumer == "vessel_loader":
+        return feeds.vessel_properties(rows)
+    if consumer == "entity_resolution":
+        return text.rule_entities(rows.select("event_id", text.message_text({f: F.col(f) for f in text.MESSAGE_FIELDS}).alias("text")))
+    return reports.message_documents(rows)
+
+
 def upsert_into(path: str, key: str, order: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """A batch function that merges a batch into a Parquet table: the last row of each key by ``order`` stays."""
     return merge_into(path, key, lambda old, new, number: upserted(new.limit(0) if old is None else old, new, key, order), buckets)
