@@ -69,7 +69,7 @@ def event_class(text: Column) -> tuple[Column, Column]:
 def locations(text: Column) -> Column:
     """Up to five places named after in, at, near or around."""
     found = F.regexp_extract_all(text, F.lit(PLACE), 1)
-    return F.slice(F.array_distinct(F.transform(found, F.trim)), 1, 5)
+    return F.slice(F.array_distinct(F.transform(found, lambda x: F.trim(x))), 1, 5)  # a bare F.trim would take the place for what to trim
 
 
 def _level_counts(lowered: Column) -> list[Column]:
@@ -101,9 +101,14 @@ def level_score(level: Column) -> Column:
     return F.when(level == "CRITICAL", 1.0).when(level == "HIGH", 0.75).when(level == "MEDIUM", 0.5).when(level == "LOW", 0.25).when(level == "NONE", 0.0).otherwise(0.5)
 
 
+#: The space characters of Unicode, which paragraphs are trimmed of.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
 def chunks(docs: DataFrame, text: str = "text", size: int = 600) -> DataFrame:
-    """docs' rows exploded into (chunk_no, chunk): paragraphs packed greedily up to ``size`` characters; a longer one stays whole."""
-    parts = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n\n"), F.trim), lambda p: p != "")
+    """docs' rows exploded into (chunk_no, chunk): paragraphs, without ``SPACES`` around, packed greedily up to ``size`` characters;
+    a longer one stays whole."""
+    parts = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n\n"), lambda p: F.trim(p, F.lit(SPACES))), lambda p: p != "")
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def pack(s, p):

@@ -185,6 +185,11 @@ def test_chunks_pack_paragraphs(spark):
     assert got == [(1, 0, 502), (1, 1, 700), (1, 2, 1)]
 
 
+def test_chunks_keep_digits_and_lose_spaces(spark):
+    docs = spark.createDataFrame([(1, "010 first 0\n\n  1 second 1\u00a0\n\n \u2003 \n\n2 third 2 ")], "id int, text string")
+    assert [r.chunk for r in text.chunks(docs).collect()] == ["010 first 0\n\n1 second 1\n\n2 third 2"]
+
+
 def test_names_match_by_words(spark):
     assert text.token_set_ratio("Taiwan Semiconductor Corp", "corp taiwan semiconductor") == 100
     assert text.token_set_ratio("", "x") == 0
