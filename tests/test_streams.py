@@ -1,5 +1,6 @@
 """Sessions, interval joins, counters and the gate over streams: late rows, state that goes, and batches that come again."""
 
+import collections
 import datetime as dt
 import json
 import os
@@ -71,6 +72,27 @@ def test_interval_join_meets_both_ways_and_forgets(spark, tmp_path):
     assert max(state) >= 7 and state[-1] <= 4  # those of the last hours
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_counts_of_reports_are_those_of_the_pairs(spark, kind):
+    rng = random.Random(3)
+    row = lambda i: (rng.randrange(40), i, rng.choice(["YE", "EG", None]), START + dt.timedelta(minutes=rng.choice([0, 60, 120, 121, rng.randrange(-900, 900)])) if rng.random() < 0.95 else None)
+    reports, events = (spark.createDataFrame([row(i) for i in range(300)], f"event_id long, mmsi long, country string, ts {kind}") for _ in "re")
+    plain = collections.defaultdict(list)
+    for e in events.collect():
+        plain[e.event_id] += [r.ts for r in reports.collect() if r.country and r.country == e.country and r.ts and e.ts and e.ts <= r.ts <= e.ts + dt.timedelta(hours=2)] if e.event_id < 12 else []
+    pairs = collections.Counter(r.event_id for r in pipelines.reports_after_events(reports, events).collect())
+    got = {r.event_id: (r.reports, r.first, r.last) for r in pipelines.report_counts(reports, events).collect()}
+    assert {k: v[0] for k, v in got.items()} == pairs
+    assert {k: v for k, v in got.items() if k < 12} == {k: (len(v), min(v), max(v)) for k, v in plain.items() if v}
+
+
+def test_reports_of_a_busy_hour_are_counted_without_pairs(spark):
+    n = 100_000
+    rows = spark.range(n).select(F.col("id").alias("event_id"), F.col("id").alias("mmsi"), F.lit("YE").alias("country"), F.timestamp_micros(F.col("id") * 1000).alias("ts"))
+    got = pipelines.report_counts(rows, rows)
+    assert got.count() == n and got.where(F.col("reports") != n - F.col("event_id")).count() == 0
+
+
 REPORTS = "mmsi long, ts timestamp, chokepoint string, speed double"
 
 
