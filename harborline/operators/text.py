@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -290,18 +291,37 @@ def rule_spans(t: str, chokepoints: list[str]) -> list[tuple[str, int, int, floa
     return sorted(kept, key=lambda s: s[1])
 
 
+#: Characters of texts whose entities a task keeps, beside those of its batch.
+KEPT_CHARACTERS = 1 << 20
+
+
 def rule_entities(texts: DataFrame, text: str = "text", chokepoints: list[str] | None = None) -> DataFrame:
     """texts exploded into (kind, entity, start, end, confidence) by ``rule_spans``; a null text has none."""
     names = chokepoints or CHOKEPOINTS
     kind = "array<struct<kind:string,entity:string,start:int,end:int,confidence:double>>"
 
     @F.pandas_udf(kind)
-    def find(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: [{"kind": k, "entity": x[a:b], "start": a, "end": b, "confidence": c} for k, a, b, c in rule_spans(x, names)] if x else [])
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        spans: dict[str, list[dict]] = {}  # of the task's texts so far, up to ``KEPT_CHARACTERS``
+        held = 0
+        for t in batches:
+            for x in t.unique():
+                if x and x not in spans:
+                    if held + len(x) > KEPT_CHARACTERS:
+                        spans, held = {y: spans[y] for y in t.unique() if y in spans}, 0
+                    held += len(x)
+                    spans[x] = [{"kind": k, "entity": x[a:b], "start": a, "end": b, "confidence": c} for k, a, b, c in rule_spans(x, names)]
+            yield t.map(lambda x: spans.get(x, []))  # noqa: B023
 
     return texts.withColumn("_e", F.explode(find(F.col(text)))).select(*[F.col(c) for c in texts.columns], "_e.*")
 
 
+def entity_counts(texts: DataFrame, text: str = "text", chokepoints: list[str] | None = None) -> DataFrame:
+    """(kind, entity, n): how often each entity of ``rule_entities`` occurs; a text that comes again is searched once."""
+    found = rule_entities(texts.groupBy(text).agg(F.count("*").alias("n")), text, chokepoints)
+    return found.groupBy("kind", "entity").agg(F.sum("n").alias("n"))
+
+
 def message_text(fields: dict[str, Column]) -> Column:
     """The text of a message: the first of its fields that is not empty, by ``MESSAGE_FIELDS``; fields that a table lacks are passed over."""
     return F.coalesce(*[F.when(fields[f] != "", fields[f]) for f in MESSAGE_FIELDS if f in fields], F.lit(""))

@@ -68,7 +68,7 @@ s as (select distinct event_id, 'supplier' as kind, unnest(regexp_extract_all(te
 select kind, entity, count(*) as n from (select event_id, kind, entity from c union all select event_id, kind, entity from p union all select s.event_id, s.kind, s.entity from s where not exists (select 1 from c where c.event_id = s.event_id and contains(c.entity, s.entity))) group by all""")
 def rule_entities(t):
     """Entities of all event texts by the full rules; the texts are shorter than a supplier word's window, and hold no port word alone."""
-    return text.rule_entities(t.events.select("event_id", "text")).groupBy("kind", "entity").agg(F.count("*").alias("n"))
+    return text.entity_counts(t.events.select("text"))
 
 
 @query("select event_id, case when event_id % 3 = 0 then text when event_id % 3 = 1 then 'note ' || event_id else kind end as text from ev")

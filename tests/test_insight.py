@@ -1,5 +1,6 @@
 """Entity rules, message fields, exports, alert store and SQL functions."""
 
+import collections
 import datetime as dt
 import json
 
@@ -63,6 +64,31 @@ def test_alert_store_keeps_the_newest(spark, tmp_path):
     assert sorted(r.alert_id for r in spark.read.parquet(path).collect()) == [2, 3, 4, 5, 6]
 
 
+def test_repeated_texts_are_searched_once(spark):
+    texts = ["Ships leave the Suez Canal", "Acme Steel factory on fire", "Port of Rotterdam and the Suez Canal", None, ""]
+    rows = spark.createDataFrame([(texts[i % 5],) for i in range(100)], "text string").repartition(7)
+    plain = collections.Counter((r.kind, r.entity) for r in text.rule_entities(rows).collect())
+    counts = text.entity_counts(rows)
+    assert plain and {(r.kind, r.entity): r.n for r in counts.collect()} == plain
+    searched = spark.sparkContext.accumulator(0)
+
+    def watched(rows):
+        def run(batches):
+            for b in batches:
+                searched.add(len(b))
+                yield b
+
+        return rows.mapInPandas(run, rows.schema)
+
+    real = text.rule_entities
+    try:
+        text.rule_entities = lambda rows, *more: real(watched(rows), *more)
+        text.entity_counts(rows).collect()
+    finally:
+        text.rule_entities = real
+    assert searched.value == 5
+
+
 def test_pairs_and_their_summary(spark, tmp_path):
     pairs = spark.createDataFrame([(1, 0.5, 0.1), (2, None, 0.2)], "event_id long, severity double, risk_score double")
     sinks.export_pairs(pairs, str(tmp_path / "pairs"), F.lit("2024-01-01"))
