@@ -8,7 +8,10 @@ meet nobody twice. A pair can reach a score of T in two ways:
 * The longest common subsequence of the joined words has T / 200 of both lengths, or more. So many letters, counted with
   repeats, are in common; of sorted letters a prefix is enough, and it must share two letters, so pairs of letters are the key.
 
-The second way is only asked with the score that a mention's best names have reached by the first, and not at all at 100.
+The second way is only asked with the score that a mention's best names have reached by the first, and not at all at 100. Names
+that share a mention's rare stretches of letters are scored before, only to raise that score. Where it leaves room for
+K insertions and deletions, each spoils one of K + 1 stretches that are apart and within words, so one of them stands whole in a
+word of the name: the rarest such stretches are the keys, and letters are only asked where there are not enough.
 Everything is an equi-join; frequent words and letters come last in the order and so are seldom in a prefix.
 """
 
@@ -20,7 +23,7 @@ from itertools import combinations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from ..materialize import materialized
 
@@ -29,6 +32,10 @@ from ..materialize import materialized
 PAIRS_UP_TO, SINGLE_ABOVE = 192, 64
 
 
+#: Lengths of stretches, and the most names that one of them may bring before the score is known.
+STRETCHES, FEW = (8, 4), 32
+
+
 def common_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, a bit for each character of b."""
     at: dict[str, int] = {}
@@ -146,6 +153,26 @@ def by_letters(mentions: DataFrame, names: DataFrame, threshold: float) -> DataF
     return m.join(n, "at").where(near).select("mention_key", "name_key").distinct()
 
 
+@F.pandas_udf(ArrayType(StructType().add("at", IntegerType()).add("gram", StringType())))
+def _stretches(key: pd.Series) -> pd.Series:
+    """All stretches of a text, with where they begin; none holds a space."""
+    return key.map(lambda k: [{"at": i, "gram": k[i : i + q]} for q in STRETCHES for i in range(len(k) - q + 1) if " " not in k[i : i + q]])
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _rarest_apart(found: pd.Series, need: pd.Series) -> pd.Series:
+    """The rarest stretches (n, at, gram) that do not overlap, ``need`` of them, or null where that many are not found."""
+
+    def of(items, need):
+        out: list[dict] = []
+        for g in sorted([] if items is None else items, key=lambda g: (g["n"], g["at"], -len(g["gram"]))):
+            if len(out) < need and all(g["at"] >= o["at"] + len(o["gram"]) or o["at"] >= g["at"] + len(g["gram"]) for o in out):
+                out.append(g)
+        return [g["gram"] for g in out] if len(out) == need else None
+
+    return pd.Series([of(f, n) for f, n in zip(found, need)], dtype=object)
+
+
 def fuzzy_match(mentions: DataFrame, names: DataFrame, threshold: float = 70.0, top: int = 1) -> DataFrame:
     """(mention, id, name, score, rank): best names of each mention at or above the threshold; mentions(mention), names(id, name).
 
@@ -158,11 +185,20 @@ def fuzzy_match(mentions: DataFrame, names: DataFrame, threshold: float = 70.0,
     known = materialized(known.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= top).drop("_n"), "names")
     asked, given = said.select("key").distinct(), known.select("key").distinct()
     score = lambda pairs: pairs.withColumn("score", _score(F.col("mention_key"), F.col("name_key"))).where(F.col("score") >= threshold)
-    first = materialized(score(by_words(asked, given, threshold)), "by_words")
+    cut = lambda df: df.select("key", F.explode(_stretches(F.col("key"))).alias("g")).select("key", "g.at", "g.gram")
+    grams = materialized(cut(given).select(F.col("key").alias("name_key"), "gram").distinct(), "grams")
+    counted = cut(asked).join(grams.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left")
+    placed = materialized(counted.groupBy("key").agg(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "gram")).alias("found")), "placed")
+    meeting = lambda df, column: df.select(F.col("key").alias("mention_key"), F.explode(column).alias("gram")).join(grams, "gram").select("mention_key", "name_key").distinct()
+    likely = meeting(placed, _rarest_apart(F.filter("found", lambda g: (g["n"] > 0) & (g["n"] <= FEW)), F.lit(1)))
+    first = materialized(score(by_words(asked, given, threshold).union(likely).distinct()), "by_words")
     best = F.row_number().over(Window.partitionBy("mention_key").orderBy(F.desc("score")))
     reached = first.withColumn("_n", best).where(F.col("_n") == top).select(F.col("mention_key").alias("key"), "score")
     rest = asked.join(reached, "key", "left").select("key", F.coalesce("score", F.lit(threshold)).alias("reach")).where("reach < 100")
-    pairs = first.union(score(by_letters(rest, given, threshold))).distinct()
+    edits = F.floor(2 * F.length("key") * (100 - F.col("reach")) / F.col("reach") + 1e-6) if threshold > 0 else F.lit(1 << 30)
+    rest = materialized(rest.join(placed, "key", "left").select("key", "reach", _rarest_apart(F.col("found"), (edits + 1).cast("long")).alias("keys")), "rest")
+    near, far = meeting(rest.where("keys is not null"), F.col("keys")), rest.where("keys is null").select("key", "reach")
+    pairs = first.union(score(near)).union(score(by_letters(far, given, threshold))).distinct()
     ids = pairs.join(known, pairs["name_key"] == known["key"]).select("mention_key", "id", "name", "score")
     ranked = ids.withColumn("rank", F.row_number().over(Window.partitionBy("mention_key").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= top)
     return ranked.join(said, ranked["mention_key"] == said["key"]).select("mention", "id", "name", "score", "rank")

@@ -8,7 +8,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from harborline.operators import analytics, features, graph, monitoring, simulation, text
+from harborline.operators import analytics, features, graph, monitoring, names, simulation, text
 from harborline.plans import landed
 from harborline.sources import feeds, sinks
 from harborline.streaming import pipelines
@@ -169,3 +169,19 @@ def test_severest_events_rank_by_the_sum(spark):
     events = spark.createDataFrame(rows, "supplier_id long, event_id long, severity double")
     got = {tuple(r) for r in landed.severest_events(SimpleNamespace(events=events)).collect()}
     assert got == {(1, 200_000, 0.5), (2, 2, 0.2), (3, None, None), (4, 9, 1.0)}
+
+
+def test_names_with_a_letter_missing_meet_by_rare_stretches(spark, monkeypatch):
+    asked = []
+    real = names.by_letters
+    monkeypatch.setattr(names, "by_letters", lambda m, *more: asked.append(m.count()) or real(m, *more))
+    rng = random.Random(5)
+    told = [(i, f"Supplier#{i:09d}") for i in range(0, 900, 3)] + [(i, " ".join(rng.choice(["harbor", "harbour", "steel", "works", "of", "oslo", "kiel", "kielce", "trading"]) for _ in range(rng.randint(1, 4)))) for i in range(2000, 2060)]
+    said = [f"suplier {i:09d}" for i in range(0, 300, 3)] + ["harbr steel works", "wroks of steel oslo", "kiel trading harbor of", "kielc trading", "oslo trdaing works", "supplier 00000012"]
+    got = {(r.mention, r.id, round(r.score, 6)) for r in names.fuzzy_match(spark.createDataFrame([(m,) for m in said], "mention string"), spark.createDataFrame(told, "id long, name string")).collect()}
+    want = set()
+    for m in said:
+        score, i = max((names.token_set_ratio(m, n), -i) for i, n in told)
+        want |= {(m, -i, round(score, 6))} if score >= 70 else set()
+    assert got == want
+    assert asked == [asked[0]] and asked[0] < 10
