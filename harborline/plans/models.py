@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..materialize import materialized
 from ..operators import alerts, causal, features, graph, learning, modularity, recurrent, reports, signals, text, vectors
 from .catalog import EDGES_SQL, RATE_SQL, _features, query, r6
 
@@ -13,11 +14,20 @@ from .catalog import EDGES_SQL, RATE_SQL, _features, query, r6
 _SAVED: dict[tuple[str, str], str] = {}
 
 
+def _vectors(t):
+    """The suppliers' vectors, written once for a query: the fit and what asks it pass over them many times."""
+    if not hasattr(t, "_written_vectors"):
+        t._written_vectors = materialized(features.vector(_features(t)), "vectors")
+    return t._written_vectors
+
+
 def _labelled(t):
-    """(supplier_id, vector, label, held_out): labels by risk, a quarter of each class held out."""
-    label = F.when((F.col("risk_score") >= 0.65) | F.col("critical"), 1).otherwise(0).alias("label")
-    rows = features.vector(_features(t)).join(t.suppliers.select("supplier_id", label), "supplier_id")
-    return learning.holdout(rows, "supplier_id", "label")
+    """(supplier_id, vector, label, held_out): labels by risk, a quarter of each class held out; written once like the vectors."""
+    if not hasattr(t, "_written_labelled"):
+        label = F.when((F.col("risk_score") >= 0.65) | F.col("critical"), 1).otherwise(0).alias("label")
+        rows = _vectors(t).join(t.suppliers.select("supplier_id", label), "supplier_id")
+        t._written_labelled = materialized(learning.holdout(rows, "supplier_id", "label"), "labelled")
+    return t._written_labelled
 
 
 def _model(t) -> str:
@@ -41,14 +51,14 @@ def heldout_scores(t):
 
 @query()
 def model_evaluation(t):
-    return learning.evaluation(learning.scored(_labelled(t), _model(t))).select("train_rows", "test_rows", r6("f1").alias("f1"), r6("roc_auc").alias("roc_auc"))
+    return learning.evaluation(materialized(learning.scored(_labelled(t), _model(t)).select("label", "held_out", "probability"), "scored")).select("train_rows", "test_rows", r6("f1").alias("f1"), r6("roc_auc").alias("roc_auc"))
 
 
 @query()
 def score_explanations(t):
     """The five largest terms of every supplier's learned score."""
     names = list(learning.INPUTS)
-    told = learning.shapley(features.vector(_features(t)), "supplier_id", learning.leaves(t.spark, _model(t)), names)
+    told = learning.shapley(_vectors(t), "supplier_id", learning.leaves(t.spark, _model(t)), names)
     about = F.element_at(F.create_map(*[F.lit(x) for pair in learning.INPUTS.items() for x in pair]), F.col("feature"))
     return told.select("supplier_id", "rank", "feature", F.round("contribution", 4).alias("contribution"), "direction", about.alias("description"))
 

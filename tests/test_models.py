@@ -150,3 +150,13 @@ def test_not_below_label_propagation_and_odd_graphs(spark):
     assert sorted(parts) == [["a"], ["b"]] and modularity.modularity(e, members).first().modularity == 0
     assert found(spark, [("a", "b", 1)], [])[2] == []
     assert pd.DataFrame(members.collect()).shape[0] == 2
+
+
+def test_vectors_are_written_once_for_a_query(spark, sf_dir):
+    from harborline.plans import models
+    from harborline.sources.tables import Tables
+
+    t = Tables(spark, sf_dir)
+    first = models._labelled(t)
+    assert models._labelled(t) is first and all("/labelled-" in f for f in first.inputFiles())
+    assert all("/vectors-" in f for f in models._vectors(t).inputFiles()) and models._vectors(t).count() == first.count() == t.n_suppliers
