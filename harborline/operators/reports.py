@@ -123,7 +123,8 @@ def embeddings(suppliers: DataFrame, neighbours: DataFrame, size: int = 32) -> D
                 out.append((v / np.linalg.norm(v)).tolist())
             yield pd.DataFrame({"supplier_id": batch["supplier_id"], "vector": out})
 
-    return rows.mapInPandas(run, "supplier_id long, vector array<double>")
+    cores = rows.sparkSession.sparkContext.defaultParallelism  # rows are few bytes and much work, so they are dealt by number
+    return rows.repartition(cores).mapInPandas(run, "supplier_id long, vector array<double>")
 
 
 def influential(edges: DataFrame, suppliers: DataFrame, top: int = 5) -> DataFrame:

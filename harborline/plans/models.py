@@ -130,7 +130,7 @@ def alternatives_by_embedding(t):
     near = graph.undirected(graph.supply_edges(t)).where("node_type = 'supplier' and next_type in ('supplier', 'port')")
     neighbours = near.select(F.substring("node", 10, 20).cast("long").alias("supplier_id"), F.col("next").alias("neighbour")).distinct()
     s = reports.embeddings(t.suppliers, neighbours).join(t.suppliers.select("supplier_id", "name", "risk_score"), "supplier_id")
-    rows = s.select(F.col("supplier_id").alias("id"), "vector", (0.4 * (1 - F.coalesce("risk_score", F.lit(0.5)))).alias("bonus"))
+    rows = materialized(s.select(F.col("supplier_id").alias("id"), "vector", (0.4 * (1 - F.coalesce("risk_score", F.lit(0.5)))).alias("bonus")), "embedded")
     best = vectors.Cells(rows).search(rows.select(F.col("id").alias("query_id"), "vector"), 5, 0.6)
     risk = t.suppliers.select(F.col("supplier_id").alias("id"), F.col("name").alias("alternative"), "risk_score")
     told = best.join(risk, "id").select(F.col("query_id").alias("supplier_id"), "rank", "id", "alternative", F.round("risk_score", 4).alias("risk_score"), F.col("score"))
