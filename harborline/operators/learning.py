@@ -36,6 +36,8 @@ INPUTS = {
 TREES, DEPTH, STEP, TEST_SHARE = 120, 5, 0.08, 0.25
 #: Rows that one pass over all leaves takes at once, in (row, leaf, split) cells.
 CELLS = 1 << 22
+#: Rows that a task of the fit and of the explanations takes: few bytes a row, so files alone would make a single task.
+FIT_ROWS, TELL_ROWS = 16384, 4096
 
 
 def boosted_model(vectors: DataFrame, labels: DataFrame, trees: int = 20, depth: int = 4, step: float = 0.1, seed: int = 42):
@@ -57,6 +59,12 @@ def importances(vectors: DataFrame, labels: DataFrame, names: list[str]) -> list
     return sorted(zip(names, model.featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))
 
 
+def dealt(rows: DataFrame, each: int) -> DataFrame:
+    """rows over tasks of about ``each`` rows; those of a single task as they are. The number depends on the rows alone."""
+    tasks = -(-rows.count() // each)
+    return rows.repartition(tasks) if tasks > 1 else rows
+
+
 # ---- held-out evaluation
 
 
@@ -78,7 +86,7 @@ def fitted(rows: DataFrame, trees: int = TREES, depth: int = DEPTH, step: float
     """Fit on the rows(vector, label, held_out) that are not held out and save the model in the shared folder; returns its path."""
     train = rows.where("not held_out").select(array_to_vector("vector").alias("features"), F.col("label").cast("double").alias("label"))
     path = f"{shared_dir(rows.sparkSession)}/boosted-{uuid.uuid4().hex}"
-    GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=step, seed=seed).fit(train).save(path)
+    GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=step, seed=seed).fit(dealt(train, FIT_ROWS)).save(path)
     return path
 
 
@@ -191,7 +199,8 @@ def leaves(spark: SparkSession, path: str) -> Leaves:
 def shapley(rows: DataFrame, key: str, forest: Leaves, names: list[str], top: int = 5) -> DataFrame:
     """(key, rank, feature, contribution, direction, expected, total): each row's largest terms by absolute value, ties by input.
 
-    total is the sum of all terms and the expected value, which is the model's margin. rows(key, vector).
+    total is the sum of all terms and the expected value, which is the model's margin. rows(key, vector) are passed over twice.
+    Rows of a batch with the same vector are worked out once.
     """
     shared = rows.sparkSession.sparkContext.broadcast(forest)
 
@@ -199,7 +208,8 @@ def shapley(rows: DataFrame, key: str, forest: Leaves, names: list[str], top: in
         for batch in batches:
             if not len(batch):
                 continue
-            phi = shared.value.values(np.stack(batch["vector"].to_numpy()).astype(float))
+            x, row = np.unique(np.stack(batch["vector"].to_numpy()).astype(float), axis=0, return_inverse=True)
+            phi = shared.value.values(x)[row.ravel()]
             order = np.argsort(-np.abs(phi), axis=1, kind="stable")[:, :top]
             n = order.shape[1]
             yield pd.DataFrame(
@@ -214,7 +224,7 @@ def shapley(rows: DataFrame, key: str, forest: Leaves, names: list[str], top: in
             )
 
     kind = rows.schema[key].dataType.simpleString()
-    out = rows.select(key, "vector").mapInPandas(run, f"{key} {kind}, rank int, feature string, contribution double, expected double, total double")
+    out = dealt(rows.select(key, "vector"), TELL_ROWS).mapInPandas(run, f"{key} {kind}, rank int, feature string, contribution double, expected double, total double")
     return out.withColumn("direction", F.when(F.col("contribution") > 0, "increases").otherwise("decreases"))
 
 

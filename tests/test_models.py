@@ -86,6 +86,21 @@ def test_top_terms_are_the_largest(spark, labelled, saved):
         assert all((d == "increases") == (c > 0) for d, c in zip(g["direction"], g["contribution"]))
 
 
+def test_rows_of_one_file_are_dealt_and_equal_vectors_worked_out_once(spark, labelled, saved, tmp_path, monkeypatch):
+    rows = labelled.unionByName(labelled.withColumn("id", labelled["id"] + 1000)).coalesce(1)
+    monkeypatch.setattr(learning, "TELL_ROWS", 64)
+    forest, names = learning.leaves(spark, saved), ["a", "b", "c", "d"]
+    told = learning.shapley(rows, "id", forest, names, 4)
+    assert told.rdd.getNumPartitions() == 5 and learning.dealt(rows, 320).rdd.getNumPartitions() == 1
+    p = told.toPandas()
+    every = {r.id: forest.values(np.array([r.vector]))[0] for r in labelled.collect()}
+    assert len(p) == 4 * 320
+    for i, g in p.groupby("id"):
+        order = np.argsort(-np.abs(every[i % 1000]), kind="stable")
+        g = g.sort_values("rank")
+        assert g["feature"].tolist() == [names[k] for k in order] and g["contribution"].to_numpy() == pytest.approx(every[i % 1000][order])
+
+
 # ---- modularity
 
 
