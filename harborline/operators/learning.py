@@ -15,7 +15,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..materialize import shared_dir
+from ..materialize import materialized, shared_dir
 
 #: The model inputs in the order of ``features.vector``, and what each says.
 INPUTS = {
@@ -36,14 +36,34 @@ INPUTS = {
 TREES, DEPTH, STEP, TEST_SHARE = 120, 5, 0.08, 0.25
 #: Rows that one pass over all leaves takes at once, in (row, leaf, split) cells.
 CELLS = 1 << 22
-#: Rows that a task of the fit and of the explanations takes: few bytes a row, so files alone would make a single task.
+#: Rows (of the fit: distinct ones) that a task of the fit and of the explanations takes: few bytes a row, so files alone would make a single task.
 FIT_ROWS, TELL_ROWS = 16384, 4096
 
 
+def folded(rows: DataFrame) -> DataFrame:
+    """(vector, label, weight): rows(vector, label) with equal ones once and their number, over tasks of about ``FIT_ROWS``.
+
+    They are in order within a task, so the order of the files does not matter where there is one.
+    """
+    one = materialized(rows.groupBy("vector", F.col("label").cast("double").alias("label")).agg(F.count("*").cast("double").alias("weight")), "folded")
+    return one.repartition(max(1, -(-one.count() // FIT_ROWS))).sortWithinPartitions("vector", "label")
+
+
+def grown(rows: DataFrame, trees: int, depth: int, step: float, seed: int) -> GBTClassificationModel:
+    """The trees fitted on rows(vector, label).
+
+    Every level of every tree is a pass over what they are fitted on. Equal rows add the same terms to every sum behind a split
+    or a leaf, so one of them with their number as its weight gives the same trees, and a pass grows with the distinct rows. Up
+    to 10,000 of these Spark takes split points from all of them, beyond that from a sample.
+    """
+    train = folded(rows).select(array_to_vector("vector").alias("features"), "label", "weight")
+    return GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=step, seed=seed, weightCol="weight").fit(train)
+
+
 def boosted_model(vectors: DataFrame, labels: DataFrame, trees: int = 20, depth: int = 4, step: float = 0.1, seed: int = 42):
     """A fitted model and the labelled rows; vectors(supplier_id, vector), labels(supplier_id, label)."""
-    rows = vectors.join(labels, "supplier_id").select("supplier_id", array_to_vector("vector").alias("features"), "label")
-    return GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=step, seed=seed).fit(rows), rows
+    rows = vectors.join(labels, "supplier_id").select("supplier_id", "vector", "label")
+    return grown(rows, trees, depth, step, seed), rows.select("supplier_id", array_to_vector("vector").alias("features"), "label")
 
 
 def boosted_scores(vectors: DataFrame, labels: DataFrame) -> DataFrame:
@@ -84,9 +104,8 @@ def holdout(rows: DataFrame, key: str, label: str, share: float = TEST_SHARE) ->
 
 def fitted(rows: DataFrame, trees: int = TREES, depth: int = DEPTH, step: float = STEP, seed: int = 42) -> str:
     """Fit on the rows(vector, label, held_out) that are not held out and save the model in the shared folder; returns its path."""
-    train = rows.where("not held_out").select(array_to_vector("vector").alias("features"), F.col("label").cast("double").alias("label"))
     path = f"{shared_dir(rows.sparkSession)}/boosted-{uuid.uuid4().hex}"
-    GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=step, seed=seed).fit(dealt(train, FIT_ROWS)).save(path)
+    grown(rows.where("not held_out"), trees, depth, step, seed).save(path)
     return path
 
 
@@ -187,12 +206,15 @@ class Leaves:
 
 
 def leaves(spark: SparkSession, path: str) -> Leaves:
-    """The leaves of the model saved at path; a forest of bounded depth and number of trees has a bounded number of nodes."""
+    """The leaves of the model saved at path; a forest of bounded depth and number of trees has a bounded number of nodes.
+
+    A node's rows are the sum of their weights: equal rows are fitted as one.
+    """
     model = GBTClassificationModel.load(path)
-    rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").select("treeID", "id", "prediction", "rawCount", F.col("split.featureIndex").alias("feature"), F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"), "leftChild", "rightChild")
+    rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").select("treeID", "id", "prediction", F.get("impurityStats", F.lit(0)).alias("rows"), F.col("split.featureIndex").alias("feature"), F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"), "leftChild", "rightChild")
     trees: dict[int, list] = {}
     for r in rows.orderBy("treeID", "id").collect():
-        trees.setdefault(r["treeID"], []).append((r["prediction"], r["rawCount"], r["feature"], r["threshold"], r["leftChild"], r["rightChild"]))
+        trees.setdefault(r["treeID"], []).append((r["prediction"], r["rows"], r["feature"], r["threshold"], r["leftChild"], r["rightChild"]))
     return Leaves(trees, list(model.treeWeights), model.numFeatures)
 
 

@@ -8,6 +8,8 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
 
 from harborline.operators import graph, learning, modularity
 
@@ -101,6 +103,26 @@ def test_rows_of_one_file_are_dealt_and_equal_vectors_worked_out_once(spark, lab
         assert g["feature"].tolist() == [names[k] for k in order] and g["contribution"].to_numpy() == pytest.approx(every[i % 1000][order])
 
 
+def test_equal_rows_are_fitted_once_with_the_same_trees(spark, labelled, monkeypatch):
+    train = labelled.where("not held_out").selectExpr("vector", "label", "held_out", "explode(sequence(1, id % 4 + 1)) as copy", "id").drop("copy")
+    train = train.unionByName(train.where("id % 5 = 0").selectExpr("vector", "1 - label as label", "held_out", "id")).drop("id")
+    every, distinct = train.count(), train.distinct().count()
+    assert distinct < every
+    path, seen = learning.fitted(train, trees=4, depth=3, step=0.3), []
+    nodes = spark.read.parquet(f"{path}/data").select("nodeData.*").where("id = 0").collect()
+    assert [n["rawCount"] for n in nodes] == [distinct] * 4  # a pass reads the distinct rows
+    monkeypatch.setattr(learning, "Leaves", lambda nodes, *a: seen.extend(t[0][1] for t in nodes.values()))
+    learning.leaves(spark, path)
+    assert seen == [every] * 4  # shares are those of all rows
+    plain = GBTClassifier(maxIter=4, maxDepth=3, stepSize=0.3, seed=42).fit(train.select(array_to_vector("vector").alias("features"), train["label"].cast("double").alias("label")))
+    p = learning.scored(labelled, path).withColumn("features", array_to_vector("vector")).drop("probability")
+    both = plain.transform(p).select("margin", vector_to_array("rawPrediction")[1].alias("plain")).toPandas()
+    assert both["margin"].to_numpy() == pytest.approx(both["plain"].to_numpy(), abs=1e-9)
+    monkeypatch.setattr(learning, "FIT_ROWS", 50)
+    got = learning.folded(train)
+    assert got.rdd.getNumPartitions() == -(-distinct // 50) and got.agg({"weight": "sum"}).first()[0] == every
+
+
 # ---- modularity
 
 
