@@ -11,7 +11,7 @@ Two texts link when the Jaccard similarity of their sets of word n-grams reaches
    (DivideSkip), the short ones are merged into counts, and what can still reach T is probed in the long ones by binary
    search. Sets already reached are dropped from the lists, so a tight group costs about one search.
 4. A candidate group above ``chunk`` sets is dealt out: chunks are searched alone, then representatives of what they found
-   are searched together, and only sets that are still apart are searched chunk against chunk. Nothing is dropped.
+   are searched together, and sets that are still apart meet by their rarest shingles (``_across``). Nothing is dropped.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, U64, dropped, free, mix, n_blocks, pieces, runs, span_hashes, tokens, utf8, written
 
-CHUNK, BUCKET_BYTES = 1024, 8 << 20
+CHUNK, BUCKET_BYTES, CENTRES = 1024, 8 << 20, 3
 #: Ranges with fewer shingles than this on average need the sets' repeated share first.
 LONG_RANGE = 8
 
@@ -396,6 +396,60 @@ def _searched(rows: DataFrame, sets: DataFrame, keys: list[str], num: int, den:
     return dealt.mapInArrow(run, ", ".join([*(f"{k} long" for k in keys), "node long", "label long", "found long"]))
 
 
+def _across(left: DataFrame, sets: DataFrame, num: int, den: int, stars: bool) -> DataFrame:
+    """(label, found): labels of a group of left(grp, node, label) that a link between two of their sets joins.
+
+    stars: only ``CENTRES`` pairs a set, with the first sets that have its shingles: that joins most of what a large cluster
+    falls into, and its pairs need not be made. Else all links are found.
+
+    Prefix filter: in any one order of the shingles, the first |x| - ceil(num / den |x|) + 1 of a set x meet those of whatever
+    links with it. Shingles that only one label has come first in the order and lead to no pair, so they are left out but
+    counted; then come rare ones. A set with fewer others than a link needs sends nothing. Pairs that meet are compared.
+    """
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 64):
+                part = batch.slice(a, 64)
+                lists = [np.frombuffer(x, np.int64) for x in part.column(4).to_pylist()]
+                size = np.array([len(x) for x in lists])
+                cols = [np.repeat(part.column(i).to_numpy(), size) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*cols, np.repeat(size, size), np.concatenate(lists))], names=["grp", "node", "label", "at", "size", "h"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ([np.frombuffer(v, U64) for v in batch.column(i).to_pylist()] for i in (2, 3))
+            both = np.array([len(np.intersect1d(a, b, assume_unique=True)) for a, b in zip(x, y)], np.int64)
+            ok = pa.array(den * both >= num * (np.array([len(a) + len(b) for a, b in zip(x, y)], np.int64) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["label", "found"])
+
+    told = written(left.join(sets.hint("merge"), "node").select("grp", "node", "label", F.monotonically_increasing_id().alias("at"), "set").mapInArrow(tell, "grp long, node long, label long, at long, size long, h long"), "shingles")
+    mixed = told.groupBy("grp", "h").agg(F.count("*").alias("df"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("grp", "h", "df")
+    own = Window.partitionBy("at")  # a node with several texts has as many sets
+    ranked = told.join(mixed.hint("merge"), ["grp", "h"]).withColumns({"have": F.count("*").over(own), "rank": F.row_number().over(own.orderBy("df", "h"))})
+    first = ranked.where(F.col("rank") <= F.col("have") + 1 - F.ceil(F.col("size") * num / den)).withColumn("rest", F.col("have") - F.col("rank"))
+    cols = ["at", "node", "label", "size"]
+    first = written(first.select("grp", "h", *cols, "rest"), "prefixes")
+    dropped(told)
+    a, b = (first.select("grp", "h", *[F.col(c).alias(f"{c}_{s}") for c in (*cols, "rest")]) for s in "ab")
+    if stars:
+        b = b.groupBy("grp", "h").agg(F.min(F.struct("node_b", "at_b", "label_b", "size_b", "rest_b")).alias("b")).select("grp", "h", "b.*")
+    near = (F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num) & (F.col("label_a") != F.col("label_b") if stars else F.col("label_a") < F.col("label_b"))
+    met = a.join(b.hint("merge"), ["grp", "h"]).where(near).groupBy(*[f"{c}_{s}" for s in "ab" for c in cols])
+    # what two prefixes share comes before all else that their sets share: beyond it, no more can be common than is left of either
+    met = met.agg(F.count("*").alias("n"), F.min("rest_a").alias("rest_a"), F.min("rest_b").alias("rest_b"))
+    enough = (F.col("n") + F.least("rest_a", "rest_b")) * (den + num) >= (F.col("size_a") + F.col("size_b")) * num
+    if stars:
+        enough = F.row_number().over(Window.partitionBy("at_a").orderBy(F.desc("n"), "at_b")) <= CENTRES
+    pairs = written(met.withColumn("enough", enough).where("enough").select("node_a", "label_a", "node_b", "label_b").distinct(), "pairs")
+    dropped(first)
+    one, two = (sets.select(F.col("node").alias(f"node_{s}"), F.col("set").alias(f"set_{s}")).hint("merge") for s in "ab")
+    shown = pairs.join(one, "node_a").join(two, "node_b").select("label_a", "label_b", "set_a", "set_b")
+    out = written(shown.mapInArrow(compare, "label long, found long").distinct(), "across")
+    dropped(pairs)
+    return out
+
+
 def _lowest(links: DataFrame, rows: DataFrame) -> DataFrame:
     """rows (node, label, ...) with labels replaced by the roots of the components of links (label, found)."""
     roots = components(links.select(F.col("label").alias("a"), F.col("found").alias("b")))
@@ -436,14 +490,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         rep = rep.join(size, "grp").select("grp", F.pmod(F.xxhash64("label"), F.col("pieces")).alias("part"), "node", "label")
         more = written(_searched(rep, texts, ["grp", "part"], num, den).select("label", "found").distinct(), "more")
         links = written(links.union(more), "links")
-        now = written(_lowest(links, at).join(at.select("node", "part"), "node"), "apart")
-        open_ = now.groupBy("grp").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("grp")
-        left = now.join(open_, "grp")
-        if left.limit(1).count():
-            width = left.groupBy("grp").agg((F.max("part") + 1).alias("pieces"))
-            wide = left.join(width, "grp").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-            pair = wide.where("other <> part").select("grp", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "node", "label")
-            links = links.union(_searched(pair, texts, ["grp", "p", "q"], num, den).select("label", "found").distinct())
+        for stars in (True, False):
+            now = written(_lowest(links, at), "apart")
+            open_ = now.groupBy("grp").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("grp")
+            left = now.join(open_, "grp").select("grp", "node", "label")
+            if not left.limit(1).count():
+                break
+            links = written(links.union(_across(left, texts, num, den, stars)), "links")
     roots = components(links.union(members.select(F.col("doc_id").alias("label"), F.col("rep").alias("found"))).select(F.col("label").alias("a"), F.col("found").alias("b")))
     return sets.select("doc_id", "n_shingles").join(roots, sets["doc_id"] == roots["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 

@@ -714,6 +714,26 @@ def test_links_at_the_threshold(spark):
     assert got == plain_components(rows, 3, 90, 100) and got[5] == (1, 4) and got[6] == (1, 6)
 
 
+def test_large_apart_groups_are_not_paired_out(spark, monkeypatch):
+    """Sets that share routes but no link: rows that are searched follow the sets, not their square (they were broadcast, too)."""
+    word = lambda i: f"w{i % 1800}"
+    rows = [(i, " ".join(word(20 * i + j) for j in range(40))) for i in range(90)]
+    rows += [(200 + i, " ".join(word(20 * i + j) for j in range(1, 43))) for i in range(0, 90, 9)] + [(300, rows[5][1]), (5, rows[50][1] + " a b")]
+    rows, asked, search = sorted(rows), [], jaccard_join._searched
+    monkeypatch.setattr(jaccard_join, "_searched", lambda found, *rest: (asked.append(found.count()), search(found, *rest))[1])
+    docs = spark.createDataFrame(rows, KIND)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs, 1, 60, 100, 4).collect()}
+    sets = [(i, set(t.split())) for i, t in rows]
+    root = {i: i for i, _ in sets}
+    for i, a in sets:
+        for j, b in sets:
+            if 100 * len(a & b) >= 60 * len(a | b) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    assert got == root and len(set(got.values())) == 89
+    assert max(asked) >= 90 and sum(asked) <= 3 * len(rows)
+
+
 def test_search_skips_nothing():
     rng = np.random.default_rng(9)
     for num in (60, 80, 90):
