@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -266,6 +267,24 @@ def _cuts(total: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def _shares(index: DataFrame, asks: DataFrame) -> DataFrame:
+    """(round, t, df): of each term that a round asks for, the number of documents that have it. asks: query_id, terms, round."""
+
+    def told(batches):
+        for batch in batches:
+            for number in np.unique(batch.column(1)).tolist():
+                mine = np.unique(np.frombuffer(b"".join(batch.column(0).filter(pc.equal(batch.column(1), number)).to_pylist()), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), number, np.int32)), pa.array(mine)], names=["round", "t"])
+
+    def counts(batches):
+        for row in _each(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(row["terms"].view(np.int64)), pa.array(row["df"].astype(np.int64))], names=["t", "df"])
+
+    asked = asks.select("terms", "round").mapInArrow(told, "round int, t long").distinct()
+    held = index.select("terms", "df").mapInArrow(counts, "t long, df long").groupBy("t").agg(F.sum("df").alias("df"))
+    return asked.hint("merge").join(held, "t").select("round", "t", "df")
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = TOP, round_bytes: int = ROUND_BYTES, itself: bool = False) -> DataFrame:
     """query_id, rank, doc_id, score: the exact best k of all indexed documents for each row of queries(query_id, text).
 
@@ -282,38 +301,30 @@ def search(index: DataFrame, queries: DataFrame, k: int = TOP, round_bytes: int
 
     shards, n, w = index.select("length").mapInArrow(lengths, "n long, w long").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
     mean = max(w / max(1, n), 1e-9)
-    rounds = n_blocks(queries, F.coalesce(F.octet_length("text"), F.lit(0)) + 8 * DENSE_TERMS, round_bytes)
+
+    def terms(batches):
+        for batch in pieces(batches):
+            words, doc = _words(batch.column(1))
+            at = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            sets = [np.unique(words[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary()), batch.column(2)], names=["query_id", "terms", "round"])
+
+    # what a round needs is made once for all: its queries' terms, and in how many documents of all shards each is
+    texts = written(queries.where("query_id is not null").select(F.col("query_id").cast("long"), "text"), "texts")
+    rounds = n_blocks(texts, F.coalesce(F.octet_length("text"), F.lit(0)) + 8 * DENSE_TERMS, round_bytes)
+    asks = written(texts.withColumn("round", F.pmod(F.xxhash64("query_id"), F.lit(rounds)).cast("int")).mapInArrow(terms, "query_id long, terms binary, round int"), "asks", "round")
+    dropped(texts)
+    shares = written(_shares(index, asks), "shares", "round")
     parts = []
     for number in range(rounds):
-        asked = queries.where("query_id is not null").where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == number)
-
-        def terms(batches):
-            for batch in pieces(batches):
-                words, doc = _words(batch.column(1))
-                at = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-                sets = [np.unique(words[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["query_id", "terms"])
-
-        rows = asked.select(F.col("query_id").cast("long"), "text").mapInArrow(terms, "query_id long, terms binary").collect()  # bounded by round_bytes
+        rows = asks.where(F.col("round") == number).select("query_id", "terms").collect()  # bounded by round_bytes
         if not rows:
             continue
         mine = [np.frombuffer(r[1], U64) for r in rows]
         every = np.unique(np.concatenate(mine))
-        shared_terms = spark.sparkContext.broadcast(every)
-
-        def counts(batches):
-            all_ = shared_terms.value
-            df = np.zeros(len(all_), np.int64)
-            for row in _each(batches):
-                if len(row["terms"]):
-                    at = np.minimum(np.searchsorted(row["terms"], all_), len(row["terms"]) - 1)
-                    df += np.where(row["terms"][at] == all_, row["df"][at], 0)
-            has = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(df[has])], names=["t", "df"])
-
         df = np.zeros(len(every), np.int64)
-        got = index.select("terms", "df").mapInArrow(counts, "t long, df long").groupBy("t").agg(F.sum("df").alias("df")).toPandas()
-        df[got["t"].to_numpy()] = got["df"].to_numpy()
+        got = shares.where(F.col("round") == number).select("t", "df").toPandas()
+        df[np.searchsorted(every, got["t"].to_numpy().view(U64))] = got["df"].to_numpy()
         pack = spark.sparkContext.broadcast(Round(np.array([r[0] for r in rows]), mine, every, df, n))
 
         def answer(batches):
@@ -327,7 +338,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = TOP, round_bytes: int
         few = index.drop("shard", "df").coalesce(max(1, -(-shards // TASK_SHARDS)))
         parts.append(written(few.mapInArrow(answer, "query_id long, doc_id long, score double"), "answers"))
         pack.destroy()
-        shared_terms.destroy()
+    dropped(asks)
+    dropped(shares)
     schema = "query_id long, doc_id long, score double"
     out = joined(parts) if parts else spark.createDataFrame([], schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")

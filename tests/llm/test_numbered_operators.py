@@ -345,6 +345,25 @@ def test_search_is_exact_over_shards(spark, docs, corpus):
     assert {q: [x[0] for x in v] for q, v in got.items()} == {q: [x[0] for x in v] for q, v in want.items()}
 
 
+def test_search_reads_its_queries_once(spark, docs, corpus):
+    """Every round used to read all queries, and the term lists of all shards, again."""
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def text(t):
+        seen.add(1)
+        return t
+
+    index = bm25.build(docs, 3000)
+    queries = spark.createDataFrame([(i, t) for i, t in corpus if i % 5 == 0], "query_id long, text string").coalesce(1)
+    asked = queries.count()
+    got = bm25.search(index, queries.select("query_id", F.udf(text, "string")("text").alias("text")), round_bytes=80_000)
+    assert seen.value == asked
+    one = bm25.search(index, queries, round_bytes=1 << 30)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, one.collect()))
+
+
 def test_search_leaves_postings_unread():
     rng = random.Random(2)
     common, topics = np.arange(1, 40, dtype=np.uint64), np.arange(1000, 1200, dtype=np.uint64)
