@@ -36,6 +36,8 @@ _END = U64(0x5DEECE66D1234567)
 ENDINGS, FORM_BITS = 1 << 12, 20
 #: Pairs are shuffled for so many parts of the buckets one after the other: what a shuffle holds on disk goes in between.
 WAVES = 3
+#: Pairs of a bucket that are answered at once.
+ASKED = 1 << 18
 
 
 def _tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -412,8 +414,12 @@ def _answers(pairs: DataFrame, fixed: DataFrame, seats: DataFrame, totals: list[
             t, te, tw = b.seats(x)
             samples.append((t, told, *b.parents(t, te, tw, g), g))
         out = []
-        for i in range(left.num_rows):
-            mine, wide, near = (_of(left.column(n)[i], k) for n, k in (("words", U64), ("width", np.uint32), ("ctx", np.uint32)))
+        asked = [[_of(x, k) for x in left.column(n).to_pylist()] for n, k in (("words", U64), ("width", np.uint32), ("ctx", np.uint32))]
+        upto = np.cumsum([len(x) for x in asked[2]])
+        lo = 0
+        while lo < left.num_rows:  # blocks together: there are as many as the corpus has, and each asks a bucket for little
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + ASKED, "right")))
+            mine, wide, near = (np.concatenate(x[lo:hi]) for x in asked)
             at = np.minimum(np.searchsorted(b.words, mine), max(0, len(b.words) - 1))
             known = b.words[at] == mine if len(b.words) else np.zeros(len(mine), bool)
             owner = np.repeat(np.arange(len(mine)), wide)
@@ -435,8 +441,11 @@ def _answers(pairs: DataFrame, fixed: DataFrame, seats: DataFrame, totals: list[
                     here += np.where(seen, b.c[spot] - g["d"] * t[spot], 0.0)
                 p += here / (g["theta"] + customers[key])
             base = np.where(known, count[at], 0) if len(count) else np.zeros(len(mine), np.int64)
-            out.append((left.column("block")[i].as_py(), left.column("bucket")[i].as_py(), np.log10(p / len(samples)).astype(np.float32).tobytes(), base.astype(np.int64).tobytes()))
-        return pa.table({"block": pa.array([o[0] for o in out], pa.int64()), "bucket": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.binary()), "known": pa.array([o[3] for o in out], pa.binary())})
+            score, base = np.log10(p / len(samples)).astype(np.float32), base.astype(np.int64)
+            ends, words = (np.cumsum([0, *(len(x) for x in asked[k][lo:hi])]) for k in (2, 0))
+            out += [(score[i:j].tobytes(), base[v:w].tobytes()) for i, j, v, w in zip(ends, ends[1:], words, words[1:])]
+            lo = hi
+        return pa.table({"block": left.column("block"), "bucket": left.column("bucket"), "score": pa.array([o[0] for o in out], pa.binary()), "known": pa.array([o[1] for o in out], pa.binary())})
 
     asked = pairs.select("bucket", "block", "words", "width", "ctx").groupBy("bucket")
     return asked.cogroup(_together(fixed, seats, totals).groupBy("bucket")).applyInArrow(run, "block long, bucket long, score binary, known binary")

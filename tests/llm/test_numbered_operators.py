@@ -75,6 +75,37 @@ def test_pitman_yor_beats_the_base_on_held_out_text(spark, sf_dir):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_a_bucket_answers_its_blocks_together(spark, corpus, monkeypatch):
+    """Contexts were looked up, and all of a bucket's sorted for it, once for every block: blocks times buckets in all."""
+    rows = [(i, t or "", False, j % 40) for j, (i, t) in enumerate(corpus)]
+    pairs = pitman_yor.written(pitman_yor._pairs(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean, block long"), 2), "pairs")
+    fixed, seats, totals, kept = pitman_yor.fit(pairs, 2, 1, 1)
+    taken, place = [], pitman_yor.Bucket.place
+
+    class Kept:  # hands out the function that Spark would run
+        def groupBy(self, _):
+            return self
+
+        def cogroup(self, _):
+            return self
+
+        def applyInArrow(self, run, _):
+            return run
+
+        def select(self, *_):
+            return self
+
+    run = pitman_yor._answers(Kept(), fixed, seats, totals, kept)
+    left = pairs.where("bucket = 0").select("bucket", "block", "words", "width", "ctx").toArrow()
+    right = pitman_yor._together(fixed, seats, totals).where("bucket = 0").toArrow()
+    assert left.num_rows == 40
+    monkeypatch.setattr(pitman_yor.Bucket, "place", lambda b, ctx: (taken.append(len(ctx)), place(b, ctx))[1])
+    together = run(left, right).to_pydict()
+    assert len(taken) == 1
+    monkeypatch.setattr(pitman_yor, "ASKED", 1)
+    assert run(left, right).to_pydict() == together and len(taken) == 41
+
+
 def test_pitman_yor_scores_follow_from_the_seats(spark, corpus):
     """Seats and totals are collected; restaurants, their sums and every document's score are then made by plain loops."""
     from pyspark.sql import functions as F
