@@ -30,10 +30,14 @@ from .common import U64, dropped, mix, n_blocks, runs, utf8, written
 
 LENGTH, GRAM, PAD, RUN = 50, 16, 8, 2048
 BLOCK_BYTES, SHARD_SUFFIXES = 3 << 20, 1 << 16
+#: Blocks of text for a bucket of anchors, which are smaller: rows between blocks and buckets are the product of their numbers.
+ANCHOR_BLOCKS = 4
 #: An anchor that so many blocks have is dealt out by a second one.
 HOT_BLOCKS = 64
 #: Suffixes merged at once; an anchor with more is one part with as many shards as it takes.
 PART_SUFFIXES, PIECE_BYTES = 1 << 17, 1 << 17
+#: Windows answered at once.
+PART_WINDOWS = 1 << 20
 _LAST = np.iinfo(np.int64).max
 
 
@@ -274,8 +278,9 @@ def _shared(anchors: DataFrame) -> DataFrame:
         _, which, count = np.unique(every, return_inverse=True, return_counts=True)
         again = ((count > 1) | (np.bincount(which, weights=many, minlength=len(count)) > 0))[which]
         hot = (count > HOT_BLOCKS)[which]
-        cuts = np.cumsum([len(x) for x in lists])[:-1]
-        part = lambda x: pa.array([y[k].tobytes() for y, k in zip(np.split(x, cuts), np.split(again, cuts))], pa.binary())
+        ends = np.concatenate([[0], np.cumsum(again)])[np.cumsum([0, *(len(x) for x in lists)])].tolist()
+        every, hot = every[again], hot[again]
+        part = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "anchors": part(every), "hot": part(hot)})
 
     return anchors.groupBy("bucket").applyInArrow(run, "block long, bucket long, anchors binary, hot binary")
@@ -386,11 +391,12 @@ def _merged(sent: DataFrame) -> DataFrame:
         for lo, hi in _parts(total, PART_SUFFIXES):
             mine = order[edge[lo] : edge[hi]]
             answer[_cat(start[mine], count[one][mine])] = _least(byte, first[:-1][one[mine]], size[one[mine]], count[one[mine]], best[mine])
-        out, at = [], 0
-        for c in cols["count"]:
-            mine = which[at : at + len(c)]
-            out.append(answer[_cat(start[mine], c)].tobytes())
-            at += len(c)
+        out, upto = [], np.cumsum([0, *(len(c) for c in cols["count"])])
+        done = np.concatenate([[0], np.cumsum(count)])[upto]
+        for lo, hi in _parts(done, PART_WINDOWS):  # blocks together: there are as many as the corpus has
+            mine = slice(upto[lo], upto[hi])
+            whole = answer[_cat(start[which[mine]], count[mine])]
+            out += [whole[x:y].tobytes() for x, y in zip(done[lo:hi] - done[lo], done[lo + 1 : hi + 1] - done[lo])]
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "lows": pa.array(out, pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(run, "block long, bucket long, lows binary")
@@ -404,7 +410,7 @@ def covered(docs: DataFrame, block_bytes: int = BLOCK_BYTES, texts: bool = True)
     """
     n = n_blocks(docs, F.coalesce(F.octet_length("text"), F.lit(0)) + 16, block_bytes)
     dealt = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).alias("block"))
-    shared = written(_shared(_anchors(dealt, n)), "shared")
+    shared = written(_shared(_anchors(dealt, -(-n // ANCHOR_BLOCKS))), "shared")
     answers = written(_merged(_sent(dealt, shared, n)), "answers")
     told = answers.unionByName(shared.select("block", "anchors", "hot"), allowMissingColumns=True)
 

@@ -661,6 +661,27 @@ def test_removed_bytes_are_exact(spark, monkeypatch, hot):
     assert got == plain_kept(rows)
 
 
+def test_anchors_meet_in_fewer_buckets_than_blocks(spark, monkeypatch):
+    """Rows between blocks and buckets, both as many as the corpus has, grow with its square."""
+    rng, sizes, written = random.Random(5), {}, bwt_dedup.written
+    common = ["".join(rng.choices("abcdefgh ", k=90)) for _ in range(12)]
+    rows = [(i, " ".join([rng.choice(common), "".join(rng.choices("klmnop ", k=300)), rng.choice(common)])) for i in range(60)]
+
+    def held(df, name="t", by=None):
+        out = written(df, name, by)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(bwt_dedup, "written", held)
+    got = {r.doc_id: r.n_removed for r in bwt_dedup.covered(spark.createDataFrame(rows, KIND), 1000).collect()}
+    blocks = -(-sum(len(t) + 16 for _, t in rows) // 1000)
+    assert blocks > 20 and sizes["shared"] <= blocks * (blocks // 4 + 1)
+    for i, t in rows:
+        before = {u[a : a + 50] for j, u in rows if j < i for a in range(len(u) - 49)}
+        gone = {a + k for a in range(len(t) - 49) if t[a : a + 50] in before for k in range(50)}
+        assert got[i] == len(gone)
+
+
 def test_merged_transforms_order_and_group_suffixes():
     rng = random.Random(5)
     for _ in range(40):
