@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, U64, dropped, free, mix, n_blocks, pieces, runs, span_hashes, tokens, utf8, written
 
-CHUNK, BUCKET_BYTES, CENTRES = 1024, 8 << 20, 3
+CHUNK, BUCKET_BYTES, CENTRES, MANY = 1024, 8 << 20, 3, 16
 #: Ranges with fewer shingles than this on average need the sets' repeated share first.
 LONG_RANGE = 8
 
@@ -490,7 +490,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         rep = rep.join(size, "grp").select("grp", F.pmod(F.xxhash64("label"), F.col("pieces")).alias("part"), "node", "label")
         more = written(_searched(rep, texts, ["grp", "part"], num, den).select("label", "found").distinct(), "more")
         links = written(links.union(more), "links")
-        for stars in (True, False):
+        for stars in (True, False) if at.count() > MANY * chunk else (False,):  # few sets make few pairs
             now = written(_lowest(links, at), "apart")
             open_ = now.groupBy("grp").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("grp")
             left = now.join(open_, "grp").select("grp", "node", "label")
